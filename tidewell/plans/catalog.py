@@ -1,0 +1,4 @@
+"""Registry of the engine's queries and their oracle SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
