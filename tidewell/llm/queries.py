@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, mixing, secrets
+from tidewell.llm import brown, decontaminate, language, mixing, repeats, secrets, simhash
 
 QUERIES = {
+    "op1_brown": brown.op1_brown,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_language": language.op3_language,
+    "op5_repeats": repeats.op5_repeats,
     "op6_secrets": secrets.op6_secrets,
+    "op7_simhash": simhash.op7_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
 
