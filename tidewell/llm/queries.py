@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import brown, decontaminate, language, mixing, repeats, secrets, simhash
+from tidewell.llm import brown, decontaminate, language, licenses, mixing, pages, repeats, secrets, simhash
 
 QUERIES = {
     "op1_brown": brown.op1_brown,
@@ -11,10 +11,13 @@ QUERIES = {
     "op5_repeats": repeats.op5_repeats,
     "op6_secrets": secrets.op6_secrets,
     "op7_simhash": simhash.op7_simhash,
+    "op8_licenses": licenses.op8_licenses,
+    "op9_pages": pages.op9_pages,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
+    "op8_licenses": licenses.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

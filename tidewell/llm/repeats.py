@@ -12,7 +12,7 @@ shuffles, and only suffixes that can still have a partner go on to the next one:
 3. *Runs of ``RUN`` offsets*, then 4. *single windows*, for the rows that disagree somewhere (the ends of repeats):
    bucketed by the bytes that the run's windows share, then by the complete windows.
 
-Digits are 128-bit hashes of the bytes. Rows of a bucket are never brought together: each pass counts its digits with
+Digits are hashes of the bytes with 128 bits (the second pass has 64 bits beside the gram's 64). Rows of a bucket are never brought together: each pass counts its digits with
 partial sums and joins the counts back, so a passage shared by a third of all documents is spread like any other.
 
 Defined results: null and empty texts have 0 bytes; texts under ``length`` bytes lose nothing; equal texts of at least
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_columns, materialize
+from tidewell.llm.common import discard, map_columns, materialize
 
 GRAM, RUN, SEGMENT = 64, 32, 1 << 19
 _POSITION = 20  # bits; a segment with its overlap is shorter than 2**20 bytes
@@ -107,8 +107,8 @@ def suffix_rows(keyed: DataFrame, length: int) -> DataFrame:
                 piece = np.searchsorted(bounds, at, side="right")
                 shift = np.array([a for _, a, _ in group]) - np.concatenate([[0], bounds[:-1]])
                 who = np.array([i for i, _, _ in group])[piece]
-                digest = xxhash.xxh3_128_digest
-                u = [digest(data[a : z + length], seed=p - a) for a, z, p in zip(first.tolist(), last.tolist(), at.tolist())]
+                digest = xxhash.xxh3_64_intdigest
+                u = np.array([digest(data[a : z + length], seed=p - a) for a, z, p in zip(first.tolist(), last.tolist(), at.tolist())], np.uint64).view(np.int64)
                 doc, th = b["doc"], b["th"]
                 move = shift[piece]
                 yield {
@@ -116,7 +116,7 @@ def suffix_rows(keyed: DataFrame, length: int) -> DataFrame:
                     "lo": (first + move).astype(np.int32), "hi": (last + move).astype(np.int32), "g": gram, "u": u,
                 }
 
-    return map_columns(keyed, _KEYS + ", p int, lo int, hi int, g long, u binary", run)
+    return map_columns(keyed, _KEYS + ", p int, lo int, hi int, g long, u long", run)
 
 
 def _contexts(keyed: DataFrame, members: DataFrame, length: int) -> DataFrame:
@@ -178,20 +178,22 @@ def repeated_windows(keyed: DataFrame, length: int) -> DataFrame:
     span = ["doc", "th", "lo", "hi"]
     settled = alive.where("not mixed").select(span)
     mixed = alive.where("mixed")
-    who = F.struct("doc", "th", "p", "lo", "hi")
-    kinds = mixed.groupBy("g", "u").agg(F.count("*").alias("n"), F.min(who).alias("who"))
-    kinds = materialize(kinds.select("u", (F.col("n") == 1).alias("pending"), "who.*"), "kinds")
-    settled = settled.union(mixed.join(kinds.where("not pending").select("u").distinct(), "u").select(span))
-    contexts = materialize(_contexts(keyed, kinds.drop("u"), length), "contexts")
+    kinds = mixed.groupBy("g", "u").agg((F.count("*") == 1).alias("pending"), *[F.first(c).alias(c) for c in ("doc", "th", "p", "lo", "hi")])  # of one row
+    kinds = materialize(kinds, "kinds")
+    settled = settled.union(mixed.join(kinds.where("not pending").select("g", "u"), ["g", "u"]).select(span))
+    settled = materialize(settled, "settled")
+    discard(rows, alive)
+    contexts = materialize(_contexts(keyed, kinds, length), "contexts")
     runs = materialize(_runs(contexts, length), "runs")
-    place = F.struct("doc", "th", "p", "lo")
+    place = F.xxhash64("doc", "th", "p", "lo")
     shared = runs.groupBy("digit").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("pending").alias("open")).where("x <> y and open").select("digit")
     left = runs.join(shared, "digit").groupBy("doc", "th", "p", "lo").agg(F.collect_list("k").alias("ks"))
     windows = materialize(_windows(contexts.join(left, ["doc", "th", "p", "lo"]).select(*contexts.columns, "ks"), length), "windows")
-    place = F.struct("doc", "th", "s")
+    place = F.xxhash64("doc", "th", "s")
+    discard(contexts, runs)
     equal = windows.groupBy("digit").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("pending").alias("open")).where("x <> y and open").select("digit")
     single = windows.where("pending").join(equal, "digit").select("doc", "th", F.col("s").alias("lo"), F.col("s").alias("hi"))
-    return settled.union(single)
+    return settled.union(materialize(single, "single"))
 
 
 def remove_repeats(documents: DataFrame, length: int = 400) -> DataFrame:
