@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewell.llm import brown, decontaminate, language, licenses, mixing, pages, repeats, secrets, simhash
+from tidewell.llm import brown, decontaminate, flatgraph, language, licenses, mixing, pages, repeats, secrets, simhash
 
 QUERIES = {
     "op1_brown": brown.op1_brown,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_language": language.op3_language,
+    "op4_flatgraph": flatgraph.op4_flatgraph,
     "op5_repeats": repeats.op5_repeats,
     "op6_secrets": secrets.op6_secrets,
     "op7_simhash": simhash.op7_simhash,
