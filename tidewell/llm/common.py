@@ -69,6 +69,11 @@ def arrow_types(spark: SparkSession, schema: str) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema).fields]
 
 
+def ddl(df: DataFrame, columns: list[str]) -> str:
+    """Schema text of some columns, for maps that pass them through."""
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in (df.schema[c] for c in columns))
+
+
 def crc_bucket(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

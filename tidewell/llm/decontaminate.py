@@ -17,11 +17,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LOWER, UPPER, map_columns, materialize
+from tidewell.llm.common import LOWER, UPPER, ddl, map_columns, materialize
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _TABLE = bytes(ord(LOWER[b - 0x41]) if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:int,last:int>>, items array<string>"
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:int,last:int>>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,19 +83,19 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _row(doc_id, n_words: int, spans: list, items: set[str]) -> tuple:
+def _row(n_words: int, spans: list, items: set[str]) -> tuple:
     spans, names = _merged(spans), sorted(items)
     n_hit = sum(b - a + 1 for a, b in spans)
-    return doc_id, n_words, n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0, [{"first": a, "last": b} for a, b in spans], names
+    return n_words, n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0, [{"first": a, "last": b} for a, b in spans], names
 
 
 def _columns(rows: list[tuple]) -> dict[str, list]:
-    names = [f.split()[0] for f in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items")]
+    names = [f.split()[0] for f in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items")]
     return {n: list(v) for n, v in zip(names, zip(*rows))}
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 32 << 20) -> DataFrame:
-    """Per document the words hit by an item window, the merged word spans and the items found (``RESULT``).
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 32 << 20, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (doc_id unless given) and per row the words hit, merged word spans and items found (``RESULT``).
 
     Only tables of at most ``shard_bytes`` of pattern text are broadcast: a larger benchmark is dealt into shards by
     the hash of the window, each shard is searched in a pass of its own, and spans are merged by document.
@@ -112,49 +112,51 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     windows = materialize(windows.distinct(), "windows")
     total = windows.agg(F.sum(F.col("size") + 40)).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
-    keyed = documents.select("doc_id", "text")
+    own = {f.split()[0] for f in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items")}
+    keep = ["doc_id"] if keep is None else [c for c in keep if c not in own]
+    keyed = documents.select(*keep, F.col("text").alias("_text"))
     if shards > 1:
-        keyed = materialize(keyed.withColumn("row", F.monotonically_increasing_id()), "texts")
-    else:
-        keyed = keyed.withColumn("row", F.lit(0).cast("long"))
+        keyed = materialize(keyed.withColumn("_row", F.monotonically_increasing_id()), "texts")
     passes = []
     for k in range(shards):
         mine = windows if shards == 1 else windows.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == k)
         patterns: dict[tuple[bytes, ...], list[str]] = {}
         for r in mine.select("pattern", "item").collect():  # at most shard_bytes, checked above
             patterns.setdefault(tuple(bytes(r.pattern).split(b" ")), []).append(r.item)
-        passes.append(_search(keyed, spark.sparkContext.broadcast(patterns)))
+        passes.append(_search(keyed, ["_row"] if shards > 1 else keep, spark.sparkContext.broadcast(patterns)))
     if shards == 1:
-        return passes[0].drop("row")
+        return passes[0]
     merged = passes[0]
     for p in passes[1:]:
         merged = merged.union(p)
-    return _merge(merged)
+    return keyed.drop("_text").join(_merge(merged), "_row").drop("_row")
 
 
-def _search(keyed: DataFrame, shared) -> DataFrame:
+def _search(keyed: DataFrame, keep: list[str], shared) -> DataFrame:
     def search(batches):
         engine = WuManber(shared.value)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
+            for text in b["_text"]:
                 words = words_of(text)
                 found = engine.find(words)
-                rows.append(_row(doc_id, len(words), [f[:2] for f in found], {i for f in found for i in f[2]}))
-            yield _columns(rows) | {"row": b["row"]}
+                rows.append(_row(len(words), [f[:2] for f in found], {i for f in found for i in f[2]}))
+            yield {c: b[c] for c in keep} | _columns(rows)
 
-    return map_columns(keyed, RESULT + ", row long", search)
+    rows = keyed.select(*keep, "_text")
+    return map_columns(rows, ddl(rows, keep) + RESULT, search)
 
 
 def _merge(parts: DataFrame) -> DataFrame:
-    """One row for each document row from its rows of all shards; at most one row a shard."""
-    grouped = parts.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    """One row for each _row from its rows of all shards; at most one row a shard."""
+    grouped = parts.groupBy("_row", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def merge(batches):
         for b in batches:
-            yield _columns([_row(d, n, [(s["first"], s["last"]) for s in spans], set(items)) for d, n, spans, items in zip(b["doc_id"], b["n_words"], b["spans"], b["items"])])
+            rows = [_row(n, [(s["first"], s["last"]) for s in spans], set(items)) for n, spans, items in zip(b["n_words"], b["spans"], b["items"])]
+            yield {"_row": b["_row"]} | _columns(rows)
 
-    return map_columns(grouped.drop("row"), RESULT, merge)
+    return map_columns(grouped, "_row long, " + RESULT, merge)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import crc_bucket, map_columns
+from tidewell.llm.common import crc_bucket, ddl, map_columns
 
 BUCKETS, ORDERS = 1 << 14, (2, 3, 4)
 UNKNOWN = "und"
@@ -144,24 +144,26 @@ class Scorer:
         return out
 
 
-def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], penalty: float = 12.0) -> DataFrame:
-    """(doc_id, lang_pred, score, spans) for every row; spans are (language, first word, last word).
+def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], penalty: float = 12.0, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (doc_id unless given), lang_pred, score, spans for every row; spans: (language, first word, last word).
 
     ``score`` is the share of letters that carry the document's label. The model has a fixed size and goes to the
     tasks with the function.
     """
     languages, logs, allowed = model
+    keep = ["doc_id"] if keep is None else [c for c in keep if c not in ("lang_pred", "score", "spans")]
+    rows = documents.select(*keep, F.col("text").alias("_text"))
     shared = documents.sparkSession.sparkContext.broadcast((languages, logs, allowed))  # languages x 3 x BUCKETS floats
 
     def label(batches):
         scorer = Scorer(*shared.value, penalty)
         for b in batches:
-            texts = [words_of(t) if t and languages and _LETTER.search(t) else [] for t in b["text"]]
+            texts = [words_of(t) if t and languages and _LETTER.search(t) else [] for t in b["_text"]]
             ids: dict[bytes, int] = {}
             coded = [np.fromiter((ids.setdefault(w, len(ids)) for w in ws), np.int64, len(ws)) for ws in texts]
             table = scorer.words(list(ids)) if ids else None
             letters = np.fromiter(map(len, ids), np.int64, len(ids))
-            out = {"doc_id": b["doc_id"], "lang_pred": [], "score": [], "spans": []}
+            out = {c: b[c] for c in keep} | {"lang_pred": [], "score": [], "spans": []}
             for own in coded:
                 if not len(own):
                     out["lang_pred"].append(UNKNOWN), out["score"].append(0.0), out["spans"].append([])
@@ -175,7 +177,7 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarra
                 out["spans"].append([{"lang": languages[path[a]], "first": a, "last": z} for a, z in zip(first, last)])
             yield out
 
-    return map_columns(documents.select("doc_id", "text"), "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first:int,last:int>>", label)
+    return map_columns(rows, ddl(rows, keep) + "lang_pred string, score double, spans array<struct<lang:string,first:int,last:int>>", label)
 
 
 def train_on(documents: DataFrame):

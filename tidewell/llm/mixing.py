@@ -57,7 +57,7 @@ def source_targets(sized: DataFrame, share: float = 1.5, cap: int = 2) -> DataFr
 def _position(offset: Column) -> Column:
     """Training time at which the source's cumulative demand reaches ``offset`` words."""
     u, a, b = offset / F.col("target"), F.col("start"), F.col("finish")
-    return F.when(a == b, u).otherwise((F.sqrt(F.greatest(a * a + 2 * (b - a) * u, F.lit(0.0))) - a) / (b - a))
+    return F.when(a == b, u).otherwise((F.sqrt(F.greatest(a * a + 2 * (b - a) * u, F.lit(0.0))) - a) / (b - a) + F.lit(0.0))
 
 
 def curriculum_mix(documents: DataFrame, share: float = 1.5, cap: int = 2) -> DataFrame:

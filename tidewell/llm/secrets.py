@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_columns
+from tidewell.llm.common import ddl, map_columns
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -156,6 +156,20 @@ def redact(text: str | None) -> str | None:
     return "".join(out) + text[reach:]
 
 
+def redact_documents(documents: DataFrame) -> DataFrame:
+    """``documents`` with redacted texts, and n_chars to match if there is such a column."""
+    columns = documents.columns
+
+    def run(batches):
+        for b in batches:
+            texts = [redact(t) for t in b["text"]]
+            if "n_chars" in b:
+                b["n_chars"] = [n if t == old else len(t) for n, t, old in zip(b["n_chars"], texts, b["text"])]
+            yield b | {"text": texts}
+
+    return map_columns(documents, ddl(documents, columns).rstrip(", "), run)
+
+
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
     scanned = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -216,6 +216,63 @@ def near_duplicates(fingerprinted: DataFrame, radius: int = 4, hot: int = 32, bl
     return fingerprinted.join(materialize(named, "named"), "fp")
 
 
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """Hashes of the distinct shingles; texts of fewer words are one shingle, texts without words have none."""
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    width = min(shingle, len(words))
+    return list({xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) - (1 << 63) for i in range(len(words) - width + 1)}) if words else []
+
+
+def _similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The ``edges`` (a, b: text hashes) whose texts share at least ``least`` of their shingles (Jaccard)."""
+    ends = edges.select(F.col("a").alias("th")).union(edges.select("b")).distinct()
+
+    def run(batches):
+        for b in batches:
+            yield {"th": b["th"], "s": [shingle_hashes(t, shingle) for t in b["text"]]}
+
+    # equal texts have one hash: one of them is enough
+    named = texts.join(ends, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    sets = materialize(map_columns(named, "th long, s array<long>", run), "shingles")
+    # a hub's many edges bring their other ends' shingles to it, each once
+    half = edges.join(sets.select(F.col("th").alias("b"), F.col("s").alias("y")), "b")
+    both = half.join(sets.select(F.col("th").alias("a"), F.col("s").alias("x")), "a")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def keep_one_of_each(documents: DataFrame, shingle: int = 5, radius: int = 7, least: float = 0.8) -> DataFrame:
+    """``documents`` without near copies: of every group the row with the smallest doc_id (null last) stays.
+
+    Fingerprints of ``shingle``-word shingles within ``radius`` bits are candidates, verified by Jaccard similarity of
+    at least ``least``; groups are the components of verified links. Equal texts, null and empty ones as well, are a group.
+    """
+    columns = documents.columns
+    keyed = documents.select(*columns, F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_dk"), F.xxhash64("text").alias("_th"))
+
+    def run(batches):
+        for b in batches:
+            yield {"doc_id": b["doc_id"], "th": b["_th"], "fp": [fingerprint(t, shingle) for t in b["text"]]}
+
+    marked = materialize(map_columns(keyed.select("doc_id", "_th", "text"), "doc_id long, th long, fp long", run), "marked")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id"))
+    texts = materialize(marked.groupBy("th").agg(F.first("fp").alias("fp"), smallest.alias("best")), "distinct")
+    first = materialize(texts.groupBy("fp").agg(F.min("th").alias("r")), "first")
+    inside = texts.join(first, "fp").where("th <> r").select(F.col("r").alias("a"), F.col("th").alias("b"))
+    across = links(first, radius).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
+    of = lambda k: first.select(F.col("fp").alias("f" + k), F.col("r").alias(k))
+    edges = materialize(inside.union(across.join(of("a"), "fa").join(of("b"), "fb").select("a", "b")), "edges")
+    if edges.isEmpty():
+        grouped = texts.withColumn("component", F.col("th"))
+    else:
+        similar = _similar(edges, keyed.select(F.col("_th").alias("th"), "text"), shingle, least)
+        parts = connected_components(similar).withColumnRenamed("node", "th")
+        grouped = texts.join(parts, "th", "left").withColumn("component", F.coalesce("component", "th"))
+    kept = grouped.groupBy("component").agg(F.min(F.struct("best.late", "best.doc_id", "th")).alias("k"))
+    kept = materialize(kept.select(F.coalesce("k.doc_id", F.lit(-(2**63))).alias("_dk"), F.col("k.th").alias("_th")), "kept")
+    return keyed.join(kept, ["_dk", "_th"], "left_semi").dropDuplicates(["_dk", "_th"]).select(*columns)
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     marked = materialize(with_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")), "marked")
     return near_duplicates(marked).select("doc_id", F.format_string("%016x", "fp").alias("fingerprint"), "component_id")
