@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SLICE_BYTES = 4 << 20
 #: ASCII upper case folded, all other bytes kept.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,10 +52,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def map_columns(df: DataFrame, schema: str, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, object]]]) -> DataFrame:
-    """``mapInArrow`` over plain column lists: ``function`` gets {column: list} batches and yields {column: values}."""
+    """``mapInArrow`` over plain column lists: ``function`` gets {column: list} batches and yields {column: values}.
+
+    Lists hold about ``SLICE_BYTES`` of Arrow data at a time, so that memory doesn't follow the length of the texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches if b.num_rows)
+        parts = (b.slice(at, step) for b in batches if b.num_rows for step in [max(1, b.num_rows * SLICE_BYTES // (b.nbytes + 1))] for at in range(0, b.num_rows, step))
+        lists = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in parts)
         for out in function(lists):
             yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
