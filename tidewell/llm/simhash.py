@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import connected_components, map_columns, materialize
 
 SHINGLE, SEED = 4, 42
+#: Comparing two fingerprints of a bucket, against making, shuffling and sorting a probe.
+PAIR_COST = 0.04
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -98,7 +100,7 @@ def allocate(sample: np.ndarray, total: int, radius: int, parts: int) -> tuple[f
         near = np.maximum(near - len(masked), 0) / pairs
         floor = [sum(comb(len(g), k) for k in range(t + 1)) / 2.0 ** len(g) for t in range(radius + 1)]
         probes = [sum(comb(len(g), k) for k in range(t + 1)) for t in range(radius + 1)]
-        cost.append([0.0] + [float(total) * (2 + probes[t]) + 0.3 * float(total) ** 2 * max(near[t], floor[t]) for t in range(radius + 1)])
+        cost.append([0.0] + [float(total) * (2 + probes[t]) + PAIR_COST * float(total) ** 2 * max(near[t], floor[t]) for t in range(radius + 1)])
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for c in cost:
         step: dict[int, tuple[float, list[int]]] = {}
@@ -124,7 +126,7 @@ def flips_of(bits: list[int], threshold: int) -> list[int]:
     return [_signed(mask_of(list(c))) for k in range(threshold + 1) for c in combinations(bits, k)]
 
 
-def links(fingerprints: DataFrame, radius: int = 4, hot: int = 32, block: int = 4096, sample_rows: int = 4096) -> DataFrame:
+def links(fingerprints: DataFrame, radius: int = 4, hot: int = 256, block: int = 4096, sample_rows: int = 4096) -> DataFrame:
     """Edges (a, b) between distinct values of column ``fp`` that connect all pairs within ``radius`` bits.
 
     In buckets of up to ``hot`` values every linked pair is an edge; in larger ones a spanning star is.
@@ -205,7 +207,7 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             return
 
 
-def near_duplicates(fingerprinted: DataFrame, radius: int = 4, hot: int = 32, block: int = 4096) -> DataFrame:
+def near_duplicates(fingerprinted: DataFrame, radius: int = 4, hot: int = 256, block: int = 4096) -> DataFrame:
     """``fingerprinted`` (with doc_id, fp) and component_id: the smallest doc_id reachable over links."""
     edges = links(fingerprinted, radius, hot, block)
     groups = materialize(connected_components(edges).select(F.col("node").alias("fp"), "component"), "groups")
