@@ -1,4 +1,519 @@
-"""Registry of the engine's queries and their oracle SQL."""
+"""Registry of the engine's queries over the derived tables, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.functions import columns as C
+from tidewell.operators import agent, evaluation, graph, lifecycle, listing, outbox, rag, retrieval, vector, working
+from tidewell.sources import derived
+from tidewell.streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+MEM = f"memories AS MATERIALIZED ({derived.MEMORIES_SQL})"
+OUT = f"outbox AS ({derived.OUTBOX_SQL})"
+WRK = f"items AS ({derived.WORKING_SQL})"
+CMD = f"commands AS ({derived.COMMANDS_SQL})"
+
+
+def query(oracle: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if oracle is not None:
+            ORACLES[function.__name__] = oracle
+        return function
+
+    return register
+
+
+mem = derived.memories
+
+# --- listing and statistics -------------------------------------------------------------------------------------------
+LISTED = "id, memory_type, status, title, asset_id, facility_id, source_type, CAST(confidence AS DOUBLE) AS confidence"
+_listed = lambda df: df.select("id", "memory_type", "status", "title", "asset_id", "facility_id", "source_type", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query(f"WITH {MEM} SELECT {LISTED} FROM memories WHERE status = 'active' AND source_type = 'sensor'")
+def mem_list_filtered(s: SparkSession, d: str) -> DataFrame:
+    return _listed(listing.list_memories(mem(s, d), status="active", source_type="sensor", asset_id=""))
+
+
+@query(f"WITH {MEM} SELECT {LISTED} FROM memories WHERE status = 'active' ORDER BY created_at DESC, id LIMIT 20 OFFSET 40")
+def mem_list_page(s, d):
+    return _listed(listing.list_memories(mem(s, d), status="active", limit=20, offset=40))
+
+
+@query(f"WITH {MEM} SELECT {LISTED} FROM memories WHERE id = '00000000-0000-4000-8000-000000000017'")
+def mem_get(s, d):
+    return _listed(listing.get_memory(mem(s, d), "00000000-0000-4000-8000-000000000017"))
+
+
+@query(f"WITH {MEM} SELECT {LISTED} FROM memories ORDER BY created_at DESC, id LIMIT 5")
+def mem_recent5(s, d):
+    return _listed(listing.list_memories(mem(s, d), limit=5))
+
+
+@query(f"WITH {MEM} SELECT id, substr(content, 1, 300) AS content FROM memories")
+def mem_search_view(s, d):
+    return listing.search_view(mem(s, d)).select("id", "content")
+
+
+@query(f"WITH {MEM} SELECT id AS memory_id, memory_type, status, asset_id, facility_id, source_type, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, CAST(importance AS DOUBLE) AS importance, CAST(confidence AS DOUBLE) AS confidence FROM memories")
+def vec_payload(s, d):
+    return listing.vector_payload(mem(s, d))
+
+
+@query(f"""WITH {MEM} SELECT CASE grouping(status, memory_type) WHEN 1 THEN 'status' WHEN 2 THEN 'memory_type' ELSE 'total' END AS grouping, coalesce(status, memory_type, '') AS value, count(*) AS n
+FROM memories GROUP BY GROUPING SETS ((status), (memory_type), ())""")
+def mem_stats(s, d):
+    return listing.stats(mem(s, d))
+
+
+@query(f"WITH {MEM} SELECT status, count(*) AS n FROM memories GROUP BY status")
+def mem_by_status(s, d):
+    return listing.count_by(mem(s, d), "status")
+
+
+@query(f"WITH {MEM} SELECT memory_type, count(*) AS n FROM memories GROUP BY memory_type")
+def mem_by_type(s, d):
+    return listing.count_by(mem(s, d), "memory_type")
+
+
+BROKEN = """SELECT id, CASE WHEN doc_id % 40 = 1 THEN '  ' ELSE title END AS title, CASE WHEN doc_id % 50 = 2 THEN '' ELSE content END AS content, CASE WHEN doc_id % 60 = 3 THEN NULL ELSE source_type END AS source_type,
+CAST(confidence AS DOUBLE) + CASE WHEN doc_id % 30 = 4 THEN 1 ELSE 0 END AS confidence, CAST(importance AS DOUBLE) - CASE WHEN doc_id % 35 = 5 THEN 1 ELSE 0 END AS importance,
+CASE WHEN doc_id % 45 = 6 THEN 'rumour' ELSE memory_type END AS memory_type, CASE WHEN doc_id % 55 = 7 THEN 'gone' ELSE supersedes_memory_id END AS supersedes_memory_id FROM memories"""
+
+
+@query(f"""WITH {MEM}, b AS ({BROKEN})
+SELECT id, 'blank_title' AS rule FROM b WHERE trim(coalesce(title, '')) = '' UNION ALL SELECT id, 'blank_content' FROM b WHERE trim(coalesce(content, '')) = '' UNION ALL SELECT id, 'blank_source_type' FROM b WHERE trim(coalesce(source_type, '')) = ''
+UNION ALL SELECT id, 'range_confidence' FROM b WHERE NOT coalesce(confidence BETWEEN 0 AND 1, false) UNION ALL SELECT id, 'range_importance' FROM b WHERE NOT coalesce(importance BETWEEN 0 AND 1, false)
+UNION ALL SELECT id, 'type_domain' FROM b WHERE memory_type = 'rumour' UNION ALL SELECT id, 'orphan_link' FROM b WHERE supersedes_memory_id IS NOT NULL AND supersedes_memory_id NOT IN (SELECT id FROM b)""")
+def mem_violations(s, d):
+    return listing.violations(s.sql(BROKEN.replace("FROM memories", "FROM {memories}"), memories=mem(s, d)))
+
+
+@query(f"WITH {MEM} SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['ops', 'eng'] WHEN doc_id % 3 = 1 THEN ['eng'] ELSE [] END AS access_roles FROM memories) WHERE list_contains(access_roles, 'ops')")
+def mem_role_filter(s, d):
+    roles = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("ops"), F.lit("eng"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("eng"))).otherwise(F.array().cast("array<string>"))
+    return listing.with_role(mem(s, d).withColumn("access_roles", roles), "ops").select("doc_id")
+
+
+@query("SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) = 7")
+def mem_json_filter(s, d):
+    return listing.json_equals(s.read.parquet(f"{d}/events.parquet"), "props", "$.k", "long", 7).select("event_id")
+
+
+@query(f"WITH {MEM}, {OUT} SELECT id FROM outbox WHERE memory_id NOT IN (SELECT id FROM memories WHERE status <> 'archived')")
+def outbox_orphans(s, d):
+    return listing.orphans(derived.outbox(s, d), mem(s, d).where("status <> 'archived'"), "memory_id").select("id")
+
+
+# --- lifecycle --------------------------------------------------------------------------------------------------------
+_OPS = "(VALUES ('archive', 'archived'), ('dispute', 'disputed'), ('supersede', 'superseded'), ('restore', 'active')) o(op, target)"
+_OK = "((status = 'active' AND target IN ('archived', 'disputed', 'superseded')) OR (status = 'disputed' AND target IN ('archived', 'active')))"
+
+
+@query(f"WITH {MEM} SELECT id, status, op, CASE WHEN {_OK} THEN target ELSE status END AS new_status, {_OK} AS accepted, CAST(CASE WHEN {_OK} THEN 200 ELSE 409 END AS INT) AS code FROM memories, {_OPS}")
+def lifecycle_transitions(s, d):
+    ops = F.explode(F.array(*[F.lit(o) for o in ("archive", "dispute", "supersede", "restore")]))
+    return lifecycle.transition(mem(s, d).select("id", "status", ops.alias("op"))).select("id", "status", "op", "new_status", "accepted", "code")
+
+
+@query(f"""WITH RECURSIVE {MEM}, {CMD}, c AS (SELECT commands.id, seq, op, target, row_number() OVER (PARTITION BY commands.id ORDER BY seq) AS k FROM commands JOIN {_OPS} USING (op)),
+r AS (SELECT id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, '' AS op, status AS before, status AS after, false AS accepted FROM memories
+UNION ALL SELECT c.id, c.k, c.seq, c.op, r.after, CASE WHEN {_OK.replace('status', 'r.after').replace('target', 'c.target')} THEN c.target ELSE r.after END, {_OK.replace('status', 'r.after').replace('target', 'c.target')} FROM r JOIN c ON c.id = r.id AND c.k = r.k + 1)
+SELECT seq, id, op, before, after, accepted FROM r WHERE k > 0""")
+def lifecycle_fold(s, d):
+    return lifecycle.fold(mem(s, d), derived.commands(s, d))
+
+
+PATCHES = "SELECT id, CASE WHEN doc_id % 3 = 0 THEN concat('renamed ', title) END AS title, CASE WHEN doc_id % 4 = 0 THEN 'asset-new' END AS asset_id FROM {m} WHERE doc_id % 2 = 0"
+
+
+@query(f"""WITH {MEM}, p AS ({PATCHES.format(m='memories')}) SELECT memories.id, coalesce(p.title, memories.title) AS title, coalesce(p.asset_id, memories.asset_id) AS asset_id, p.title IS NOT NULL AS needs_reembed
+FROM memories LEFT JOIN p ON p.id = memories.id""")
+def patch_apply(s, d):
+    m = mem(s, d)
+    return lifecycle.apply_patch(m, s.sql(PATCHES.format(m="{m}"), m=m)).select("id", "title", "asset_id", "needs_reembed")
+
+
+@query(f"""WITH {MEM} SELECT id, field, CASE WHEN field = 'status' THEN 'lifecycle' ELSE 'invalid_data' END AS error, CAST(CASE WHEN field = 'status' THEN 409 ELSE 422 END AS INT) AS code
+FROM (SELECT id, unnest(CASE WHEN doc_id % 2 = 0 THEN ['title', 'status'] ELSE ['nonsense'] END) AS field FROM memories) WHERE field <> 'title'""")
+def patch_errors(s, d):
+    fields = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("title"), F.lit("x"), F.lit("status"), F.lit("archived"))).otherwise(F.create_map(F.lit("nonsense"), F.lit("1")))
+    return lifecycle.patch_errors(mem(s, d).select("id", fields.alias("fields")))
+
+
+def _replacements(m: DataFrame) -> DataFrame:
+    new = m.where("doc_id % 4 = 1").select(F.col("id").alias("old_id"), F.concat(F.lit("f"), F.substring("id", 2, 35)).alias("id"), "memory_type", F.when(F.col("doc_id") % 12 == 1, " ").otherwise(F.concat(F.lit(" new "), "title")).alias("title"), "content", "source_type", "confidence", "importance")
+    return new
+
+
+_SUP = f"""WITH {MEM}, r AS (SELECT id AS old_id, concat('f', substr(id, 2, 35)) AS id, status, CASE WHEN doc_id % 12 = 1 OR trim(coalesce(content, '')) = '' THEN 'invalid_data' WHEN status <> 'active' THEN 'lifecycle' END AS error, concat('new ', title) AS title FROM memories WHERE doc_id % 4 = 1)"""
+
+
+@query(_SUP + " SELECT id, 'active' AS status, title, old_id AS supersedes_memory_id FROM r WHERE error IS NULL UNION ALL SELECT m.id, 'superseded', m.title, m.supersedes_memory_id FROM memories m JOIN r ON r.old_id = m.id WHERE r.error IS NULL")
+def supersede_rows(s, d):
+    m = mem(s, d)
+    return lifecycle.supersede(m, _replacements(m))[0].select("id", "status", "title", "supersedes_memory_id")
+
+
+@query(_SUP + " SELECT old_id, id, error, CAST(CASE error WHEN 'lifecycle' THEN 409 ELSE 422 END AS INT) AS code FROM r WHERE error IS NOT NULL")
+def supersede_errors(s, d):
+    m = mem(s, d)
+    return lifecycle.supersede(m, _replacements(m))[1]
+
+
+@query(f"WITH {MEM} SELECT n.id AS new_id, o.id AS old_id, o.status AS old_status FROM memories n JOIN memories o ON n.supersedes_memory_id = o.id")
+def supersede_lineage(s, d):
+    m = mem(s, d)
+    old = m.select(F.col("id").alias("old_id"), F.col("status").alias("old_status"))
+    return lifecycle.lineage(m).join(old, "old_id").select("new_id", "old_id", "old_status")
+
+
+@query(f"WITH RECURSIVE {MEM}, c AS (SELECT id, supersedes_memory_id AS at, 1 AS depth FROM memories WHERE supersedes_memory_id IS NOT NULL UNION ALL SELECT c.id, m.supersedes_memory_id, depth + 1 FROM c JOIN memories m ON m.id = c.at WHERE m.supersedes_memory_id IS NOT NULL) SELECT id, CAST(max(depth) AS INT) AS depth FROM c GROUP BY id")
+def lineage_chain_depth(s, d):
+    return graph.lineage_depth(mem(s, d))
+
+
+# --- vectors ----------------------------------------------------------------------------------------------------------
+HASH = "list_transform(range(32), lambda i: CAST(CAST(concat('0x', substr(sha256({t}), CAST(2 * i + 1 AS BIGINT), 2)) AS INTEGER) AS DOUBLE) / CAST(128 AS DOUBLE) - 1)"
+IDX = "idx AS MATERIALIZED (SELECT id AS memory_id, " + HASH.format(t="concat_ws(' ', nullif(title, ''), nullif(content, ''))") + " AS v FROM memories WHERE status <> 'superseded')"
+ASK = "ask AS MATERIALIZED (SELECT doc_id AS query_id, " + HASH.format(t="coalesce(content, '')") + " AS v FROM memories WHERE doc_id % 50 = 0)"
+SEM = "sem AS MATERIALIZED (SELECT query_id, memory_id, list_cosine_similarity(ask.v, idx.v) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(ask.v, idx.v) DESC, memory_id) AS INT) AS rank FROM ask, idx QUALIFY rank <= 10)"
+VEC = "SELECT q.vec_id AS query_id, c.vec_id AS memory_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) DESC, c.vec_id) AS INT) AS rank FROM embeddings q, embeddings c WHERE {where} QUALIFY rank <= 10"
+_rounded = lambda df: df.withColumn("score", F.round("score", 6)).select("query_id", "memory_id", "score", "rank")
+
+
+def _vectors(s, d):
+    return s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("memory_id"), F.col("embedding").alias("v"), "label")
+
+
+def _asked(vectors, every):
+    return vectors.where(F.col("memory_id") % every == 0).select(F.col("memory_id").alias("query_id"), "v")
+
+
+@query(VEC.format(where="q.vec_id = 0"))
+def vec_topk(s, d):
+    v = _vectors(s, d)
+    return _rounded(vector.search(v.where("memory_id = 0").select(F.col("memory_id").alias("query_id"), "v"), v))
+
+
+@query(VEC.format(where="q.vec_id % 50 = 0"))
+def vec_topk_batched(s, d):
+    v = _vectors(s, d)
+    return _rounded(vector.search(_asked(v, 50), v))
+
+
+@query(VEC.format(where="q.vec_id % 50 = 0 AND c.label IN (1, 2, 3)"))
+def vec_topk_filtered(s, d):
+    v = _vectors(s, d)
+    return _rounded(vector.search(_asked(v, 50), vector.filtered(v, among={"label": [1, 2, 3]})))
+
+
+@query()
+def vec_topk_lsh(s, d):
+    v = _vectors(s, d)
+    return _rounded(vector.approximate_search(_asked(v, 50), v))
+
+
+def _questions(m: DataFrame) -> DataFrame:
+    return m.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("content").alias("text"), F.lit(None).cast("string").alias("anchor"))
+
+
+@query(f"WITH {MEM}, {IDX}, {ASK}, {SEM} SELECT query_id, memory_id, round(score, 6) AS score, rank FROM sem")
+def hash_embedding_topk(s, d):
+    m = mem(s, d)
+    asked = _questions(m).select("query_id", C.hash_embedding("text", 32).alias("v"))
+    return _rounded(vector.search(asked, vector.build_index(m)))
+
+
+# --- graph ------------------------------------------------------------------------------------------------------------
+_TENANT = "coalesce(nullif(tenant_id, ''), 'global')"
+EDG = "edges AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT id AS memory_id, '{rel}' AS rel, '{label}' AS label, concat({_TENANT}, ':{kind}:', {c}) AS entity_key, {c} AS external_id FROM memories WHERE nullif({c}, '') IS NOT NULL" for rel, label, kind, c in graph.OWNED_EDGES
+) + f" UNION ALL SELECT id, 'SOURCED_FROM', 'Source', concat({_TENANT}, ':source:', source_type, coalesce(concat(':', nullif(source_id, '')), '')), coalesce(nullif(source_id, ''), source_type) FROM memories WHERE nullif(source_type, '') IS NOT NULL)"
+# concat skips nulls there, so the source's tail is spelled with ||
+EDG = EDG.replace("coalesce(concat(':', nullif(source_id, '')), '')", "coalesce(':' || nullif(source_id, ''), '')")
+
+
+@query(f"WITH {MEM}, {EDG} SELECT rel, count(*) AS n, count(DISTINCT entity_key) AS keys FROM edges GROUP BY rel")
+def graph_edges_by_rel(s, d):
+    return graph.edges(mem(s, d)).groupBy("rel").agg(F.count("*").alias("n"), F.countDistinct("entity_key").alias("keys"))
+
+
+@query(f"WITH {MEM}, {EDG} SELECT entity_key, arg_min(label, memory_id) AS label, arg_min(external_id, memory_id) AS external_id, count(DISTINCT memory_id) AS members FROM edges GROUP BY entity_key")
+def graph_entities(s, d):
+    return graph.entities(graph.edges(mem(s, d)))
+
+
+@query(f"WITH {MEM}, {EDG} SELECT memory_id, count(*) AS degree FROM edges GROUP BY memory_id")
+def graph_degree(s, d):
+    return graph.edges(mem(s, d)).groupBy("memory_id").agg(F.count("*").alias("degree"))
+
+
+@query(f"WITH {MEM} SELECT id AS memory_id, memory_type, status, tenant_id, created_at FROM memories")
+def graph_nodes(s, d):
+    return graph.nodes(mem(s, d))
+
+
+def reach_sql(hops: int, limit: int, anchors: str = "anchors") -> str:
+    """CTEs that end in rel(query_id, memory_id, rank)."""
+    parts = [f"lk AS MATERIALIZED (SELECT DISTINCT memory_id, 'e' || entity_key AS node FROM edges UNION SELECT unnest([id, supersedes_memory_id]), 's' || id || supersedes_memory_id FROM memories WHERE supersedes_memory_id IS NOT NULL)", f"f0 AS MATERIALIZED (SELECT DISTINCT query_id, anchor AS memory_id, unnest(['e', 's']) AS kind FROM {anchors} WHERE anchor IN (SELECT id FROM memories))"]
+    for h in range(1, hops + 1):
+        parts.append(f"f{h} AS MATERIALIZED (SELECT DISTINCT query_id, b.memory_id, kind FROM f{h - 1} f JOIN lk a ON a.memory_id = f.memory_id AND a.node[1] = kind JOIN lk b ON b.node = a.node)")
+    union = " UNION ".join(f"SELECT query_id, memory_id FROM f{h}" for h in range(1, hops + 1))
+    parts.append(f"rel AS MATERIALIZED (SELECT u.query_id, u.memory_id, CAST(row_number() OVER (PARTITION BY u.query_id ORDER BY u.memory_id) AS INT) AS rank FROM ({union}) u JOIN {anchors} n ON n.query_id = u.query_id WHERE u.memory_id <> n.anchor QUALIFY rank <= {limit})")
+    return ", ".join(parts)
+
+
+ANC = "anchors AS (SELECT doc_id AS query_id, id AS anchor FROM memories WHERE doc_id % 50 = 0)"
+
+
+def _related(hops: int, limit: int):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        m = mem(s, d)
+        return graph.related(m.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("id").alias("anchor")), m, hops, limit)
+
+    return run
+
+
+for _name, _hops, _limit in (("graph_related_1hop", 1, 50), ("graph_related_2hop", 2, 50), ("graph_related_3hop", 3, 100), ("graph_related_batched", 2, 1_000_000_000)):
+    QUERIES[_name] = _related(_hops, _limit)
+    ORACLES[_name] = f"WITH {MEM}, {EDG}, {ANC}, {reach_sql(_hops, _limit)} SELECT query_id, memory_id, rank FROM rel"
+
+# --- retrieval --------------------------------------------------------------------------------------------------------
+BEST = "best AS MATERIALIZED (SELECT query_id, memory_id AS anchor FROM sem WHERE rank = 1)"
+MERGED = """merged AS (SELECT coalesce(sem.query_id, rel.query_id) AS query_id, coalesce(sem.memory_id, rel.memory_id) AS memory_id, score,
+CASE WHEN sem.memory_id IS NOT NULL AND rel.memory_id IS NOT NULL THEN 'hybrid' WHEN sem.memory_id IS NOT NULL THEN 'semantic' ELSE 'graph' END AS retrieval_source, CASE WHEN rel.memory_id IS NOT NULL THEN 'graph_expansion' END AS graph_path
+FROM sem FULL JOIN rel ON sem.query_id = rel.query_id AND sem.memory_id = rel.memory_id),
+hits AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(nullif(score, 0), -1) DESC, score IS NULL, memory_id) AS INT) AS rank FROM merged QUALIFY rank <= {n})"""
+HYBRID = f"{MEM}, {EDG}, {IDX}, {ASK}, {SEM}, {BEST}, {reach_sql(2, 50, 'best')}"
+SHOWN = "SELECT query_id, memory_id, round(score, 6) AS score, retrieval_source, graph_path, rank, title IS NOT NULL AS hydrated, title FROM hits LEFT JOIN memories ON id = memory_id"
+
+
+def _retrieved(m: DataFrame, queries: DataFrame, mode: str) -> DataFrame:
+    hits = retrieval.hydrate(retrieval.retrieve(queries, m, mode), m)
+    return hits.select("query_id", "memory_id", F.round("score", 6).alias("score"), "retrieval_source", "graph_path", "rank", "hydrated", "title")
+
+
+@query(f"WITH {HYBRID}, {MERGED.format(n=20)} {SHOWN}")
+def retrieve_hybrid(s, d):
+    m = mem(s, d)
+    return _retrieved(m, _questions(m), "hybrid")
+
+
+@query(f"WITH {MEM}, {IDX}, {ASK}, {SEM}, hits AS (SELECT query_id, memory_id, score, 'semantic' AS retrieval_source, CAST(NULL AS VARCHAR) AS graph_path, rank FROM sem) {SHOWN}")
+def retrieve_semantic(s, d):
+    m = mem(s, d)
+    return _retrieved(m, _questions(m), "semantic")
+
+
+@query(f"WITH {MEM}, {EDG}, {ANC}, {reach_sql(2, 50)}, hits AS (SELECT query_id, memory_id, CAST(NULL AS DOUBLE) AS score, 'graph' AS retrieval_source, 'graph_expansion' AS graph_path, rank FROM rel WHERE rank <= 20) {SHOWN}")
+def retrieve_graph(s, d):
+    m = mem(s, d)
+    return _retrieved(m, _questions(m).withColumn("anchor", F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("query_id").cast("string"), 12, "0"))), "graph")
+
+
+EVI = "ev AS (SELECT * FROM (SELECT hits.*, m.memory_type, m.title, m.content, m.asset_id, m.facility_id, m.confidence, m.importance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS n FROM hits JOIN memories m ON m.id = memory_id) WHERE n <= 5)"
+_BLOCK = r"concat('[Memory ', n, ': ', memory_id, ']', chr(10), 'Type: ', memory_type, ' | Source: ', retrieval_source, ' | Confidence: ', format('{:.2f}', CAST(confidence AS DOUBLE)), ' | Importance: ', format('{:.2f}', CAST(importance AS DOUBLE)), chr(10), 'Asset: ', coalesce(nullif(asset_id, ''), 'N/A'), ' | Facility: ', coalesce(nullif(facility_id, ''), 'N/A'), chr(10), 'Title: ', coalesce(title, ''), chr(10), 'Content: ', coalesce(content, ''))"
+_Q = lambda t: t.replace("'", "''").replace("\n", "' || chr(10) || '")
+PROMPT = f"""pr AS (SELECT q.doc_id AS query_id, q.content AS user_prompt, '{_Q(rag.PREAMBLE)}' || coalesce(b, '{rag.NO_EVIDENCE}') || '{_Q(rag.CLOSING)}' AS system_prompt, CAST(coalesce(k, 0) AS INT) AS n_evidence
+FROM memories q LEFT JOIN (SELECT query_id, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY n) AS b, count(*) AS k FROM ev GROUP BY query_id) e ON e.query_id = q.doc_id WHERE q.doc_id % 50 = 0)"""
+RAG = f"{HYBRID}, {MERGED.format(n=5)}, {EVI}, {PROMPT}"
+
+
+def _evidence(m: DataFrame, queries: DataFrame) -> DataFrame:
+    return rag.evidence(retrieval.hydrate(retrieval.retrieve(queries, m, final_limit=5), m))
+
+
+@query(f"WITH {RAG} SELECT query_id, n, memory_id, retrieval_source, round(score, 6) AS score, title, asset_id, facility_id, CAST(confidence AS DOUBLE) AS confidence FROM ev")
+def rag_evidence(s, d):
+    m = mem(s, d)
+    rows = _evidence(m, _questions(m))
+    return rows.select("query_id", "n", "memory_id", "retrieval_source", F.round("score", 6).alias("score"), "title", "asset_id", "facility_id", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query(f"WITH {RAG} SELECT query_id, user_prompt, system_prompt, n_evidence FROM pr")
+def rag_prompt(s, d):
+    m = mem(s, d)
+    return rag.prompts(_questions(m), _evidence(m, _questions(m))).drop("evidence_ids")
+
+
+@query(f"""WITH {RAG} SELECT query_id, CAST((length(system_prompt) - length(replace(system_prompt, '[Memory', ''))) // 7 + (length(system_prompt) - length(replace(system_prompt, 'Memory ID', ''))) // 9 AS INT) AS mentions,
+CAST(len(list_filter(regexp_split_to_array(system_prompt, '\\s+'), lambda x: x <> '')) + len(list_filter(regexp_split_to_array(coalesce(user_prompt, ''), '\\s+'), lambda x: x <> '')) AS INT) AS prompt_tokens FROM pr""")
+def rag_answer_tokens(s, d):
+    m = mem(s, d)
+    told = agent.answer(_questions(m), m)
+    mentions = F.regexp_extract("answer", r"Based on (\d+) ", 1).cast("int")
+    return told.select("query_id", mentions.alias("mentions"), "prompt_tokens")
+
+
+@query()
+def agent_trace_steps(s, d):
+    m = mem(s, d)
+    return agent.run_workflow(_questions(m), m).withColumn("step", F.explode("steps")).select("query_id", "step.step", "step.n", "is_supported", "confidence")
+
+
+# --- critic and evaluation --------------------------------------------------------------------------------------------
+ANSWERS = "SELECT doc_id, concat(content, ' This first claim is backed by [Memory ', CAST(doc_id % 7 AS STRING), ']. This second claim is not backed by anything at all! See [Memory 1]?') AS answer, CAST(doc_id % 6 AS INT) AS n_evidence FROM {m} WHERE content IS NOT NULL"
+_SENT = r"list_filter(list_transform(regexp_split_to_array(answer, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_CITED = r"list_transform(regexp_extract_all(answer, '\[Memory\s+(\d+)\]', 1), lambda x: CAST(x AS BIGINT))"
+ANS = f"a AS ({ANSWERS.format(m='memories')}), t AS (SELECT *, {_SENT} AS st, {_CITED} AS ci FROM a)"
+
+
+def _answers(s, d):
+    return s.sql(ANSWERS.format(m="{m}"), m=mem(s, d))
+
+
+@query(rf"""WITH {MEM}, {ANS}, u AS (SELECT *, len(ci) AS nc, len(list_filter(ci, lambda x: x < 1 OR x > n_evidence)) AS nb, list_filter(st, lambda x: length(x) > 30 AND NOT regexp_matches(x, '\[Memory\s+\d+\]') AND NOT regexp_matches(lower(x), 'insufficient|not provided|synthetic|deterministic')) AS cl FROM t)
+SELECT doc_id, CAST(CASE WHEN n_evidence = 0 THEN 0 ELSE nc END AS INT) AS n_cited, CAST(CASE WHEN n_evidence = 0 THEN 0 ELSE nb END AS INT) AS n_invalid, n_evidence = 0 OR nb = 0 AS citations_valid, n_evidence > 0 AND nb = 0 AND nc > 0 AS is_supported,
+round(CASE WHEN n_evidence = 0 THEN 0 ELSE greatest(0, least(1, 1 - nb * CAST(0.3 AS DOUBLE) - CASE WHEN nc = 0 THEN CAST(0.2 AS DOUBLE) ELSE 0 END)) END, 6) AS confidence,
+CASE WHEN n_evidence = 0 THEN '' ELSE array_to_string(list_transform(cl[1:5], lambda x: substr(x, 1, 100)), '|') END AS claims FROM u""")
+def critic_verify(s, d):
+    v = rag.verify(_answers(s, d))
+    return v.select("doc_id", "n_cited", "n_invalid", "citations_valid", "is_supported", F.round("confidence", 6).alias("confidence"), F.array_join("unsupported_claims", "|").alias("claims"))
+
+
+@query(rf"WITH {MEM}, {ANS}, g AS (SELECT doc_id, list_filter(st, lambda x: length(x) > 30) AS l FROM t) SELECT doc_id, round(CASE WHEN len(l) = 0 THEN 1 ELSE len(list_filter(l, lambda x: regexp_matches(x, '\[Memory\s+\d+\]'))) / CAST(len(l) AS DOUBLE) END, 6) AS groundedness FROM g")
+def eval_groundedness(s, d):
+    return _answers(s, d).select("doc_id", F.round(evaluation.groundedness("answer"), 6).alias("groundedness"))
+
+
+@query(f"WITH {MEM}, {ANS} SELECT doc_id, round(CASE WHEN n_evidence = 0 OR len(ci) = 0 THEN 1 ELSE len(list_filter(ci, lambda x: x BETWEEN 1 AND n_evidence)) / CAST(len(ci) AS DOUBLE) END, 6) AS accuracy FROM t")
+def eval_citation(s, d):
+    return _answers(s, d).select("doc_id", F.round(evaluation.citation_accuracy("answer", "n_evidence"), 6).alias("accuracy"))
+
+
+CASES = f"""bq AS (SELECT item_id AS query_id, {HASH.format(t="coalesce(text, '')")} AS v FROM benchmark),
+bs AS (SELECT query_id, memory_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(bq.v, idx.v) DESC, memory_id) AS INT) AS rank FROM bq, idx QUALIFY rank <= 10),
+ret AS MATERIALIZED (SELECT query_id, list(memory_id ORDER BY rank) AS retrieved FROM bs GROUP BY query_id),
+cs AS (SELECT b.item_id AS case_id, coalesce(b.text, '') || ' See [Memory 2] and [Memory 99].' AS answer, coalesce(retrieved, []) AS retrieved,
+CASE WHEN b.item_id % 4 = 0 THEN [] WHEN b.item_id % 4 = 1 THEN [retrieved[3], 'x'] WHEN b.item_id % 4 = 2 THEN ['x'] ELSE [retrieved[7], retrieved[1]] END AS expected, b.item_id % 9 = 8 AS failed FROM benchmark b LEFT JOIN ret ON ret.query_id = b.item_id)"""
+EVAL = rf"""{MEM}, {IDX}, {CASES}, w AS (SELECT *, {_SENT} AS st, {_CITED} AS ci FROM cs),
+e AS (SELECT case_id, unnest(['semantic', 'hybrid']) AS mode, expected, failed,
+CASE WHEN failed THEN 0 WHEN len(expected) = 0 THEN 1 ELSE len(list_filter(expected, lambda x: list_contains(retrieved[1:5], x))) / CAST(len(expected) AS DOUBLE) END AS recall,
+CASE WHEN failed THEN 0 ELSE coalesce(CAST(1 AS DOUBLE) / list_min(list_filter(list_transform(expected, lambda x: list_position(retrieved, x)), lambda p: p > 0)), 0) END AS mrr,
+CASE WHEN failed THEN 0 WHEN len(list_filter(st, lambda x: length(x) > 30)) = 0 THEN 1 ELSE len(list_filter(st, lambda x: length(x) > 30 AND regexp_matches(x, '\[Memory\s+\d+\]'))) / CAST(len(list_filter(st, lambda x: length(x) > 30)) AS DOUBLE) END AS groundedness,
+CASE WHEN failed THEN 0 WHEN len(retrieved) = 0 THEN 1 ELSE len(list_filter(ci, lambda x: x BETWEEN 1 AND len(retrieved))) / CAST(len(ci) AS DOUBLE) END AS citation_accuracy FROM w),
+f AS (SELECT *, NOT failed AND (recall > 0 OR len(expected) = 0) AS success FROM e),
+res AS (SELECT case_id, mode, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(groundedness, 6) AS groundedness, round(citation_accuracy, 6) AS citation_accuracy, success, CASE WHEN success THEN 'no_failure' WHEN failed THEN 'provider_failure' ELSE 'retrieval_failure' END AS failure_category FROM f)"""
+
+
+def _results(s, d):
+    b = s.read.parquet(f"{d}/benchmark.parquet")
+    hits = vector.search(b.select(F.col("item_id").alias("query_id"), C.hash_embedding("text", 32).alias("v")), vector.build_index(mem(s, d)))
+    found = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "memory_id")))["memory_id"].alias("retrieved"))  # 10 at most
+    r, kind = (lambda i: F.get("retrieved", F.lit(i))), F.col("item_id") % 4
+    x = F.lit("x")
+    expected = F.when(kind == 0, F.array().cast("array<string>")).when(kind == 1, F.array(r(2), x)).when(kind == 2, F.array(x)).otherwise(F.array(r(6), r(0)))
+    cases = b.join(found, b["item_id"] == found["query_id"], "left").select(
+        F.col("item_id").alias("case_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" See [Memory 2] and [Memory 99].")).alias("answer"),
+        F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"), expected.alias("expected"), F.when(F.col("item_id") % 9 == 8, "provider is down").alias("error"),
+    )
+    out = evaluation.evaluate(evaluation.cases_by_mode(cases, ["semantic", "hybrid"]))
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query(f"WITH {EVAL} SELECT * FROM res")
+def eval_recall_mrr(s, d):
+    return _results(s, d)
+
+
+@query(f"WITH {EVAL} SELECT count(*) AS total_cases, CAST(count_if(NOT success) AS BIGINT) AS failed_cases, round(1 - count_if(NOT success) / CAST(count(*) AS DOUBLE), 6) AS success_rate, round(avg(recall), 6) AS mean_recall, round(avg(mrr), 6) AS mean_mrr, round(avg(groundedness), 6) AS mean_groundedness, round(avg(citation_accuracy), 6) AS mean_citation_accuracy FROM res")
+def eval_run_summary(s, d):
+    out = evaluation.summary(_results(s, d))
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query(f"WITH {EVAL} SELECT failure_category, count(*) AS n FROM res GROUP BY failure_category")
+def eval_taxonomy(s, d):
+    return evaluation.taxonomy(_results(s, d))
+
+
+# --- working memory and promotion -------------------------------------------------------------------------------------
+@query(f"WITH {WRK} SELECT session_id, seq, item_type, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS b FROM items) WHERE b <= 3")
+def wm_bounded(s, d):
+    return working.bounded(derived.working_items(s, d), 3).select("session_id", "seq", "item_type", "place")
+
+
+@query(f"WITH {WRK} SELECT session_id, seq FROM items WHERE item_type = 'agent_step'")
+def wm_by_type(s, d):
+    return working.of_type(derived.working_items(s, d), "agent_step").select("session_id", "seq")
+
+
+@query(f"WITH {WRK} SELECT session_id, count(*) AS n FROM items GROUP BY session_id")
+def wm_sizes(s, d):
+    return working.sizes(derived.working_items(s, d))
+
+
+_PASS = "confidence >= CAST(0.6 AS DOUBLE) AND importance >= CAST(0.4 AS DOUBLE)"
+
+
+@query(rf"WITH {WRK} SELECT session_id, seq, {_PASS} AND regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') <> '' AS promote, {_PASS} AND length(regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g')) > 10 AS page_promote FROM items")
+def promotion_decisions(s, d):
+    rows = derived.working_items(s, d).withColumn("title", F.col("item_type"))
+    return rows.select("session_id", "seq", working.should_promote().alias("promote"), working.page_promotes().alias("page_promote"))
+
+
+@query(rf"WITH {WRK} SELECT session_id, seq, item_type AS title, 'active' AS status, 'threshold' AS reason, concat('m', seq, ',', 'm0') AS evidence, 'chat' AS origin FROM items WHERE {_PASS} AND regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') <> ''")
+def promotion_records(s, d):
+    rows = derived.working_items(s, d).withColumn("title", F.col("item_type")).withColumn("promotion_reason", F.lit("threshold"))
+    rows = rows.withColumn("evidence_memory_ids", F.array(F.concat(F.lit("m"), "seq"), F.lit("m0"))).withColumn("metadata", F.create_map(F.lit("origin"), F.lit("chat"), F.lit("promotion_reason"), F.lit("old")))
+    out = working.promoted(rows)
+    return out.select("session_id", "seq", "title", "status", F.col("metadata")["promotion_reason"].alias("reason"), F.col("metadata")["evidence_memory_ids"].alias("evidence"), F.col("metadata")["origin"].alias("origin"))
+
+
+# --- outbox -----------------------------------------------------------------------------------------------------------
+_DONE = "CASE WHEN retry_count >= max_retries THEN 'failed' WHEN succeeds THEN 'completed' WHEN retry_count + 1 >= max_retries THEN 'failed' ELSE 'retrying' END"
+_COUNT = "CAST(CASE WHEN retry_count < max_retries AND NOT succeeds THEN retry_count + 1 ELSE retry_count END AS INT)"
+_READY = "SELECT * FROM outbox WHERE status IN ('pending', 'retrying')"
+BATCH = f"b AS (SELECT id, projection_type, {_DONE} AS new_status, {_COUNT} AS new_retry_count FROM ({_READY} ORDER BY created_at, id LIMIT 50)), p AS (SELECT *, CASE WHEN new_status = 'retrying' THEN 'skipped' ELSE new_status END AS outcome FROM b)"
+
+
+@query(f"WITH {OUT}, {BATCH} SELECT id, projection_type, new_status, new_retry_count, outcome FROM p")
+def outbox_batch(s, d):
+    return outbox.process(outbox.take_batch(derived.outbox(s, d))).select("id", "projection_type", "new_status", "new_retry_count", "outcome")
+
+
+@query(f"WITH {OUT}, {BATCH} SELECT CAST(count_if(outcome = 'completed') AS BIGINT) AS completed, CAST(count_if(outcome = 'failed') AS BIGINT) AS failed, CAST(count_if(outcome = 'skipped') AS BIGINT) AS skipped FROM p")
+def outbox_batch_summary(s, d):
+    return outbox.summary(outbox.process(outbox.take_batch(derived.outbox(s, d))))
+
+
+@query(f"WITH {OUT} SELECT status, count(*) AS n FROM outbox GROUP BY status")
+def outbox_stats(s, d):
+    return listing.count_by(derived.outbox(s, d), "status")
+
+
+@query(f"WITH {OUT} SELECT status, projection_type, count(*) AS n FROM outbox GROUP BY status, projection_type")
+def outbox_stats_by_projection(s, d):
+    return listing.count_by(derived.outbox(s, d), "status", "projection_type")
+
+
+@query(f"WITH {OUT} SELECT count(*) AS total, CAST(count_if(status IN ('pending', 'retrying')) AS BIGINT) AS pending, CAST(count_if(status = 'failed') AS BIGINT) AS failed, CAST(count_if(status = 'completed') AS BIGINT) AS completed FROM outbox")
+def outbox_totals(s, d):
+    return listing.outbox_totals(derived.outbox(s, d))
+
+
+@query(f"WITH {OUT} SELECT id, {_DONE} AS new_status, {_COUNT} AS new_retry_count FROM ({_READY})")
+def stream_outbox(s, d):
+    events = jobs.read_stream(s, d, "events").selectExpr(*[f"{e} AS {n}" for n, e in derived.OUTBOX_COLUMNS.items()])
+    return jobs.drain_outbox(events, jobs.scratch(s, "outbox")).select("id", "new_status", "new_retry_count")
+
+
+@query(f"WITH {WRK} SELECT session_id, seq, item_type, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS b FROM items) WHERE b <= 3")
+def stream_working_memory(s, d):
+    items = jobs.read_stream(s, d, "conversations").selectExpr(*[f"{e} AS {n}" for n, e in derived.WORKING_COLUMNS.items()])
+    return jobs.bounded_sessions(items, jobs.scratch(s, "working"), 3).select("session_id", "seq", "item_type", "place")
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_event_windows(s, d):
+    events = jobs.read_stream(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    out = jobs.windowed_counts(events, jobs.scratch(s, "windows"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

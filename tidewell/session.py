@@ -1,10 +1,11 @@
-"""Session factory shared by tests, the benchmark and notebooks."""
+"""Session factory, and where loops cut their lineage."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "tidewell", cores: int | None = None, shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -25,3 +26,20 @@ def get_session(app: str = "tidewell", cores: int | None = None, shuffle_partiti
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a folder of its own only where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a loop's state with a checkpoint that survives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
