@@ -47,10 +47,12 @@ _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def with_shingles(texts: DataFrame, text: str) -> DataFrame:
     """Adds ``shingles``: hashes of all five-word runs, in order."""
     words = F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), _GAPS), "")
-    listed = texts.withColumn("_words", words)
+    # explode(array(x)) computes x once a row: filters that use it later aren't pushed below with x written out again
+    listed = texts.withColumn("_words", F.explode(F.array(words)))
     last = F.size("_words") - SHINGLE
     shingle = lambda i: F.xxhash64(*[F.get(F.col("_words"), i + k) for k in range(SHINGLE)])
-    return listed.withColumn("shingles", F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), shingle)).otherwise(F.array().cast("array<bigint>"))).drop("_words")
+    hashed = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), shingle)).otherwise(F.array().cast("array<bigint>"))
+    return listed.withColumn("shingles", F.explode(F.array(hashed))).drop("_words")
 
 
 def signature(shingles: Column) -> Column:
@@ -69,25 +71,33 @@ def library(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return own.select("template", F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles")))).cast("int").alias("s"), "shingles", signature(F.col("shingles")).alias("minima"), F.array_distinct(keys).alias("keys"))
 
 
+def _starts(s: int, keys: list[int] | None) -> Column:
+    """First shingles of the windows: all of them, or those of windows that hold one of ``keys``."""
+    if keys is None:
+        return F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("shingles") - 1), F.lit(s))
+    at = F.filter(F.transform("shingles", lambda h, i: F.when(h.isin(*keys), F.floor(i / s).cast("int") * s)), lambda i: i.isNotNull())
+    return F.filter(F.array_distinct(F.concat(at, F.transform(at, lambda i: i - s))), lambda i: i >= 0)
+
+
 def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, template, containment, first word of the window) of every verified template and document, best window."""
     spark = documents.sparkSession
     known = materialize(library(spark, templates), "templates")
     sizes = {r.s: r.n for r in known.select("s", F.explode("keys").alias("k")).groupBy("s").agg(F.countDistinct("k").alias("n")).collect()}  # a row a power of two
     texts = with_shingles(documents.select("doc_id", "text"), "text").select("doc_id", "shingles").where(F.size("shingles") > 0)
-    literal: dict[int, Column] = {}
+    literal: dict[int, list[int]] = {}
     if sum(sizes.values()) <= LITERALS:
         listed = known.select("s", F.explode("keys").alias("k")).distinct().collect()  # at most LITERALS rows
-        literal = {s: F.array(*[F.lit(r.k) for r in listed if r.s == s]) for s in sizes}
+        literal = {s: [r.k for r in listed if r.s == s] for s in sizes}
         if literal:
-            texts = texts.where(F.arrays_overlap("shingles", F.array(*[F.lit(k) for k in sorted({r.k for r in listed})])))
+            every = sorted({r.k for r in listed})
+            texts = texts.where(F.exists("shingles", lambda h: h.isin(*every)))
     texts = materialize(texts, "shingled")
     found = None
     for s in sorted(sizes):
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("shingles") - 1), F.lit(s))
-        windows = texts.select("doc_id", "shingles", F.explode(starts).alias("start")).select("doc_id", "start", F.slice("shingles", F.col("start") + 1, 2 * s).alias("part"))
-        if s in literal:
-            windows = windows.where(F.arrays_overlap("part", literal[s]))
+        # windows are cut inside the array: a row of its own for each start would copy the whole text's shingles
+        windows = F.transform(_starts(s, literal.get(s)), lambda i: F.struct(i.alias("start"), F.slice("shingles", i + 1, 2 * s).alias("part")))
+        windows = texts.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.start", "w.part")
         banded = windows.select("doc_id", "start", "part", F.posexplode(signature(F.col("part"))).alias("band", "value"))
         own = known.where(F.col("s") == s).select("template", "shingles", F.posexplode("minima").alias("band", "value"))
         hits = banded.join(own, ["band", "value"])
