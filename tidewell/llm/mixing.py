@@ -89,8 +89,11 @@ def curriculum_mix(documents: DataFrame, share: float = 1.5, cap: int = 2) -> Da
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """One row for each pass over a document, range-sorted by training position (column ``position``)."""
-    return mixed.withColumn("position", F.explode("positions")).drop("positions").orderBy("position", "doc_id")
+    """The documents that the mix takes, range-sorted by their first training position (column ``position``).
+
+    A document's further passes stay in ``positions``: its text is moved once, however often it is taken.
+    """
+    return mixed.where("taken > 0").withColumn("position", F.element_at("positions", 1)).orderBy("position", "doc_id")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
