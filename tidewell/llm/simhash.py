@@ -34,6 +34,7 @@ from tidewell.llm.common import connected_components, map_columns, materialize
 SHINGLE, SEED = 4, 42
 #: Comparing two fingerprints of a bucket, against making, shuffling and sorting a probe.
 PAIR_COST = 0.04
+BROADCAST_ROWS = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -233,8 +234,9 @@ def _similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) ->
         for b in batches:
             yield {"th": b["th"], "s": [shingle_hashes(t, shingle) for t in b["text"]]}
 
+    few = ends.count() <= BROADCAST_ROWS  # hashes alone; beyond that texts are shuffled
     # equal texts have one hash: one of them is enough
-    named = texts.join(ends, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    named = texts.join(F.broadcast(ends) if few else ends, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     sets = materialize(map_columns(named, "th long, s array<long>", run), "shingles")
     # a hub's many edges bring their other ends' shingles to it, each once
     half = edges.join(sets.select(F.col("th").alias("b"), F.col("s").alias("y")), "b")
