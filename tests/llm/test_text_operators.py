@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import xxhash
 
 import corpus_pipeline
@@ -109,6 +110,18 @@ def test_large_buckets_lose_no_link(spark):
     assert got == want and len(set(want.values())) == 201
 
 
+def test_each_value_links_to_its_densest_neighbour():
+    own = np.array([0b0, 0b1, 0b11, 0b111111 << 20], np.int64)
+    got = {tuple(r) for r in simhash.densest(own, own, 1).tolist()}
+    assert got == {(1, 0), (0, 1), (1, 3)}  # 0b1 has most links; the last value has none
+
+
+def test_large_group_of_near_copies_leaves_one(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(f"x{i}" if k == i else w for k, w in enumerate(words)) for i in range(0, 400, 2)]
+    assert [r.doc_id for r in simhash.keep_one_of_each(odd(spark, texts)).collect()] == [0]
+
+
 def test_one_of_each_group_stays(spark):
     words = [f"w{i}" for i in range(300)]
     near = [*words[:150], "changed", *words[151:]]

@@ -127,10 +127,11 @@ def flips_of(bits: list[int], threshold: int) -> list[int]:
     return [_signed(mask_of(list(c))) for k in range(threshold + 1) for c in combinations(bits, k)]
 
 
-def links(fingerprints: DataFrame, radius: int = 4, hot: int = 256, block: int = 4096, sample_rows: int = 4096) -> DataFrame:
+def links(fingerprints: DataFrame, radius: int = 4, hot: int = 256, block: int = 4096, sample_rows: int = 4096, hubs: bool = False) -> DataFrame:
     """Edges (a, b) between distinct values of column ``fp`` that connect all pairs within ``radius`` bits.
 
-    In buckets of up to ``hot`` values every linked pair is an edge; in larger ones a spanning star is.
+    In buckets of up to ``hot`` values every linked pair is an edge; in larger ones a spanning star is and, with
+    ``hubs``, the link of each value to its neighbour with the most links.
     """
     fps = fingerprints.select("fp").distinct()
     fps = materialize(fps, "fps")
@@ -153,10 +154,10 @@ def links(fingerprints: DataFrame, radius: int = 4, hot: int = 256, block: int =
     pairs = a.join(b, ["part", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
     if sizes.isEmpty():
         return pairs.distinct()
-    return pairs.union(_hot_links(index, probe, sizes, radius, block)).distinct()
+    return pairs.union(_hot_links(index, probe, sizes, radius, block, hubs)).distinct()
 
 
-def _hot_links(index: DataFrame, probe: DataFrame, sizes: DataFrame, radius: int, block: int) -> DataFrame:
+def _hot_links(index: DataFrame, probe: DataFrame, sizes: DataFrame, radius: int, block: int, hubs: bool) -> DataFrame:
     """Stars over the links between the members and the probes of large buckets, by pairs of blocks."""
     asked = probe.join(sizes, ["part", "value"])
     counts = asked.groupBy("part", "value").agg(F.count("*").alias("q"), F.first("n").alias("n"))
@@ -170,7 +171,8 @@ def _hot_links(index: DataFrame, probe: DataFrame, sizes: DataFrame, radius: int
         own = rows.loc[rows["member"], "fp"].to_numpy(np.int64)
         other = rows.loc[~rows["member"], "fp"].to_numpy(np.int64)
         ids = np.unique(np.concatenate([own, other]))
-        return pd.DataFrame(stars(ids, own, other, radius), columns=["a", "b"])
+        found = stars(ids, own, other, radius)
+        return pd.DataFrame(np.concatenate([found, densest(own, other, radius)]) if hubs else found, columns=["a", "b"])
 
     return members.union(askers).groupBy("part", "value", "i", "j").applyInPandas(compare, "a long, b long")
 
@@ -192,6 +194,22 @@ def stars(ids: np.ndarray, own: np.ndarray, other: np.ndarray, radius: int) -> n
     return np.column_stack([ids[root[moved]], ids[moved]])
 
 
+def densest(own: np.ndarray, other: np.ndarray, radius: int) -> np.ndarray:
+    """(neighbour, value): for each of ``other`` the linked one of ``own`` that has the most links, itself excepted."""
+    x, y = own.view(np.uint64), other.view(np.uint64)
+    degree = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), 256):
+        degree[at : at + 256] = (np.bitwise_count(x[at : at + 256, None] ^ y[None, :]) <= radius).sum(axis=1)
+    order = np.argsort(-degree, kind="stable")
+    best = np.full(len(y), len(x))
+    for at in range(0, len(x), 256):
+        bits = np.bitwise_count(x[order[at : at + 256], None] ^ y[None, :])
+        near = (bits <= radius) & (bits > 0)
+        best = np.where((best == len(x)) & near.any(axis=0), at + near.argmax(axis=0), best)
+    linked = best < len(x)
+    return np.column_stack([own[order[best[linked]]], other[linked]])
+
+
 def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Smallest-label propagation over the edges until labels settle, in place."""
     while True:
@@ -245,25 +263,27 @@ def _similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def keep_one_of_each(documents: DataFrame, shingle: int = 5, radius: int = 7, least: float = 0.8) -> DataFrame:
+def keep_one_of_each(documents: DataFrame, shingle: int = 5, radius: int = 8, least: float = 0.8, features: int = 2) -> DataFrame:
     """``documents`` without near copies: of every group the row with the smallest doc_id (null last) stays.
 
-    Fingerprints of ``shingle``-word shingles within ``radius`` bits are candidates, verified by Jaccard similarity of
-    at least ``least``; groups are the components of verified links. Equal texts, null and empty ones as well, are a group.
+    Fingerprints within ``radius`` bits are candidates, verified by Jaccard similarity of the ``shingle``-word shingles
+    of at least ``least``; groups are the components of verified links. Fingerprints are made of ``features``-word
+    shingles: a changed word touches fewer of those, so texts of that similarity are fewer bits apart. Equal texts, null
+    and empty ones as well, are a group.
     """
     columns = documents.columns
     keyed = documents.select(*columns, F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_dk"), F.xxhash64("text").alias("_th"))
 
     def run(batches):
         for b in batches:
-            yield {"doc_id": b["doc_id"], "th": b["_th"], "fp": [fingerprint(t, shingle) for t in b["text"]]}
+            yield {"doc_id": b["doc_id"], "th": b["_th"], "fp": [fingerprint(t, features) for t in b["text"]]}
 
     marked = materialize(map_columns(keyed.select("doc_id", "_th", "text"), "doc_id long, th long, fp long", run), "marked")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id"))
     texts = materialize(marked.groupBy("th").agg(F.first("fp").alias("fp"), smallest.alias("best")), "distinct")
     first = materialize(texts.groupBy("fp").agg(F.min("th").alias("r")), "first")
     inside = texts.join(first, "fp").where("th <> r").select(F.col("r").alias("a"), F.col("th").alias("b"))
-    across = links(first, radius).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
+    across = links(first, radius, hubs=True).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
     of = lambda k: first.select(F.col("fp").alias("f" + k), F.col("r").alias(k))
     edges = materialize(inside.union(across.join(of("a"), "fa").join(of("b"), "fb").select("a", "b")), "edges")
     if edges.isEmpty():
