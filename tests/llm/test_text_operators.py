@@ -150,6 +150,28 @@ def test_secrets_are_confirmed_by_structure():
     assert secrets.redact("a token: abcdef b") == "a [REDACTED] b" and secrets.redact(None) is None
 
 
+def test_secrets_in_other_forms():
+    def armour(label, body, newline="\n", headers=()):
+        return newline.join([f"-----BEGIN {label}PRIVATE KEY-----", *headers, *body, f"-----END {label}PRIVATE KEY-----"])
+
+    wrap = lambda data: [x for x in re.findall(".{1,64}", base64.b64encode(data).decode())]
+    spans = lambda t, kind: [t[a:b] for k, a, b in secrets.find_secrets(t) if k == kind]
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    openssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(b"p" * 51) + field(b"k" * 144)
+    headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF", ""]
+    for newline in ("\n", "\r\n", "\r", r"\n", r"\r\n", r"\\n"):
+        for key in (armour("RSA ", wrap(b"c" * 208), newline, headers), armour("", wrap(pkcs8()), newline), armour("OPENSSH ", wrap(openssh), newline)):
+            assert spans(f"a {key} b", "pem") == [key] and "MII" not in secrets.redact(key)
+        for data in (pkcs8(), openssh):
+            for text in (newline.join(wrap(data)), newline.join("  " + x for x in wrap(data))[2:]):
+                assert spans(f"key: {text}{newline}end of it", "der") == [text]
+                assert data is openssh or spans(f"key: {text[:-8]}{newline}end of it", "der") == []
+        assert spans(newline.join(["MAYBE_a_long_name", *wrap(pkcs8())]), "der") == [newline.join(wrap(pkcs8()))]
+    assert spans(json.dumps({"private_key": armour("", wrap(pkcs8()))}).replace("/", "\\/").replace("=", r"\u003d"), "pem")
+    assert spans(armour("RSA ", wrap(b"c" * 208)), "pem") == [] and spans(armour("RSA ", ["not base64!"], headers=headers), "pem") == []
+    assert spans(armour("", ["-----BEGIN PRIVATE KEY-----", *wrap(pkcs8())]), "pem") == [armour("", wrap(pkcs8()))]
+
+
 def test_secret_query_matches_brute_force(spark):
     got = {r.doc_id: r for r in secrets.op6_secrets(spark, SF).collect()}
     rows = docs(spark)

@@ -4,10 +4,12 @@ Base kinds are found by pattern alone: ``assign`` (a named credential with a val
 (AKIA ids of 20 or more characters) and ``hex`` (runs of 24 or more hex digits). On top of these, candidates in base64
 or hex are decoded and reported only if the bytes parse as what they seem to be:
 
-* ``pem``: an armoured private key whose body decodes to DER that parses, or that is encrypted or in OpenSSH's format;
+* ``pem``: an armoured private key whose body decodes to DER that parses, or that is encrypted (a ``Proc-Type`` header
+  says so) or in OpenSSH's format; newlines may be LF, CRLF, CR or written as ``\\n``, as in JSON;
 * ``jwt``: three base64url parts of which the first is a JSON object with a string ``alg``, the second a JSON object;
 * ``der``: bare base64 or hex holding a private key: a SEQUENCE whose nested lengths fill it exactly and whose first
-  members are those of PKCS#1, PKCS#8 or SEC1, or OpenSSH's magic word with well-formed length fields.
+  members are those of PKCS#1, PKCS#8 or SEC1, or OpenSSH's magic word with well-formed length fields. Base64 may be
+  wrapped in lines: the length that the key itself states says how many of them belong to it.
 
 Spans are code-point offsets, end exclusive, non-overlapping within a kind. Null and empty texts have none; repeated
 rows are rows of their own; nothing is cut from long texts; extra columns are ignored.
@@ -29,11 +31,16 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "der")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([^-]*)-----END \1PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[^-]|-(?!----(?:BEGIN|END) ))*+)-----END \1PRIVATE KEY-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
 _ANYHEX = re.compile(r"[0-9A-Fa-f]{64,}")
 _OPENSSH = b"openssh-key-v1\x00"
+# the first line of a key in base64: it starts with the tag of a SEQUENCE or with OpenSSH's magic word
+_FIRST = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))(?:M[A-P]|b3BlbnNz)[A-Za-z0-9+/_-]{6,}")
+_NEXT = re.compile(r"[ \t]*(?:\\+[nr]|[\r\n])+[ \t]*([A-Za-z0-9+/_-]+)")
+_NEWLINE = re.compile(r"\r\n|\r|(?:\\+r)?\\+n|\\+r")
+_ESCAPE = re.compile(r"\\+(?:u([0-9A-Fa-f]{4})|/)")
 
 
 def decode_base64(text: str) -> bytes:
@@ -95,6 +102,69 @@ def is_private_key(data: bytes) -> bool:
     return False
 
 
+def is_armoured_key(body: str) -> bool:
+    """``body`` of an armour: header lines, if any, and base64."""
+    body = _NEWLINE.sub("\n", body)
+    lines = [line.strip() for line in _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else "/", body).strip().split("\n")]
+    headers = []
+    if ":" in lines[0]:
+        # headers end at an empty line; without one they are the lines that can't be base64
+        end = lines.index("") if "" in lines else sum(":" in line for line in lines)
+        headers, lines = lines[:end], lines[end:]
+    data = decode_base64("".join("".join(lines).split()))
+    encrypted = any(h.lower().startswith("proc-type:") and "ENCRYPTED" in h for h in headers)
+    return bool(data) and (encrypted or is_private_key(data))
+
+
+def stated_length(data: bytes) -> int:
+    """Bytes of the private key that ``data`` starts with, as its own lengths state; 0 if it can't be one."""
+    if data.startswith(_OPENSSH):
+        at, left, counted = len(_OPENSSH), 3, False
+        while left:
+            if at + 4 > len(data):
+                return 0
+            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+            if not left and not counted:  # the number of keys: a public part each, and one private part
+                if at + 4 > len(data):
+                    return 0
+                at, left, counted = at + 4, int.from_bytes(data[at : at + 4], "big") + 1, True
+        return at
+    if len(data) < 4 or data[0] != 0x30:
+        return 0
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    if n > 4 or data[1] == 0x80 or len(data) < 3 + n or data[2 + n] not in (0x02, 0x30):
+        return 0
+    return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
+
+
+def wrapped_keys(text: str) -> list[tuple[int, int]]:
+    """Spans of private keys in base64 that goes on over lines."""
+    found = []
+    for m in _FIRST.finditer(text):
+        if found and m.start() < found[-1][1]:
+            continue
+        openssh = m[0].startswith("b3BlbnNz")
+        head = m[0][: len(m[0]) // 4 * 4]
+        need = 0 if openssh else -(-stated_length(decode_base64(head[:12])) * 8 // 6)
+        if not (openssh or need):
+            continue
+        ends, parts, size = [(len(m[0]), m.end())], [m[0]], len(m[0])
+        while openssh or size < need:
+            more = _NEXT.match(text, ends[-1][1])
+            if more is None:
+                break
+            size += len(more[1])
+            parts.append(more[1])
+            ends.append((size, more.end()))
+        body = "".join(parts)
+        if openssh:
+            need = -(-stated_length(decode_base64(body[: size // 4 * 4] if size % 4 == 1 else body)) * 8 // 6)
+        end = next((e for n, e in ends if n == need), None)  # a key ends where a line ends
+        if end is not None and is_private_key(decode_base64(body[:need])):
+            found.append((m.start(), re.compile("={0,2}").match(text, end).end()))
+    return found
+
+
 def is_signed_token(header: str, payload: str) -> bool:
     try:
         head, body = json.loads(decode_base64(header)), json.loads(decode_base64(payload))
@@ -113,13 +183,13 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            headers, _, rest = m[2].rpartition("\n\n")
-            data = decode_base64("".join(rest.split()))
-            if (data and is_private_key(data)) or "ENCRYPTED" in headers:
+            if is_armoured_key(m[2]):
                 found.append(("pem", *m.span()))
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
+    wrapped = wrapped_keys(text)
     der = [m.span() for m in _BASE64.finditer(text) if is_private_key(decode_base64(m[0]))]
+    der = wrapped + [s for s in der if not any(a < s[1] and s[0] < b for a, b in wrapped)]
     for m in _ANYHEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])) and not any(a < m.end() and m.start() < b for a, b in der):
             der.append(m.span())
