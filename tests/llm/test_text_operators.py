@@ -202,6 +202,32 @@ def test_wrapper_finds_slots_and_repeats():
     assert wrapper["main"][-1] == "div.story"
 
 
+def test_wrapper_decides_marked_pages_from_all_pages(spark):
+    teaser = lambda i: f"<div class='top'><article>Also read {i}</article></div>"
+    story = lambda i: f"<div class='story'><h1>Title {i}</h1><p>Subscribers read on.</p><section><p>{'long text ' * 9}{i}</p></section></div>"
+    rows = [(i, "http://a.example/", f"<body><article><h1>Title {i}</h1><p>First {i}</p><div>Read our rules.</div></article><div>Text {i}</div></body>") for i in range(40)]
+    rows += [(100 + i, "http://b.example/", f"<body><main>{story(i)}</main></body>") for i in range(40)]
+    rows += [(200, "http://c.example/1", f"<body><main><p>other {'text ' * 9}</p></main></body>")]
+    rows += [(201 + i, "http://c.example/", f"<body><div class='p-{i}'>{story(i)}</div></body>") for i in range(40)]
+    rows += [(300, "http://d.example/1", f"<body>{teaser(1)}{story(1)}</body>")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in pages.extract_main_text(table).collect()}
+    assert got[3] == "Title 3\n\nFirst 3"  # text that all pages of the host share goes, in the marked article too
+    assert got[139] == f"Title 39\n\n{'long text ' * 9}39" and got[240] == got[139]
+    assert got[200] == f"other {'text ' * 9}".strip()
+    learnt = {r.host: json.loads(r.wrapper) for r in pages.wrappers(table).collect()}
+    assert learnt["a.example"]["main"] == ["body", "article"] and learnt["c.example"]["main"][:2] == ["body", "div.p-0"]
+    root = pages.parse(rows[3][2])
+    assert pages.locate(root, learnt["a.example"]["main"])[1] == "wrapper" and pages.locate(root, [])[1] == "mark"
+
+
+def test_wide_wrappers_stay_small():
+    wrapper = pages.generalise(pages.parse("<body></body>"))
+    for i in range(300):
+        wrapper = pages.align(wrapper, pages.generalise(pages.parse(f"<body><div class='{chr(97 + i % 26)}{chr(97 + i // 26)}'>text {i}</div><section>longer {'text ' * 9}{i}</section></body>")))
+    assert len(wrapper[0].items) <= pages.WIDTH and pages.finish(wrapper, 301)["main"] == ["body", "section"]
+
+
 def test_mixing_meets_targets(spark):
     rows = mixing.op10_mixing(spark, SF).toPandas()
     source = dict(zip(docs(spark).doc_id, docs(spark).source.fillna("")))

@@ -2,17 +2,20 @@
 
 A wrapper is a union-free regular expression over a page's block elements: elements in order, text that all pages of
 the host share, text *slots*, *optional* groups and *repeated* groups. It is inferred by aligning the element streams of
-a few pages of a host one after the other. Where both agree the wrapper stays; two different texts become a slot; an
+the host's pages, two wrappers at a time. Where both agree the wrapper stays; two different texts become a slot; an
 element that comes again right after itself becomes a repeated group; any other mismatch is resolved by looking for the
 next place at which the streams agree again and making what was skipped optional.
 
-The wrapper says where a host keeps the text that differs from page to page: the innermost element that holds most of
-the slot text is the main region, and shared text outside slots is boilerplate. A page that marks its article itself
-(``article``, ``main``) is cut there; other pages by the wrapper. Menus, headers, footers, side bars, notices, adverts,
-forms, scripts, styles and reader comments are left out by element, role and class inside the region, too.
+The wrapper says where a host keeps the text that differs from page to page: the innermost container that holds most of
+the slot text is the main region of every page, and shared text outside slots is boilerplate. What a page says itself is
+a check after that: a region around its ``article`` or ``main`` is narrowed to it, and one that misses most of the
+marked text gives way to it. Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and reader
+comments are left out by element, role and class, in learning and inside the region.
 
-A host's wrapper is learnt from at most ``SAMPLE`` pages (one for each slot of the page hash, combined before the
-shuffle), so a host with a third of all pages costs no more than another; every page is extracted.
+A host's wrapper is learnt from all its pages: each task merges those it reads, and what the tasks made is merged by
+salted hosts, then by hosts, one after the other. Wrappers hold hashes of texts, and a level of over ``WIDTH`` items
+becomes one item for each signature (rare ones share an item), so they stay small. The order of merging follows the
+partitions of the table, which can matter for what becomes optional.
 
 Defined results: null and empty html give empty text; null, odd or unparseable urls share the empty host; broken markup
 is read as far as it goes (unclosed elements end with their parent, nesting beyond ``DEPTH`` is flattened); repeated
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_columns, materialize
 
-SAMPLE, DEPTH, MAJORITY = 8, 80, 0.6
+DEPTH, MAJORITY, WIDTH, SALTS, HOSTS = 80, 0.6, 64, 64, 4096
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # Element names of HTML by role.
@@ -43,6 +46,8 @@ _ENDS_ITSELF = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _PART = re.compile(r"(?:^|[-_])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|cookies?|consent|gdpr|newsletter|subscribe|popup|modal|sidebar|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|navbar|navigation|menu)(?:$|[-_])", re.I)
 _WHOLE = frozenset("header site-header page-header footer site-footer page-footer nav notice notices banner masthead topbar toolbar widget widgets aside side login signup skip-link".split())
+_CONTAINERS = _BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 li dt dd dl ul ol pre blockquote address tr td th tbody table figure figcaption".split())
+_NUMBER = re.compile(r"\d+")
 _PREFIX = re.compile(r"^(?:has|with|no|without|is)[-_]", re.I)
 
 
@@ -122,7 +127,7 @@ def parse(html: str) -> Node:
                 stack[-1].children.append(Node("hr", "hr", False))
             continue
         label = (attributes.get("id") or attributes.get("class") or "").split()
-        node = Node(name, f"{name}.{label[0]}" if label else name, left_out)
+        node = Node(name, f"{name}.{_NUMBER.sub('0', label[0])}" if label else name, left_out)
         stack[-1].children.append(node)
         if len(stack) < DEPTH:
             stack.append(node)
@@ -169,15 +174,35 @@ def blocks(node: Node) -> list[str]:
 
 
 class Item:
-    """A wrapper's element (``sig``) or text (sig ''): text is None for a slot; chars: letters seen in slots below."""
+    """A wrapper's element (``sig``) or text (sig ''): text is its hash, None for a slot; chars: letters seen in it."""
 
     __slots__ = ("chars", "items", "optional", "pages", "repeated", "sig", "text")
 
     def __init__(self, sig: str, text: str | None = None):
-        self.sig, self.text, self.items, self.optional, self.repeated, self.pages = sig, text, [], False, False, 1
+        self.sig, self.items, self.optional, self.repeated, self.pages = sig, [], False, False, 1
+        self.text = None if text is None else xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
         self.chars = len(text or "")
 
 
+def to_list(items: list[Item]) -> list:
+    return [[i.sig, i.text, i.chars, i.pages, i.optional, i.repeated, to_list(i.items)] for i in items]
+
+
+def from_list(rows: list) -> list[Item]:
+    out = []
+    for sig, text, chars, pages, optional, repeated, items in rows:
+        item = Item(sig)
+        item.text, item.chars, item.pages, item.optional, item.repeated, item.items = text, chars, pages, optional, repeated, from_list(items)
+        out.append(item)
+    return out
+
+
+def _one_page(item: Item) -> None:
+    item.pages = 1
+    for below in item.items:
+        _one_page(below)
+
+
 def generalise(node: Node) -> list[Item]:
     """The page's own wrapper: left-out parts dropped, equal neighbours folded into repeated groups."""
     out: list[Item] = []
@@ -201,7 +226,7 @@ def generalise(node: Node) -> list[Item]:
         if out and out[-1].sig == item.sig:
             out[-1] = merge(out[-1], item)
             out[-1].repeated = True
-            out[-1].pages = 1
+            _one_page(out[-1])
         else:
             out.append(item)
     flush()
@@ -249,39 +274,73 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
             i, j = i + 1, j + 1
     for rest in (*a[i:], *b[j:]):
         skip(rest)
-    return out
+    return out if len(out) <= WIDTH else by_signature(out)
+
+
+def by_signature(items: list[Item]) -> list[Item]:
+    """One item for each signature, repeated if there were several; the rarest share an item that has no signature of
+    its own (``*``) if there are too many, so that no text is lost from the sums."""
+    out: dict[str, Item] = {}
+    for item in items:
+        if item.sig in out:
+            pages = max(out[item.sig].pages, item.pages)
+            out[item.sig] = merge(out[item.sig], item)
+            out[item.sig].repeated, out[item.sig].pages = True, pages
+        else:
+            out[item.sig] = item
+    if len(out) <= WIDTH // 2:
+        return list(out.values())
+    kept = set(sorted((k for k in out if k not in ("", "*")), key=lambda k: (-out[k].pages, -_slot_chars(out[k]), k))[: WIDTH // 2]) | {""}
+    rest = Item("*")
+    rest.optional = rest.repeated = True
+    slot = Item("")
+    slot.chars = sum(_slot_chars(i) for k, i in out.items() if k not in kept)
+    rest.items = [slot]
+    return [i for k, i in out.items() if k in kept] + [rest]
 
 
 def _slot_chars(item: Item) -> int:
     return item.chars if item.sig == "" and item.text is None else sum(map(_slot_chars, item.items))
 
 
-def _constants(items: list[Item], least: int) -> list[str]:
+def _constants(items: list[Item], least: float) -> list[int]:
     out = []
     for item in items:
-        if item.sig == "" and item.text and item.pages >= least:
+        if item.sig == "" and item.text is not None and item.pages >= least:
             out.append(item.text)
         out += _constants(item.items, least)
     return out
 
 
+def finish(wrapper: list[Item], pages: int) -> dict:
+    """{"main": path of element signatures, "shared": hashes of boilerplate texts} of a host of that many pages."""
+    total = sum(map(_slot_chars, wrapper))
+    path, level = [], wrapper
+    while total:
+        sums: dict[str, int] = {}
+        for item in level:
+            if item.sig.partition(".")[0] in _CONTAINERS:
+                sums[item.sig] = sums.get(item.sig, 0) + _slot_chars(item)
+        best = max(sorted(sums), key=sums.get, default=None)
+        if any(_slot_chars(i) for i in level if i.sig.partition(".")[0] in ("h1", "h2")):
+            break  # the story's own title stands here
+        if best is None or sums[best] < MAJORITY * total or any(i.repeated for i in level if i.sig == best):
+            break
+        path.append(best)
+        if best.partition(".")[0] in ("article", "main"):
+            break
+        level = [below for i in level if i.sig == best for below in i.items]
+    return {"main": path, "shared": _constants(wrapper, max(3, MAJORITY * pages)) if total else []}
+
+
 def infer(pages: list[str]) -> dict:
-    """{"main": path of element signatures, "shared": hashes of boilerplate texts} from pages of one host."""
+    """The finished wrapper of a host with these pages."""
     wrapper: list[Item] = []
     distinct = sorted(set(pages))
     for k, page in enumerate(distinct):
         own = generalise(parse(page))
         wrapper = own if k == 0 else align(wrapper, own)
-    total = sum(map(_slot_chars, wrapper))
-    path, level = [], wrapper
-    while total:
-        best = max((i for i in level if i.sig), key=_slot_chars, default=None)
-        if best is None or _slot_chars(best) < MAJORITY * total or best.repeated:
-            break
-        path.append(best.sig)
-        level = best.items
-    shared = _constants(wrapper, 3) if total and len(distinct) >= 3 else []
-    return {"main": path, "shared": [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) for t in shared]}
+    return finish(wrapper, len(distinct))
 
 
 def _outermost(node: Node, name: str) -> list[Node]:
@@ -305,18 +364,43 @@ def _at(root: Node, path: list[str]) -> list[Node]:
     return level
 
 
+def _below(nodes: list[Node]) -> set[int]:
+    found, work = set(), list(nodes)
+    while work:
+        n = work.pop()
+        found.add(id(n))
+        work += [c for c in n.children if isinstance(c, Node)]
+    return found
+
+
+def locate(root: Node, path: list[str]) -> tuple[list[Node], str]:
+    """The main region, and what decided: the ``wrapper``, the page's ``mark`` as the check after it, or neither."""
+    region = _at(root, path) if path else []
+    if not any(blocks(n) for n in region):
+        region = []
+    marked = _outermost(root, "article") or _outermost(root, "main")
+    size = sum(len(t) for n in marked for t in blocks(n))
+    if not size:
+        return (region, "wrapper") if region else ([root], "page")
+    if {id(n) for n in region} == {id(n) for n in marked}:
+        return region, "wrapper"
+    inside, allowed = _below(region), _below(marked)
+    if all(id(n) in inside for n in marked):
+        return marked, "mark"
+    if sum(len(t) for n in region if id(n) in allowed for t in blocks(n)) < MAJORITY * size:
+        return marked, "mark"
+    return region, "wrapper"
+
+
 def extract(html: str | None, wrapper: dict | None) -> str:
     """Main text of a page: blocks joined by an empty line."""
     if not html:
         return ""
-    root = parse(html)
-    marked = _outermost(root, "article") or _outermost(root, "main")
-    if marked and any(blocks(n) for n in marked):
-        return "\n\n".join(t for n in marked for t in blocks(n))
+    region, _ = locate(parse(html), (wrapper or {}).get("main", []))
     shared = set((wrapper or {}).get("shared", ()))
-    region = _at(root, (wrapper or {}).get("main", [])) or [root]
     texts = [t for n in region for t in blocks(n)]
-    return "\n\n".join(t for t in texts if not shared or xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) not in shared)
+    own = [t for t in texts if not shared or xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) not in shared]
+    return "\n\n".join(own or texts)  # copies of one page share all their text
 
 
 def host_of(column: str = "url"):
@@ -324,16 +408,52 @@ def host_of(column: str = "url"):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper json) from at most ``SAMPLE`` pages of each host."""
-    hashed = pages.where("html is not null").select(host_of().alias("host"), "html", F.xxhash64("url", "html").alias("k"))
-    picked = hashed.groupBy("host", F.pmod("k", F.lit(SAMPLE)).alias("slot")).agg(F.max_by("html", "k").alias("html"))
-    sampled = picked.groupBy("host").agg(F.collect_list("html").alias("pages"))  # SAMPLE pages at most
+    """(host, wrapper json) from all pages of each host."""
+    schema = "host string, n long, wrapper string"
 
-    def run(batches):
+    def learn(batches):
+        held: dict[str, tuple[int, list[Item]]] = {}
+        for b in batches:
+            for host, page in zip(b["host"], b["html"]):
+                own = generalise(parse(page))
+                n, before = held.get(host, (0, None))
+                held[host] = n + 1, own if before is None else align(before, own)
+            if len(held) > HOSTS:
+                yield rows(held)
+                held = {}
+        yield rows(held)
+
+    def rows(held):
+        return {"host": list(held), "n": [n for n, _ in held.values()], "wrapper": [json.dumps(to_list(w)) for _, w in held.values()]}
+
+    def combine(batches):
+        """Merges neighbouring rows of a host."""
+        host, n, wrapper = None, 0, None
+        for b in batches:
+            done: list[tuple] = []
+            for h, m, w in zip(b["host"], b["n"], b["wrapper"]):
+                if h == host:
+                    n, wrapper = n + m, align(wrapper if isinstance(wrapper, list) else from_list(json.loads(wrapper)), from_list(json.loads(w)))
+                    continue
+                if host is not None:
+                    done.append((host, n, wrapper))
+                host, n, wrapper = h, m, w
+            yield packed(done)
+        if host is not None:
+            yield packed([(host, n, wrapper)])
+
+    def packed(done):
+        return {"host": [h for h, _, _ in done], "n": [n for _, n, _ in done], "wrapper": [json.dumps(to_list(w)) if isinstance(w, list) else w for _, _, w in done]}
+
+    def close(batches):
         for b in batches:
-            yield {"host": b["host"], "wrapper": [json.dumps(infer(p)) for p in b["pages"]]}
+            yield {"host": b["host"], "wrapper": [json.dumps(finish(from_list(json.loads(w)), n)) for n, w in zip(b["n"], b["wrapper"])]}
 
-    return map_columns(sampled, "host string, wrapper string", run)
+    parts = map_columns(pages.where("html <> ''").select(host_of().alias("host"), "html"), schema, learn)
+    salt = F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))
+    parts = parts.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper", "n").select("host", "n", "wrapper")
+    parts = map_columns(parts, schema, combine).repartition("host").sortWithinPartitions("host", "wrapper", "n")
+    return map_columns(map_columns(parts, schema, combine), "host string, wrapper string", close)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
