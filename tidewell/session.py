@@ -29,9 +29,12 @@ def get_session(app: str = "tidewell", cores: int | None = None, shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of its own only where none is set, as in tests."""
+    """The folder named in spark.checkpoint.dir. Where none is set, a temporary one, but only in local mode: on a
+    cluster other machines wouldn't see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
