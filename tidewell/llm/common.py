@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidewell.session import shared_dir
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE_BYTES = 4 << 20
@@ -16,22 +19,13 @@ SLICE_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of its own only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages survive lost executors and don't recompute it.
 
     The shuffle files behind the table are dropped once it is written.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -51,32 +45,47 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def map_columns(df: DataFrame, schema: str, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, object]]]) -> DataFrame:
+def whole(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` in one struct column ``document``: working names beside it can't clash with them."""
+    return df.select(F.struct("*").alias("document"))
+
+
+def map_columns(df: DataFrame, schema: str, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, object]]], keep: tuple[str, ...] = ()) -> DataFrame:
     """``mapInArrow`` over plain column lists: ``function`` gets {column: list} batches and yields {column: values}.
 
     Lists hold about ``SLICE_BYTES`` of Arrow data at a time, so that memory doesn't follow the length of the texts.
+    Columns in ``keep`` go around the function as they are; it then has to yield a row for each row it gets, in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (b.slice(at, step) for b in batches if b.num_rows for step in [max(1, b.num_rows * SLICE_BYTES // (b.nbytes + 1))] for at in range(0, b.num_rows, step))
-        lists = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in parts)
-        for out in function(lists):
-            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
+        around: deque[list[pa.Array]] = deque()
 
-    types = arrow_types(df.sparkSession, schema)
-    return df.mapInArrow(run, schema)
+        def lists():
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                step = max(1, b.num_rows * SLICE_BYTES // (b.nbytes + 1))
+                for at in range(0, b.num_rows, step):
+                    part = b.slice(at, step)
+                    around.append([part.column(c) for c in keep])
+                    yield {n: c.to_pylist() for n, c in zip(part.schema.names, part.columns) if n not in keep}
 
+        for out in function(lists()):
+            kept = around.popleft() if keep else []
+            yield pa.RecordBatch.from_arrays(kept + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(out.values(), types)], names=[*keep, *out])
+            if not keep:
+                around.clear()
 
-def arrow_types(spark: SparkSession, schema: str) -> list[pa.DataType]:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
+    own, types = arrow_types(schema)
+    return df.mapInArrow(run, StructType([df.schema[c] for c in keep] + own.fields))
 
-    return [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema).fields]
 
+def arrow_types(schema: str) -> tuple[StructType, list[pa.DataType]]:
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
 
-def ddl(df: DataFrame, columns: list[str]) -> str:
-    """Schema text of some columns, for maps that pass them through."""
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in (df.schema[c] for c in columns))
+    parsed = _parse_datatype_string(schema)
+    return parsed, [to_arrow_type(f.dataType) for f in parsed.fields]
 
 
 def crc_bucket(column: str, modulus: int):

@@ -5,8 +5,8 @@ tells how far the search may jump, the blocks that end a pattern lead to a *suff
 compared word by word. A text is therefore touched about once every ``window - 1`` words.
 
 Defined results: null and empty texts have no words; items without words give no window; an empty benchmark hits
-nothing; repeated documents are rows of their own; repeated items each count under their item_id; extra columns are
-ignored.
+nothing; repeated documents are rows of their own; repeated items each count under their item_id; a null item_id is the
+empty name; extra columns, whatever their names, are ignored, or kept in ``document`` as they came.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LOWER, UPPER, ddl, map_columns, materialize
+from tidewell.llm.common import LOWER, UPPER, map_columns, materialize, whole
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _TABLE = bytes(ord(LOWER[b - 0x41]) if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
@@ -94,69 +94,69 @@ def _columns(rows: list[tuple]) -> dict[str, list]:
     return {n: list(v) for n, v in zip(names, zip(*rows))}
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 32 << 20, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (doc_id unless given) and per row the words hit, merged word spans and items found (``RESULT``).
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 4 << 20, keep_all: bool = False) -> DataFrame:
+    """doc_id and per row the words hit, merged word spans and items found (``RESULT``).
 
-    Only tables of at most ``shard_bytes`` of pattern text are broadcast: a larger benchmark is dealt into shards by
-    the hash of the window, each shard is searched in a pass of its own, and spans are merged by document.
+    With ``keep_all`` a struct ``document`` of all input columns stands in place of doc_id. Only tables of at most
+    ``shard_bytes`` of pattern text are broadcast (as built, with their shift keys, some 20 times that): a larger
+    benchmark is dealt into shards by the hash of the window, each shard is searched in a pass of its own, and spans are
+    merged by document.
     """
     spark = documents.sparkSession
 
     def explode(batches):
         for b in batches:
-            rows = [(str(i), b" ".join(w), len(b" ".join(w))) for i, t in zip(b["item_id"], b["text"]) for w in item_windows(words_of(t), window)]
+            rows = [(i, b" ".join(w), len(b" ".join(w))) for i, t in zip(b["item"], b["text"]) for w in item_windows(words_of(t), window)]
             if rows:
                 yield dict(zip(("item", "pattern", "size"), map(list, zip(*rows))))
 
-    windows = map_columns(benchmark.select("item_id", "text"), "item string, pattern binary, size int", explode)
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    windows = map_columns(named, "item string, pattern binary, size int", explode)
     windows = materialize(windows.distinct(), "windows")
     total = windows.agg(F.sum(F.col("size") + 40)).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
-    own = {f.split()[0] for f in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items")}
-    keep = ["doc_id"] if keep is None else [c for c in keep if c not in own]
-    keyed = documents.select(*keep, F.col("text").alias("_text"))
+    first = "document" if keep_all else "doc_id"
+    keyed = whole(documents).select("document", "document.text") if keep_all else documents.select("doc_id", "text")
     if shards > 1:
-        keyed = materialize(keyed.withColumn("_row", F.monotonically_increasing_id()), "texts")
+        keyed = materialize(keyed.withColumn("row", F.monotonically_increasing_id()), "texts")
     passes = []
     for k in range(shards):
         mine = windows if shards == 1 else windows.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == k)
         patterns: dict[tuple[bytes, ...], list[str]] = {}
         for r in mine.select("pattern", "item").collect():  # at most shard_bytes, checked above
             patterns.setdefault(tuple(bytes(r.pattern).split(b" ")), []).append(r.item)
-        passes.append(_search(keyed, ["_row"] if shards > 1 else keep, spark.sparkContext.broadcast(patterns)))
+        passes.append(_search(keyed, "row" if shards > 1 else first, spark.sparkContext.broadcast(patterns)))
     if shards == 1:
         return passes[0]
     merged = passes[0]
     for p in passes[1:]:
         merged = merged.union(p)
-    return keyed.drop("_text").join(_merge(merged), "_row").drop("_row")
+    return keyed.drop("text").join(_merge(merged), "row").drop("row")
 
 
-def _search(keyed: DataFrame, keep: list[str], shared) -> DataFrame:
+def _search(keyed: DataFrame, first: str, shared) -> DataFrame:
     def search(batches):
         engine = WuManber(shared.value)
         for b in batches:
             rows = []
-            for text in b["_text"]:
+            for text in b["text"]:
                 words = words_of(text)
                 found = engine.find(words)
                 rows.append(_row(len(words), [f[:2] for f in found], {i for f in found for i in f[2]}))
-            yield {c: b[c] for c in keep} | _columns(rows)
+            yield _columns(rows)
 
-    rows = keyed.select(*keep, "_text")
-    return map_columns(rows, ddl(rows, keep) + RESULT, search)
+    return map_columns(keyed.select(first, "text"), RESULT, search, keep=(first,))
 
 
 def _merge(parts: DataFrame) -> DataFrame:
-    """One row for each _row from its rows of all shards; at most one row a shard."""
-    grouped = parts.groupBy("_row", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    """One row for each row number from its rows of all shards; at most one row a shard."""
+    grouped = parts.groupBy("row", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def merge(batches):
         for b in batches:
-            rows = [_row(n, [(s["first"], s["last"]) for s in spans], set(items)) for n, spans, items in zip(b["n_words"], b["spans"], b["items"])]
-            yield {"_row": b["_row"]} | _columns(rows)
+            yield _columns([_row(n, [(s["first"], s["last"]) for s in spans], set(items)) for n, spans, items in zip(b["n_words"], b["spans"], b["items"])])
 
-    return map_columns(grouped, "_row long, " + RESULT, merge)
+    return map_columns(grouped, RESULT, merge, keep=("row",))
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -175,7 +175,7 @@ di AS (SELECT k, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, ms WHERE le
 dw AS (SELECT k, m, i, array_to_string(w[i : i + m - 1], ' ') AS s FROM di),
 h AS (SELECT dw.k, dw.i, dw.m, iw.item_id FROM dw JOIN iw USING (m, s)),
 hit AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + m)) AS p FROM h) GROUP BY k),
-it AS (SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY k)
+it AS (SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT k, coalesce(CAST(item_id AS VARCHAR), '') AS s FROM h) GROUP BY k)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(it.s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (k) LEFT JOIN it USING (k)

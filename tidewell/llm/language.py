@@ -9,22 +9,23 @@ so the model has the same size at any scale. A document in which no stretch of w
 than the penalty keeps one label; this test is exact, so the search proper runs over the others only.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; training rows with null text or lang
-teach nothing; without any training row every text is ``und``; a repeated row is a row of its own; extra columns are
-ignored.
+teach nothing; without any training row every text is ``und``; a repeated row is a row of its own; extra columns,
+whatever their names, are ignored, or kept in ``document`` as they came.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import crc_bucket, ddl, map_columns
+from tidewell.llm.common import crc_bucket, map_columns, whole
 
-BUCKETS, ORDERS = 1 << 14, (2, 3, 4)
+BUCKETS, ORDERS, KEPT_BYTES = 1 << 14, (2, 3, 4), 32 << 20
 UNKNOWN = "und"
 #: First code point of each script range, and its script (fixed values of the Unicode blocks).
 SCRIPT_STARTS = [0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xA80, 0xB00, 0xB80, 0xC00, 0xC80, 0xD00, 0xD80, 0xE00, 0xE80, 0xF00, 0x1000, 0x10A0, 0x1100, 0x1200, 0x13A0, 0x1780, 0x1800, 0x1E00, 0x1F00, 0x2000, 0x2E80, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0]
@@ -105,11 +106,28 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 class Scorer:
-    """Scores of distinct words, kept for the life of a task batch."""
+    """Scores of distinct words. What a task has scored it keeps, up to ``KEPT_BYTES``; after that it starts anew."""
 
     def __init__(self, languages: list[str], logs: np.ndarray, allowed: np.ndarray, penalty: float):
         self.languages, self.logs, self.penalty = languages, logs, penalty
         self.barred = np.where(allowed | ~allowed.any(axis=1, keepdims=True), 0.0, -40.0)
+        self.ids: dict[bytes, int] = {}
+        self.table = np.zeros((1024, len(languages)))
+        self.letters = np.zeros(1024, np.int64)
+
+    def code(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Each text as rows of ``table``; a word's number of letters is in ``letters``."""
+        if len(self.ids) * (8 * len(self.languages) + 100) > KEPT_BYTES:
+            self.ids = {}
+        known, ids = len(self.ids), self.ids
+        coded = [np.fromiter((ids.setdefault(w, len(ids)) for w in ws), np.int64, len(ws)) for ws in texts]
+        if len(ids) > known:
+            new = list(islice(ids, known, None))
+            if len(ids) > len(self.table):
+                self.table, self.letters = (np.concatenate([x[:known], np.zeros((2 * len(ids) - known, *x.shape[1:]), x.dtype)]) for x in (self.table, self.letters))
+            self.table[known : len(ids)] = self.words(new)
+            self.letters[known : len(ids)] = list(map(len, new))
+        return coded
 
     def words(self, words: list[bytes]) -> np.ndarray:
         grams, starts, script = word_features(words)
@@ -144,32 +162,26 @@ class Scorer:
         return out
 
 
-def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], penalty: float = 12.0, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (doc_id unless given), lang_pred, score, spans for every row; spans: (language, first word, last word).
+def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], penalty: float = 12.0, keep_all: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score, spans for every row; spans: (language, first word, last word).
 
-    ``score`` is the share of letters that carry the document's label. The model has a fixed size and goes to the
-    tasks with the function.
+    ``score`` is the share of letters that carry the document's label. With ``keep_all`` a struct ``document`` of all
+    input columns stands in place of doc_id. The model has a fixed size and goes to the tasks with the function.
     """
     languages, logs, allowed = model
-    keep = ["doc_id"] if keep is None else [c for c in keep if c not in ("lang_pred", "score", "spans")]
-    rows = documents.select(*keep, F.col("text").alias("_text"))
+    rows = whole(documents).select("document", "document.text") if keep_all else documents.select("doc_id", "text")
     shared = documents.sparkSession.sparkContext.broadcast((languages, logs, allowed))  # languages x 3 x BUCKETS floats
 
     def label(batches):
         scorer = Scorer(*shared.value, penalty)
         for b in batches:
-            texts = [words_of(t) if t and languages and _LETTER.search(t) else [] for t in b["_text"]]
-            ids: dict[bytes, int] = {}
-            coded = [np.fromiter((ids.setdefault(w, len(ids)) for w in ws), np.int64, len(ws)) for ws in texts]
-            table = scorer.words(list(ids)) if ids else None
-            letters = np.fromiter(map(len, ids), np.int64, len(ids))
-            out = {c: b[c] for c in keep} | {"lang_pred": [], "score": [], "spans": []}
-            for own in coded:
+            out = {"lang_pred": [], "score": [], "spans": []}
+            for own in scorer.code([words_of(t) if t and languages and _LETTER.search(t) else [] for t in b["text"]]):
                 if not len(own):
                     out["lang_pred"].append(UNKNOWN), out["score"].append(0.0), out["spans"].append([])
                     continue
-                path = scorer.path(table[own])
-                mass = np.bincount(path, letters[own], len(languages))
+                path = scorer.path(scorer.table[own])
+                mass = np.bincount(path, scorer.letters[own], len(languages))
                 cut = np.flatnonzero(np.diff(path)) + 1
                 first, last = np.append(0, cut).tolist(), np.append(cut - 1, len(path) - 1).tolist()
                 out["lang_pred"].append(languages[int(mass.argmax())])
@@ -177,7 +189,7 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarra
                 out["spans"].append([{"lang": languages[path[a]], "first": a, "last": z} for a, z in zip(first, last)])
             yield out
 
-    return map_columns(rows, ddl(rows, keep) + "lang_pred string, score double, spans array<struct<lang:string,first:int,last:int>>", label)
+    return map_columns(rows, "lang_pred string, score double, spans array<struct<lang:string,first:int,last:int>>", label, keep=(rows.columns[0],))
 
 
 def train_on(documents: DataFrame):

@@ -14,7 +14,7 @@ Running sums never gather a source in one task: sizes are summed by (source, 1/4
 shuffle, a window runs over those at most 4096 sums of a source, and a second one inside each cell.
 
 Defined results: null texts have size 0; null sources form one source, last; empty tables give empty results; repeated
-rows are documents of their own; a source without words has target 0; extra columns pass through untouched.
+rows are documents of their own; a source without words has target 0; extra columns stay in ``document`` as they came.
 """
 
 from __future__ import annotations
@@ -60,47 +60,55 @@ def _position(offset: Column) -> Column:
     return F.when(a == b, u).otherwise((F.sqrt(F.greatest(a * a + 2 * (b - a) * u, F.lit(0.0))) - a) / (b - a) + F.lit(0.0))
 
 
-def curriculum_mix(documents: DataFrame, share: float = 1.5, cap: int = 2) -> DataFrame:
-    """``documents`` with size, source_size, target, taken and ``positions`` (one training position for each pass).
+def curriculum_mix(documents: DataFrame, share: float = 1.5, cap: int = 2, keep: list[str] | None = None) -> DataFrame:
+    """``document`` (a struct of the columns ``keep``, or of all), size, source_size, target, taken and ``passes`` by row.
 
-    Columns of these names in the input are replaced. Working names are dropped before the result.
+    ``passes``: (position, words) of each time that the mix takes the document, in order of training position.
     """
-    clash = [c for c in documents.columns if c in ("size", "source_size", "target", "taken", "positions", "src", "no_source", "key", "cell", "weight", "start", "finish", "before", "inner_before")]
-    docs = documents.drop(*clash)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select(
-        *docs.columns, n_words(F.col("text")).alias("size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), key.alias("key"),
+    document = F.struct("*") if keep is None else F.struct(*keep)
+    sized = documents.select(
+        document.alias("document"), n_words(F.col("text")).alias("size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), F.col("doc_id").alias("id"), key.alias("key"),
     ).withColumn("cell", F.substring("key", 1, 3))
     # at most 4096 rows a source; written once, so that texts are read twice in all: for the sums and for the result
     cells = materialize(sized.groupBy("no_source", "src", "cell").agg(F.sum("size").alias("words")), "cells")
     targets = source_targets(cells.withColumnRenamed("words", "size"), share, cap)
     running = W.partitionBy("no_source", "src").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("no_source", "src", "cell", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("before")).join(targets, ["no_source", "src"])
-    inner = W.partitionBy("no_source", "src", "cell").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("no_source", "src", "cell").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.join(cells, ["no_source", "src", "cell"]).withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    due, size, whole = F.floor("target").cast("long"), F.col("size"), F.col("source_size")
-    passes = F.when(whole > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
-    rest = F.greatest(F.lit(0), F.least(size, due - passes * whole - F.col("before")))
-    starts = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(cap)), lambda i: F.when((i < passes) & (size > 0), _position(i * whole + F.col("before"))).when((i == passes) & (rest > 0), _position(passes * whole + F.col("before")))),
-        lambda x: x.isNotNull(),
-    )
-    return placed.select(*docs.columns, "size", "source_size", "target", (passes * size + rest).cast("long").alias("taken"), starts.alias("positions"))
+    due, size, whole_size = F.floor("target").cast("long"), F.col("size"), F.col("source_size")
+    full = F.when(whole_size > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
+    rest = F.greatest(F.lit(0), F.least(size, due - full * whole_size - F.col("before")))
+    taken = lambda i: F.struct(_position(i * whole_size + F.col("before")).alias("position"), F.when(i < full, size).otherwise(rest).cast("long").alias("words"))
+    passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(cap)), lambda i: F.when(((i < full) & (size > 0)) | ((i == full) & (rest > 0)), taken(i))), lambda x: x.isNotNull())
+    return placed.select("document", "size", "source_size", "target", (full * size + rest).cast("long").alias("taken"), passes.alias("passes"))
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """The documents that the mix takes, range-sorted by their first training position (column ``position``).
+    """The training sequence: a row for each time that the mix takes a document, range-sorted by training ``position``.
 
-    A document's further passes stay in ``positions``: its text is moved once, however often it is taken.
+    The input's columns under their names, then size, source_size, target, taken, words (what this pass takes of the
+    document) and position; of these a name that the input has too is written ``mix_...``.
     """
-    return mixed.where("taken > 0").withColumn("position", F.element_at("positions", 1)).orderBy("position", "doc_id")
+    taken = mixed.select("*", F.explode("passes").alias("pass"))
+    used = mixed.schema["document"].dataType.names
+
+    def named(column, name: str):
+        while name in used:
+            name = "mix_" + name
+        return column.alias(name)
+
+    # one exchange before the explosion and one after it: no text is shuffled to join or to count anything
+    rows = taken.orderBy("pass.position", "document.doc_id", "size")
+    return rows.select("document.*", *[named(F.col(c), c) for c in ("size", "source_size", "target", "taken")], named(F.col("pass.words"), "words"), named(F.col("pass.position"), "position"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    mixed = curriculum_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "positions")
-    ordered = mixed.withColumn("first_position", F.try_element_at("positions", F.lit(1)))
-    return ordered.orderBy("first_position", "doc_id").drop("positions", "first_position")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    position = F.try_element_at("passes", F.lit(1))["position"]
+    mixed = curriculum_mix(docs, keep=["doc_id"]).select("document.doc_id", "size", "source_size", "target", "taken", position.alias("position"))
+    return mixed.orderBy("position", "doc_id")
 
 
 ORACLE = r"""
@@ -113,10 +121,12 @@ f AS (SELECT *, source_size * 2 / weight AS full_at FROM w),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size * 2) OVER (ORDER BY full_at, ns, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(weight) OVER (ORDER BY full_at, ns, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
 c AS (SELECT level FROM l WHERE level <= full_at ORDER BY full_at, ns, src LIMIT 1),
-t AS (SELECT ns, src, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(weight * coalesce((SELECT level FROM c), 'infinity'::DOUBLE), CAST(source_size * 2 AS DOUBLE)) END AS target FROM l),
-p AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.ns, d.src ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+t AS (SELECT ns, src, r, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(weight * coalesce((SELECT level FROM c), 'infinity'::DOUBLE), CAST(source_size * 2 AS DOUBLE)) END AS target FROM l),
+p AS (SELECT d.*, t.r, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.ns, d.src ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN t ON d.ns = t.ns AND d.src = t.src),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS passes FROM p)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(passes * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - passes * source_size - before)) AS BIGINT) AS taken FROM q
+z AS (SELECT *, CAST(passes * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - passes * source_size - before)) AS BIGINT) AS taken,
+         before / target AS u, CASE r WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS a, CASE r WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS b FROM q)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
+       CASE WHEN taken = 0 THEN NULL WHEN a = b THEN u ELSE (sqrt(greatest(a * a + 2 * (b - a) * u, 0)) - a) / (b - a) + 0 END AS position FROM z
 """

@@ -25,14 +25,15 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ddl, map_columns
+from tidewell.llm.common import map_columns
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[^-]|-(?!----(?:BEGIN|END) ))*+)-----END \1PRIVATE KEY-----")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+# a JSON object in base64url: "{" and a quote, or white space around the brace first
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])((?:e[wy3]|[ICD][A-Za-z0-9_-])[A-Za-z0-9_-]{8,})\.((?:e[wy3]|[ICD][A-Za-z0-9_-])[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
 _ANYHEX = re.compile(r"[0-9A-Fa-f]{64,}")
 _OPENSSH = b"openssh-key-v1\x00"
@@ -185,8 +186,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
         for m in _PEM.finditer(text):
             if is_armoured_key(m[2]):
                 found.append(("pem", *m.span()))
-    if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
+    found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     wrapped = wrapped_keys(text)
     der = [m.span() for m in _BASE64.finditer(text) if is_private_key(decode_base64(m[0]))]
     der = wrapped + [s for s in der if not any(a < s[1] and s[0] < b for a, b in wrapped)]
@@ -227,17 +227,20 @@ def redact(text: str | None) -> str | None:
 
 
 def redact_documents(documents: DataFrame) -> DataFrame:
-    """``documents`` with redacted texts, and n_chars to match if there is such a column."""
-    columns = documents.columns
+    """``documents`` with redacted texts, and n_chars to match if there is such a column; all else stays as it is."""
+    rest = [c for c in documents.columns if c not in ("text", "n_chars")]
+    counted = "n_chars" in documents.columns
+    kind = f"text string, n_chars {documents.schema['n_chars'].dataType.simpleString()}" if counted else "text string"
 
     def run(batches):
         for b in batches:
             texts = [redact(t) for t in b["text"]]
-            if "n_chars" in b:
-                b["n_chars"] = [n if t == old else len(t) for n, t, old in zip(b["n_chars"], texts, b["text"])]
-            yield b | {"text": texts}
+            out = {"text": texts}
+            if counted:
+                out["n_chars"] = [n if t == old else len(t) for n, t, old in zip(b["n_chars"], texts, b["text"])]
+            yield out
 
-    return map_columns(documents, ddl(documents, columns).rstrip(", "), run)
+    return map_columns(documents, kind, run, keep=tuple(rest)).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
