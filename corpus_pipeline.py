@@ -1,8 +1,9 @@
 """From raw documents to a training mix: language ID, near-duplicates, decontamination, secrets, mixing.
 
-Each stage takes what the one before kept; all but the last return the columns of ``documents``. A rerun over the same
-tables gives the same rows. Null columns, empty texts, repeated rows and empty tables pass through every stage; see the
-operators for what each makes of them.
+Each stage takes what the one before kept; all but the last return the columns of ``documents``, extra ones included and
+whatever their names; the last adds its own and renames those that clash. A rerun over the same tables gives the same
+rows. Null columns, empty texts, repeated rows and empty tables pass through every stage; see the operators for what each
+makes of them.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from tidewell.llm.simhash import keep_one_of_each
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts in no language (null, or without a letter); documents that lack a language get the predicted one."""
-    labelled = identify(docs, train_on(docs), keep=docs.columns).where(F.col("lang_pred") != UNKNOWN)
-    return labelled.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    labelled = identify(docs, train_on(docs), keep_all=True).where(F.col("lang_pred") != UNKNOWN)
+    lang = F.coalesce("document.lang", "lang_pred").alias("lang")
+    return labelled.select(*[lang if c == "lang" else F.col(f"document.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return found.where("not contaminated").select(*docs.columns)
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_all=True)
+    return found.where("not contaminated").select("document.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequence: the documents that the mix takes, sorted by their first position, with all their positions."""
+    """The training sequence: a row for each time that the mix takes a document, sorted by training position."""
     return training_order(curriculum_mix(docs))
 
 
