@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import columns as C
 from tidewell.operators import evaluation, graph, lifecycle, outbox, rag, retrieval, vector, working
-from tidewell.sources.store import VersionedTable
+from tidewell.sources import store
 
 
 def one(spark, expression):
@@ -117,9 +117,39 @@ def test_validation(spark):
 
 
 def test_store_versions(spark, tmp_path):
-    t = VersionedTable(spark, f"file://{tmp_path}/t", "id string, status string, note string").ensure().ensure()
-    t.append(spark.createDataFrame([("a", "active", "x"), ("b", "active", "y")], "id string, status string, note string"), 1)
-    t.patch(spark.createDataFrame([("a", "archived", None), ("zz", "archived", None)], "id string, status string, note string"), 2)
-    t.remove(spark.createDataFrame([("b",), ("zz",)], "id string"), 3)
-    assert [tuple(r) for r in t.latest().collect()] == [("a", "archived", "x")]
-    assert t.get("b").count() == 0 and t.where(status="archived", note=None).count() == 1
+    path, schema = f"file://{tmp_path}/t", "id string, status string, note string"
+    store.ensure(spark, path, schema + ", version long, deleted boolean")
+    log = store.ensure(spark, path, schema + ", version long, deleted boolean")
+    assert store.latest(log).count() == 0
+    put = lambda rows: rows.write.mode("append").parquet(path)
+    read = lambda: spark.read.parquet(path)
+    put(store.versions(spark.createDataFrame([("a", "active", "x"), ("b", "active", "y")], schema), 1))
+    put(store.patched(read(), spark.createDataFrame([("a", "archived", None), ("zz", "archived", None)], schema), 2))
+    put(store.tombstones(read(), spark.createDataFrame([("b",), ("zz",)], "id string"), 3))
+    assert [tuple(r) for r in store.latest(read()).collect()] == [("a", "archived", "x")]
+    assert store.lookup(read(), ["b"]).count() == 0 and store.matching(read(), status="archived", note=None).count() == 1
+
+
+def test_bounds_and_providers():
+    for mode, values in (("semantic", {"limit": 0}), ("other", {}), ("graph", {"related_limit": 101}), ("hybrid", {"hops": 6}), ("hybrid", {"context": 11})):
+        with pytest.raises(ValueError):
+            retrieval.check_request(mode, **values)
+    retrieval.check_request("hybrid", limit=50, hops=5, context=10, related_limit=100)
+    with pytest.raises(ValueError):
+        rag.provider("nowhere")
+
+
+def test_no_leg_left_finds_nothing(spark):
+    m = spark.createDataFrame([("a", "active", "t", "c")], "id string, status string, title string, content string")
+    q = spark.createDataFrame([(1, "x", None)], "query_id long, text string, anchor string")
+    assert retrieval.retrieve(q, m, "semantic", missing=("semantic",)).count() == 0
+
+
+def test_work_folder_must_be_shared(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidewell.session import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(cluster)

@@ -93,8 +93,9 @@ def citations(c: Column | str) -> Column:
 
 def hash_embedding(text: Column | str, dim: int = 128) -> Column:
     """Deterministic embedding: byte b of the text's SHA-256 becomes b / 128 - 1, tiled to ``dim``."""
-    digest = F.sha2(F.coalesce(col(text), F.lit("")), 256)
-    own = F.transform(F.sequence(F.lit(0), F.lit(HASH_DIM - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 128.0 - 1.0)
+    numbers = lambda digest: F.transform(F.sequence(F.lit(0), F.lit(HASH_DIM - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 128.0 - 1.0)
+    # the digest is an array's element, so that it is computed once and not for each of the 32 numbers
+    own = F.transform(F.array(F.sha2(F.coalesce(col(text), F.lit("")), 256)), numbers)[0]
     tiles = -(-dim // HASH_DIM)
     return F.slice(F.flatten(F.array_repeat(own, tiles)), 1, dim) if tiles > 1 else F.slice(own, 1, dim)
 

@@ -39,7 +39,7 @@ def evaluate(cases: DataFrame, k: int = 5) -> DataFrame:
     """Metrics of cases (case_id, mode, answer, retrieved, expected, error or null), success and failure category."""
     failed = F.col("error").isNotNull()
     scored = cases.select(
-        "case_id", "mode",
+        "case_id", "mode", *[c for c in ("latency_ms",) if c in cases.columns],
         *[F.when(failed, F.lit(0.0)).otherwise(m).alias(n) for n, m in (
             ("recall", recall_at_k("retrieved", "expected", k)), ("mrr", reciprocal_rank("retrieved", "expected")),
             ("groundedness", groundedness("answer")), ("citation_accuracy", citation_accuracy("answer", F.size("retrieved"))),
@@ -48,21 +48,16 @@ def evaluate(cases: DataFrame, k: int = 5) -> DataFrame:
     )
     success = ~F.col("_failed") & ((F.col("recall") > 0) | F.col("_open"))
     category = F.when(success, "no_failure").when(F.col("_failed"), "provider_failure").otherwise("retrieval_failure")
-    return scored.select("case_id", "mode", "recall", "mrr", "groundedness", "citation_accuracy", success.alias("success"), category.alias("failure_category"))
+    return scored.select("case_id", "mode", *[c for c in ("latency_ms",) if c in cases.columns], "recall", "mrr", "groundedness", "citation_accuracy", success.alias("success"), category.alias("failure_category"))
 
 
 def summary(results: DataFrame, *by: str) -> DataFrame:
-    """Totals, means and success rate; zeros for an empty run."""
+    """Totals, means and success rate, and the mean latency if it was measured; zeros for an empty run."""
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}")
     total, failed = F.count("*"), F.count_if(~F.col("success"))
     rate = F.when(total == 0, F.lit(0.0)).otherwise(F.lit(1.0) - failed / total)
-    return results.groupBy(*by).agg(total.alias("total_cases"), failed.alias("failed_cases"), rate.alias("success_rate"), mean("recall"), mean("mrr"), mean("groundedness"), mean("citation_accuracy"))
+    return results.groupBy(*by).agg(total.alias("total_cases"), failed.alias("failed_cases"), rate.alias("success_rate"), mean("recall"), mean("mrr"), mean("groundedness"), mean("citation_accuracy"), *[mean(c) for c in ("latency_ms",) if c in results.columns])
 
 
 def taxonomy(results: DataFrame) -> DataFrame:
     return results.groupBy("failure_category").agg(F.count("*").alias("n"))
-
-
-def cases_by_mode(cases: DataFrame, modes: list[str]) -> DataFrame:
-    """Every case under every mode."""
-    return cases.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import is_blank, is_tz_aware, strip
+from tidewell.operators.outbox import enqueue
 from tidewell.schemas import ERROR_CODES, ERROR_OTHER, LIFECYCLE_FIELDS, MEMORY_TYPES, MUTABLE, OPERATIONS, REEMBED_FIELDS, TRANSITIONS
 
 STRIPPED = ("title", "content", "source_type")
@@ -72,6 +73,21 @@ def apply_patch(memories: DataFrame, patches: DataFrame) -> DataFrame:
     return joined.select(*shown, touched.alias("needs_reembed"))
 
 
+def patched_errors(memories: DataFrame, patches: DataFrame) -> DataFrame:
+    """(id, error) of the records that a patch would leave invalid: the whole patched record is validated."""
+    touched = memories.join(patches.select("id"), "id", "left_semi")
+    return validated(apply_patch(touched, patches)).where("error is not null").select("id", "error")
+
+
+def create(candidates: DataFrame, projections: tuple[str, ...] = ("vector", "graph")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records to write, outbox events to write with them, refused candidates with error and code)."""
+    checked = validated(candidates)
+    fine = checked.where("error is null").drop("error")
+    refused = checked.where("error is not null").select("id", "error", http_code(F.lit("invalid_data")).alias("code"))
+    stamped = fine if "updated_at" in fine.columns else fine.withColumn("updated_at", F.col("created_at"))
+    return stamped, enqueue(stamped, projections), refused
+
+
 def patch_errors(patches: DataFrame) -> DataFrame:
     """(id, field, error, code) of a patch given as (id, fields map): lifecycle fields and unknown ones are refused."""
     fields = patches.select("id", F.explode(F.map_keys("fields")).alias("field"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import conjunction, iso, is_blank, non_empty, preview
-from tidewell.schemas import MEMORY_TYPES
+from tidewell.schemas import MEMORY_SCHEMA, MEMORY_TYPES
 
 RESPONSE = (
     "id", "memory_type", "status", "title", "content", "asset_id", "component_id", "incident_id", "source_type", "source_id", "created_at", "confidence",
-    "importance", "is_synthetic", "tenant_id", "facility_id", "team_id", "access_roles", "supersedes_memory_id",
+    "importance", "is_synthetic", "tenant_id", "facility_id", "team_id", "access_roles", "supersedes_memory_id", "observed_at", "updated_at", "memory_metadata",
 )
 
 
@@ -27,12 +29,12 @@ def get_memory(memories: DataFrame, memory_id: str) -> DataFrame:
 
 
 def response(memories: DataFrame) -> DataFrame:
-    """Columns of a record as the API shows them; decimals as doubles, roles never null."""
-    have = [c for c in RESPONSE if c in memories.columns]
-    shown = {"confidence": F.col("confidence").cast("double"), "importance": F.col("importance").cast("double")}
-    if "access_roles" in have:
-        shown["access_roles"] = F.coalesce("access_roles", F.array().cast("array<string>"))
-    return memories.select(*[shown.get(c, F.col(c)).alias(c) for c in have])
+    """Columns of a record as the API shows them; decimals as doubles, roles never null; what a table lacks is null."""
+    kinds = {name: kind for name, kind in (c.strip().split(" ", 1) for c in re.split(r",(?![^(]*\))", MEMORY_SCHEMA))}
+    own = {c: F.col(c) if c in memories.columns else F.lit(None).cast(kinds[c]) for c in RESPONSE}
+    own |= {c: own[c].cast("double") for c in ("confidence", "importance")}
+    own["access_roles"] = F.coalesce(own["access_roles"], F.array().cast("array<string>"))
+    return memories.select(*[own[c].alias(c) for c in RESPONSE])
 
 
 def search_view(results: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.functions.columns import citations, clamp01, non_empty, occurrences, or_default, sentences, token_count
+from tidewell.functions.columns import citations, clamp01, non_empty, occurrences, or_default, preview, sentences, token_count
 
+# The evidence block's labels and the critic's words, which answers and claims are held against.
 PREAMBLE = "Answer from the memory records below only. Cite them as [Memory N]. Say so if they are insufficient.\n\n--- EVIDENCE ---\n"
 CLOSING = "\n--- END OF EVIDENCE ---"
 NO_EVIDENCE = "(No evidence retrieved)"
@@ -23,6 +25,11 @@ def evidence(hydrated: DataFrame, most: int = 5) -> DataFrame:
     return hydrated.where("hydrated").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
 
 
+def evidence_view(rows: DataFrame) -> DataFrame:
+    """Evidence as a response shows it: the content as a preview of 300 characters."""
+    return rows.select("query_id", "n", "memory_id", "memory_type", "title", preview("content").alias("preview"), "retrieval_source", "score")
+
+
 def block() -> Column:
     """Text of one evidence row."""
     return F.concat(
@@ -51,25 +58,37 @@ def template_answer(prompted: DataFrame) -> DataFrame:
     return told.withColumn("prompt_tokens", tokens).withColumn("completion_tokens", token_count("answer"))
 
 
+#: Providers by name: functions of (system, user) text. A deployment adds its own.
+PROVIDERS: dict[str, Callable[[str, str], str]] = {"echo": lambda system, user: f"{len(system)}:{(user or '')[:40]}"}
+
+
+def provider(name: str) -> Callable[[str, str], str]:
+    if name not in PROVIDERS:
+        raise ValueError(f"no provider {name}; there are {', '.join(sorted(PROVIDERS))}")
+    return PROVIDERS[name]
+
+
 def generate(prompted: DataFrame, provider: Callable[[str, str], str], model: str) -> DataFrame:
     """Adds ``answer`` of any provider, a function of (system, user) text; called in batches on the executors.
 
-    A call that fails gives a null answer and its error.
+    A call that fails gives a null answer and its error; elapsed_ms is the time that the call took.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            answers, errors = [], []
+            answers, errors, took = [], [], []
             for system, user in zip(b["system_prompt"], b["user_prompt"]):
+                began = time.perf_counter()
                 try:
                     answers.append(provider(system, user))
                     errors.append(None)
                 except Exception as e:  # a provider's fault is a result
                     answers.append(None)
                     errors.append(str(e))
-            yield b.assign(answer=answers, error=errors, model_name=model)
+                took.append((time.perf_counter() - began) * 1000)
+            yield b.assign(answer=answers, error=errors, elapsed_ms=took, model_name=model)
 
-    schema = ", ".join(f"{n} {t}" for n, t in prompted.dtypes) + ", answer string, error string, model_name string"
+    schema = ", ".join(f"{n} {t}" for n, t in prompted.dtypes) + ", answer string, error string, elapsed_ms double, model_name string"
     return prompted.mapInPandas(run, schema)
 
 

@@ -9,17 +9,29 @@ from pyspark.sql import functions as F
 from tidewell.functions.columns import hash_embedding
 from tidewell.operators.graph import related
 from tidewell.operators.vector import build_index, search
+from tidewell.schemas import MAX_HOPS
+from tidewell.session import settle
 
 MODES = ("semantic", "graph", "hybrid")
 
 
-def check_request(mode: str, limit: int, hops: int, context: int = 5) -> None:
-    """Bounds of a request: limit 1-50, hops 1-5, context 1-10."""
+BOUNDS = {"limit": 50, "hops": MAX_HOPS, "context": 10, "related_limit": 100}
+
+
+def check_request(mode: str, **values: int) -> None:
+    """Bounds of a request: limit 1-50, hops 1-5, context 1-10, related_limit 1-100."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
-    for name, value, most in (("limit", limit, 50), ("hops", hops, 5), ("context", context, 10)):
-        if not 1 <= value <= most:
-            raise ValueError(f"{name} must be between 1 and {most}")
+    for name, value in values.items():
+        if not 1 <= value <= BOUNDS[name]:
+            raise ValueError(f"{name} must be between 1 and {BOUNDS[name]}")
+
+
+def request_errors(requests: DataFrame) -> DataFrame:
+    """``requests`` (mode and any of the bounded values) with ``error``, null for those that can be served."""
+    rules = [F.when(~F.coalesce(F.col("mode").isin(*MODES), F.lit(False)), F.lit("mode"))]
+    rules += [F.when(~F.coalesce(F.col(c).between(1, most), F.lit(False)), F.lit(c)) for c, most in BOUNDS.items() if c in requests.columns]
+    return requests.withColumn("error", F.coalesce(*rules))
 
 
 def merge_hits(semantic: DataFrame | None, graph: DataFrame | None, final_limit: int) -> DataFrame:
@@ -51,19 +63,26 @@ def hydrate(hits: DataFrame, memories: DataFrame) -> DataFrame:
 
 
 def retrieve(
-    queries: DataFrame, memories: DataFrame, mode: str = "hybrid", semantic_limit: int = 10, graph_limit: int = 50, final_limit: int = 20, hops: int = 2, index: DataFrame | None = None,
+    queries: DataFrame, memories: DataFrame, mode: str = "hybrid", semantic_limit: int = 10, graph_limit: int = 50, final_limit: int = 20, hops: int = 2, index: DataFrame | None = None, missing: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Ranked hits for queries (query_id, text, anchor or null): the anchor is given or the best vector hit."""
-    check_request(mode, final_limit, hops)
+    """Ranked hits for queries (query_id, text, anchor or null): the anchor is given or the best vector hit.
+
+    A leg named in ``missing`` ("semantic", "graph") is out of order: the other one answers alone, and a mode that has
+    no other leg finds nothing.
+    """
+    check_request(mode, limit=final_limit, hops=hops, related_limit=graph_limit)
     semantic = None
-    if mode != "graph":
+    if mode != "graph" and "semantic" not in missing:
         asked = queries.select("query_id", hash_embedding("text", 32).alias("v"))
-        semantic = search(asked, build_index(memories) if index is None else index, semantic_limit)
+        # read by the anchors, the traversal and the merge: one search for all of them, k rows a query
+        semantic = settle(search(asked, build_index(memories) if index is None else index, semantic_limit))
     neighbours = None
-    if mode != "semantic":
+    if mode != "semantic" and "graph" not in missing:
         anchors = queries.where("anchor is not null").select("query_id", "anchor")
         if semantic is not None:
             best = semantic.where("rank = 1").select("query_id", F.col("memory_id").alias("_best"))
             anchors = queries.join(best, "query_id", "left").select("query_id", F.coalesce("anchor", "_best").alias("anchor")).where("anchor is not null")
         neighbours = related(anchors, memories, hops, graph_limit)
+    if semantic is None and neighbours is None:
+        neighbours = queries.select("query_id", F.col("anchor").alias("memory_id")).limit(0)
     return merge_hits(semantic, neighbours, final_limit)

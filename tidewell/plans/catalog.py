@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell import session
 from tidewell.functions import columns as C
-from tidewell.operators import agent, evaluation, graph, lifecycle, listing, outbox, rag, retrieval, vector, working
-from tidewell.sources import derived
+from tidewell.operators import agent, evaluation, graph, lifecycle, listing, outbox, projection, rag, retrieval, vector, working
+from tidewell.schemas import MEMORY_SCHEMA, OUTBOX_SCHEMA
+from tidewell.sources import derived, store
 from tidewell.streaming import jobs
 
 QUERIES: dict = {}
@@ -112,6 +116,101 @@ def outbox_orphans(s, d):
     return listing.orphans(derived.outbox(s, d), mem(s, d).where("status <> 'archived'"), "memory_id").select("id")
 
 
+@query(f"""WITH {MEM} SELECT id, memory_type, status, title, content, asset_id, component_id, incident_id, source_type, source_id, created_at, CAST(confidence AS DOUBLE) AS confidence, CAST(importance AS DOUBLE) AS importance,
+is_synthetic, tenant_id, facility_id, team_id, CASE WHEN doc_id % 3 = 0 THEN 'ops,eng' ELSE '' END AS access_roles, supersedes_memory_id, CAST(NULL AS TIMESTAMP) AS observed_at, CAST(NULL AS TIMESTAMP) AS updated_at, CAST(NULL AS VARCHAR) AS memory_metadata FROM memories""")
+def mem_response(s, d):
+    roles = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("ops"), F.lit("eng")))
+    return listing.response(mem(s, d).withColumn("access_roles", roles)).withColumn("access_roles", F.array_join("access_roles", ","))
+
+
+@query(f"WITH {MEM} SELECT id, CAST(2 AS BIGINT) AS n FROM memories WHERE doc_id % 9 = 0")
+def mem_duplicates(s, d):
+    m = mem(s, d).select("id", "doc_id")
+    return listing.duplicates(m.union(m.where("doc_id % 9 = 0")), "id")
+
+
+@query(f"WITH {MEM} SELECT memory_type, count(*) AS n FROM memories GROUP BY memory_type ORDER BY n DESC, memory_type LIMIT 3")
+def mem_top_types(s, d):
+    return listing.count_by(mem(s, d), "memory_type").orderBy(F.desc("n"), "memory_type").limit(3)
+
+
+@query(f"WITH {MEM} SELECT id FROM memories WHERE memory_type = 'incident' AND facility_id = 'facility-en'")
+def mem_explorer(s, d):
+    return listing.explorer(mem(s, d), memory_type="incident", facility_id="facility-en", status="", asset_id=None).select("id")
+
+
+@query("SELECT k AS grp, CASE k WHEN 1 THEN 'healthy' ELSE 'degraded' END AS status FROM (VALUES (1), (2)) v(k)")
+def mem_health(s, d):
+    rows = s.createDataFrame([(1, "db", "healthy"), (1, "graph", None), (2, "db", "healthy"), (2, "graph", "down")], "grp int, name string, status string")
+    return listing.health(rows.where("grp = 1")).select(F.lit(1).alias("grp"), "status").union(listing.health(rows.where("grp = 2")).select(F.lit(2), "status"))
+
+
+@query(rf"""WITH {MEM} SELECT doc_id, regexp_matches(lower(id), '^[0-9a-f]{{8}}-([0-9a-f]{{4}}-){{3}}[0-9a-f]{{12}}$') AS id_is_uuid, false AS title_is_uuid, 'a|' || title AS ids, doc_id % 3 <> 0 AS zoned, true AS stamped FROM memories""")
+def text_functions(s, d):
+    at = F.concat(F.lit("2024-01-01T00:00:00"), F.when(F.col("doc_id") % 3 == 1, "Z").when(F.col("doc_id") % 3 == 2, "+02:00").otherwise(""))
+    ids = F.array_join(C.split_ids(F.concat(F.lit(" a, ,"), "title", F.lit(" ,"))), "|")
+    now = F.coalesce(F.lit(None).cast("timestamp"), F.current_timestamp())
+    return mem(s, d).select("doc_id", C.is_uuid("id").alias("id_is_uuid"), C.is_uuid("title").alias("title_is_uuid"), ids.alias("ids"), C.is_tz_aware(at).alias("zoned"), (now <= F.current_timestamp()).alias("stamped"))
+
+
+@query("SELECT * FROM (VALUES ('memories', CAST(22 AS BIGINT), CAST(0 AS BIGINT)), ('outbox', 9, 0)) v(name, n_columns, n_rows)")
+def ddl_tables(s, d):
+    base = jobs.scratch(s, "ddl")
+    rows = []
+    for name, schema in (("memories", MEMORY_SCHEMA), ("outbox", OUTBOX_SCHEMA)):
+        for _ in range(2):  # the second call finds the table
+            table = store.ensure(s, f"{base}/{name}", schema)
+        rows.append((name, len(table.columns), table.count()))
+    return s.createDataFrame(rows, "name string, n_columns long, n_rows long")
+
+
+# --- versioned records ------------------------------------------------------------------------------------------------
+LATEST = """lt AS (SELECT id, CASE WHEN doc_id % 7 = 0 THEN concat('second ', title) ELSE title END AS title, CASE WHEN doc_id % 5 = 0 THEN 'archived' ELSE status END AS status FROM memories WHERE doc_id % 11 <> 0)"""
+
+
+def _log(s, d) -> DataFrame:
+    """A log on disk: inserts, then updates, a partial update and deletes."""
+    path, m = jobs.scratch(s, "log"), mem(s, d).select("id", "title", "status", "doc_id")
+    store.ensure(s, path, "id string, title string, status string, version long, deleted boolean")
+    rows = lambda df: df.select("id", "title", "status")
+    put = lambda df: df.write.mode("append").parquet(path)
+    put(store.versions(rows(m), 1))
+    put(store.versions(rows(m.where("doc_id % 7 = 0").withColumn("title", F.concat(F.lit("second "), "title"))), 2))
+    put(store.patched(s.read.parquet(path), m.where("doc_id % 5 = 0").select("id", F.lit("archived").alias("status"), F.lit(None).cast("string").alias("title")), 3))
+    put(store.tombstones(s.read.parquet(path), m.where("doc_id % 11 = 0").select("id").union(s.sql("select 'nowhere'")), 4))
+    return s.read.parquet(path)
+
+
+@query(f"WITH {MEM}, {LATEST} SELECT * FROM lt")
+def store_latest(s, d):
+    return store.latest(_log(s, d))
+
+
+@query(f"WITH {MEM}, {LATEST} SELECT * FROM lt WHERE id IN ('00000000-0000-4000-8000-000000000007', '00000000-0000-4000-8000-000000000010', '00000000-0000-4000-8000-000000000011')")
+def store_lookup(s, d):
+    return store.lookup(_log(s, d), [f"00000000-0000-4000-8000-{i:012d}" for i in (7, 10, 11)])
+
+
+@query(f"WITH {MEM}, {LATEST} SELECT * FROM lt WHERE status = 'archived'")
+def store_matching(s, d):
+    return store.matching(_log(s, d), status="archived", title=None)
+
+
+@query(f"WITH {MEM} SELECT CAST(v AS BIGINT) AS version, v = 4 AS deleted, count(*) AS n FROM (SELECT doc_id, unnest([1, 2, 3, 4]) AS v FROM memories) WHERE v = 1 OR (v = 2 AND doc_id % 7 = 0) OR (v = 3 AND doc_id % 5 = 0) OR (v = 4 AND doc_id % 11 = 0) GROUP BY v")
+def store_versions(s, d):
+    return _log(s, d).groupBy("version", "deleted").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS id, user_id, event_type FROM events WHERE event_id < 300")
+def jdbc_roundtrip(s, d):
+    """A relational table written and read in ranges; the embedded database lives in the driver, so local mode only."""
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = s.read.parquet(f"{d}/events.parquet").where("event_id < 300").select(F.col("event_id").alias("ID"), F.col("user_id").alias("USER_ID"), F.col("event_type").alias("EVENT_TYPE"))
+    rows.write.format("jdbc").option("url", url).option("dbtable", "EVENTS").options(**driver).save()
+    back = store.read_jdbc(s, url, "EVENTS", "ID", 4, 0, 300, **driver)
+    return back.toDF("id", "user_id", "event_type")
+
+
 # --- lifecycle --------------------------------------------------------------------------------------------------------
 _OPS = "(VALUES ('archive', 'archived'), ('dispute', 'disputed'), ('supersede', 'superseded'), ('restore', 'active')) o(op, target)"
 _OK = "((status = 'active' AND target IN ('archived', 'disputed', 'superseded')) OR (status = 'disputed' AND target IN ('archived', 'active')))"
@@ -148,6 +247,39 @@ def patch_errors(s, d):
     return lifecycle.patch_errors(mem(s, d).select("id", fields.alias("fields")))
 
 
+_CAND = """c AS (SELECT doc_id, concat('c', substr(id, 2, 35)) AS id, CASE WHEN doc_id % 12 = 1 THEN '  ' ELSE concat(' ', title, ' ') END AS title, text AS content, 'operator' AS source_type, CAST(confidence AS DOUBLE) + CASE WHEN doc_id % 30 = 4 THEN 1 ELSE 0 END AS confidence, CAST(importance AS DOUBLE) AS importance, memory_type, created_at FROM memories JOIN documents USING (doc_id))"""
+_BAD = r"CASE WHEN trim(title) = '' THEN 'title is blank' WHEN regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') = '' THEN 'content is blank' WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence is out of range' END"
+
+
+def _created(s, d):
+    title = F.when(F.col("doc_id") % 12 == 1, "  ").otherwise(F.concat(F.lit(" "), "title", F.lit(" ")))
+    extra = F.when(F.col("doc_id") % 30 == 4, 1).otherwise(0)
+    rows = mem(s, d).select(F.concat(F.lit("c"), F.substring("id", 2, 35)).alias("id"), title.alias("title"), "content", F.lit("operator").alias("source_type"), (F.col("confidence").cast("double") + extra).alias("confidence"), F.col("importance").cast("double").alias("importance"), "memory_type", "created_at")
+    return lifecycle.create(rows)
+
+
+@query(rf"WITH {MEM}, {_CAND} SELECT id, trim(title) AS title, 'active' AS status, created_at AS updated_at FROM c WHERE {_BAD} IS NULL")
+def create_rows(s, d):
+    return _created(s, d)[0].select("id", "title", "status", "updated_at")
+
+
+@query(rf"WITH {MEM}, {_CAND} SELECT id AS memory_id, unnest(['vector', 'graph']) AS projection_type, 'pending' AS status, CAST(0 AS INT) AS retry_count FROM c WHERE {_BAD} IS NULL")
+def create_outbox(s, d):
+    return _created(s, d)[1].select("memory_id", "projection_type", "status", "retry_count")
+
+
+@query(rf"WITH {MEM}, {_CAND} SELECT id, {_BAD} AS error, CAST(422 AS INT) AS code FROM c WHERE {_BAD} IS NOT NULL")
+def create_refused(s, d):
+    return _created(s, d)[2]
+
+
+@query(rf"WITH {MEM} SELECT id, CASE WHEN doc_id % 6 = 0 THEN 'title is blank' WHEN regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') = '' THEN 'content is blank' ELSE 'importance is out of range' END AS error FROM memories WHERE doc_id % 2 = 0 AND (doc_id % 6 = 0 OR doc_id % 10 = 0 OR regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') = '')")
+def patch_validation(s, d):
+    m = mem(s, d).withColumn("importance", F.col("importance").cast("double"))
+    patches = m.where("doc_id % 2 = 0").select("id", F.when(F.col("doc_id") % 6 == 0, " ").alias("title"), F.when(F.col("doc_id") % 10 == 0, 1.5).alias("importance"))
+    return lifecycle.patched_errors(m, patches)
+
+
 def _replacements(m: DataFrame) -> DataFrame:
     new = m.where("doc_id % 4 = 1").select(F.col("id").alias("old_id"), F.concat(F.lit("f"), F.substring("id", 2, 35)).alias("id"), "memory_type", F.when(F.col("doc_id") % 12 == 1, " ").otherwise(F.concat(F.lit(" new "), "title")).alias("title"), "content", "source_type", "confidence", "importance")
     return new
@@ -232,6 +364,19 @@ def hash_embedding_topk(s, d):
     return _rounded(vector.search(asked, vector.build_index(m)))
 
 
+@query(f"WITH {MEM} SELECT id AS memory_id FROM memories WHERE status <> 'superseded' AND (doc_id % 6 = 0 OR doc_id % 25 = 1)")
+def index_changed(s, d):
+    m = mem(s, d)
+    later = m.withColumn("title", F.when(F.col("doc_id") % 6 == 0, F.concat("title", F.lit(" again"))).otherwise(F.col("title")))
+    return vector.changed_since(vector.build_index(m.where("doc_id % 25 <> 1")), later).select("memory_id")
+
+
+@query(f"WITH {MEM} SELECT id AS memory_id, CAST(length(concat_ws(' ', nullif(title, ''), nullif(content, ''))) AS DOUBLE) AS v1 FROM memories WHERE status <> 'superseded'")
+def index_own_embedding(s, d):
+    lengths = lambda text, dim: F.array(F.length(text).cast("double"))
+    return vector.build_index(mem(s, d), 1, lengths).select("memory_id", F.col("v")[0].alias("v1"))
+
+
 # --- graph ------------------------------------------------------------------------------------------------------------
 _TENANT = "coalesce(nullif(tenant_id, ''), 'global')"
 EDG = "edges AS MATERIALIZED (" + " UNION ALL ".join(
@@ -261,13 +406,13 @@ def graph_nodes(s, d):
     return graph.nodes(mem(s, d))
 
 
-def reach_sql(hops: int, limit: int, anchors: str = "anchors") -> str:
-    """CTEs that end in rel(query_id, memory_id, rank)."""
-    parts = [f"lk AS MATERIALIZED (SELECT DISTINCT memory_id, 'e' || entity_key AS node FROM edges UNION SELECT unnest([id, supersedes_memory_id]), 's' || id || supersedes_memory_id FROM memories WHERE supersedes_memory_id IS NOT NULL)", f"f0 AS MATERIALIZED (SELECT DISTINCT query_id, anchor AS memory_id, unnest(['e', 's']) AS kind FROM {anchors} WHERE anchor IN (SELECT id FROM memories))"]
+def reach_sql(hops: int, limit: int, anchors: str = "anchors", x: str = "") -> str:
+    """CTEs that end in rel(query_id, memory_id, rank); ``x`` ends their names."""
+    parts = [f"lk{x} AS MATERIALIZED (SELECT DISTINCT memory_id, 'e' || entity_key AS node FROM edges UNION SELECT unnest([id, supersedes_memory_id]), 's' || id || supersedes_memory_id FROM memories WHERE supersedes_memory_id IS NOT NULL)", f"f0{x} AS MATERIALIZED (SELECT DISTINCT query_id, anchor AS memory_id, unnest(['e', 's']) AS kind FROM {anchors} WHERE anchor IN (SELECT id FROM memories))"]
     for h in range(1, hops + 1):
-        parts.append(f"f{h} AS MATERIALIZED (SELECT DISTINCT query_id, b.memory_id, kind FROM f{h - 1} f JOIN lk a ON a.memory_id = f.memory_id AND a.node[1] = kind JOIN lk b ON b.node = a.node)")
-    union = " UNION ".join(f"SELECT query_id, memory_id FROM f{h}" for h in range(1, hops + 1))
-    parts.append(f"rel AS MATERIALIZED (SELECT u.query_id, u.memory_id, CAST(row_number() OVER (PARTITION BY u.query_id ORDER BY u.memory_id) AS INT) AS rank FROM ({union}) u JOIN {anchors} n ON n.query_id = u.query_id WHERE u.memory_id <> n.anchor QUALIFY rank <= {limit})")
+        parts.append(f"f{h}{x} AS MATERIALIZED (SELECT DISTINCT query_id, b.memory_id, kind FROM f{h - 1}{x} f JOIN lk{x} a ON a.memory_id = f.memory_id AND a.node[1] = kind JOIN lk{x} b ON b.node = a.node)")
+    union = " UNION ".join(f"SELECT query_id, memory_id FROM f{h}{x}" for h in range(1, hops + 1))
+    parts.append(f"rel{x} AS MATERIALIZED (SELECT u.query_id, u.memory_id, CAST(row_number() OVER (PARTITION BY u.query_id ORDER BY u.memory_id) AS INT) AS rank FROM ({union}) u JOIN {anchors} n ON n.query_id = u.query_id WHERE u.memory_id <> n.anchor QUALIFY rank <= {limit})")
     return ", ".join(parts)
 
 
@@ -319,6 +464,41 @@ def retrieve_graph(s, d):
     return _retrieved(m, _questions(m).withColumn("anchor", F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("query_id").cast("string"), 12, "0"))), "graph")
 
 
+@query(f"WITH {MEM}, {IDX}, {ASK}, {SEM}, hits AS (SELECT query_id, memory_id, score, 'semantic' AS retrieval_source, CAST(NULL AS VARCHAR) AS graph_path, rank FROM sem) {SHOWN}")
+def retrieve_without_graph(s, d):
+    m = mem(s, d)
+    hits = retrieval.hydrate(retrieval.retrieve(_questions(m), m, "hybrid", missing=("graph",)), m)
+    return hits.select("query_id", "memory_id", F.round("score", 6).alias("score"), "retrieval_source", "graph_path", "rank", "hydrated", "title")
+
+
+@query(f"WITH {MEM}, {EDG}, {ANC}, {reach_sql(1, 20)}, hits AS (SELECT query_id, memory_id, CAST(NULL AS DOUBLE) AS score, 'graph' AS retrieval_source, 'graph_expansion' AS graph_path, rank FROM rel) {SHOWN}")
+def retrieve_without_vectors(s, d):
+    m = mem(s, d)
+    asked = m.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("content").alias("text"), F.col("id").alias("anchor"))
+    hits = retrieval.hydrate(retrieval.retrieve(asked, m, "hybrid", graph_limit=20, hops=1, missing=("semantic",)), m)
+    return hits.select("query_id", "memory_id", F.round("score", 6).alias("score"), "retrieval_source", "graph_path", "rank", "hydrated", "title")
+
+
+@query("""SELECT *, CASE WHEN mode NOT IN ('semantic', 'graph', 'hybrid') THEN 'mode' WHEN "limit" NOT BETWEEN 1 AND 50 THEN 'limit' WHEN hops NOT BETWEEN 1 AND 5 THEN 'hops' WHEN context NOT BETWEEN 1 AND 10 THEN 'context' WHEN related_limit NOT BETWEEN 1 AND 100 THEN 'related_limit' END AS error
+FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'semantic' WHEN 1 THEN 'graph' WHEN 2 THEN 'hybrid' ELSE 'other' END AS mode, event_id % 60 AS "limit", event_id % 7 AS hops, event_id % 13 AS context, event_id % 110 AS related_limit FROM events)""")
+def request_bounds(s, d):
+    mode = F.get(F.array(*[F.lit(x) for x in ("semantic", "graph", "hybrid", "other")]), (F.col("event_id") % 4).cast("int"))
+    rows = s.read.parquet(f"{d}/events.parquet").select("event_id", mode.alias("mode"), *[(F.col("event_id") % n).alias(c) for c, n in (("limit", 60), ("hops", 7), ("context", 13), ("related_limit", 110))])
+    return retrieval.request_errors(rows)
+
+
+@query(f"WITH {HYBRID}, {MERGED.format(n=5)} SELECT query_id, memory_id, title, substr(content, 1, 300) AS content, retrieval_source, round(score, 6) AS score, rank FROM hits JOIN memories ON id = memory_id")
+def tool_retrieval(s, d):
+    m = mem(s, d)
+    return agent.retrieval_tool(_questions(m), m).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {MEM}, {EDG}, {ANC}, {reach_sql(2, 20)} SELECT query_id, memory_id, rank FROM rel")
+def tool_graph(s, d):
+    m = mem(s, d)
+    return agent.graph_tool(m.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("id").alias("anchor")), m)
+
+
 EVI = "ev AS (SELECT * FROM (SELECT hits.*, m.memory_type, m.title, m.content, m.asset_id, m.facility_id, m.confidence, m.importance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS n FROM hits JOIN memories m ON m.id = memory_id) WHERE n <= 5)"
 _BLOCK = r"concat('[Memory ', n, ': ', memory_id, ']', chr(10), 'Type: ', memory_type, ' | Source: ', retrieval_source, ' | Confidence: ', format('{:.2f}', CAST(confidence AS DOUBLE)), ' | Importance: ', format('{:.2f}', CAST(importance AS DOUBLE)), chr(10), 'Asset: ', coalesce(nullif(asset_id, ''), 'N/A'), ' | Facility: ', coalesce(nullif(facility_id, ''), 'N/A'), chr(10), 'Title: ', coalesce(title, ''), chr(10), 'Content: ', coalesce(content, ''))"
 _Q = lambda t: t.replace("'", "''").replace("\n", "' || chr(10) || '")
@@ -338,6 +518,19 @@ def rag_evidence(s, d):
     return rows.select("query_id", "n", "memory_id", "retrieval_source", F.round("score", 6).alias("score"), "title", "asset_id", "facility_id", F.col("confidence").cast("double").alias("confidence"))
 
 
+@query(f"WITH {RAG} SELECT query_id, n, memory_id, memory_type, title, substr(content, 1, 300) AS preview, retrieval_source, round(score, 6) AS score FROM ev")
+def rag_evidence_view(s, d):
+    m = mem(s, d)
+    return rag.evidence_view(_evidence(m, _questions(m))).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {RAG} SELECT query_id, length(system_prompt) || ':' || substr(coalesce(user_prompt, ''), 1, 40) AS answer, CAST(NULL AS VARCHAR) AS error, 'echo' AS model_name, true AS timed FROM pr")
+def rag_provider(s, d):
+    m = mem(s, d)
+    told = rag.generate(rag.prompts(_questions(m), _evidence(m, _questions(m))).drop("evidence_ids"), rag.provider("echo"), "echo")
+    return told.select("query_id", "answer", "error", "model_name", (F.col("elapsed_ms") >= 0).alias("timed"))
+
+
 @query(f"WITH {RAG} SELECT query_id, user_prompt, system_prompt, n_evidence FROM pr")
 def rag_prompt(s, d):
     m = mem(s, d)
@@ -353,12 +546,35 @@ def rag_answer_tokens(s, d):
     return told.select("query_id", mentions.alias("mentions"), "prompt_tokens")
 
 
-@query()
+_NS = "len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda x: x <> ''))"
+_ANSWER = "'[SYNTHETIC RESPONSE] Based on ' || CAST((length(system_prompt) - length(replace(system_prompt, '[Memory', ''))) // 7 + (length(system_prompt) - length(replace(system_prompt, 'Memory ID', ''))) // 9 AS INT) || ' retrieved memory records, this addresses: ' || substr(coalesce(user_prompt, ''), 1, 200) || chr(10) || 'Findings are deterministic and derive from the context alone.'"
+TRACES = rf"""{HYBRID}, {MERGED.format(n=10)}, {EVI}, {PROMPT}, first AS MATERIALIZED (SELECT query_id, memory_id AS anchor FROM hits WHERE rank = 1), {reach_sql(2, 20, "first", "w")},
+told AS (SELECT query_id, n_evidence, {_ANSWER} AS answer FROM pr), ci AS (SELECT *, len(regexp_extract_all(answer, '\[Memory\s+(\d+)\]', 1)) AS nc, len(list_filter(list_transform(regexp_extract_all(answer, '\[Memory\s+(\d+)\]', 1), lambda x: CAST(x AS BIGINT)), lambda x: x < 1 OR x > n_evidence)) AS nb FROM told),
+tr AS (SELECT query_id, n_evidence > 0 AND nb = 0 AND nc > 0 AS is_supported, CASE WHEN n_evidence = 0 THEN 0 ELSE greatest(0, least(1, 1 - nb * CAST(0.3 AS DOUBLE) - CASE WHEN nc = 0 THEN CAST(0.2 AS DOUBLE) ELSE 0 END)) END AS confidence,
+{{'retrieval': (SELECT count(*) FROM hits h WHERE h.query_id = ci.query_id), 'graph_traversal': (SELECT count(*) FROM relw r WHERE r.query_id = ci.query_id), 'generation': CAST({_NS.format(t='answer')} AS BIGINT), 'critic': CAST(CASE WHEN n_evidence = 0 THEN 0 ELSE nc END AS BIGINT)}} AS ns,
+(SELECT string_agg(memory_id, ',' ORDER BY rank) FROM hits h WHERE h.query_id = ci.query_id) AS evidence_ids FROM ci)"""
+
+
+@query(f"WITH {TRACES} SELECT query_id, step, CASE step WHEN 'retrieval' THEN ns.retrieval WHEN 'graph_traversal' THEN ns.graph_traversal WHEN 'generation' THEN ns.generation ELSE ns.critic END AS n, is_supported, confidence FROM tr, (VALUES ('retrieval'), ('graph_traversal'), ('generation'), ('critic')) k(step)")
 def agent_trace_steps(s, d):
     m = mem(s, d)
     return agent.run_workflow(_questions(m), m).withColumn("step", F.explode("steps")).select("query_id", "step.step", "step.n", "is_supported", "confidence")
 
 
+@query(f"WITH {TRACES} SELECT query_id, coalesce(evidence_ids, '') AS evidence_ids, CAST(5 AS INT) AS n_steps, 'review' AS last_step FROM tr")
+def agent_trace_evidence(s, d):
+    m = mem(s, d)
+    traces = agent.append_step(agent.run_workflow(_questions(m), m), "review", 1)
+    return traces.select("query_id", F.array_join("evidence_ids", ",").alias("evidence_ids"), F.size("steps").alias("n_steps"), F.element_at("steps", -1)["step"].alias("last_step"))
+
+
+@query(f"WITH {MEM} SELECT doc_id AS query_id FROM memories WHERE doc_id % 50 = 0 ORDER BY created_at DESC, doc_id DESC LIMIT 5")
+def agent_recent_traces(s, d):
+    m = mem(s, d)
+    when = m.select(F.col("doc_id").alias("query_id"), "created_at")
+    return agent.recent(agent.run_workflow(_questions(m), m).join(when, "query_id")).select("query_id")
+
+
 # --- critic and evaluation --------------------------------------------------------------------------------------------
 ANSWERS = "SELECT doc_id, concat(content, ' This first claim is backed by [Memory ', CAST(doc_id % 7 AS STRING), ']. This second claim is not backed by anything at all! See [Memory 1]?') AS answer, CAST(doc_id % 6 AS INT) AS n_evidence FROM {m} WHERE content IS NOT NULL"
 _SENT = r"list_filter(list_transform(regexp_split_to_array(answer, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
@@ -389,33 +605,40 @@ def eval_citation(s, d):
     return _answers(s, d).select("doc_id", F.round(evaluation.citation_accuracy("answer", "n_evidence"), 6).alias("accuracy"))
 
 
-CASES = f"""bq AS (SELECT item_id AS query_id, {HASH.format(t="coalesce(text, '')")} AS v FROM benchmark),
-bs AS (SELECT query_id, memory_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(bq.v, idx.v) DESC, memory_id) AS INT) AS rank FROM bq, idx QUALIFY rank <= 10),
-ret AS MATERIALIZED (SELECT query_id, list(memory_id ORDER BY rank) AS retrieved FROM bs GROUP BY query_id),
-cs AS (SELECT b.item_id AS case_id, coalesce(b.text, '') || ' See [Memory 2] and [Memory 99].' AS answer, coalesce(retrieved, []) AS retrieved,
-CASE WHEN b.item_id % 4 = 0 THEN [] WHEN b.item_id % 4 = 1 THEN [retrieved[3], 'x'] WHEN b.item_id % 4 = 2 THEN ['x'] ELSE [retrieved[7], retrieved[1]] END AS expected, b.item_id % 9 = 8 AS failed FROM benchmark b LEFT JOIN ret ON ret.query_id = b.item_id)"""
-EVAL = rf"""{MEM}, {IDX}, {CASES}, w AS (SELECT *, {_SENT} AS st, {_CITED} AS ci FROM cs),
-e AS (SELECT case_id, unnest(['semantic', 'hybrid']) AS mode, expected, failed,
+CASES = f"""ask AS MATERIALIZED (SELECT item_id AS query_id, {HASH.format(t="coalesce(text, '')")} AS v FROM benchmark), {SEM}, {BEST}, {reach_sql(2, 50, 'best')}, {MERGED.format(n=10)},
+found AS (SELECT 'semantic' AS mode, query_id, memory_id, rank FROM sem UNION ALL SELECT 'hybrid', query_id, memory_id, rank FROM hits),
+ret AS MATERIALIZED (SELECT mode, query_id, list(memory_id ORDER BY rank) AS retrieved FROM found GROUP BY mode, query_id),
+ex AS (SELECT query_id, retrieved AS r FROM ret WHERE mode = 'semantic'),
+cs AS (SELECT b.item_id AS case_id, md.mode, CAST(b.item_id % 50 AS DOUBLE) AS latency_ms, coalesce(b.text, '') || ' See [Memory 2] and [Memory 99].' AS answer, coalesce(retrieved, []) AS retrieved,
+CASE WHEN b.item_id % 4 = 0 THEN [] WHEN b.item_id % 4 = 1 THEN [r[3], 'x'] WHEN b.item_id % 4 = 2 THEN ['x'] ELSE [r[7], r[1]] END AS expected, b.item_id % 9 = 8 AS failed
+FROM benchmark b CROSS JOIN (VALUES ('semantic'), ('hybrid')) md(mode) LEFT JOIN ret ON ret.query_id = b.item_id AND ret.mode = md.mode LEFT JOIN ex ON ex.query_id = b.item_id)"""
+EVAL = rf"""{MEM}, {EDG}, {IDX}, {CASES}, w AS (SELECT *, {_SENT} AS st, {_CITED} AS ci FROM cs),
+e AS (SELECT case_id, mode, latency_ms, expected, failed,
 CASE WHEN failed THEN 0 WHEN len(expected) = 0 THEN 1 ELSE len(list_filter(expected, lambda x: list_contains(retrieved[1:5], x))) / CAST(len(expected) AS DOUBLE) END AS recall,
 CASE WHEN failed THEN 0 ELSE coalesce(CAST(1 AS DOUBLE) / list_min(list_filter(list_transform(expected, lambda x: list_position(retrieved, x)), lambda p: p > 0)), 0) END AS mrr,
 CASE WHEN failed THEN 0 WHEN len(list_filter(st, lambda x: length(x) > 30)) = 0 THEN 1 ELSE len(list_filter(st, lambda x: length(x) > 30 AND regexp_matches(x, '\[Memory\s+\d+\]'))) / CAST(len(list_filter(st, lambda x: length(x) > 30)) AS DOUBLE) END AS groundedness,
 CASE WHEN failed THEN 0 WHEN len(retrieved) = 0 THEN 1 ELSE len(list_filter(ci, lambda x: x BETWEEN 1 AND len(retrieved))) / CAST(len(ci) AS DOUBLE) END AS citation_accuracy FROM w),
 f AS (SELECT *, NOT failed AND (recall > 0 OR len(expected) = 0) AS success FROM e),
-res AS (SELECT case_id, mode, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(groundedness, 6) AS groundedness, round(citation_accuracy, 6) AS citation_accuracy, success, CASE WHEN success THEN 'no_failure' WHEN failed THEN 'provider_failure' ELSE 'retrieval_failure' END AS failure_category FROM f)"""
+res AS (SELECT case_id, mode, latency_ms, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(groundedness, 6) AS groundedness, round(citation_accuracy, 6) AS citation_accuracy, success, CASE WHEN success THEN 'no_failure' WHEN failed THEN 'provider_failure' ELSE 'retrieval_failure' END AS failure_category FROM f)"""
 
 
 def _results(s, d):
-    b = s.read.parquet(f"{d}/benchmark.parquet")
-    hits = vector.search(b.select(F.col("item_id").alias("query_id"), C.hash_embedding("text", 32).alias("v")), vector.build_index(mem(s, d)))
-    found = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "memory_id")))["memory_id"].alias("retrieved"))  # 10 at most
-    r, kind = (lambda i: F.get("retrieved", F.lit(i))), F.col("item_id") % 4
-    x = F.lit("x")
+    """Every case retrieved under each mode; the time a case took comes with the case."""
+    b, m = s.read.parquet(f"{d}/benchmark.parquet"), mem(s, d)
+    asked = b.select(F.col("item_id").alias("query_id"), "text", F.lit(None).cast("string").alias("anchor"))
+    listed = lambda mode: retrieval.retrieve(asked, m, mode, final_limit=10).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "memory_id")))["memory_id"].alias("retrieved"))  # noqa: E731  10 at most
+    semantic = session.settle(listed("semantic"))
+    r, kind, x = (lambda i: F.get("r", F.lit(i))), F.col("item_id") % 4, F.lit("x")
     expected = F.when(kind == 0, F.array().cast("array<string>")).when(kind == 1, F.array(r(2), x)).when(kind == 2, F.array(x)).otherwise(F.array(r(6), r(0)))
-    cases = b.join(found, b["item_id"] == found["query_id"], "left").select(
-        F.col("item_id").alias("case_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" See [Memory 2] and [Memory 99].")).alias("answer"),
-        F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"), expected.alias("expected"), F.when(F.col("item_id") % 9 == 8, "provider is down").alias("error"),
-    )
-    out = evaluation.evaluate(evaluation.cases_by_mode(cases, ["semantic", "hybrid"]))
+    wanted = b.join(semantic.select(F.col("query_id").alias("item_id"), F.col("retrieved").alias("r")), "item_id", "left").select("item_id", "text", expected.alias("expected"))
+    cases = None
+    for mode, found in (("semantic", semantic), ("hybrid", listed("hybrid"))):
+        own = wanted.join(found.withColumnRenamed("query_id", "item_id"), "item_id", "left").select(
+            F.col("item_id").alias("case_id"), F.lit(mode).alias("mode"), (F.col("item_id") % 50).cast("double").alias("latency_ms"), F.concat(F.coalesce("text", F.lit("")), F.lit(" See [Memory 2] and [Memory 99].")).alias("answer"),
+            F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"), "expected", F.when(F.col("item_id") % 9 == 8, "provider is down").alias("error"),
+        )
+        cases = own if cases is None else cases.union(own)
+    out = evaluation.evaluate(cases)
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -424,7 +647,7 @@ def eval_recall_mrr(s, d):
     return _results(s, d)
 
 
-@query(f"WITH {EVAL} SELECT count(*) AS total_cases, CAST(count_if(NOT success) AS BIGINT) AS failed_cases, round(1 - count_if(NOT success) / CAST(count(*) AS DOUBLE), 6) AS success_rate, round(avg(recall), 6) AS mean_recall, round(avg(mrr), 6) AS mean_mrr, round(avg(groundedness), 6) AS mean_groundedness, round(avg(citation_accuracy), 6) AS mean_citation_accuracy FROM res")
+@query(f"WITH {EVAL} SELECT count(*) AS total_cases, CAST(count_if(NOT success) AS BIGINT) AS failed_cases, round(1 - count_if(NOT success) / CAST(count(*) AS DOUBLE), 6) AS success_rate, round(avg(recall), 6) AS mean_recall, round(avg(mrr), 6) AS mean_mrr, round(avg(groundedness), 6) AS mean_groundedness, round(avg(citation_accuracy), 6) AS mean_citation_accuracy, round(avg(latency_ms), 6) AS mean_latency_ms FROM res")
 def eval_run_summary(s, d):
     out = evaluation.summary(_results(s, d))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
@@ -468,6 +691,15 @@ def promotion_records(s, d):
     return out.select("session_id", "seq", "title", "status", F.col("metadata")["promotion_reason"].alias("reason"), F.col("metadata")["evidence_memory_ids"].alias("evidence"), F.col("metadata")["origin"].alias("origin"))
 
 
+@query(f"WITH {WRK} SELECT session_id, seq, 'observation' AS item_type, 'radio' AS source, CAST(0.7 AS DOUBLE) AS confidence, CAST(0.5 AS DOUBLE) AS importance FROM items WHERE item_type = 'user_input' UNION ALL SELECT session_id, seq, 'retrieved_evidence', 'retrieval', NULL, NULL FROM items WHERE item_type = 'agent_step' AND session_id <> 1")
+def wm_typed(s, d):
+    items = derived.working_items(s, d)
+    seen = working.observation(working.of_type(items, "user_input"), "radio", 0.7).drop("content")
+    ids = F.array(F.concat(F.lit("m"), "seq"))
+    told = working.evidence_item(working.cleared(working.of_type(items, "agent_step"), 1).withColumn("evidence_memory_ids", ids))
+    return seen.unionByName(told.drop("content", "evidence_memory_ids"), allowMissingColumns=True)
+
+
 # --- outbox -----------------------------------------------------------------------------------------------------------
 _DONE = "CASE WHEN retry_count >= max_retries THEN 'failed' WHEN succeeds THEN 'completed' WHEN retry_count + 1 >= max_retries THEN 'failed' ELSE 'retrying' END"
 _COUNT = "CAST(CASE WHEN retry_count < max_retries AND NOT succeeds THEN retry_count + 1 ELSE retry_count END AS INT)"
@@ -485,6 +717,30 @@ def outbox_batch_summary(s, d):
     return outbox.summary(outbox.process(outbox.take_batch(derived.outbox(s, d))))
 
 
+_THERE = f"o AS (SELECT outbox.* EXCLUDE (succeeds), m.id IS NOT NULL AS succeeds, CASE WHEN m.id IS NULL THEN 0 WHEN projection_type = 'vector' THEN CAST(m.status <> 'superseded' AS BIGINT) ELSE coalesce(g.n, 0) END AS written FROM ({_READY}) outbox LEFT JOIN memories m ON m.id = outbox.memory_id LEFT JOIN (SELECT memory_id, count(*) AS n FROM edges GROUP BY memory_id) g ON g.memory_id = outbox.memory_id)"
+
+
+@query(f"WITH {MEM}, {EDG}, {OUT}, {_THERE} SELECT id, memory_id, projection_type, written, succeeds FROM o")
+def outbox_dispatch(s, d):
+    return projection.dispatch(outbox.take_batch(derived.outbox(s, d), None), mem(s, d)).select("id", "memory_id", "projection_type", "written", "succeeds")
+
+
+@query(f"WITH {MEM}, {EDG}, {OUT}, {_THERE} SELECT id, CASE WHEN retry_count >= max_retries THEN 'failed' WHEN succeeds THEN 'completed' ELSE 'failed' END AS status, CAST(CASE WHEN retry_count >= max_retries OR succeeds THEN retry_count ELSE max_retries END AS INT) AS retry_count FROM o")
+def outbox_drained(s, d):
+    return projection.drain(outbox.take_batch(derived.outbox(s, d), None), mem(s, d)).select("id", "status", "retry_count")
+
+
+@query("SELECT * FROM (VALUES ('vector', true, NULL), ('graph', false, 'graph is down'), ('audit', true, NULL)) v(projection, ok, error)")
+def projections_apart(s, d):
+    def down(changes):
+        raise RuntimeError("graph is down")
+
+    base = jobs.scratch(s, "projected")
+    vectors = lambda rows: vector.build_index(rows).write.parquet(f"{base}/vector")
+    audit = lambda rows: rows.select("id").write.parquet(f"{base}/audit")
+    return projection.project_apart(mem(s, d).where("doc_id % 3 = 0"), {"vector": vectors, "graph": down, "audit": audit})
+
+
 @query(f"WITH {OUT} SELECT status, count(*) AS n FROM outbox GROUP BY status")
 def outbox_stats(s, d):
     return listing.count_by(derived.outbox(s, d), "status")
