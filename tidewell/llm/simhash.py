@@ -26,7 +26,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import connected_components, map_columns, materialize
@@ -37,9 +37,17 @@ PAIR_COST = 0.04
 BROADCAST_ROWS = 1 << 20
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, A-Z lower-cased."""
+    return text.encode("utf-8", "replace").lower().split() if text else []
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Signed 64-bit fingerprint of a text."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
+    return fingerprint_of(words_of(text), shingle)
+
+
+def fingerprint_of(words: list[bytes], shingle: int) -> int:
     if not words:
         return 0
     joined = b" ".join(words)
@@ -61,9 +69,9 @@ def with_fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame
 
     def run(batches):
         for b in batches:
-            yield {"doc_id": b["doc_id"], "fp": [fingerprint(t, shingle) for t in b["text"]]}
+            yield {"fp": [fingerprint(t, shingle) for t in b["text"]]}
 
-    return map_columns(documents.select("doc_id", "text"), "doc_id long, fp long", run)
+    return map_columns(documents.select("doc_id", "text"), "fp long", run, keep=("doc_id",))
 
 
 def correlated_parts(bits: np.ndarray, parts: int) -> list[list[int]]:
@@ -127,54 +135,67 @@ def flips_of(bits: list[int], threshold: int) -> list[int]:
     return [_signed(mask_of(list(c))) for k in range(threshold + 1) for c in combinations(bits, k)]
 
 
-def links(fingerprints: DataFrame, radius: int = 4, hot: int = 256, block: int = 4096, sample_rows: int = 4096, hubs: bool = False) -> DataFrame:
+def probe_plan(values: DataFrame, total: int, radius: int, sample_rows: int = 4096) -> list[tuple[int, list[int], int]]:
+    """(part, bits, threshold) of the cheapest parts for distinct values of column ``fp``, from a bounded sample."""
+    taken = values.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()
+    sample = np.array([r.fp for r in taken], dtype=np.int64).view(np.uint64)
+    _, plan = min((allocate(sample, total, radius, m) for m in range(2, radius + 2)), key=lambda x: x[0])
+    return [(p, bits, t) for p, (bits, t) in enumerate(plan) if t >= 0]
+
+
+def index_and_probes(rows: DataFrame, plan: list[tuple[int, list[int], int]]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with (part, value) of each part, and with (part, value) of everything within a part's threshold."""
+    array = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    value = lambda bits: F.col("fp").bitwiseAND(F.lit(_signed(mask_of(bits))))
+    own = F.array(*[F.struct(F.lit(p).alias("part"), value(bits).alias("value")) for p, bits, _ in plan])
+    keys = lambda p, bits: lambda flip: F.struct(F.lit(p).alias("part"), value(bits).bitwiseXOR(flip).alias("value"))
+    probes = F.concat(*[F.transform(array(flips_of(bits, t)), keys(p, bits)) for p, bits, t in plan])
+    spread = lambda k: rows.select(*rows.columns, F.explode(k).alias("k")).select(*rows.columns, "k.part", "k.value")
+    return spread(own), spread(probes)
+
+
+def links(fingerprints: DataFrame, radius: int = 4, hot: int = 256, block: int = 4096) -> DataFrame:
     """Edges (a, b) between distinct values of column ``fp`` that connect all pairs within ``radius`` bits.
 
-    In buckets of up to ``hot`` values every linked pair is an edge; in larger ones a spanning star is and, with
-    ``hubs``, the link of each value to its neighbour with the most links.
+    In buckets of up to ``hot`` values every linked pair is an edge, in larger ones a spanning star.
     """
-    fps = fingerprints.select("fp").distinct()
-    fps = materialize(fps, "fps")
+    fps = materialize(fingerprints.select("fp").distinct(), "fps")
     total = fps.count()
-    taken = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()  # a bounded sample
     if total < 2:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    sample = np.array([r.fp for r in taken], dtype=np.int64).view(np.uint64)
-    _, plan = min((allocate(sample, total, radius, m) for m in range(2, radius + 2)), key=lambda x: x[0])
-    used = [(p, bits, t) for p, (bits, t) in enumerate(plan) if t >= 0]
-    array = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    value = lambda bits: F.col("fp").bitwiseAND(F.lit(_signed(mask_of(bits))))
-    index = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), value(bits).alias("value")) for p, bits, _ in used])).alias("k")).select("fp", "k.part", "k.value")
-    keys = lambda p, bits: lambda flip: F.struct(F.lit(p).alias("part"), value(bits).bitwiseXOR(flip).alias("value"))
-    probes = F.concat(*[F.transform(array(flips_of(bits, t)), keys(p, bits)) for p, bits, t in used])
-    probe = fps.select("fp", F.explode(probes).alias("k")).select("fp", "k.part", "k.value")
-    sizes = materialize(index.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > hot), "hot")
+    index, probe = index_and_probes(fps, probe_plan(fps, total, radius))
+    sizes = materialize(index.groupBy("part", "value").agg(F.count("*").alias("m")).where(F.col("m") > hot), "hot")
     cold = index.join(sizes.select("part", "value"), ["part", "value"], "left_anti")
     a, b = probe.withColumnRenamed("fp", "a"), cold.withColumnRenamed("fp", "b")
     pairs = a.join(b, ["part", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
     if sizes.isEmpty():
         return pairs.distinct()
-    return pairs.union(_hot_links(index, probe, sizes, radius, block, hubs)).distinct()
+    return pairs.union(_hot_links(index, probe, sizes, radius, block)).distinct()
 
 
-def _hot_links(index: DataFrame, probe: DataFrame, sizes: DataFrame, radius: int, block: int, hubs: bool) -> DataFrame:
-    """Stars over the links between the members and the probes of large buckets, by pairs of blocks."""
+def block_pairs(index: DataFrame, probe: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Members and askers of the large buckets, dealt into pairs of blocks: (part, value, i, j, member, input columns)."""
+    key = F.xxhash64(*[c for c in index.columns if c not in ("part", "value")])
+    columns = [c for c in index.columns if c not in ("part", "value")]
     asked = probe.join(sizes, ["part", "value"])
-    counts = asked.groupBy("part", "value").agg(F.count("*").alias("q"), F.first("n").alias("n"))
-    grid = materialize(counts.select("part", "value", F.ceil(F.col("n") / block).cast("int").alias("rows"), F.ceil(F.col("q") / block).cast("int").alias("cols")), "grid")
-    slot = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    counts = asked.groupBy("part", "value").agg(F.count("*").alias("q"), F.first("m").alias("m"))
+    grid = materialize(counts.select("part", "value", F.ceil(F.col("m") / block).cast("int").alias("rows"), F.ceil(F.col("q") / block).cast("int").alias("cols")), "grid")
+    slot = lambda n: F.pmod(key, F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = index.join(grid, ["part", "value"]).select("part", "value", slot("rows").alias("i"), every("cols").alias("j"), "fp", F.lit(True).alias("member"))
-    askers = probe.join(grid, ["part", "value"]).select("part", "value", every("rows").alias("i"), slot("cols").alias("j"), "fp", F.lit(False).alias("member"))
+    members = index.join(grid, ["part", "value"]).select("part", "value", slot("rows").alias("i"), every("cols").alias("j"), F.lit(True).alias("member"), *columns)
+    askers = probe.join(grid, ["part", "value"]).select("part", "value", every("rows").alias("i"), slot("cols").alias("j"), F.lit(False).alias("member"), *columns)
+    return members.union(askers)
+
+
+def _hot_links(index: DataFrame, probe: DataFrame, sizes: DataFrame, radius: int, block: int) -> DataFrame:
+    """Stars over the links between the members and the probes of large buckets, by pairs of blocks."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows.loc[rows["member"], "fp"].to_numpy(np.int64)
         other = rows.loc[~rows["member"], "fp"].to_numpy(np.int64)
-        ids = np.unique(np.concatenate([own, other]))
-        found = stars(ids, own, other, radius)
-        return pd.DataFrame(np.concatenate([found, densest(own, other, radius)]) if hubs else found, columns=["a", "b"])
+        return pd.DataFrame(stars(np.unique(np.concatenate([own, other])), own, other, radius), columns=["a", "b"])
 
-    return members.union(askers).groupBy("part", "value", "i", "j").applyInPandas(compare, "a long, b long")
+    return block_pairs(index, probe, sizes, block).groupBy("part", "value", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def stars(ids: np.ndarray, own: np.ndarray, other: np.ndarray, radius: int) -> np.ndarray:
@@ -194,22 +215,6 @@ def stars(ids: np.ndarray, own: np.ndarray, other: np.ndarray, radius: int) -> n
     return np.column_stack([ids[root[moved]], ids[moved]])
 
 
-def densest(own: np.ndarray, other: np.ndarray, radius: int) -> np.ndarray:
-    """(neighbour, value): for each of ``other`` the linked one of ``own`` that has the most links, itself excepted."""
-    x, y = own.view(np.uint64), other.view(np.uint64)
-    degree = np.zeros(len(x), np.int64)
-    for at in range(0, len(x), 256):
-        degree[at : at + 256] = (np.bitwise_count(x[at : at + 256, None] ^ y[None, :]) <= radius).sum(axis=1)
-    order = np.argsort(-degree, kind="stable")
-    best = np.full(len(y), len(x))
-    for at in range(0, len(x), 256):
-        bits = np.bitwise_count(x[order[at : at + 256], None] ^ y[None, :])
-        near = (bits <= radius) & (bits > 0)
-        best = np.where((best == len(x)) & near.any(axis=0), at + near.argmax(axis=0), best)
-    linked = best < len(x)
-    return np.column_stack([own[order[best[linked]]], other[linked]])
-
-
 def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Smallest-label propagation over the edges until labels settle, in place."""
     while True:
@@ -237,64 +242,152 @@ def near_duplicates(fingerprinted: DataFrame, radius: int = 4, hot: int = 256, b
     return fingerprinted.join(materialize(named, "named"), "fp")
 
 
-def shingle_hashes(text: str | None, shingle: int) -> list[int]:
-    """Hashes of the distinct shingles; texts of fewer words are one shingle, texts without words have none."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
+# --- verified near copies ---------------------------------------------------------------------------------------------
+SIGNATURE = 64  # words of 64 bits
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; texts of fewer words are one shingle, texts without words have none."""
     width = min(shingle, len(words))
-    return list({xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) - (1 << 63) for i in range(len(words) - width + 1)}) if words else []
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + width])) for i in range(len(words) - width + 1)] if words else [], np.uint64))
 
 
-def _similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The ``edges`` (a, b: text hashes) whose texts share at least ``least`` of their shingles (Jaccard)."""
-    ends = edges.select(F.col("a").alias("th")).union(edges.select("b")).distinct()
+def _near(fp, other, n, size, part, plan, radius: int, least: float):
+    """Whether pairs are candidates, and first met in this part; for columns as well as for arrays."""
+    bits = F.bit_count if isinstance(fp, Column) else np.bitwise_count
+    differ = fp.bitwiseXOR(other) if isinstance(fp, Column) else fp ^ other
+    inside = lambda mask: differ.bitwiseAND(F.lit(_signed(mask))) if isinstance(fp, Column) else differ & np.uint64(mask)
+    near = (bits(differ) <= radius) & (n >= least * size) & (size >= least * n)
+    for p, own, t in plan:
+        met = bits(inside(mask_of(own))) <= t
+        near = near & ~(met & (part > p))
+    return near
 
-    def run(batches):
+
+def _signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit for each of 64 * SIGNATURE cells that some shingle falls into."""
+    cells = np.zeros((len(sets), 64 * SIGNATURE), bool)
+    for i, s in enumerate(sets):
+        cells[i, (s % np.uint64(64 * SIGNATURE)).astype(np.int64)] = True
+    return np.packbits(cells, axis=1).view(np.uint64)
+
+
+def verified_stars(own: pd.DataFrame, other: pd.DataFrame, part: int, plan: list, radius: int, least: float) -> np.ndarray:
+    """(smallest hash, hash) of every component that verified links between ``own`` and ``other`` make.
+
+    Pairs that are connected already are passed over. A shingle whose cell is empty on the other side is missing there,
+    which refuses most pairs before their shingles are compared.
+    """
+    both = pd.concat([own, other]).drop_duplicates("th").sort_values("th", ignore_index=True)
+    ids, fp, n = both["th"].to_numpy(np.int64), both["fp"].to_numpy(np.int64).view(np.uint64), both["n"].to_numpy(np.int64)
+    sets = [np.asarray(s, np.int64).view(np.uint64) for s in both["s"]]
+    marks = _signatures(sets)
+    at_own, at_other = np.searchsorted(ids, own["th"].to_numpy(np.int64)), np.searchsorted(ids, other["th"].to_numpy(np.int64))
+    root = np.arange(len(ids))
+    for k in range(0, len(at_own), 64):
+        rows = at_own[k : k + 64]
+        near = _near(fp[rows, None], fp[None, at_other], n[rows, None], n[None, at_other], part, plan, radius, least)
+        near &= at_other[None, :] < rows[:, None]
+        for i, hits in zip(rows.tolist(), near):
+            js = at_other[hits & (root[at_other] != root[i])]
+            need = (least / (1 + least)) * (n[i] + n[js]) - 1e-9
+            lost = np.bitwise_count(marks[i] & ~marks[js]).sum(axis=1, dtype=np.int64)
+            gained = np.bitwise_count(marks[js] & ~marks[i]).sum(axis=1, dtype=np.int64)
+            good = (n[i] - lost >= need) & (n[js] - gained >= need)
+            for j, least_common in zip(js[good].tolist(), need[good].tolist()):
+                if root[i] != root[j] and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= least_common:
+                    low, high = sorted((root[i], root[j]))
+                    root[root == high] = low
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return np.column_stack([ids[root[moved]], ids[moved]])
+
+
+def verified_links(texts: DataFrame, bodies: DataFrame, radius: int, shingle: int, least: float, hot: int = 16, block: int = 2048) -> DataFrame:
+    """Edges (a, b) that connect all pairs of texts within ``radius`` bits that share ``least`` of their shingles.
+
+    ``texts``: (th, fp, n) of distinct texts, n their number of distinct shingles; ``bodies``: (th, text). In buckets of
+    up to ``hot`` texts every candidate pair is verified by a join. Larger buckets are dealt into pairs of blocks: one
+    task finds which texts have candidates there, gets their shingles, and reports a spanning star of what it verified.
+    So rows grow with the texts, never with the pairs in a group, and no link is left unverified.
+    """
+    texts = materialize(texts.select("th", "fp", "n"), "nodes")
+    total = texts.count()
+    none = texts.select(F.col("th").alias("a"), F.col("th").alias("b")).limit(0)
+    if total < 2:
+        return none
+    plan = probe_plan(texts.select("fp").distinct(), total, radius)
+    index, probe = index_and_probes(texts, plan)
+    sizes = materialize(index.groupBy("part", "value").agg(F.count("*").alias("m")).where(F.col("m") > hot), "hot")
+    cold = index.join(sizes.select("part", "value"), ["part", "value"], "left_anti")
+    left, right = (df.select("part", "value", *[F.col(c).alias(c + k) for c in ("th", "fp", "n")]) for df, k in ((probe, "a"), (cold, "b")))
+    near = _near(F.col("fpa"), F.col("fpb"), F.col("na"), F.col("nb"), F.col("part"), plan, radius, least)
+    pairs = left.join(right, ["part", "value"]).where((F.col("tha") < F.col("thb")) & near)
+    pairs = materialize(pairs.select(F.col("tha").alias("a"), F.col("thb").alias("b"), (F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9).alias("need")), "pairs")
+
+    def candidates(rows: pd.DataFrame) -> pd.DataFrame:
+        own, other = rows[rows["member"]], rows[~rows["member"]]
+        x, y = (d["fp"].to_numpy(np.int64).view(np.uint64) for d in (own, other))
+        n, m = own["n"].to_numpy(np.int64), other["n"].to_numpy(np.int64)
+        hit_own, hit_other = np.zeros(len(own), bool), np.zeros(len(other), bool)
+        for k in range(0, len(own), 256):
+            at = slice(k, k + 256)
+            hit = _near(x[at, None], y[None, :], n[at, None], m[None, :], int(rows["part"].iloc[0]), plan, radius, least)
+            hit &= other["th"].to_numpy(np.int64)[None, :] < own["th"].to_numpy(np.int64)[at, None]
+            hit_own[at] = hit.any(axis=1)
+            hit_other |= hit.any(axis=0)
+        return pd.concat([own[hit_own], other[hit_other]])
+
+    kind = "part int, value long, i int, j int, member boolean, th long, fp long, n long"
+    large = not sizes.isEmpty()
+    if large:
+        dealt = block_pairs(index, probe, sizes, block)
+        asked = materialize(dealt.groupBy("part", "value", "i", "j").applyInPandas(candidates, kind), "asked")
+    ends = pairs.select(F.col("a").alias("th")).union(pairs.select("b"))
+    ends = (ends.union(asked.select("th")) if large else ends).distinct()
+
+    def shingles(batches):
         for b in batches:
-            yield {"th": b["th"], "s": [shingle_hashes(t, shingle) for t in b["text"]]}
+            yield {"s": [shingle_hashes(words_of(t), shingle).view(np.int64) for t in b["text"]]}
 
     few = ends.count() <= BROADCAST_ROWS  # hashes alone; beyond that texts are shuffled
-    # equal texts have one hash: one of them is enough
-    named = texts.join(F.broadcast(ends) if few else ends, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-    sets = materialize(map_columns(named, "th long, s array<long>", run), "shingles")
-    # a hub's many edges bring their other ends' shingles to it, each once
-    half = edges.join(sets.select(F.col("th").alias("b"), F.col("s").alias("y")), "b")
-    both = half.join(sets.select(F.col("th").alias("a"), F.col("s").alias("x")), "a")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    named = bodies.join(F.broadcast(ends) if few else ends, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))  # equal texts
+    sets = materialize(map_columns(named, "s array<long>", shingles, keep=("th",)), "shingles")
+    verified = pairs.join(sets.select(F.col("th").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("th").alias("a"), F.col("s").alias("x")), "a")
+    verified = verified.where(F.size(F.array_intersect("x", "y")) >= F.col("need")).select("a", "b")
+    if not large:
+        return verified
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        found = verified_stars(rows[rows["member"]], rows[~rows["member"]], int(rows["part"].iloc[0]), plan, radius, least)
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return verified.union(asked.join(sets, "th").groupBy("part", "value", "i", "j").applyInPandas(verify, "a long, b long"))
 
 
-def keep_one_of_each(documents: DataFrame, shingle: int = 5, radius: int = 8, least: float = 0.8, features: int = 2) -> DataFrame:
+def keep_one_of_each(documents: DataFrame, shingle: int = 5, radius: int = 7, least: float = 0.8) -> DataFrame:
     """``documents`` without near copies: of every group the row with the smallest doc_id (null last) stays.
 
-    Fingerprints within ``radius`` bits are candidates, verified by Jaccard similarity of the ``shingle``-word shingles
-    of at least ``least``; groups are the components of verified links. Fingerprints are made of ``features``-word
-    shingles: a changed word touches fewer of those, so texts of that similarity are fewer bits apart. Equal texts, null
-    and empty ones as well, are a group.
+    Fingerprints of a text's distinct words within ``radius`` bits are candidates, verified by Jaccard similarity of the
+    ``shingle``-word shingles of at least ``least``; groups are the components of verified links. A changed word touches
+    five shingles but one word, so word fingerprints of texts of that similarity are fewer bits apart than fingerprints
+    of the shingles themselves. Equal texts are a group, and so are all texts without a word, null ones included.
     """
-    columns = documents.columns
-    keyed = documents.select(*columns, F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_dk"), F.xxhash64("text").alias("_th"))
+    keyed = documents.select(F.struct("*").alias("document"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("dk"), F.col("doc_id").isNull().alias("late"), F.xxhash64("text").alias("th"), "text")
 
     def run(batches):
         for b in batches:
-            yield {"doc_id": b["doc_id"], "th": b["_th"], "fp": [fingerprint(t, features) for t in b["text"]]}
-
-    marked = materialize(map_columns(keyed.select("doc_id", "_th", "text"), "doc_id long, th long, fp long", run), "marked")
-    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id"))
-    texts = materialize(marked.groupBy("th").agg(F.first("fp").alias("fp"), smallest.alias("best")), "distinct")
-    first = materialize(texts.groupBy("fp").agg(F.min("th").alias("r")), "first")
-    inside = texts.join(first, "fp").where("th <> r").select(F.col("r").alias("a"), F.col("th").alias("b"))
-    across = links(first, radius, hubs=True).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
-    of = lambda k: first.select(F.col("fp").alias("f" + k), F.col("r").alias(k))
-    edges = materialize(inside.union(across.join(of("a"), "fa").join(of("b"), "fb").select("a", "b")), "edges")
-    if edges.isEmpty():
-        grouped = texts.withColumn("component", F.col("th"))
-    else:
-        similar = _similar(edges, keyed.select(F.col("_th").alias("th"), "text"), shingle, least)
-        parts = connected_components(similar).withColumnRenamed("node", "th")
-        grouped = texts.join(parts, "th", "left").withColumn("component", F.coalesce("component", "th"))
-    kept = grouped.groupBy("component").agg(F.min(F.struct("best.late", "best.doc_id", "th")).alias("k"))
-    kept = materialize(kept.select(F.coalesce("k.doc_id", F.lit(-(2**63))).alias("_dk"), F.col("k.th").alias("_th")), "kept")
-    return keyed.join(kept, ["_dk", "_th"], "left_semi").dropDuplicates(["_dk", "_th"]).select(*columns)
+            words = [words_of(t) for t in b["text"]]
+            yield {"fp": [fingerprint_of(list(dict.fromkeys(w)), 1) for w in words], "n": [len(shingle_hashes(w, shingle)) for w in words]}
+
+    marked = materialize(map_columns(keyed.select("dk", "late", "th", "text"), "fp long, n long", run, keep=("dk", "late", "th")), "marked")
+    texts = materialize(marked.groupBy("th").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min(F.struct("late", "dk")).alias("best")), "distinct")
+    edges = verified_links(texts, keyed.select("th", "text"), radius, shingle, least)
+    parts = connected_components(edges).withColumnRenamed("node", "th")
+    grouped = texts.join(parts, "th", "left").withColumn("component", F.coalesce("component", "th"))
+    kept = grouped.groupBy("component").agg(F.min(F.struct("best.late", "best.dk", "th")).alias("k"))
+    kept = materialize(kept.select("k.dk", "k.th"), "kept")
+    return keyed.drop("text", "late").join(kept, ["dk", "th"], "left_semi").dropDuplicates(["dk", "th"]).select("document.*")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
