@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import crc_bucket, map_columns, whole
 
-BUCKETS, ORDERS, KEPT_BYTES = 1 << 14, (2, 3, 4), 32 << 20
+BUCKETS, ORDERS, KEPT_BYTES = 1 << 14, (2, 3, 4), 8 << 20
 UNKNOWN = "und"
 #: First code point of each script range, and its script (fixed values of the Unicode blocks).
 SCRIPT_STARTS = [0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xA80, 0xB00, 0xB80, 0xC00, 0xC80, 0xD00, 0xD80, 0xE00, 0xE80, 0xF00, 0x1000, 0x10A0, 0x1100, 0x1200, 0x13A0, 0x1780, 0x1800, 0x1E00, 0x1F00, 0x2000, 0x2E80, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0]
