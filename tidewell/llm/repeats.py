@@ -173,7 +173,9 @@ def _windows(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_windows(keyed: DataFrame, length: int) -> DataFrame:
     """(doc, th, lo, hi): starts lo..hi of windows of ``length`` bytes that also start anywhere else."""
     rows = materialize(suffix_rows(keyed, length), "suffixes")
+    # counts are tables of their own: a join with a table is split where a key is hot, one with an aggregation isn't
     buckets = rows.groupBy("g").agg(F.count("*").alias("n"), (F.min("u") != F.max("u")).alias("mixed")).where("n > 1").drop("n")
+    buckets = materialize(buckets, "buckets")
     alive = materialize(rows.join(buckets, "g"), "alive")
     span = ["doc", "th", "lo", "hi"]
     settled = alive.where("not mixed").select(span)
@@ -182,18 +184,22 @@ def repeated_windows(keyed: DataFrame, length: int) -> DataFrame:
     kinds = materialize(kinds, "kinds")
     settled = settled.union(mixed.join(kinds.where("not pending").select("g", "u"), ["g", "u"]).select(span))
     settled = materialize(settled, "settled")
-    discard(rows, alive)
+    discard(rows, alive, buckets)
     contexts = materialize(_contexts(keyed, kinds, length), "contexts")
     runs = materialize(_runs(contexts, length), "runs")
     place = F.xxhash64("doc", "th", "p", "lo")
     shared = runs.groupBy("digit").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("pending").alias("open")).where("x <> y and open").select("digit")
+    shared = materialize(shared, "shared")
     left = runs.join(shared, "digit").groupBy("doc", "th", "p", "lo").agg(F.collect_list("k").alias("ks"))
     windows = materialize(_windows(contexts.join(left, ["doc", "th", "p", "lo"]).select(*contexts.columns, "ks"), length), "windows")
     place = F.xxhash64("doc", "th", "s")
     discard(contexts, runs)
     equal = windows.groupBy("digit").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("pending").alias("open")).where("x <> y and open").select("digit")
+    equal = materialize(equal, "equal")
     single = windows.where("pending").join(equal, "digit").select("doc", "th", F.col("s").alias("lo"), F.col("s").alias("hi"))
-    return settled.union(materialize(single, "single"))
+    single = materialize(single, "single")
+    discard(windows, shared, equal)
+    return settled.union(single)
 
 
 def remove_repeats(documents: DataFrame, length: int = 400) -> DataFrame:
@@ -230,4 +236,7 @@ def remove_repeats(documents: DataFrame, length: int = 400) -> DataFrame:
 
 def op5_repeats(spark, sf_dir: str) -> DataFrame:
     cut = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("has_repeats"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+    )
