@@ -3,18 +3,24 @@
 P(w | before) = P(class(w) | class(before)) * P(w | class(w)), both smoothed so that they sum to one with one unseen
 word left over in each class.
 
-*Items* are what the exchange moves: the most frequent words one by one (at most ``exchange_words``) and, for all other
-words, one item for each of ``units`` hashed word endings. Every training token is part of the item bigram counts, which
-are summed over the whole training corpus in one shuffle. An exchange sweep gets each item's counts by class of its
+*Items* are what the repeated exchange moves: the most frequent words one by one (at most ``exchange_words``) and, for all
+other words, one item for each of ``units`` hashed word endings. Every training token is part of the item bigram counts,
+which are summed over the whole training corpus in one shuffle. An exchange sweep gets each item's counts by class of its
 neighbours from those bigrams (joined with the item-to-class map, a table of bounded size), deals the items into
 groups, and in each group moves items one after the other to the class that raises the class-bigram likelihood most,
-given the other groups' assignment -- the usual distributed exchange. Half of the items may move in a sweep.
+given the other groups' assignment -- the usual distributed exchange. Half of the items may move in a sweep; sweeps go on
+until the likelihood gains less than ``GAIN`` of itself, and the best assignment counts.
 
-Words are known by their 64-bit hash. Counts of the ``head_words`` most frequent ones travel with the scoring tasks;
-rarer words leave the scoring pass as (hash, document row) pairs and get their counts by a join.
+*All other words*, however many, are then moved one by one from their ending's class to the class that their own
+neighbours favour, by the same gain: one pass gathers each word's counts by class of its neighbours, and hashed groups of
+words are moved in tasks of bounded size. A last pass counts the class bigrams under the final classes.
 
-Defined results: null and empty texts consist of the end token only; without training rows every count is 0; repeated
-rows are scored and counted as rows of their own; extra columns are ignored.
+Words are known by their 64-bit hash. Counts and classes of the ``head_words`` most frequent ones travel with the scoring
+tasks; rarer words leave the scoring pass as rows with their neighbours' classes and get their own by a join.
+
+Defined results: null and empty texts consist of the end token only; without training rows every count is 0; a word that
+training lacks has its ending's class; words with equal counts at a cut are on the same side of it; repeated rows are
+scored and counted as rows of their own; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +28,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import crc_bucket, map_columns, materialize
+from tidewell.llm.common import crc_bucket, discard, map_columns, materialize
 
-LOG_BINS, TOP_BIN = 8, 512
+LOG_BINS, TOP_BIN, GAIN, GROUP_WORDS = 8, 512, 1e-3, 16384
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -110,10 +118,7 @@ def item_bigrams(texts: DataFrame, movers: np.ndarray, units: int) -> DataFrame:
             codes, sizes, hashes, endings = coder.batch(b["text"])
             place = _find(shared.value, hashes)
             item = np.where(place >= 0, 1 + place, 1 + len(movers) + endings)
-            line = np.zeros(len(codes) + len(sizes) + 1, np.int64)
-            inside = np.ones(len(line), bool)
-            inside[np.concatenate([[0], np.cumsum(sizes + 1)])] = False
-            line[inside] = item[codes]
+            line, _ = _line(item[codes], sizes)
             pair, n = np.unique(line[:-1] * items + line[1:], return_counts=True)
             yield {"a": (pair // items).astype(np.int32), "b": (pair % items).astype(np.int32), "n": n}
 
@@ -175,13 +180,24 @@ def exchange_group(left: np.ndarray, right: np.ndarray, self_loop: np.ndarray, s
     return start
 
 
-def exchange(bigrams: DataFrame, items: int, classes: int, sweeps: int, groups: int = 12) -> np.ndarray:
-    """Class of every item after ``sweeps`` sweeps of distributed exchange; class 0 holds the boundary alone."""
+def likelihood(counts: np.ndarray) -> float:
+    """Log-likelihood of the class bigrams, up to terms that don't depend on the classes."""
+    return float(_xlogx(counts).sum() - _xlogx(counts.sum(axis=0)).sum() - _xlogx(counts.sum(axis=1)).sum())
+
+
+def exchange(bigrams: DataFrame, items: int, classes: int, sweeps: int, start: np.ndarray, groups: int = 12) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(class of every item, class bigram counts, likelihood before and after each sweep); class 0 is the boundary's."""
     spark = bigrams.sparkSession
-    cls = np.concatenate([[0], 1 + np.arange(items - 1) % (classes - 1)]).astype(np.int64)
-    for sweep in range(sweeps):
+    cls, best, told = start.copy(), None, []
+    for sweep in range(sweeps + 1):
         assigned = spark.createDataFrame(pd.DataFrame({"item": np.arange(items, dtype=np.int32), "cls": cls.astype(np.int32)}))
         counts = class_counts(bigrams, assigned, classes)
+        told.append(likelihood(counts))
+        if best is None or told[-1] > best[2]:
+            best = (cls.copy(), counts, told[-1])
+        # half of the items move in a sweep, so two sweeps are a round
+        if sweep == sweeps or (sweep >= 2 and told[-1] - told[-3] < GAIN * abs(told[-3])):
+            return best[0], best[1], told
         of_a, of_b = (F.broadcast(assigned.withColumnRenamed("item", k)) for k in "ab")
         after = bigrams.join(of_a, "a").groupBy(F.col("b").alias("item"), "cls").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("own")).withColumn("side", F.lit(0))
         before = bigrams.join(of_b, "b").groupBy(F.col("a").alias("item"), "cls").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("own")).withColumn("side", F.lit(1))
@@ -199,38 +215,156 @@ def exchange(bigrams: DataFrame, items: int, classes: int, sweeps: int, groups:
 
         moved = moving.groupBy(F.pmod(F.xxhash64("item", F.lit(sweep)), F.lit(groups)).alias("g")).applyInPandas(move, "item int, cls int").toPandas()
         cls[moved["item"].to_numpy(np.int64)] = moved["cls"].to_numpy(np.int64)
-    return cls
 
 
-def fit(training: DataFrame, classes: int = 64, exchange_words: int = 8192, units: int = 1024, head_words: int = 131072, sweeps: int = 4) -> dict:
+def best_classes(word: np.ndarray, slot: np.ndarray, n: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Class of each word that raises the likelihood most when the word is taken out of class ``own`` and put there.
+
+    To name another class than its ending's costs log(classes), so it has to gain more than that.
+    ``word``: which word an entry belongs to, sorted; ``slot``: 2 * class of a neighbour, and 1 more if it follows.
+    """
+    k = len(counts)
+    side, d = slot % 2, slot // 2
+    first = np.searchsorted(word, np.arange(len(own)))
+    gain = np.zeros((len(own), k))
+    for at in range(0, len(own), 2048):  # words at a time
+        z = min(at + 2048, len(own))
+        e = slice(first[at], first[z] if z < len(own) else len(word))
+        cells = np.where(side[e, None] == 0, counts[d[e]], counts.T[d[e]])  # (neighbour, c) or (c, neighbour)
+        with_word = n[e, None] + cells
+        mine = own[word[e]]
+        rows = np.arange(len(mine))
+        with_word[rows, mine] = cells[rows, mine]
+        cells[rows, mine] = np.maximum(cells[rows, mine] - n[e], 0)
+        gain[at:z] = np.add.reduceat(_xlogx(with_word) - _xlogx(cells), first[at:z] - first[at], axis=0)
+    total = np.bincount(word[side == 0], n[side == 0], len(own))
+    size = np.repeat(counts.sum(axis=1)[None, :], len(own), axis=0)
+    grown = size + total[:, None]
+    rows = np.arange(len(own))
+    grown[rows, own] = size[rows, own]
+    size[rows, own] = np.maximum(size[rows, own] - total, 0)
+    gain -= 2 * (_xlogx(grown) - _xlogx(size))
+    gain[:, 0] = -np.inf
+    best = gain.argmax(axis=1)
+    return np.where(gain[rows, best] > gain[rows, own] + np.log(k), best, own)
+
+
+def other_words(texts: DataFrame, vocabulary: DataFrame, movers: np.ndarray, cls: np.ndarray, counts: np.ndarray, units: int) -> DataFrame:
+    """(h, cls) of all words that are no movers."""
+    shared = texts.sparkSession.sparkContext.broadcast((movers, cls))  # at most exchange_words + units numbers
+    k = len(counts)
+
+    def gather(batches):
+        movers, cls = shared.value
+        coder = _Coder(units)
+        for b in batches:
+            codes, sizes, hashes, endings = coder.batch(b["text"])
+            if not len(codes):
+                continue
+            place = _find(movers, hashes)
+            of = cls[np.where(place >= 0, 1 + place, 1 + len(movers) + endings)]
+            line, inside = _line(of[codes], sizes)
+            at = np.flatnonzero(inside)[place[codes] < 0]
+            who = codes[place[codes] < 0]
+            key, n = np.unique(np.concatenate([who * (2 * k) + 2 * line[at - 1], who * (2 * k) + 2 * line[at + 1] + 1]), return_counts=True)
+            code = key // (2 * k)
+            yield {"h": hashes[code], "own": of[code].astype(np.int32), "slot": (key % (2 * k)).astype(np.int32), "n": n}
+
+    entries = map_columns(texts.select("text"), "h long, own int, slot int, n long", gather).groupBy("h", "own", "slot").agg(F.sum("n").alias("n"))
+    groups = max(1, -(-vocabulary.count() // GROUP_WORDS))
+
+    def move(rows: pd.DataFrame) -> pd.DataFrame:  # about GROUP_WORDS words, each with 2 * classes counts at most
+        rows = rows.sort_values("h", ignore_index=True)
+        ids, first, word = np.unique(rows["h"].to_numpy(np.int64), return_index=True, return_inverse=True)
+        own = rows["own"].to_numpy(np.int64)[first]
+        new = best_classes(word, rows["slot"].to_numpy(np.int64), rows["n"].to_numpy(np.float64), own, counts)
+        return rows.assign(cls=new[word].astype(np.int32))
+
+    moved = entries.groupBy(F.pmod(F.xxhash64("h"), F.lit(groups)).alias("g")).applyInPandas(move, "h long, own int, slot int, n long, cls int")
+    return moved.groupBy("h").agg(F.first("cls").alias("cls"))
+
+
+def recount(texts: DataFrame, words: DataFrame, known: pd.DataFrame, least: int, seeds: np.ndarray, classes: int) -> np.ndarray:
+    """Class bigram counts of the texts under the final classes: ``known`` words in the tasks, the others by a join."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((known["h"].to_numpy(np.int64), known["cls"].to_numpy(np.int64), seeds))
+
+    def run(batches):
+        h, of_known, seeds = shared.value
+        coder = _Coder(len(seeds))
+        for b in batches:
+            codes, sizes, hashes, endings = coder.batch(b["text"])
+            at = _find(h, hashes)
+            of = np.where(at >= 0, of_known[np.maximum(at, 0)], 0) if len(h) else np.zeros(len(hashes), np.int64)
+            line, inside = _line(of[codes], sizes)
+            line[np.flatnonzero(inside)[(at < 0)[codes]]] = -1
+            pair, n = np.unique((line[:-1] * classes + line[1:])[(line[:-1] >= 0) & (line[1:] >= 0)], return_counts=True)
+            rare = np.flatnonzero(line < 0)
+            row = np.repeat(b["row"], sizes)[(at < 0)[codes]] if len(rare) else np.zeros(0, np.int64)
+            rest = [None] * len(pair)
+            yield {
+                "row": [*rest, *row.tolist()], "i": [*rest, *rare.tolist()], "h": [*rest, *hashes[codes][(at < 0)[codes]].tolist()],
+                "a": np.concatenate([pair // classes, line[rare - 1]]).astype(np.int32), "b": np.concatenate([pair % classes, line[rare + 1]]).astype(np.int32), "n": np.concatenate([n, np.ones(len(rare), np.int64)]),
+            }
+
+    rows = texts.select("text", F.monotonically_increasing_id().alias("row"))
+    rows = materialize(map_columns(rows, "row long, i int, h long, a int, b int, n long", run), "recount")
+    each = rows.where("h is not null").join(words.where(F.col("n") <= least).select("h", "cls"), "h")
+    each = each.withColumn("before", F.coalesce(F.when(F.col("a") >= 0, F.col("a")), F.lag("cls").over(W.partitionBy("row").orderBy("i"))))
+    into, out = each.select(F.col("before").alias("a"), F.col("cls").alias("b"), "n"), each.where("b >= 0").select(F.col("cls").alias("a"), "b", "n")
+    counts = np.zeros((classes, classes))
+    for r in rows.where("h is null").select("a", "b", "n").union(into).union(out).groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes^2 rows
+        counts[r.a, r.b] = r.n
+    discard(rows)
+    return counts
+
+
+def _line(of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all tokens with a boundary (0) before, between and after the texts; and which places are tokens."""
+    line = np.zeros(len(of) + len(sizes) + 1, np.int64)
+    inside = np.ones(len(line), bool)
+    inside[np.concatenate([[0], np.cumsum(sizes + 1)])] = False
+    line[inside] = of
+    return line, inside
+
+
+def fit(training: DataFrame, classes: int = 64, exchange_words: int = 8192, units: int = 1024, head_words: int = 131072, sweeps: int = 8) -> dict:
     """Counts and classes learnt from column ``text``; only tables of bounded size reach the driver."""
+    spark = training.sparkSession
     texts = training.select("text")
     vocabulary = materialize(word_counts(texts, units), "vocabulary")
     ends = texts.count()
     head = frequent(vocabulary, head_words)
     by_count = np.sort(head["n"].to_numpy())[::-1]
     cut = by_count[exchange_words] if len(by_count) > exchange_words else 0
-    movers = head.loc[head["n"] > cut, "h"].to_numpy(np.int64)
+    chosen = head.loc[head["n"] > cut]
+    movers = chosen["h"].to_numpy(np.int64)
     items = 1 + len(movers) + units
     bigrams = materialize(item_bigrams(texts, movers, units), "bigrams")
-    cls = exchange(bigrams, items, classes, sweeps)
-    # words, tokens of each item, and the model's tables
-    spark = training.sparkSession
-    mover_items = F.broadcast(spark.createDataFrame(pd.DataFrame({"h": movers, "item": np.arange(1, len(movers) + 1)}), "h long, item long"))
-    item = F.coalesce("item", F.lit(1 + len(movers)) + F.col("unit"))
-    sums = vocabulary.join(mover_items, "h", "left").groupBy(item.alias("item")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).toPandas()
+    rank = np.empty(len(movers), np.int64)  # words of similar frequency start in different classes
+    rank[np.argsort(-chosen["n"].to_numpy(), kind="stable")] = np.arange(len(movers))
+    start = np.concatenate([[0], 1 + rank % (classes - 1), 1 + np.arange(units) % (classes - 1)]).astype(np.int64)
+    cls, counts, told = exchange(bigrams, items, classes, sweeps, start)
+    discard(bigrams)
+    tail = other_words(texts, vocabulary, movers, cls, counts, units)
+    mover_classes = spark.createDataFrame(pd.DataFrame({"h": movers, "mover": cls[1 : 1 + len(movers)].astype(np.int32)}), "h long, mover int")
+    words = vocabulary.join(F.broadcast(mover_classes), "h", "left").join(tail, "h", "left")  # each word is in one of them
+    words = materialize(words.select("h", "n", F.coalesce("mover", "cls").alias("cls")), "words")
+    sums = words.groupBy("cls").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # a row a class
     distinct, tokens = np.zeros(classes), np.zeros(classes)
-    np.add.at(distinct, cls[sums["item"].to_numpy(np.int64)], sums["v"].to_numpy(np.float64))
-    np.add.at(tokens, cls[sums["item"].to_numpy(np.int64)], sums["n"].to_numpy(np.float64))
-    assigned = spark.createDataFrame(pd.DataFrame({"item": np.arange(items, dtype=np.int32), "cls": cls.astype(np.int32)}))
-    follows = class_counts(bigrams, assigned, classes)
-    share = follows.sum(axis=0) + 1.0
+    for r in sums:
+        distinct[r.cls], tokens[r.cls] = r.v, r.n
+    least = int(head["n"].min()) if len(head) else 1
+    known = words.join(F.broadcast(spark.createDataFrame(head[["h"]], "h long")), "h").toPandas().sort_values("h", ignore_index=True) if len(head) else pd.DataFrame({"h": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "cls": np.zeros(0, np.int64)})
+    counts = recount(texts, words, known, least, cls[1 + len(movers) :], classes)
+    told.append(likelihood(counts))
+    share = counts.sum(axis=0) + 1.0
     share /= share.sum()
     strength = 20.0
-    transition = (follows + strength * share[None, :]) / (follows.sum(axis=1, keepdims=True) + strength)
+    transition = (counts + strength * share[None, :]) / (counts.sum(axis=1, keepdims=True) + strength)
     emission = tokens + distinct + 1.0
     return {
-        "vocabulary": vocabulary, "head": head, "movers": movers, "cls": cls, "units": units, "ends": ends,
+        "words": words, "head": known, "movers": movers, "cls": cls, "units": units, "ends": ends, "likelihood": told, "least": least,
         "tokens": int(tokens.sum()) + ends, "distinct": int(distinct.sum()) + (ends > 0),
         "log_transition": np.log10(transition), "log_emission": np.log10(emission),
     }
@@ -238,51 +372,62 @@ def fit(training: DataFrame, classes: int = 64, exchange_words: int = 8192, unit
 
 def score(documents: DataFrame, model: dict) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score, perplexity) for every row."""
-    tables = {k: model[k] for k in ("movers", "cls", "units", "log_transition", "log_emission", "ends")}
-    tables |= {"h": model["head"]["h"].to_numpy(np.int64), "n": model["head"]["n"].to_numpy(np.int64)}
-    shared = documents.sparkSession.sparkContext.broadcast(tables)  # head_words counts and classes^2 numbers
+    tables = {k: model[k] for k in ("movers", "cls", "units", "log_transition", "log_emission")}
+    tables |= {"h": model["head"]["h"].to_numpy(np.int64), "n": model["head"]["n"].to_numpy(np.int64), "of": model["head"]["cls"].to_numpy(np.int64)}
+    shared = documents.sparkSession.sparkContext.broadcast(tables)  # head_words counts and classes, classes^2 numbers
 
     def run(batches):
         m = shared.value
         coder = _Coder(m["units"])
         for b in batches:
             codes, sizes, hashes, endings = coder.batch(b["text"])
-            place = _find(m["movers"], hashes)
-            cls = m["cls"][np.where(place >= 0, 1 + place, 1 + len(m["movers"]) + endings)] if len(hashes) else np.zeros(0, np.int64)
             at = _find(m["h"], hashes)
-            known = np.where(at >= 0, m["n"][np.maximum(at, 0)], 0) if len(m["h"]) else np.zeros(len(hashes), np.int64)
-            counts = np.log10(known + 1.0)
-            line = np.zeros(len(codes) + len(sizes) + 1, np.int64)
-            inside = np.ones(len(line), bool)
-            stops = np.cumsum(sizes + 1)
-            inside[np.concatenate([[0], stops])] = False
-            line[inside] = cls[codes]
-            step = m["log_transition"][line[:-1], line[1:]]
+            found = np.maximum(at, 0)
+            n = np.where(at >= 0, m["n"][found], 0) if len(m["h"]) else np.zeros(len(hashes), np.int64)
+            seed = m["cls"][1 + len(m["movers"]) + endings] if len(hashes) else np.zeros(0, np.int64)
+            of = np.where(at >= 0, m["of"][found], seed) if len(m["h"]) else seed
+            counts = np.log10(n + 1.0)
+            line, inside = _line(of[codes], sizes)
+            rare = np.zeros(len(line), bool)  # words that the join may know
+            rare[inside] = (at < 0)[codes]
+            step = np.where(rare[:-1] | rare[1:], 0.0, m["log_transition"][line[:-1], line[1:]])  # those next to rare words follow
             word = np.zeros(len(step))
-            word[inside[1:]] = counts[codes] - m["log_emission"][cls[codes]]
+            word[inside[1:]] = np.where(rare[inside], 0.0, (counts[codes] - m["log_emission"][of[codes]]))
             raw = np.zeros(len(step))
             raw[inside[1:]] = counts[codes]
             seen = np.zeros(len(step), np.int64)
             seen[inside[1:]] = (at >= 0)[codes]
-            begins = np.concatenate([[0], stops[:-1]])
-            rare = np.flatnonzero(at[codes] < 0)
-            rare_of = np.searchsorted(np.cumsum(sizes), rare, side="right")
-            cuts = np.searchsorted(rare_of, np.arange(1, len(sizes)))
+            begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+            where = np.flatnonzero(rare)
+            left = np.where(rare[where - 1], -1, line[where - 1])
+            right = np.where(rare[where + 1], -1, line[where + 1])
+            cuts = np.searchsorted(where, begins[1:])
+            whole = pa.StructArray.from_arrays([pa.array(hashes[codes][rare[inside]]), pa.array(line[where].astype(np.int16)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))], names=["h", "seed", "left", "right"])
             yield {
-                "doc_id": b["doc_id"], "row": b["row"], "n_tokens": sizes + 1, "seen": np.add.reduceat(seen, begins),
-                "counted": np.add.reduceat(raw, begins), "modelled": np.add.reduceat(step + word, begins),
-                "rare": [x.tolist() for x in np.split(hashes[codes[rare]], cuts)],
+                "row": b["row"], "n_tokens": sizes + 1, "seen": np.add.reduceat(seen, begins), "counted": np.add.reduceat(raw, begins), "modelled": np.add.reduceat(step + word, begins),
+                "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts, [len(where)]]).astype(np.int32)), whole),
             }
 
     keyed = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    rows = materialize(map_columns(keyed, "doc_id long, row long, n_tokens long, seen long, counted double, modelled double, rare array<long>", run), "scored")
-    rare = rows.select("row", F.explode("rare").alias("h")).join(model["vocabulary"].select("h", "n"), "h")
-    extra = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("k"))
-    total, kinds, ends = model["tokens"], model["distinct"], model["ends"]
-    more = F.coalesce("more", F.lit(0.0))
-    base = F.col("counted") + more + F.lit(float(np.log10(ends + 1.0))) - F.col("n_tokens") * F.lit(float(np.log10(total + 1.0 * (kinds + 1))))
-    out = rows.drop("rare").join(extra, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("seen") + F.coalesce("k", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"), base.alias("base_score"), (F.col("modelled") + more).alias("score"),
+    kinds = "row long, n_tokens long, seen long, counted double, modelled double, rare array<struct<h: long, seed: short, left: short, right: short>>"
+    rows = materialize(map_columns(keyed, kinds, run, keep=("doc_id",)), "scored")
+    log = lambda name: F.split(F.lit(",".join(map(repr, model[name].ravel().tolist()))), ",").cast("array<double>")  # noqa: E731  a constant of at most classes^2 numbers
+    classes = len(model["log_emission"])
+    each = rows.select("row", F.posexplode("rare").alias("i", "r")).select("row", "i", "r.*")
+    each = each.join(model["words"].where(F.col("n") <= model["least"]).withColumnRenamed("cls", "learnt"), "h", "left")
+    each = each.select("row", "i", "left", "right", F.coalesce("learnt", "seed").cast("int").alias("c"), F.coalesce("n", F.lit(0)).alias("n"))
+    # neighbours that are rare words too stand next to each other in a text's list
+    before = F.when(F.col("left") < 0, F.lag("c").over(W.partitionBy("row").orderBy("i"))).otherwise(F.col("left"))
+    each = each.withColumn("before", before.cast("int"))
+    move = lambda a, b: F.get(log("log_transition"), a * classes + b)
+    steps = move(F.col("before"), F.col("c")) + F.when(F.col("right") >= 0, move(F.col("c"), F.col("right").cast("int"))).otherwise(0.0)
+    more = F.log10(F.col("n") + 1)
+    told = each.groupBy("row").agg(F.sum(more).alias("more"), F.count_if(F.col("n") > 0).alias("k"), F.sum(more - F.get(log("log_emission"), F.col("c")) + steps).alias("rest"))
+    total, kinds_of, ends = model["tokens"], model["distinct"], model["ends"]
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    base = F.col("counted") + zero("more") + F.lit(float(np.log10(ends + 1.0))) - F.col("n_tokens") * F.lit(float(np.log10(total + 1.0 * (kinds_of + 1))))
+    out = rows.drop("rare").join(told, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("seen") + F.coalesce("k", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"), base.alias("base_score"), (F.col("modelled") + zero("rest")).alias("score"),
     )
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 

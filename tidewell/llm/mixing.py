@@ -125,7 +125,7 @@ t AS (SELECT ns, src, r, source_size, CASE WHEN source_size = 0 THEN 0 ELSE leas
 p AS (SELECT d.*, t.r, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.ns, d.src ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN t ON d.ns = t.ns AND d.src = t.src),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS passes FROM p)
-z AS (SELECT *, CAST(passes * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - passes * source_size - before)) AS BIGINT) AS taken,
+, z AS (SELECT *, CAST(passes * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - passes * source_size - before)) AS BIGINT) AS taken,
          before / target AS u, CASE r WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS a, CASE r WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS b FROM q)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
        CASE WHEN taken = 0 THEN NULL WHEN a = b THEN u ELSE (sqrt(greatest(a * a + 2 * (b - a) * u, 0)) - a) / (b - a) + 0 END AS position FROM z
