@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 
-from tidewell.llm.flatgraph import link_vectors
+from tidewell.llm import flatgraph
+from tidewell.llm.flatgraph import APART, apart, fit_centers, link_vectors, unit
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node long"
 
@@ -34,6 +36,23 @@ def test_matches_brute_force_and_edges(spark):
     want = brute([(i, [float(np.float32(c)) if c is not None else None for c in v] if v is not None else None) for i, v in rows])
     assert sorted(map(tuple, link_vectors(df, block=64).collect())) == want
     assert sum(w[1] for w in want) > 100
+    # every cluster gets centers of its own
+    assert sorted(map(tuple, link_vectors(df, block=64, split=40).collect())) == want
+
+
+def test_centers_keep_a_dense_group_together():
+    r = np.random.default_rng(5)
+    group = unit((r.normal(size=8) + r.normal(size=(300, 8)) * 0.02).tolist())
+    far = unit(r.normal(size=(40, 8)).tolist())
+    centers = apart(fit_centers(np.concatenate([group, far]), 32))
+    assert (centers @ centers.T - np.eye(len(centers))).max() < APART
+    assert len(set((group @ centers.T).argmax(axis=1).tolist())) == 1
+
+
+def test_missed_links_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(flatgraph, "_audit", lambda *a: 0.5)
+    with pytest.raises(RuntimeError):
+        link_vectors(spark.createDataFrame([(i, [1.0, float(i)], 1, 5) for i in range(4)], SCHEMA), probes=64)
 
 
 def test_empty(spark):

@@ -1,7 +1,9 @@
 """Near-duplicate embeddings over a robust-pruned flat graph.
 
 Equal vectors are one node. Nodes are dealt into overlapping clusters: a node belongs to its nearest center and to every
-center nearly as near (``margin``, at most ``probes``). A cluster of more than ``block`` nodes is cut into blocks by hash.
+center nearly as near (``margin``, at most ``probes``). A cluster of more than ``split`` nodes gets centers of its own, a
+second level, fitted and assigned in tasks of bounded size; no two centers are nearer than ``APART``, so a dense group
+stays in one cluster. A cluster of more than ``block`` nodes is cut into blocks by hash.
 
 1. *Build*: each block links its nodes to near candidates thinned by robust pruning (a candidate goes if a chosen
    neighbour is ``ALPHA`` times nearer to it), adds reverse links and ties what the medoid can't reach to the rest.
@@ -10,10 +12,13 @@ center nearly as near (``margin``, at most ``probes``). A cluster of more than `
    block's medoids (and at the node itself, in its own block), then expands whatever is in range until nothing new is.
 4. *Verify*: only pairs whose cosine in double precision is at least ``least`` count, each in the first cluster that both
    share, so none counts twice. A task reports counts and a star for each local component, never pairs.
-5. *Audit*: ``AUDIT`` nodes are compared with all nodes by brute force; below ``TARGET`` recall the index is built again
-   with wider overlap.
+5. *Audit*: up to ``AUDIT`` nodes, half of them from all and half from those that link, spread over small and large
+   numbers of links, are compared with all nodes by brute force. Recall is the mean over audited nodes that truly link, so
+   a dense group doesn't outweigh the others. Below ``TARGET`` the index is built again with wider overlap; the recall of
+   every round is logged, and a result under ``LEAST_RECALL`` is never returned: it is an error.
 
-Centers are fitted on a sample of at most ``sample_rows`` nodes (documented bound); every node is indexed and searched.
+First-level centers are fitted on a sample of at most ``sample_rows`` nodes and ``SAMPLE_BYTES`` (documented bounds);
+every node is indexed and searched. Vectors travel in the type that the table has, and are double in the comparisons.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 components of their own; vectors of different lengths don't link; equal vectors link; rows with equal vec_id are rows of
@@ -22,15 +27,20 @@ their own in one component if their vectors link; an empty table gives an empty
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import connected_components, map_columns, materialize
 
-ALPHA, DEGREE, CANDIDATES, BEAM, STARTS, AUDIT, TARGET = 1.2, 24, 48, 24, 16, 256, 0.98
+ALPHA, DEGREE, CANDIDATES, BEAM, STARTS, AUDIT, TARGET, LEAST_RECALL = 1.2, 24, 48, 24, 16, 256, 0.98, 0.9
 SHARD = 512  # nodes wanted for each center
+APART, SAMPLE_BYTES, MOST_CENTERS, GROUP = 0.9, 128 << 20, 1024, 8192
+_LOG = logging.getLogger(__name__)
 
 
 def unit(vectors: list) -> np.ndarray:
@@ -53,6 +63,14 @@ def fit_centers(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return centers
 
 
+def apart(centers: np.ndarray) -> np.ndarray:
+    """Centers of which no two are nearer than ``APART``; the first ones stay."""
+    kept = np.zeros(len(centers), bool)
+    for i in range(len(centers)):
+        kept[i] = not kept.any() or (centers[kept] @ centers[i]).max() < APART
+    return centers[kept]
+
+
 def robust_prune(sims: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Neighbours [n, degree] (-1: none) chosen from candidates [n, c], which are sorted nearest first."""
     n, c = candidates.shape
@@ -234,7 +252,7 @@ def _assigned(nodes: DataFrame, centers: dict[int, np.ndarray], probes: int, mar
 
     def run(batches):
         for b in batches:
-            dims = np.array([len(v) for v in b["v"]])
+            dims = np.array([len(v) for v in b["w"]])
             out: list = [None] * len(dims)
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
@@ -243,21 +261,59 @@ def _assigned(nodes: DataFrame, centers: dict[int, np.ndarray], probes: int, mar
                     for i in at.tolist():
                         out[i] = [total + dim]
                     continue
-                sims = unit([b["v"][i] for i in at.tolist()]) @ known.T
+                sims = unit([b["w"][i] for i in at.tolist()]) @ known.T
                 order = np.argsort(-sims, axis=1)[:, :probes]
                 near = np.take_along_axis(sims, order, 1)
                 keep = near >= near[:, :1] - margin
                 for i, o, k in zip(at.tolist(), order + first[dim], keep):
                     out[i] = o[k].tolist()
-            yield {"node": b["node"], "copies": b["copies"], "v": b["v"], "shards": out}
-
-    return map_columns(nodes.select("node", "copies", "v"), "node long, copies long, v array<double>, shards array<long>", run)
-
-
-def _linked(nodes: DataFrame, centers: dict[int, np.ndarray], least: float, block: int, probes: int, margin: float) -> DataFrame:
+            yield {"shards": out}
+
+    keyed = nodes.select("node", "copies", "v", F.col("v").alias("w"))
+    return map_columns(keyed, "shards array<long>", run, keep=("node", "copies", "v"))
+
+
+def _split(placed: DataFrame, split: int, probes: int, margin: float) -> DataFrame:
+    """``placed`` (node, copies, v, cluster) with clusters of over ``split`` nodes dealt over centers of their own."""
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > split)
+    wanted = F.least(F.lit(MOST_CENTERS), F.ceil(F.col("n") / SHARD)).cast("int")
+    # a row a first-level cluster, so it is as small as the table of centers
+    large = materialize(sizes.select("cluster", wanted.alias("k"), F.ceil(F.col("n") / GROUP).alias("salts"), F.greatest(F.lit(1), F.floor(F.col("n") / (wanted * 32))).cast("int").alias("every")), "large")
+    if large.isEmpty():
+        return placed
+    mine = placed.join(F.broadcast(large), "cluster")
+    sample = mine.where(F.pmod(F.xxhash64("node", F.lit(3)), F.col("every")) == 0)  # about 32 nodes a center
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        x = apart(fit_centers(unit(rows["v"].tolist()), int(rows["k"].iloc[0])))
+        return pd.DataFrame({"cluster": rows["cluster"].iloc[0], "salts": rows["salts"].iloc[0], "sub": np.arange(len(x)), "center": list(x)})
+
+    centers = materialize(sample.groupBy("cluster").applyInPandas(fit, "cluster long, salts long, sub long, center array<double>"), "subcenters")
+    salted = mine.select("node", "copies", "v", "cluster", F.pmod(F.xxhash64("node", F.lit(5)), F.col("salts")).alias("salt"))
+    tables = centers.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+
+    def assign(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(table):
+            return rows[["node", "copies", "v", "cluster"]]
+        table = table.sort_values("sub")
+        sims = unit(rows["v"].tolist()) @ np.array(table["center"].tolist()).T
+        order = np.argsort(-sims, axis=1)[:, :probes]
+        near = np.take_along_axis(sims, order, 1)
+        i, j = np.nonzero(near >= near[:, :1] - margin)
+        out = rows.iloc[i][["node", "copies", "v", "cluster"]].reset_index(drop=True)
+        return out.assign(cluster=(out["cluster"] + 1) * (1 << 20) + table["sub"].to_numpy()[order[i, j]])
+
+    kind = f"node long, copies long, v {placed.schema['v'].dataType.simpleString()}, cluster long"
+    dealt = salted.groupBy("cluster", "salt").cogroup(tables.groupBy("cluster", "salt")).applyInPandas(assign, kind)
+    rest = placed.join(F.broadcast(large.select("cluster")), "cluster", "left_anti").select("node", "copies", "v", "cluster")
+    return rest.unionByName(dealt)
+
+
+def _linked(nodes: DataFrame, centers: dict[int, np.ndarray], least: float, block: int, split: int, probes: int, margin: float) -> DataFrame:
     """(node, links, classes, root) by node and pair of blocks."""
-    assigned = materialize(_assigned(nodes, centers, probes, margin), "assigned")
-    placed = assigned.select("*", F.explode("shards").alias("cluster"))
+    assigned = _assigned(nodes, centers, probes, margin)
+    placed = materialize(_split(materialize(assigned.select("node", "copies", "v", F.explode("shards").alias("cluster")), "assigned"), split, probes, margin), "placed")
+    shards = placed.groupBy("node").agg(F.collect_list("cluster").alias("shards"))  # at most probes, or its square
     blocks = placed.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row a cluster
     placed = placed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
@@ -266,10 +322,10 @@ def _linked(nodes: DataFrame, centers: dict[int, np.ndarray], least: float, bloc
         return pd.DataFrame({"node": ids, "nbrs": [ids[own].tolist() for own in build_graph(unit(rows["v"].tolist()))]})
 
     parts = placed.select("cluster", "block", "node", "v").groupBy("cluster", "block").applyInPandas(build, "node long, nbrs array<long>")
-    # one list for each of at most ``probes`` blocks
+    # one list for each block of a node
     united = parts.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = placed.join(united, "node").select("*", other.alias("other")).select("node", "copies", "v", "shards", "nbrs", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    paired = placed.join(united.join(shards, "node"), "node").select("*", other.alias("other")).select("node", "copies", "v", "shards", "nbrs", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return search_blocks(rows, least, *key)
@@ -279,8 +335,14 @@ def _linked(nodes: DataFrame, centers: dict[int, np.ndarray], least: float, bloc
 
 
 def _audit(nodes: DataFrame, linked: DataFrame, least: float) -> float:
-    """Share of the links of ``AUDIT`` nodes that were found; brute force over all nodes."""
-    asked = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(AUDIT).select("node", "v").collect()
+    """Mean share of its links that was found of an audited node; brute force over all nodes."""
+    found = linked.groupBy("node").agg(F.sum("classes").alias("found"))
+    stratum = F.floor(F.log2("found")).cast("int")
+    linking = found.where("found > 0").withColumn("stratum", stratum)
+    spread = linking.withColumn("place", F.row_number().over(W.partitionBy("stratum").orderBy(F.xxhash64("node", F.lit(11)), "node"))).where("place <= 16")
+    half = spread.orderBy("place", F.desc("stratum")).limit(AUDIT // 2).select("node")
+    ids = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(AUDIT // 2).select("node").union(half).distinct()
+    asked = nodes.join(F.broadcast(ids), "node", "left_semi").select("node", "v").collect()  # at most AUDIT rows
     shared = nodes.sparkSession.sparkContext.broadcast([(r.node, list(r.v)) for r in asked])
 
     def run(batches):
@@ -296,29 +358,33 @@ def _audit(nodes: DataFrame, linked: DataFrame, least: float) -> float:
                     n = (unit([v for _, v in by_dim[dim]]) @ unit(rows).T >= least).sum(axis=1)
                     yield {"node": [k for k, _ in by_dim[dim]], "n": n.astype(np.int64)}
 
-    true = map_columns(nodes.select("v"), "node long, n long", run).groupBy("node").agg((F.sum("n") - 1).alias("n"))
-    got = linked.join(F.broadcast(true.select("node")), "node", "left_semi").agg(F.sum("classes")).first()[0] or 0
-    want = true.agg(F.sum("n")).first()[0] or 0
-    return got / want if want else 1.0
+    true = map_columns(nodes.select("v"), "node long, n long", run).groupBy("node").agg((F.sum("n") - 1).alias("n")).where("n > 0")
+    share = true.join(found, "node", "left").agg(F.avg(F.coalesce("found", F.lit(0)) / F.col("n"))).first()[0]
+    return 1.0 if share is None else share  # no audited node links
 
 
-def link_vectors(vectors: DataFrame, least: float = 0.95, block: int = 2048, sample_rows: int = 65536, probes: int = 4, margin: float = 0.1) -> DataFrame:
+def link_vectors(vectors: DataFrame, least: float = 0.95, block: int = 2048, sample_rows: int = 65536, split: int = 16384, probes: int = 4, margin: float = 0.1) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind if kind in ("array<float>", "array<double>") else "array<double>").alias("v"))
     nodes = _nodes(rows)
-    total = nodes.count()
+    total, widest = nodes.agg(F.count("*"), F.max(F.size("v"))).first()
     wanted = min(sample_rows // 8, -(-total // SHARD))
-    taken = nodes.orderBy(F.xxhash64("node"), "node").limit(min(sample_rows, max(1024, 32 * wanted))).select("v").collect()
+    most = max(1, min(sample_rows, SAMPLE_BYTES // (8 * (widest or 1)), max(1024, 32 * wanted)))
+    taken = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select("v").collect()
     by_dim: dict[int, list] = {}
     for r in taken:
         by_dim.setdefault(len(r.v), []).append(r.v)
-    centers = {dim: fit_centers(unit(own), -(-wanted * len(own) // len(taken))) for dim, own in by_dim.items()}
+    centers = {dim: apart(fit_centers(unit(own), -(-wanted * len(own) // len(taken)))) for dim, own in by_dim.items()}
     while True:
-        linked = _linked(nodes, centers, least, block, probes, margin)
-        if _audit(nodes, linked, least) >= TARGET or probes >= 16:
+        linked = _linked(nodes, centers, least, block, split, probes, margin)
+        recall = _audit(nodes, linked, least)
+        _LOG.info("recall of the audited nodes: %.4f with %d clusters a node at most", recall, probes)
+        if recall >= TARGET or probes >= 64:
             break
         probes, margin = probes * 2, margin * 2
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"links found: {recall:.3f} of the audited nodes' links, {LEAST_RECALL} wanted")
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     labelled = nodes.join(counts, "node").join(groups, "node", "left").select("v", "copies", "links", "smallest", F.coalesce("component", "node").alias("component"))
@@ -333,3 +399,15 @@ def link_vectors(vectors: DataFrame, least: float = 0.95, block: int = 2048, sam
 
 def op4_flatgraph(spark, sf_dir: str) -> DataFrame:
     return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE = """
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS k, vec_id, CAST(embedding AS DOUBLE[]) AS v,
+         embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS sound FROM embeddings),
+l AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.k <> b.k AND a.sound AND b.sound AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT k AS a, k AS b FROM e UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT r.a AS k, min(e.vec_id) AS component_id FROM r JOIN e ON e.k = r.b GROUP BY r.a),
+n AS (SELECT a AS k, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, coalesce(e.vec_id = c.component_id, false) AS kept FROM e JOIN c USING (k) LEFT JOIN n USING (k)
+"""

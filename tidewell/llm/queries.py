@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
+    "op4_flatgraph": flatgraph.ORACLE,
     "op8_licenses": licenses.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
