@@ -13,7 +13,7 @@ until the likelihood gains less than ``GAIN`` of itself, and the best assignment
 
 *All other words*, however many, are then moved one by one from their ending's class to the class that their own
 neighbours favour, by the same gain: one pass gathers each word's counts by class of its neighbours, and hashed groups of
-words are moved in tasks of bounded size. A last pass counts the class bigrams under the final classes.
+words are moved in tasks of bounded size. The class bigrams are then counted under the final classes.
 
 Words are known by their 64-bit hash. Counts and classes of the ``head_words`` most frequent ones travel with the scoring
 tasks; rarer words leave the scoring pass as rows with their neighbours' classes and get their own by a join.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import crc_bucket, discard, map_columns, materialize
 
-LOG_BINS, TOP_BIN, GAIN, GROUP_WORDS = 8, 512, 1e-3, 16384
+LOG_BINS, TOP_BIN, GAIN, GROUP_WORDS, SLICE = 8, 512, 1e-3, 8192, 2 << 20
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -220,37 +220,39 @@ def exchange(bigrams: DataFrame, items: int, classes: int, sweeps: int, start: n
 def best_classes(word: np.ndarray, slot: np.ndarray, n: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Class of each word that raises the likelihood most when the word is taken out of class ``own`` and put there.
 
-    To name another class than its ending's costs log(classes), so it has to gain more than that.
     ``word``: which word an entry belongs to, sorted; ``slot``: 2 * class of a neighbour, and 1 more if it follows.
+    To name another class than its ending's costs log(classes), so it has to gain more than that.
     """
     k = len(counts)
     side, d = slot % 2, slot // 2
-    first = np.searchsorted(word, np.arange(len(own)))
-    gain = np.zeros((len(own), k))
-    for at in range(0, len(own), 2048):  # words at a time
-        z = min(at + 2048, len(own))
-        e = slice(first[at], first[z] if z < len(own) else len(word))
-        cells = np.where(side[e, None] == 0, counts[d[e]], counts.T[d[e]])  # (neighbour, c) or (c, neighbour)
-        with_word = n[e, None] + cells
-        mine = own[word[e]]
-        rows = np.arange(len(mine))
-        with_word[rows, mine] = cells[rows, mine]
+    grown = np.zeros((len(own), k))
+    step = 1 << 14  # entries at a time
+    for at in range(0, len(word), step):
+        e = slice(at, at + step)
+        cells = np.concatenate([counts, counts.T])[d[e] + k * side[e]]  # (neighbour, c) or (c, neighbour)
+        more = cells + n[e, None]
+        mine, rows = own[word[e]], np.arange(len(cells))
+        more[rows, mine] = cells[rows, mine]
         cells[rows, mine] = np.maximum(cells[rows, mine] - n[e], 0)
-        gain[at:z] = np.add.reduceat(_xlogx(with_word) - _xlogx(cells), first[at:z] - first[at], axis=0)
+        first = np.flatnonzero(np.append(True, word[e][1:] != word[e][:-1]))
+        grown[word[e][first]] += np.add.reduceat(_xlogx(more) - _xlogx(cells), first, axis=0)
     total = np.bincount(word[side == 0], n[side == 0], len(own))
     size = np.repeat(counts.sum(axis=1)[None, :], len(own), axis=0)
-    grown = size + total[:, None]
-    rows = np.arange(len(own))
-    grown[rows, own] = size[rows, own]
+    full, rows = size + total[:, None], np.arange(len(own))
+    full[rows, own] = size[rows, own]
     size[rows, own] = np.maximum(size[rows, own] - total, 0)
-    gain -= 2 * (_xlogx(grown) - _xlogx(size))
+    gain = grown - 2 * (_xlogx(full) - _xlogx(size))
     gain[:, 0] = -np.inf
     best = gain.argmax(axis=1)
     return np.where(gain[rows, best] > gain[rows, own] + np.log(k), best, own)
 
 
-def other_words(texts: DataFrame, vocabulary: DataFrame, movers: np.ndarray, cls: np.ndarray, counts: np.ndarray, units: int) -> DataFrame:
-    """(h, cls) of all words that are no movers."""
+def other_words(texts: DataFrame, vocabulary: DataFrame, bigrams: DataFrame, movers: np.ndarray, cls: np.ndarray, counts: np.ndarray, units: int) -> tuple[DataFrame, np.ndarray]:
+    """(h, cls) of all words that are no movers, and the class bigram counts under the final classes.
+
+    One pass over the texts gives each such word's neighbours by class (a neighbour of the same kind by its ending's
+    class, and marked), and the pairs in which both are such words.
+    """
     shared = texts.sparkSession.sparkContext.broadcast((movers, cls))  # at most exchange_words + units numbers
     k = len(counts)
 
@@ -262,61 +264,45 @@ def other_words(texts: DataFrame, vocabulary: DataFrame, movers: np.ndarray, cls
             if not len(codes):
                 continue
             place = _find(movers, hashes)
-            of = cls[np.where(place >= 0, 1 + place, 1 + len(movers) + endings)]
+            of = np.where(place >= 0, cls[1 + np.maximum(place, 0)], k + cls[1 + len(movers) + endings])  # k and more: not settled yet
             line, inside = _line(of[codes], sizes)
-            at = np.flatnonzero(inside)[place[codes] < 0]
-            who = codes[place[codes] < 0]
-            key, n = np.unique(np.concatenate([who * (2 * k) + 2 * line[at - 1], who * (2 * k) + 2 * line[at + 1] + 1]), return_counts=True)
-            code = key // (2 * k)
-            yield {"h": hashes[code], "own": of[code].astype(np.int32), "slot": (key % (2 * k)).astype(np.int32), "n": n}
+            at, who = np.flatnonzero(inside)[place[codes] < 0], codes[place[codes] < 0]
+            key, n = np.unique((who * (2 * k) + line[at - 1]) * (2 * k) + line[at + 1], return_counts=True)
+            code = key // (4 * k * k)
+            follow = np.flatnonzero(line[at + 1] >= k)  # the next word is the next of these
+            pair, m = np.unique(who[follow] * len(hashes) + who[follow + 1], return_counts=True) if len(follow) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield {
+                "h": np.concatenate([hashes[code], hashes[pair // max(1, len(hashes))]]), "context": np.concatenate([key % (4 * k * k), np.full(len(pair), -1)]).astype(np.int32),
+                "other": np.concatenate([of[code] - k, hashes[pair % max(1, len(hashes))]]), "n": np.concatenate([n, m]).astype(np.int64),
+            }
 
-    entries = map_columns(texts.select("text"), "h long, own int, slot int, n long", gather).groupBy("h", "own", "slot").agg(F.sum("n").alias("n"))
+    # other: the ending's class, or the second word of a pair (context -1)
+    entries = map_columns(texts.select("text"), "h long, context int, other long, n long", gather, slice_bytes=SLICE)
+    entries = materialize(entries.groupBy("h", "context", "other").agg(F.sum("n").alias("n")), "entries")
     groups = max(1, -(-vocabulary.count() // GROUP_WORDS))
 
-    def move(rows: pd.DataFrame) -> pd.DataFrame:  # about GROUP_WORDS words, each with 2 * classes counts at most
-        rows = rows.sort_values("h", ignore_index=True)
-        ids, first, word = np.unique(rows["h"].to_numpy(np.int64), return_index=True, return_inverse=True)
-        own = rows["own"].to_numpy(np.int64)[first]
-        new = best_classes(word, rows["slot"].to_numpy(np.int64), rows["n"].to_numpy(np.float64), own, counts)
+    def move(rows: pd.DataFrame) -> pd.DataFrame:  # about GROUP_WORDS words, each with 4 * classes^2 contexts at most
+        h, first, word = np.unique(rows["h"].to_numpy(np.int64), return_index=True, return_inverse=True)
+        context, n = rows["context"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
+        own = rows["other"].to_numpy(np.int64)[first]
+        slot = np.concatenate([2 * (context // (2 * k) % k), 2 * (context % (2 * k) % k) + 1])
+        key, at = np.unique(np.concatenate([word, word]) * (2 * k) + slot, return_inverse=True)
+        new = best_classes(key // (2 * k), key % (2 * k), np.bincount(at, np.concatenate([n, n])), own, counts)
         return rows.assign(cls=new[word].astype(np.int32))
 
-    moved = entries.groupBy(F.pmod(F.xxhash64("h"), F.lit(groups)).alias("g")).applyInPandas(move, "h long, own int, slot int, n long, cls int")
-    return moved.groupBy("h").agg(F.first("cls").alias("cls"))
-
-
-def recount(texts: DataFrame, words: DataFrame, known: pd.DataFrame, least: int, seeds: np.ndarray, classes: int) -> np.ndarray:
-    """Class bigram counts of the texts under the final classes: ``known`` words in the tasks, the others by a join."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((known["h"].to_numpy(np.int64), known["cls"].to_numpy(np.int64), seeds))
-
-    def run(batches):
-        h, of_known, seeds = shared.value
-        coder = _Coder(len(seeds))
-        for b in batches:
-            codes, sizes, hashes, endings = coder.batch(b["text"])
-            at = _find(h, hashes)
-            of = np.where(at >= 0, of_known[np.maximum(at, 0)], 0) if len(h) else np.zeros(len(hashes), np.int64)
-            line, inside = _line(of[codes], sizes)
-            line[np.flatnonzero(inside)[(at < 0)[codes]]] = -1
-            pair, n = np.unique((line[:-1] * classes + line[1:])[(line[:-1] >= 0) & (line[1:] >= 0)], return_counts=True)
-            rare = np.flatnonzero(line < 0)
-            row = np.repeat(b["row"], sizes)[(at < 0)[codes]] if len(rare) else np.zeros(0, np.int64)
-            rest = [None] * len(pair)
-            yield {
-                "row": [*rest, *row.tolist()], "i": [*rest, *rare.tolist()], "h": [*rest, *hashes[codes][(at < 0)[codes]].tolist()],
-                "a": np.concatenate([pair // classes, line[rare - 1]]).astype(np.int32), "b": np.concatenate([pair % classes, line[rare + 1]]).astype(np.int32), "n": np.concatenate([n, np.ones(len(rare), np.int64)]),
-            }
-
-    rows = texts.select("text", F.monotonically_increasing_id().alias("row"))
-    rows = materialize(map_columns(rows, "row long, i int, h long, a int, b int, n long", run), "recount")
-    each = rows.where("h is not null").join(words.where(F.col("n") <= least).select("h", "cls"), "h")
-    each = each.withColumn("before", F.coalesce(F.when(F.col("a") >= 0, F.col("a")), F.lag("cls").over(W.partitionBy("row").orderBy("i"))))
-    into, out = each.select(F.col("before").alias("a"), F.col("cls").alias("b"), "n"), each.where("b >= 0").select(F.col("cls").alias("a"), "b", "n")
-    counts = np.zeros((classes, classes))
-    for r in rows.where("h is null").select("a", "b", "n").union(into).union(out).groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes^2 rows
-        counts[r.a, r.b] = r.n
-    discard(rows)
-    return counts
+    moved = entries.where("context >= 0").groupBy(F.pmod(F.xxhash64("h"), F.lit(groups)).alias("g")).applyInPandas(move, "h long, context int, other long, n long, cls int")
+    moved = materialize(moved.select("h", "cls", "context", "n"), "moved")
+    tail = materialize(moved.groupBy("h").agg(F.first("cls").alias("cls")), "tail")
+    # movers among themselves, then movers beside other words, then other words among themselves
+    settled = texts.sparkSession.createDataFrame(pd.DataFrame({"item": np.arange(1 + len(movers), dtype=np.int32), "cls": cls[: 1 + len(movers)].astype(np.int32)}))
+    final = class_counts(bigrams.where((F.col("a") <= len(movers)) & (F.col("b") <= len(movers))), settled, k)
+    left, right = F.expr(f"context div {2 * k}"), F.col("context") % (2 * k)
+    beside = moved.select(left.alias("a"), F.col("cls").alias("b"), "n").union(moved.select("cls", right, "n")).where((F.col("a") < k) & (F.col("b") < k))
+    twice = entries.where("context < 0").join(tail.withColumnRenamed("cls", "a"), "h").join(tail.select(F.col("h").alias("other"), F.col("cls").alias("b")), "other")
+    for r in beside.union(twice.select("a", "b", "n")).groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes^2 rows at most
+        final[r.a, r.b] += r.n
+    discard(entries, moved)
+    return tail, final
 
 
 def _line(of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -345,8 +331,9 @@ def fit(training: DataFrame, classes: int = 64, exchange_words: int = 8192, unit
     rank[np.argsort(-chosen["n"].to_numpy(), kind="stable")] = np.arange(len(movers))
     start = np.concatenate([[0], 1 + rank % (classes - 1), 1 + np.arange(units) % (classes - 1)]).astype(np.int64)
     cls, counts, told = exchange(bigrams, items, classes, sweeps, start)
+    tail, counts = other_words(texts, vocabulary, bigrams, movers, cls, counts, units)
+    told.append(likelihood(counts))
     discard(bigrams)
-    tail = other_words(texts, vocabulary, movers, cls, counts, units)
     mover_classes = spark.createDataFrame(pd.DataFrame({"h": movers, "mover": cls[1 : 1 + len(movers)].astype(np.int32)}), "h long, mover int")
     words = vocabulary.join(F.broadcast(mover_classes), "h", "left").join(tail, "h", "left")  # each word is in one of them
     words = materialize(words.select("h", "n", F.coalesce("mover", "cls").alias("cls")), "words")
@@ -356,8 +343,6 @@ def fit(training: DataFrame, classes: int = 64, exchange_words: int = 8192, unit
         distinct[r.cls], tokens[r.cls] = r.v, r.n
     least = int(head["n"].min()) if len(head) else 1
     known = words.join(F.broadcast(spark.createDataFrame(head[["h"]], "h long")), "h").toPandas().sort_values("h", ignore_index=True) if len(head) else pd.DataFrame({"h": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "cls": np.zeros(0, np.int64)})
-    counts = recount(texts, words, known, least, cls[1 + len(movers) :], classes)
-    told.append(likelihood(counts))
     share = counts.sum(axis=0) + 1.0
     share /= share.sum()
     strength = 20.0
@@ -410,7 +395,7 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
 
     keyed = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     kinds = "row long, n_tokens long, seen long, counted double, modelled double, rare array<struct<h: long, seed: short, left: short, right: short>>"
-    rows = materialize(map_columns(keyed, kinds, run, keep=("doc_id",)), "scored")
+    rows = materialize(map_columns(keyed, kinds, run, keep=("doc_id",), slice_bytes=SLICE), "scored")
     log = lambda name: F.split(F.lit(",".join(map(repr, model[name].ravel().tolist()))), ",").cast("array<double>")  # noqa: E731  a constant of at most classes^2 numbers
     classes = len(model["log_emission"])
     each = rows.select("row", F.posexplode("rare").alias("i", "r")).select("row", "i", "r.*")

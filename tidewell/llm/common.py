@@ -50,10 +50,10 @@ def whole(df: DataFrame) -> DataFrame:
     return df.select(F.struct("*").alias("document"))
 
 
-def map_columns(df: DataFrame, schema: str, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, object]]], keep: tuple[str, ...] = ()) -> DataFrame:
+def map_columns(df: DataFrame, schema: str, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, object]]], keep: tuple[str, ...] = (), slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over plain column lists: ``function`` gets {column: list} batches and yields {column: values}.
 
-    Lists hold about ``SLICE_BYTES`` of Arrow data at a time, so that memory doesn't follow the length of the texts.
+    Lists hold about ``slice_bytes`` of Arrow data at a time, so that memory doesn't follow the length of the texts.
     Columns in ``keep`` go around the function as they are; it then has to yield a row for each row it gets, in order.
     """
 
@@ -64,7 +64,7 @@ def map_columns(df: DataFrame, schema: str, function: Callable[[Iterator[dict[st
             for b in batches:
                 if not b.num_rows:
                     continue
-                step = max(1, b.num_rows * SLICE_BYTES // (b.nbytes + 1))
+                step = max(1, b.num_rows * slice_bytes // (b.nbytes + 1))
                 for at in range(0, b.num_rows, step):
                     part = b.slice(at, step)
                     around.append([part.column(c) for c in keep])
