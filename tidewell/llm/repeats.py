@@ -12,8 +12,12 @@ shuffles, and only suffixes that can still have a partner go on to the next one:
 3. *Runs of ``RUN`` offsets*, then 4. *single windows*, for the rows that disagree somewhere (the ends of repeats):
    bucketed by the bytes that the run's windows share, then by the complete windows.
 
-Digits are hashes of the bytes with 128 bits (the second pass has 64 bits beside the gram's 64). Rows of a bucket are never brought together: each pass counts its digits with
-partial sums and joins the counts back, so a passage shared by a third of all documents is spread like any other.
+A digit has 256**64 values or more, so a bucket is addressed by a hash of the digit's bytes: 64 bits for the first digit,
+which only decides who goes on, and 128 bits from then on (beside those 64), which decide what is equal. The order of
+buckets is used nowhere, so buckets aren't sorted among each other. Suffixes that start between two named positions are
+not rows of their own before pass 4; one row for each byte of the input would be some 40 times as many. Rows of a bucket
+are never brought together: each pass counts its digits with partial sums and joins the counts back, from a table of
+their own, so a passage shared by a third of all documents is spread like any other.
 
 Defined results: null and empty texts have 0 bytes; texts under ``length`` bytes lose nothing; equal texts of at least
 ``length`` bytes lose everything; repeated rows are copies of each other; extra columns are ignored.
@@ -95,7 +99,7 @@ def _segments(texts: list[bytes], length: int):
 
 
 def suffix_rows(keyed: DataFrame, length: int) -> DataFrame:
-    """(doc, th, p, lo, hi, g, u): windows lo..hi name position p; g is its gram, u the digest of all their bytes."""
+    """(doc, th, p, lo, hi, g, u, w): windows lo..hi name position p; g is its gram, u and w the digest of all their bytes."""
 
     def run(batches):
         for b in batches:
@@ -107,16 +111,16 @@ def suffix_rows(keyed: DataFrame, length: int) -> DataFrame:
                 piece = np.searchsorted(bounds, at, side="right")
                 shift = np.array([a for _, a, _ in group]) - np.concatenate([[0], bounds[:-1]])
                 who = np.array([i for i, _, _ in group])[piece]
-                digest = xxhash.xxh3_64_intdigest
-                u = np.array([digest(data[a : z + length], seed=p - a) for a, z, p in zip(first.tolist(), last.tolist(), at.tolist())], np.uint64).view(np.int64)
+                digest = xxhash.xxh3_128_digest
+                halves = np.frombuffer(b"".join([digest(data[a : z + length], seed=p - a) for a, z, p in zip(first.tolist(), last.tolist(), at.tolist())]), np.int64).reshape(-1, 2)
                 doc, th = b["doc"], b["th"]
                 move = shift[piece]
                 yield {
                     "doc": [doc[i] for i in who.tolist()], "th": [th[i] for i in who.tolist()], "p": (at + move).astype(np.int32),
-                    "lo": (first + move).astype(np.int32), "hi": (last + move).astype(np.int32), "g": gram, "u": u,
+                    "lo": (first + move).astype(np.int32), "hi": (last + move).astype(np.int32), "g": gram, "u": np.ascontiguousarray(halves[:, 0]), "w": np.ascontiguousarray(halves[:, 1]),
                 }
 
-    return map_columns(keyed, _KEYS + ", p int, lo int, hi int, g long, u long", run)
+    return map_columns(keyed, _KEYS + ", p int, lo int, hi int, g long, u long, w long", run)
 
 
 def _contexts(keyed: DataFrame, members: DataFrame, length: int) -> DataFrame:
@@ -174,15 +178,15 @@ def repeated_windows(keyed: DataFrame, length: int) -> DataFrame:
     """(doc, th, lo, hi): starts lo..hi of windows of ``length`` bytes that also start anywhere else."""
     rows = materialize(suffix_rows(keyed, length), "suffixes")
     # counts are tables of their own: a join with a table is split where a key is hot, one with an aggregation isn't
-    buckets = rows.groupBy("g").agg(F.count("*").alias("n"), (F.min("u") != F.max("u")).alias("mixed")).where("n > 1").drop("n")
+    buckets = rows.groupBy("g").agg(F.count("*").alias("n"), (F.min(F.struct("u", "w")) != F.max(F.struct("u", "w"))).alias("mixed")).where("n > 1").drop("n")
     buckets = materialize(buckets, "buckets")
     alive = materialize(rows.join(buckets, "g"), "alive")
     span = ["doc", "th", "lo", "hi"]
     settled = alive.where("not mixed").select(span)
     mixed = alive.where("mixed")
-    kinds = mixed.groupBy("g", "u").agg((F.count("*") == 1).alias("pending"), *[F.first(c).alias(c) for c in ("doc", "th", "p", "lo", "hi")])  # of one row
+    kinds = mixed.groupBy("g", "u", "w").agg((F.count("*") == 1).alias("pending"), *[F.first(c).alias(c) for c in ("doc", "th", "p", "lo", "hi")])  # of one row
     kinds = materialize(kinds, "kinds")
-    settled = settled.union(mixed.join(kinds.where("not pending").select("g", "u"), ["g", "u"]).select(span))
+    settled = settled.union(mixed.join(kinds.where("not pending").select("g", "u", "w"), ["g", "u", "w"]).select(span))
     settled = materialize(settled, "settled")
     discard(rows, alive, buckets)
     contexts = materialize(_contexts(keyed, kinds, length), "contexts")
