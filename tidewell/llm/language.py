@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import crc_bucket, map_columns, whole
 
-BUCKETS, ORDERS, KEPT_BYTES = 1 << 14, (2, 3, 4), 8 << 20
+BUCKETS, ORDERS, KEPT_BYTES, LANGUAGES = 1 << 14, (2, 3, 4), 8 << 20, 512
 UNKNOWN = "und"
 #: First code point of each script range, and its script (fixed values of the Unicode blocks).
 SCRIPT_STARTS = [0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xA80, 0xB00, 0xB80, 0xC00, 0xC80, 0xD00, 0xD80, 0xE00, 0xE80, 0xF00, 0x1000, 0x10A0, 0x1100, 0x1200, 0x13A0, 0x1780, 0x1800, 0x1E00, 0x1F00, 0x2000, 0x2E80, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0]
@@ -70,8 +70,11 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probabilities [language, orders, bucket] and allowed [script, language], from (text, lang).
 
-    Counts leave a task as at most one row for each language and bucket; the sums collected are of fixed size.
+    Counts leave a task as at most one row for each language and bucket; the sums collected are of fixed size, and more
+    than ``LANGUAGES`` languages are an error.
     """
+    if labelled.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
 
     def count(batches):
         known: dict[str, dict[bytes, int]] = {}
