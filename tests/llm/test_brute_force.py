@@ -111,12 +111,21 @@ def test_scores_match_brute_force_and_sum_to_one(spark):
     signed = lambda h: h - 2**64 if h >> 63 else h
     ending = lambda t: {signed(xxhash.xxh64_intdigest(w.encode())): xxhash.xxh64_intdigest(w.encode()[-3:]) % 32 for w in re.findall(SPACE, lower(t or ""))}
     seeds = model["cls"][1 + len(model["movers"]) :]
-    counts = np.zeros((12, 12))
+    counts, both, of_unit, movers = np.zeros((12, 12)), np.zeros((32, 32)), np.zeros((32, 12)), set(model["movers"].tolist())
     for i, t in zip(rows.doc_id, rows.text):
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            line = [0, *[cls[signed(h)] for h in cut(t)], 0]
+            ends = ending(t)
+            line = [None, *[signed(h) for h in cut(t)], None]
             for a, b in zip(line, line[1:]):
-                counts[a, b] += 1
+                if a in movers or b in movers or a is None or b is None:
+                    counts[cls.get(a, 0), cls.get(b, 0)] += 1
+                else:  # by the shares of the classes in either ending
+                    both[ends[a], ends[b]] += 1
+            for h in line[1:-1]:
+                if h not in movers:
+                    of_unit[ends[h], cls[h]] += 1
+    of_unit /= np.maximum(of_unit.sum(axis=1, keepdims=True), 1)
+    counts += of_unit.T @ both @ of_unit
     share = (counts.sum(axis=0) + 1) / (counts.sum() + 12)
     assert np.allclose(transition, (counts + 20 * share) / (counts.sum(axis=1, keepdims=True) + 20))
     got = {r.doc_id: r for r in brown.score(documents, model).collect()}

@@ -12,8 +12,9 @@ given the other groups' assignment -- the usual distributed exchange. Half of th
 until the likelihood gains less than ``GAIN`` of itself, and the best assignment counts.
 
 *All other words*, however many, are then moved one by one from their ending's class to the class that their own
-neighbours favour, by the same gain: one pass gathers each word's counts by class of its neighbours, and hashed groups of
-words are moved in tasks of bounded size. The class bigrams are then counted under the final classes.
+neighbours favour, by the same gain: one pass gathers each word's counts by class of its neighbours and deals them by
+word, and tasks move the words a few at a time. The class bigrams are then counted under the final classes; a bigram of
+two such words counts by the shares that the classes have in their endings.
 
 Words are known by their 64-bit hash. Counts and classes of the ``head_words`` most frequent ones travel with the scoring
 tasks; rarer words leave the scoring pass as rows with their neighbours' classes and get their own by a join.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import crc_bucket, discard, map_columns, materialize
 
-LOG_BINS, TOP_BIN, GAIN, GROUP_WORDS, SLICE = 8, 512, 1e-3, 8192, 2 << 20
+LOG_BINS, TOP_BIN, GAIN, ENTRIES, SLICE = 8, 512, 2e-3, 1 << 16, 2 << 20
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -247,14 +248,14 @@ def best_classes(word: np.ndarray, slot: np.ndarray, n: np.ndarray, own: np.ndar
     return np.where(gain[rows, best] > gain[rows, own] + np.log(k), best, own)
 
 
-def other_words(texts: DataFrame, vocabulary: DataFrame, bigrams: DataFrame, movers: np.ndarray, cls: np.ndarray, counts: np.ndarray, units: int) -> tuple[DataFrame, np.ndarray]:
-    """(h, cls) of all words that are no movers, and the class bigram counts under the final classes.
+def other_words(texts: DataFrame, movers: np.ndarray, cls: np.ndarray, counts: np.ndarray, units: int) -> tuple[DataFrame, np.ndarray]:
+    """(h, cls) of all words that are no movers, and the final counts of bigrams of such a word and a mover.
 
-    One pass over the texts gives each such word's neighbours by class (a neighbour of the same kind by its ending's
-    class, and marked), and the pairs in which both are such words.
+    One pass over the texts gives each such word's contexts: the classes before and after it, where a neighbour of the
+    same kind stands with its ending's class, k higher. Words are moved where their contexts meet, a few at a time.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((movers, cls))  # at most exchange_words + units numbers
-    k = len(counts)
+    spark, k = texts.sparkSession, len(counts)
+    shared = spark.sparkContext.broadcast((movers, cls))  # at most exchange_words + units numbers
 
     def gather(batches):
         movers, cls = shared.value
@@ -264,45 +265,71 @@ def other_words(texts: DataFrame, vocabulary: DataFrame, bigrams: DataFrame, mov
             if not len(codes):
                 continue
             place = _find(movers, hashes)
-            of = np.where(place >= 0, cls[1 + np.maximum(place, 0)], k + cls[1 + len(movers) + endings])  # k and more: not settled yet
+            of = np.where(place >= 0, cls[1 + np.maximum(place, 0)], k + cls[1 + len(movers) + endings])
             line, inside = _line(of[codes], sizes)
-            at, who = np.flatnonzero(inside)[place[codes] < 0], codes[place[codes] < 0]
+            other = place[codes] < 0
+            at, who = np.flatnonzero(inside)[other], codes[other]
             key, n = np.unique((who * (2 * k) + line[at - 1]) * (2 * k) + line[at + 1], return_counts=True)
             code = key // (4 * k * k)
-            follow = np.flatnonzero(line[at + 1] >= k)  # the next word is the next of these
-            pair, m = np.unique(who[follow] * len(hashes) + who[follow + 1], return_counts=True) if len(follow) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield {
-                "h": np.concatenate([hashes[code], hashes[pair // max(1, len(hashes))]]), "context": np.concatenate([key % (4 * k * k), np.full(len(pair), -1)]).astype(np.int32),
-                "other": np.concatenate([of[code] - k, hashes[pair % max(1, len(hashes))]]), "n": np.concatenate([n, m]).astype(np.int64),
-            }
-
-    # other: the ending's class, or the second word of a pair (context -1)
-    entries = map_columns(texts.select("text"), "h long, context int, other long, n long", gather, slice_bytes=SLICE)
-    entries = materialize(entries.groupBy("h", "context", "other").agg(F.sum("n").alias("n")), "entries")
-    groups = max(1, -(-vocabulary.count() // GROUP_WORDS))
-
-    def move(rows: pd.DataFrame) -> pd.DataFrame:  # about GROUP_WORDS words, each with 4 * classes^2 contexts at most
-        h, first, word = np.unique(rows["h"].to_numpy(np.int64), return_index=True, return_inverse=True)
-        context, n = rows["context"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
-        own = rows["other"].to_numpy(np.int64)[first]
-        slot = np.concatenate([2 * (context // (2 * k) % k), 2 * (context % (2 * k) % k) + 1])
-        key, at = np.unique(np.concatenate([word, word]) * (2 * k) + slot, return_inverse=True)
-        new = best_classes(key // (2 * k), key % (2 * k), np.bincount(at, np.concatenate([n, n])), own, counts)
-        return rows.assign(cls=new[word].astype(np.int32))
-
-    moved = entries.where("context >= 0").groupBy(F.pmod(F.xxhash64("h"), F.lit(groups)).alias("g")).applyInPandas(move, "h long, context int, other long, n long, cls int")
-    moved = materialize(moved.select("h", "cls", "context", "n"), "moved")
-    tail = materialize(moved.groupBy("h").agg(F.first("cls").alias("cls")), "tail")
-    # movers among themselves, then movers beside other words, then other words among themselves
-    settled = texts.sparkSession.createDataFrame(pd.DataFrame({"item": np.arange(1 + len(movers), dtype=np.int32), "cls": cls[: 1 + len(movers)].astype(np.int32)}))
-    final = class_counts(bigrams.where((F.col("a") <= len(movers)) & (F.col("b") <= len(movers))), settled, k)
-    left, right = F.expr(f"context div {2 * k}"), F.col("context") % (2 * k)
-    beside = moved.select(left.alias("a"), F.col("cls").alias("b"), "n").union(moved.select("cls", right, "n")).where((F.col("a") < k) & (F.col("b") < k))
-    twice = entries.where("context < 0").join(tail.withColumnRenamed("cls", "a"), "h").join(tail.select(F.col("h").alias("other"), F.col("cls").alias("b")), "other")
-    for r in beside.union(twice.select("a", "b", "n")).groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes^2 rows at most
-        final[r.a, r.b] += r.n
-    discard(entries, moved)
-    return tail, final
+            yield {"h": hashes[code], "context": ((of[code] - k) * (4 * k * k) + key % (4 * k * k)).astype(np.int32), "n": n}
+
+    def move(batches):
+        """Rows come sorted by word; a word's are held together, at most 4 * classes^2 of them."""
+        found, held, size = np.zeros((k, k), np.int64), [], 0
+
+        def settle(h, context, n):
+            words, first, word = np.unique(h, return_index=True, return_inverse=True)
+            left, right, own = context // (2 * k) % (2 * k), context % (2 * k), (context // (4 * k * k))[first]
+            slot, at = np.unique(np.concatenate([word, word]) * (2 * k) + np.concatenate([2 * (left % k), 2 * (right % k) + 1]), return_inverse=True)
+            new = best_classes(slot // (2 * k), slot % (2 * k), np.bincount(at, np.concatenate([n, n])), own, counts)
+            for side, cell in ((left, (left, new[word])), (right, (new[word], right))):
+                mover = side < k
+                np.add.at(found, tuple(x[mover] for x in cell), n[mover])
+            empty = pa.nulls(len(words), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(new.astype(np.int32)), empty, empty, pa.nulls(len(words), pa.int64())], names=["h", "cls", "a", "b", "n"])
+
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "context", "n")]
+            held.append(rows)
+            size += len(rows[0])
+            if size >= ENTRIES:
+                all_rows = [np.concatenate(x) for x in zip(*held)]
+                whole_words = np.searchsorted(all_rows[0], all_rows[0][-1])  # the last word may go on
+                held, size = [[x[whole_words:] for x in all_rows]], size - whole_words
+                if whole_words:
+                    yield settle(*[x[:whole_words] for x in all_rows])
+        if size:
+            yield settle(*[np.concatenate(x) for x in zip(*held)])
+        a, b = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(found[a, b])], names=["h", "cls", "a", "b", "n"])
+
+    contexts = map_columns(texts.select("text"), "h long, context int, n long", gather, slice_bytes=SLICE)
+    # dealt by word before they are summed, so that the sums lie where the word's classes are tried
+    summed = contexts.repartition("h").groupBy("h", "context").agg(F.sum("n").alias("n")).sortWithinPartitions("h")
+    moved = materialize(summed.mapInArrow(move, "h long, cls int, a int, b int, n long"), "moved")
+    beside = np.zeros((k, k))
+    for r in moved.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes^2 rows at most
+        beside[r.a, r.b] = r.n
+    return moved.where("h is not null").select("h", "cls"), beside
+
+
+def final_counts(bigrams: DataFrame, words: DataFrame, movers: int, units: int, cls: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Class bigram counts under the final classes.
+
+    Movers among themselves count by their classes, and movers beside other words are given. Two other words count by
+    the shares that the classes have in the tokens of either ending.
+    """
+    k = len(beside)
+    settled = bigrams.sparkSession.createDataFrame(pd.DataFrame({"item": np.arange(1 + movers, dtype=np.int32), "cls": cls[: 1 + movers].astype(np.int32)}))
+    counts = beside + class_counts(bigrams.where((F.col("a") <= movers) & (F.col("b") <= movers)), settled, k)
+    share = np.zeros((units, k))
+    for r in words.where("not mover").groupBy("unit", "cls").agg(F.sum("n").alias("n")).collect():  # units * classes rows at most
+        share[r.unit, r.cls] = r.n
+    share /= np.maximum(share.sum(axis=1, keepdims=True), 1)
+    pairs = bigrams.where((F.col("a") > movers) & (F.col("b") > movers)).toPandas()  # units^2 rows at most
+    both = np.zeros((units, units))
+    both[pairs["a"].to_numpy(np.int64) - 1 - movers, pairs["b"].to_numpy(np.int64) - 1 - movers] = pairs["n"].to_numpy(np.float64)
+    return counts + share.T @ both @ share
 
 
 def _line(of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +341,7 @@ def _line(of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return line, inside
 
 
-def fit(training: DataFrame, classes: int = 64, exchange_words: int = 8192, units: int = 1024, head_words: int = 131072, sweeps: int = 8) -> dict:
+def fit(training: DataFrame, classes: int = 64, exchange_words: int = 8192, units: int = 1024, head_words: int = 262144, sweeps: int = 8) -> dict:
     """Counts and classes learnt from column ``text``; only tables of bounded size reach the driver."""
     spark = training.sparkSession
     texts = training.select("text")
@@ -331,18 +358,19 @@ def fit(training: DataFrame, classes: int = 64, exchange_words: int = 8192, unit
     rank[np.argsort(-chosen["n"].to_numpy(), kind="stable")] = np.arange(len(movers))
     start = np.concatenate([[0], 1 + rank % (classes - 1), 1 + np.arange(units) % (classes - 1)]).astype(np.int64)
     cls, counts, told = exchange(bigrams, items, classes, sweeps, start)
-    tail, counts = other_words(texts, vocabulary, bigrams, movers, cls, counts, units)
-    told.append(likelihood(counts))
-    discard(bigrams)
-    mover_classes = spark.createDataFrame(pd.DataFrame({"h": movers, "mover": cls[1 : 1 + len(movers)].astype(np.int32)}), "h long, mover int")
+    tail, beside = other_words(texts, movers, cls, counts, units)
+    mover_classes = spark.createDataFrame(pd.DataFrame({"h": movers, "moved": cls[1 : 1 + len(movers)].astype(np.int32)}), "h long, moved int")
     words = vocabulary.join(F.broadcast(mover_classes), "h", "left").join(tail, "h", "left")  # each word is in one of them
-    words = materialize(words.select("h", "n", F.coalesce("mover", "cls").alias("cls")), "words")
+    words = materialize(words.select("h", "n", "unit", F.coalesce("moved", "cls").alias("cls"), F.col("moved").isNotNull().alias("mover")), "words")
+    counts = final_counts(bigrams, words, len(movers), units, cls, beside)
+    told.append(likelihood(counts))
+    discard(vocabulary, bigrams)
     sums = words.groupBy("cls").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # a row a class
     distinct, tokens = np.zeros(classes), np.zeros(classes)
     for r in sums:
         distinct[r.cls], tokens[r.cls] = r.v, r.n
     least = int(head["n"].min()) if len(head) else 1
-    known = words.join(F.broadcast(spark.createDataFrame(head[["h"]], "h long")), "h").toPandas().sort_values("h", ignore_index=True) if len(head) else pd.DataFrame({"h": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "cls": np.zeros(0, np.int64)})
+    known = words.join(F.broadcast(spark.createDataFrame(head[["h"]], "h long")), "h").select("h", "n", "cls").toPandas().sort_values("h", ignore_index=True) if len(head) else pd.DataFrame({"h": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "cls": np.zeros(0, np.int64)})
     share = counts.sum(axis=0) + 1.0
     share /= share.sum()
     strength = 20.0
@@ -399,7 +427,7 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
     log = lambda name: F.split(F.lit(",".join(map(repr, model[name].ravel().tolist()))), ",").cast("array<double>")  # noqa: E731  a constant of at most classes^2 numbers
     classes = len(model["log_emission"])
     each = rows.select("row", F.posexplode("rare").alias("i", "r")).select("row", "i", "r.*")
-    each = each.join(model["words"].where(F.col("n") <= model["least"]).withColumnRenamed("cls", "learnt"), "h", "left")
+    each = each.join(model["words"].where(F.col("n") <= model["least"]).select("h", "n", F.col("cls").alias("learnt")), "h", "left")
     each = each.select("row", "i", "left", "right", F.coalesce("learnt", "seed").cast("int").alias("c"), F.coalesce("n", F.lit(0)).alias("n"))
     # neighbours that are rare words too stand next to each other in a text's list
     before = F.when(F.col("left") < 0, F.lag("c").over(W.partitionBy("row").orderBy("i"))).otherwise(F.col("left"))
