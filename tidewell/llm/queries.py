@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op4_flatgraph": flatgraph.ORACLE,
+    "op5_repeats": repeats.ORACLE,
     "op8_licenses": licenses.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

@@ -242,5 +242,21 @@ def op5_repeats(spark, sf_dir: str) -> DataFrame:
     cut = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return cut.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
-        (F.col("n_removed") > 0).alias("has_repeats"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+        (F.col("n_removed") > 0).alias("has_repeats"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.try_validate_utf8(F.col("kept").cast("string")).alias("text"),  # null if a cut goes through a character
     )
+
+
+ORACLE = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS MATERIALIZED (SELECT k, s, md5(b[s : s + 399]) AS h FROM (SELECT k, b, unnest(range(1, n - 398)) AS s FROM d WHERE n >= 400)),
+r AS (SELECT k, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+j AS (SELECT k, s, CASE WHEN s <= lag(s) OVER (PARTITION BY k ORDER BY s) + 400 THEN 0 ELSE 1 END AS fresh FROM r),
+i AS (SELECT k, s, sum(fresh) OVER (PARTITION BY k ORDER BY s) AS i FROM j),
+c AS (SELECT k, min(s) AS a, max(s) + 400 AS z FROM i GROUP BY k, i),
+p AS (SELECT k, a AS place, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 1) AS f, a - 1 AS t FROM c UNION ALL SELECT k, max(z), max(z), NULL FROM c GROUP BY k),
+e AS (SELECT k, unhex(string_agg(CASE WHEN f <= coalesce(t, n) THEN hex(b[f : coalesce(t, n)]) ELSE '' END, '' ORDER BY place)) AS left_over FROM p JOIN d USING (k) GROUP BY k),
+m AS (SELECT k, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM c GROUP BY k)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(left_over, b)) AS kept_sha256,
+       n_removed IS NOT NULL AS has_repeats, n - coalesce(n_removed, 0) AS n_kept, TRY(decode(coalesce(left_over, b))) AS text
+FROM d LEFT JOIN m USING (k) LEFT JOIN e USING (k)
+"""
