@@ -111,7 +111,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         star = large.union(own).distinct()
         low = star.groupBy("a").agg(F.min("b").alias("m"))
         small = star.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        last, current = current, materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        discard(last)
         now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.countDistinct("a")).first()
         if now[0] == now[2] and now == signature:
             break

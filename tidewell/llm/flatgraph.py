@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import connected_components, map_columns, materialize
+from tidewell.llm.common import connected_components, discard, map_columns, materialize
 
 ALPHA, DEGREE, CANDIDATES, BEAM, STARTS, AUDIT, TARGET, LEAST_RECALL = 1.2, 24, 48, 24, 16, 256, 0.98, 0.9
 SHARD = 512  # nodes wanted for each center
@@ -312,7 +312,10 @@ def _split(placed: DataFrame, split: int, probes: int, margin: float) -> DataFra
 def _linked(nodes: DataFrame, centers: dict[int, np.ndarray], least: float, block: int, split: int, probes: int, margin: float) -> DataFrame:
     """(node, links, classes, root) by node and pair of blocks."""
     assigned = _assigned(nodes, centers, probes, margin)
-    placed = materialize(_split(materialize(assigned.select("node", "copies", "v", F.explode("shards").alias("cluster")), "assigned"), split, probes, margin), "placed")
+    assigned = materialize(assigned.select("node", "copies", "v", F.explode("shards").alias("cluster")), "assigned")
+    dealt = materialize(_split(assigned, split, probes, margin), "placed")
+    discard(assigned)
+    placed = dealt
     shards = placed.groupBy("node").agg(F.collect_list("cluster").alias("shards"))  # at most probes, or its square
     blocks = placed.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row a cluster
     placed = placed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -331,7 +334,9 @@ def _linked(nodes: DataFrame, centers: dict[int, np.ndarray], least: float, bloc
         return search_blocks(rows, least, *key)
 
     found = paired.groupBy("cluster", "i", "j").applyInPandas(search, "node long, links long, classes long, root long")
-    return materialize(found, "linked")
+    linked = materialize(found, "linked")
+    discard(dealt)
+    return linked
 
 
 def _audit(nodes: DataFrame, linked: DataFrame, least: float) -> float:
@@ -382,6 +387,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.95, block: int = 2048, sam
         _LOG.info("recall of the audited nodes: %.4f with %d clusters a node at most", recall, probes)
         if recall >= TARGET or probes >= 64:
             break
+        discard(linked)
         probes, margin = probes * 2, margin * 2
     if recall < LEAST_RECALL:
         raise RuntimeError(f"links found: {recall:.3f} of the audited nodes' links, {LEAST_RECALL} wanted")
