@@ -30,6 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -40,33 +41,28 @@ from tidewell.llm.common import crc_bucket, discard, map_columns, materialize
 LOG_BINS, TOP_BIN, GAIN, ENTRIES, SLICE = 8, 512, 2e-3, 1 << 16, 2 << 20
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased; the end token is added by the callers."""
-    return text.encode("utf-8", "replace").lower().split() if text else []
-
-
 class _Coder:
-    """Codes words of a batch by first appearance; hashes and endings are computed once for each distinct word."""
+    """Codes the words of a batch; hashes and endings are computed once for each distinct word."""
 
     def __init__(self, units: int):
         self.units = units
 
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(codes of all tokens, tokens of each text, hash of each code, ending of each code)."""
-        seen = _FirstSeen()
-        split = [tokens_of(t) for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter((seen[w] for words in split for w in words), np.int64, int(sizes.sum()))
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter(map(digest, seen), np.uint64, len(seen)).view(np.int64)
-        endings = np.fromiter((digest(w[-3:]) % self.units for w in seen), np.int64, len(seen))
-        return codes, sizes, hashes, endings
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(codes of all tokens, tokens of each text, hash of each code, ending of each code).
 
-
-class _FirstSeen(dict):
-    def __missing__(self, key):
-        self[key] = value = len(self)
-        return value
+        Tokens are words between ASCII white space, A-Z lower-cased; the end token is added by the callers.
+        """
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        codes, parents = coded.indices.to_numpy().astype(np.int64), pc.list_parent_indices(split).to_numpy()
+        digest = xxhash.xxh64_intdigest
+        if b"" in words:  # from white space at a text's ends
+            empty = words.index(b"")
+            codes, parents = codes[codes != empty], parents[codes != empty]
+        hashes = np.fromiter(map(digest, words), np.uint64, len(words)).view(np.int64)
+        endings = np.fromiter((digest(w[-3:]) % self.units for w in words), np.int64, len(words))
+        return codes, np.bincount(parents, minlength=len(texts)), hashes, endings
 
 
 def word_counts(texts: DataFrame, units: int) -> DataFrame:
@@ -76,10 +72,10 @@ def word_counts(texts: DataFrame, units: int) -> DataFrame:
         coder = _Coder(units)
         for b in batches:
             codes, _, hashes, endings = coder.batch(b["text"])
-            if len(hashes):
-                yield {"h": hashes, "unit": endings.astype(np.int32), "n": np.bincount(codes, minlength=len(hashes))}
+            n = np.bincount(codes, minlength=len(hashes))
+            yield {"h": hashes[n > 0], "unit": endings[n > 0].astype(np.int32), "n": n[n > 0]}
 
-    return map_columns(texts.select("text"), "h long, unit int, n long", run).groupBy("h", "unit").agg(F.sum("n").alias("n"))
+    return map_columns(texts.select("text"), "h long, unit int, n long", run, arrow=("text",)).groupBy("h", "unit").agg(F.sum("n").alias("n"))
 
 
 def frequent(vocabulary: DataFrame, most: int) -> pd.DataFrame:
@@ -123,7 +119,7 @@ def item_bigrams(texts: DataFrame, movers: np.ndarray, units: int) -> DataFrame:
             pair, n = np.unique(line[:-1] * items + line[1:], return_counts=True)
             yield {"a": (pair // items).astype(np.int32), "b": (pair % items).astype(np.int32), "n": n}
 
-    return map_columns(texts.select("text"), "a int, b int, n long", run).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return map_columns(texts.select("text"), "a int, b int, n long", run, arrow=("text",)).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def class_counts(bigrams: DataFrame, assigned: DataFrame, classes: int) -> np.ndarray:
@@ -274,7 +270,7 @@ def other_words(texts: DataFrame, movers: np.ndarray, cls: np.ndarray, counts: n
             yield {"h": hashes[code], "context": ((of[code] - k) * (4 * k * k) + key % (4 * k * k)).astype(np.int32), "n": n}
 
     def move(batches):
-        """Rows come sorted by word; a word's are held together, at most 4 * classes^2 of them."""
+        """Rows come sorted by word; a word's are held together and summed by context, 4 * classes^2 of them at most."""
         found, held, size = np.zeros((k, k), np.int64), [], 0
 
         def settle(h, context, n):
@@ -296,17 +292,20 @@ def other_words(texts: DataFrame, movers: np.ndarray, cls: np.ndarray, counts: n
                 all_rows = [np.concatenate(x) for x in zip(*held)]
                 whole_words = np.searchsorted(all_rows[0], all_rows[0][-1])  # the last word may go on
                 held, size = [[x[whole_words:] for x in all_rows]], size - whole_words
-                if whole_words:
+                if not whole_words:
+                    context, at = np.unique(held[0][1], return_inverse=True)
+                    held = [[np.full(len(context), held[0][0][0]), context, np.bincount(at, held[0][2]).astype(np.int64)]]
+                    size = 0  # counts what has come since
+                else:
                     yield settle(*[x[:whole_words] for x in all_rows])
         if size:
             yield settle(*[np.concatenate(x) for x in zip(*held)])
         a, b = np.nonzero(found)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(found[a, b])], names=["h", "cls", "a", "b", "n"])
 
-    contexts = map_columns(texts.select("text"), "h long, context int, n long", gather, slice_bytes=SLICE)
-    # dealt by word before they are summed, so that the sums lie where the word's classes are tried
-    summed = contexts.repartition("h").groupBy("h", "context").agg(F.sum("n").alias("n")).sortWithinPartitions("h")
-    moved = materialize(summed.mapInArrow(move, "h long, cls int, a int, b int, n long"), "moved")
+    contexts = map_columns(texts.select("text"), "h long, context int, n long", gather, arrow=("text",), slice_bytes=SLICE)
+    dealt = contexts.repartition("h").sortWithinPartitions("h")
+    moved = materialize(dealt.mapInArrow(move, "h long, cls int, a int, b int, n long"), "moved")
     beside = np.zeros((k, k))
     for r in moved.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes^2 rows at most
         beside[r.a, r.b] = r.n
@@ -423,7 +422,7 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
 
     keyed = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     kinds = "row long, n_tokens long, seen long, counted double, modelled double, rare array<struct<h: long, seed: short, left: short, right: short>>"
-    rows = materialize(map_columns(keyed, kinds, run, keep=("doc_id",), slice_bytes=SLICE), "scored")
+    rows = materialize(map_columns(keyed, kinds, run, keep=("doc_id",), arrow=("text",), slice_bytes=SLICE), "scored")
     log = lambda name: F.split(F.lit(",".join(map(repr, model[name].ravel().tolist()))), ",").cast("array<double>")  # noqa: E731  a constant of at most classes^2 numbers
     classes = len(model["log_emission"])
     each = rows.select("row", F.posexplode("rare").alias("i", "r")).select("row", "i", "r.*")

@@ -50,11 +50,11 @@ def whole(df: DataFrame) -> DataFrame:
     return df.select(F.struct("*").alias("document"))
 
 
-def map_columns(df: DataFrame, schema: str, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, object]]], keep: tuple[str, ...] = (), slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def map_columns(df: DataFrame, schema: str, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, object]]], keep: tuple[str, ...] = (), arrow: tuple[str, ...] = (), slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over plain column lists: ``function`` gets {column: list} batches and yields {column: values}.
 
     Lists hold about ``slice_bytes`` of Arrow data at a time, so that memory doesn't follow the length of the texts.
-    Columns in ``keep`` go around the function as they are; it then has to yield a row for each row it gets, in order.
+    Columns in ``arrow`` come as Arrow arrays instead. Columns in ``keep`` go around the function as they are; it then has to yield a row for each row it gets, in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def map_columns(df: DataFrame, schema: str, function: Callable[[Iterator[dict[st
                 for at in range(0, b.num_rows, step):
                     part = b.slice(at, step)
                     around.append([part.column(c) for c in keep])
-                    yield {n: c.to_pylist() for n, c in zip(part.schema.names, part.columns) if n not in keep}
+                    yield {n: c if n in arrow else c.to_pylist() for n, c in zip(part.schema.names, part.columns) if n not in keep}
 
         for out in function(lists()):
             kept = around.popleft() if keep else []
