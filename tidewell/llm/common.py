@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from tidewell.session import shared_dir
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE_BYTES = 4 << 20
+_WHITE = re.compile("[\x20\x09-\x0d]")
 #: ASCII upper case folded, all other bytes kept.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,6 +82,16 @@ def map_columns(df: DataFrame, schema: str, function: Callable[[Iterator[dict[st
     return df.mapInArrow(run, StructType([df.schema[c] for c in keep] + own.fields))
 
 
+def pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """``text`` in pieces of about ``size`` characters, cut before white space."""
+    at = 0
+    while at < len(text):
+        cut = _WHITE.search(text, at + size) if at + size < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def arrow_types(schema: str) -> tuple[StructType, list[pa.DataType]]:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string

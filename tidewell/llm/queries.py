@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import brown, decontaminate, flatgraph, language, licenses, mixing, pages, repeats, secrets, simhash
+from tidewell.llm import audit, brown, decontaminate, flatgraph, impact, language, licenses, mixing, pages, pairwise, repeats, secrets, simhash
 
 QUERIES = {
     "op1_brown": brown.op1_brown,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_pages": pages.op9_pages,
     "op10_mixing": mixing.op10_mixing,
+    "op11_pairwise": pairwise.op11_pairwise,
+    "op12_search": impact.op12_search,
+    "op13_audit": audit.op13_audit,
 }
 
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op5_repeats": repeats.ORACLE,
     "op8_licenses": licenses.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_search": impact.ORACLE,
+    "op13_audit": audit.ORACLE,
 }
