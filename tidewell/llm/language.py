@@ -15,7 +15,6 @@ whatever their names, are ignored, or kept in ``document`` as they came.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from itertools import islice
 
@@ -31,7 +30,6 @@ UNKNOWN = "und"
 SCRIPT_STARTS = [0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xA80, 0xB00, 0xB80, 0xC00, 0xC80, 0xD00, 0xD80, 0xE00, 0xE80, 0xF00, 0x1000, 0x10A0, 0x1100, 0x1200, 0x13A0, 0x1780, 0x1800, 0x1E00, 0x1F00, 0x2000, 0x2E80, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0]
 SCRIPTS = ["latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "syriac", "devanagari", "bengali", "gurmukhi", "gujarati", "oriya", "tamil", "telugu", "kannada", "malayalam", "sinhala", "thai", "lao", "tibetan", "burmese", "georgian", "hangul", "ethiopic", "cherokee", "khmer", "mongolian", "latin", "greek", "other", "han", "hiragana", "katakana", "bopomofo", "han", "yi", "hangul", "other"]
 NAMES = sorted(set(SCRIPTS))
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -43,6 +41,10 @@ def script_of(word: bytes) -> int:
     return NAMES.index("latin")
 
 
+def n_letters(word: bytes) -> int:
+    return len(word) if word.isascii() else sum(map(str.isalpha, word.decode("utf-8", "ignore")))
+
+
 def words_of(text: str) -> list[bytes]:
     """Lower-cased runs of ASCII letters and non-ASCII characters."""
     return text.lower().encode("utf-8", "replace").translate(_SPACES).split()
@@ -129,7 +131,7 @@ class Scorer:
             if len(ids) > len(self.table):
                 self.table, self.letters = (np.concatenate([x[:known], np.zeros((2 * len(ids) - known, *x.shape[1:]), x.dtype)]) for x in (self.table, self.letters))
             self.table[known : len(ids)] = self.words(new)
-            self.letters[known : len(ids)] = list(map(len, new))
+            self.letters[known : len(ids)] = list(map(n_letters, new))
         return coded
 
     def words(self, words: list[bytes]) -> np.ndarray:
@@ -179,7 +181,7 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarra
         scorer = Scorer(*shared.value, penalty)
         for b in batches:
             out = {"lang_pred": [], "score": [], "spans": []}
-            for own in scorer.code([words_of(t) if t and languages and _LETTER.search(t) else [] for t in b["text"]]):
+            for own in scorer.code([words_of(t) if t and languages and any(map(str.isalpha, t)) else [] for t in b["text"]]):
                 if not len(own):
                     out["lang_pred"].append(UNKNOWN), out["score"].append(0.0), out["spans"].append([])
                     continue
