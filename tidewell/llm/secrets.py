@@ -37,6 +37,8 @@ _JWT = re.compile(r"(?<![A-Za-z0-9_-])((?:e[wy3]|[ICD][A-Za-z0-9_-])[A-Za-z0-9_-
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
 _ANYHEX = re.compile(r"[0-9A-Fa-f]{64,}")
 _OPENSSH = b"openssh-key-v1\x00"
+MOST_KEYS = 64  # of one OpenSSH file; OpenSSH itself writes and reads one
+_PADDING = re.compile("={0,2}")
 # the first line of a key in base64: it starts with the tag of a SEQUENCE or with OpenSSH's magic word
 _FIRST = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))(?:M[A-P]|b3BlbnNz)[A-Za-z0-9+/_-]{6,}")
 _NEXT = re.compile(r"[ \t]*(?:\\+[nr]|[\r\n])+[ \t]*([A-Za-z0-9+/_-]+)")
@@ -118,18 +120,7 @@ def is_armoured_key(body: str) -> bool:
 
 
 def stated_length(data: bytes) -> int:
-    """Bytes of the private key that ``data`` starts with, as its own lengths state; 0 if it can't be one."""
-    if data.startswith(_OPENSSH):
-        at, left, counted = len(_OPENSSH), 3, False
-        while left:
-            if at + 4 > len(data):
-                return 0
-            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
-            if not left and not counted:  # the number of keys: a public part each, and one private part
-                if at + 4 > len(data):
-                    return 0
-                at, left, counted = at + 4, int.from_bytes(data[at : at + 4], "big") + 1, True
-        return at
+    """Bytes of the SEQUENCE that ``data`` starts with, as its length states; 0 if it can't be a private key."""
     if len(data) < 4 or data[0] != 0x30:
         return 0
     n = data[1] & 0x7F if data[1] & 0x80 else 0
@@ -138,31 +129,62 @@ def stated_length(data: bytes) -> int:
     return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
 
 
+def stated_openssh(body: str, start: int) -> int:
+    """Bytes of OpenSSH's key at ``start`` in base64, as its length fields state; only these are decoded. 0 if it is none."""
+
+    def number(at: int) -> int | None:
+        data = decode_base64(body[start + at // 3 * 4 : start + (at + 6) // 3 * 4])[at % 3 : at % 3 + 4]
+        return int.from_bytes(data, "big") if len(data) == 4 else None
+
+    if decode_base64(body[start : start + 20]) != _OPENSSH:
+        return 0
+    at = len(_OPENSSH)
+    for _ in range(3):
+        if (n := number(at)) is None:
+            return 0
+        at += 4 + n
+    keys = number(at)  # a public part each, and one private part
+    if keys is None or keys > MOST_KEYS:
+        return 0
+    at += 4
+    for _ in range(keys + 1):
+        if (n := number(at)) is None:
+            return 0
+        at += 4 + n
+    return at
+
+
+class _Lines:
+    """Base64 over neighbouring lines, read once for all keys that may start in it."""
+
+    def __init__(self, text: str, first: re.Match):
+        parts, self.starts, self.ends, size, end = [first[0]], {first.start(): 0}, {len(first[0]): first.end()}, len(first[0]), first.end()
+        while (more := _NEXT.match(text, end)) is not None:
+            self.starts[more.start(1)] = size
+            parts.append(more[1])
+            size, end = size + len(more[1]), more.end()
+            self.ends[size] = end
+        self.body = "".join(parts)
+
+
 def wrapped_keys(text: str) -> list[tuple[int, int]]:
     """Spans of private keys in base64 that goes on over lines."""
-    found = []
+    found: list[tuple[int, int]] = []
+    lines = None
     for m in _FIRST.finditer(text):
         if found and m.start() < found[-1][1]:
             continue
-        openssh = m[0].startswith("b3BlbnNz")
-        head = m[0][: len(m[0]) // 4 * 4]
-        need = 0 if openssh else -(-stated_length(decode_base64(head[:12])) * 8 // 6)
-        if not (openssh or need):
-            continue
-        ends, parts, size = [(len(m[0]), m.end())], [m[0]], len(m[0])
-        while openssh or size < need:
-            more = _NEXT.match(text, ends[-1][1])
-            if more is None:
-                break
-            size += len(more[1])
-            parts.append(more[1])
-            ends.append((size, more.end()))
-        body = "".join(parts)
-        if openssh:
-            need = -(-stated_length(decode_base64(body[: size // 4 * 4] if size % 4 == 1 else body)) * 8 // 6)
-        end = next((e for n, e in ends if n == need), None)  # a key ends where a line ends
-        if end is not None and is_private_key(decode_base64(body[:need])):
-            found.append((m.start(), re.compile("={0,2}").match(text, end).end()))
+        if lines is None or m.start() not in lines.starts:
+            lines = _Lines(text, m)
+        at = lines.starts[m.start()]
+        if m[0].startswith("b3BlbnNz"):
+            size = stated_openssh(lines.body, at)
+        else:
+            size = stated_length(decode_base64(m[0][: min(12, len(m[0]) // 4 * 4)]))
+        need = -(-size * 8 // 6)
+        end = lines.ends.get(at + need) if size else None  # a key ends where a line ends
+        if end is not None and is_private_key(decode_base64(lines.body[at : at + need])):
+            found.append((m.start(), _PADDING.match(text, end).end()))
     return found
 
 
