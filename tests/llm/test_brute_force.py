@@ -89,11 +89,23 @@ def test_language_matches_brute_force(spark):
             path.append(moves[path[-1]])
         mass = Counter()
         for w, x in zip(words, reversed(path)):
-            mass[x] += len(w)
+            mass[x] += sum(c.isalpha() for c in w.decode("utf-8", "ignore"))
         best = max(mass, key=lambda x: mass[x])
         assert r.lang_pred == languages[best] and abs(r.score - mass[best] / sum(mass.values())) < 1e-9
 
 
+def test_letters_of_any_script_weigh_the_same(spark):
+    """47 English and 25 Russian letters are English, though the Russian ones have more bytes."""
+    english, russian = "the house of the king was in the north of the country", "дом короля стоял на севере и"
+    teach = [(i, english if i % 2 else russian, "en" if i % 2 else "ru") for i in range(40)]
+    docs = spark.createDataFrame(teach, "doc_id long, text string, lang string")
+    count = lambda t: sum(c.isalpha() for c in t)
+    asked = [(1, english + " — " + russian), (2, english + " " + russian * 3), (3, "—— … ² 42"), (4, russian)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(asked, "doc_id long, text string"), language.train(docs), penalty=2.0).collect()}
+    assert (got[1].lang_pred, got[2].lang_pred, got[3].lang_pred, got[4].lang_pred) == ("en", "ru", "und", "ru")
+    assert abs(got[1].score - count(english) / (count(english) + count(russian))) < 0.05
+
+
 # --- class scoring ----------------------------------------------------------------------------------------------------
 def test_scores_match_brute_force_and_sum_to_one(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(80)
@@ -272,3 +284,19 @@ def test_pipeline_matches_brute_force(spark):
     assert len(got) == len(want)
     for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
         assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-9
+
+
+def test_each_move_raises_the_likelihood_most():
+    """A single item's move equals trying every class with the likelihood itself."""
+    rng = np.random.default_rng(5)
+    items, k = 24, 5
+    sequence = np.append(0, rng.choice(np.arange(1, items), 600, p=rng.dirichlet(np.ones(items - 1))))
+    pairs = np.zeros((items, items))
+    np.add.at(pairs, (sequence, np.roll(sequence, -1)), 1)  # closed, so that rows and columns have equal sums
+    cls = np.append(0, rng.integers(1, k, items - 1))
+    of = lambda c: np.eye(k)[c].T @ pairs @ np.eye(k)[c]
+    for i in range(1, items):
+        tried = [brown.likelihood(of(np.where(np.arange(items) == i, c, cls))) for c in range(1, k)]
+        left, right = (np.eye(k)[cls].T @ x for x in (pairs[:, i], pairs[i]))
+        new = brown.exchange_group(left[None], right[None], np.array([pairs[i, i]]), cls[i : i + 1], of(cls))[0]
+        assert tried[new - 1] >= max(tried) - 1e-9

@@ -249,3 +249,15 @@ def test_pipeline_stages(spark):
     empty = d.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_key_like_lines_are_read_once():
+    """Many lines that start like a key, and no key: time in proportion to the text."""
+    import time
+
+    ssh = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW\n"
+    der = "MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7VJTUt9Us8cKjMzEfYyji\n"
+    for line in (ssh, der):
+        began = time.perf_counter()
+        assert not secrets.wrapped_keys(line * 40_000)
+        assert time.perf_counter() - began < 4

@@ -164,7 +164,7 @@ def exchange_group(left: np.ndarray, right: np.ndarray, self_loop: np.ndarray, s
         into_row = (_xlogx(base + r[None, :]) - f).sum(axis=1)  # cell (c, d) grows by r[d]
         diagonal = np.diag(base)
         both = _xlogx(diagonal + l + r + s) - _xlogx(diagonal + l) - _xlogx(diagonal + r) + _xlogx(diagonal)
-        size = base.sum(axis=1)
+        size = base.sum(axis=1) + l  # a class keeps its transitions to the item, wherever that goes
         gain = into_column + into_row + both - 2 * (_xlogx(size + total) - _xlogx(size))
         gain[0] = -np.inf
         best = int(np.argmax(gain))
