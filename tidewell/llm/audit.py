@@ -4,7 +4,7 @@ Everything follows from counts of *failure masks* (one bit a filter) by part. Fo
 fifth, "an equal text has a smaller doc_id", is found with RDDs routed by fingerprint: a task keeps collision chains, that
 is for each xxhash64 value the different full texts with that value and for each text its smallest id. Whoever isn't the
 smallest of its task is known to fail there and then, and only the smallest of each text and task travels, with its text,
-to the partition of its fingerprint. There records come sorted by fingerprint, so that one chain is in memory at a time, and
+to the partition of its fingerprint; there are as many partitions as keep these texts to ``SHARE`` bytes each. There records come sorted by fingerprint, so that one chain is in memory at a time, and
 the same step settles the rest. A text that a third of all rows share thus arrives once a task (or ``HELD`` bytes of
 different texts). Labels are joined to the settled (id, mask) rows, without texts, and ``combineByKey`` merges vectors of
 mask counts by part. Tables of 32 masks by 600 (order, step) pairs turn a part's vector into its rows.
@@ -16,6 +16,7 @@ each counts as 1 if any is 1; rows without label count as neither; an empty tabl
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from itertools import permutations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 FILTERS = "ABCDE"
 DUPLICATE = 1 << FILTERS.index("E")
-MASKS, HELD, LONG = 1 << len(FILTERS), 32 << 20, 1 << 20
+MASKS, HELD, LONG, SHARE = 1 << len(FILTERS), 32 << 20, 1 << 20, 64 << 20
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _UPPER, _MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
@@ -118,7 +119,8 @@ def settle(records: Iterable[tuple]) -> Iterator[tuple]:
 def failure_masks(documents: DataFrame) -> DataFrame:
     """(doc_id, part, mask, n): rows that an id has with these failures."""
     rows = documents.select("doc_id", F.col("source").cast("string"), "text").rdd
-    partitions = max(rows.getNumPartitions(), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    partitions = max(math.ceil(size / SHARE), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     routed = rows.mapPartitionsWithIndex(screen).repartitionAndSortWithinPartitions(partitions, lambda key: key % partitions)
     return documents.sparkSession.createDataFrame(routed.mapPartitions(settle), "doc_id long, part string, mask int, n long")
 
