@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import citations, sentences
+from tidewell.session import settle
 
 
 def recall_at_k(retrieved: Column | str, expected: Column | str, k: int = 5) -> Column:
@@ -35,6 +38,16 @@ def citation_accuracy(answer: Column | str, evidence_count: Column | str) -> Col
     return F.when((n == 0) | (F.size(cited) == 0), F.lit(1.0)).otherwise(F.size(F.filter(cited, lambda c: (c >= 1) & (c <= n))) / F.size(cited))
 
 
+def measured(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """``found``, retrieved here and now, with ``retrieval_ms``: the time this took, shared among the queries ``asked``.
+
+    A retrieval answers all its queries in one plan, so a query's own time isn't defined; its share is.
+    """
+    n, began = asked.count(), time.perf_counter()
+    out = settle(found)
+    return out.withColumn("retrieval_ms", F.lit((time.perf_counter() - began) * 1000 / max(n, 1)))
+
+
 def evaluate(cases: DataFrame, k: int = 5) -> DataFrame:
     """Metrics of cases (case_id, mode, answer, retrieved, expected, error or null), success and failure category."""
     failed = F.col("error").isNotNull()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+from functools import reduce
+
 import re
 
 from pyspark.sql import DataFrame
@@ -105,6 +108,19 @@ def health(components: DataFrame) -> DataFrame:
     return components.agg(F.when(F.every(F.coalesce(F.col("status") == "healthy", F.lit(True))), "healthy").otherwise("degraded").alias("status"))
 
 
+def table_health(tables: dict[str, DataFrame], stale_after: timedelta, now: datetime | None = None) -> DataFrame:
+    """(name, n, newest, status) of tables with a created_at: empty, stale (nothing newer than that) or healthy."""
+    at = F.current_timestamp().cast("timestamp_ntz") if now is None else F.lit(now).cast("timestamp_ntz")
+    parts = [t.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.max("created_at").cast("timestamp_ntz").alias("newest")) for name, t in tables.items()]
+    status = F.when(F.col("n") == 0, "empty").when(F.col("newest") < at - F.lit(stale_after), "stale").otherwise("healthy")
+    return reduce(DataFrame.union, parts).withColumn("status", status)
+
+
+def explorer_records(related: DataFrame, memories: DataFrame, most: int = 10) -> DataFrame:
+    """The records of each query's first ``most`` neighbours (query_id, memory_id, rank); ids without a record are left out."""
+    return related.where(F.col("rank") <= most).join(memories.withColumnRenamed("id", "memory_id"), "memory_id")
+
+
 def explorer(memories: DataFrame, **equal: str | None) -> DataFrame:
     """Filters of the explorer page; an empty text doesn't filter."""
     return memories.where(conjunction([F.col(c) == non_empty(F.lit(v)) for c, v in equal.items() if v]))

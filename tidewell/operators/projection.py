@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.graph import edges
-from tidewell.operators.outbox import process
 from tidewell.operators.vector import build_index
 
 
@@ -17,11 +16,12 @@ def dispatch(batch: DataFrame, memories: DataFrame) -> DataFrame:
 
     A vector event makes one index row or, for a memory that isn't searchable, none; a graph event one row an edge.
     """
-    vectors = build_index(memories).select("memory_id", F.lit("vector").alias("projection_type"))
-    links = edges(memories).select("memory_id", F.lit("graph").alias("projection_type"))
     asked = batch.select(F.col("memory_id")).distinct()
-    made = vectors.union(links).join(asked, "memory_id", "left_semi").groupBy("memory_id", "projection_type").agg(F.count("*").alias("written"))
-    there = memories.select(F.col("id").alias("memory_id"), F.lit(True).alias("succeeds")).join(asked, "memory_id", "left_semi")
+    own = memories.join(asked.withColumnRenamed("memory_id", "id"), "id", "left_semi")  # only these are projected
+    vectors = build_index(own).select("memory_id", F.lit("vector").alias("projection_type"))
+    links = edges(own).select("memory_id", F.lit("graph").alias("projection_type"))
+    made = vectors.union(links).groupBy("memory_id", "projection_type").agg(F.count("*").alias("written"))
+    there = own.select(F.col("id").alias("memory_id"), F.lit(True).alias("succeeds"))
     rows = batch.drop("succeeds", "written").join(there, "memory_id", "left").join(made, ["memory_id", "projection_type"], "left")
     return rows.withColumn("succeeds", F.coalesce("succeeds", F.lit(False))).withColumn("written", F.coalesce("written", F.lit(0)))
 
@@ -36,17 +36,3 @@ def project_apart(changes: DataFrame, projections: dict[str, Callable[[DataFrame
         except Exception as e:  # a projection's fault is a result; its events stay in the outbox
             outcome.append((name, False, str(e)))
     return changes.sparkSession.createDataFrame(outcome, "projection string, ok boolean, error string")
-
-
-def drain(batch: DataFrame, memories: DataFrame, attempts: int = 3) -> DataFrame:
-    """``batch`` after at most ``attempts`` attempts: what is to be retried goes through again, the rest stays settled.
-
-    The memories are looked up once; an attempt is a column expression over that.
-    """
-    rows = dispatch(batch, memories)
-    columns = rows.columns
-    for _ in range(attempts):
-        ready = F.col("status").isin("pending", "retrying")
-        after = process(rows)
-        rows = after.select(*[F.when(ready, F.col(new)).otherwise(F.col(c)).alias(c) if (new := {"status": "new_status", "retry_count": "new_retry_count"}.get(c)) else F.col(c) for c in columns])
-    return rows

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell import session
 from tidewell.functions import columns as C
-from tidewell.operators import agent, evaluation, graph, lifecycle, listing, outbox, projection, rag, retrieval, vector, working
+from tidewell.operators import agent, evaluation, graph, lifecycle, listing, outbox, projection, rag, retrieval, sink, vector, working
 from tidewell.schemas import MEMORY_SCHEMA, OUTBOX_SCHEMA
 from tidewell.sources import derived, store
 from tidewell.streaming import jobs
@@ -153,15 +154,17 @@ def text_functions(s, d):
     return mem(s, d).select("doc_id", C.is_uuid("id").alias("id_is_uuid"), C.is_uuid("title").alias("title_is_uuid"), ids.alias("ids"), C.is_tz_aware(at).alias("zoned"), (now <= F.current_timestamp()).alias("stamped"))
 
 
-@query("SELECT * FROM (VALUES ('memories', CAST(22 AS BIGINT), CAST(0 AS BIGINT)), ('outbox', 9, 0)) v(name, n_columns, n_rows)")
+@query("SELECT 'memories' AS name, CAST(22 AS BIGINT) AS n_columns, count(*) AS n_rows FROM documents UNION ALL SELECT 'outbox', 9, count(*) FROM events")
 def ddl_tables(s, d):
-    base = jobs.scratch(s, "ddl")
-    rows = []
-    for name, schema in (("memories", MEMORY_SCHEMA), ("outbox", OUTBOX_SCHEMA)):
+    """Tables made by their schema, twice, then filled with the derived rows and read by that schema."""
+    base, told = jobs.scratch(s, "ddl"), []
+    for name, schema, rows in (("memories", MEMORY_SCHEMA, mem(s, d)), ("outbox", OUTBOX_SCHEMA, derived.outbox(s, d))):
         for _ in range(2):  # the second call finds the table
             table = store.ensure(s, f"{base}/{name}", schema)
-        rows.append((name, len(table.columns), table.count()))
-    return s.createDataFrame(rows, "name string, n_columns long, n_rows long")
+        own = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
+        own.write.mode("append").parquet(f"{base}/{name}")
+        told.append(store.ensure(s, f"{base}/{name}", schema).agg(F.lit(name).alias("name"), F.lit(len(table.columns)).cast("long").alias("n_columns"), F.count("*").alias("n_rows")))
+    return told[0].union(told[1])
 
 
 # --- versioned records ------------------------------------------------------------------------------------------------
@@ -609,37 +612,46 @@ CASES = f"""ask AS MATERIALIZED (SELECT item_id AS query_id, {HASH.format(t="coa
 found AS (SELECT 'semantic' AS mode, query_id, memory_id, rank FROM sem UNION ALL SELECT 'hybrid', query_id, memory_id, rank FROM hits),
 ret AS MATERIALIZED (SELECT mode, query_id, list(memory_id ORDER BY rank) AS retrieved FROM found GROUP BY mode, query_id),
 ex AS (SELECT query_id, retrieved AS r FROM ret WHERE mode = 'semantic'),
-cs AS (SELECT b.item_id AS case_id, md.mode, CAST(b.item_id % 50 AS DOUBLE) AS latency_ms, coalesce(b.text, '') || ' See [Memory 2] and [Memory 99].' AS answer, coalesce(retrieved, []) AS retrieved,
+cs AS (SELECT b.item_id AS case_id, md.mode, coalesce(b.text, '') || ' See [Memory 2] and [Memory 99].' AS answer, coalesce(retrieved, []) AS retrieved,
 CASE WHEN b.item_id % 4 = 0 THEN [] WHEN b.item_id % 4 = 1 THEN [r[3], 'x'] WHEN b.item_id % 4 = 2 THEN ['x'] ELSE [r[7], r[1]] END AS expected, b.item_id % 9 = 8 AS failed
 FROM benchmark b CROSS JOIN (VALUES ('semantic'), ('hybrid')) md(mode) LEFT JOIN ret ON ret.query_id = b.item_id AND ret.mode = md.mode LEFT JOIN ex ON ex.query_id = b.item_id)"""
 EVAL = rf"""{MEM}, {EDG}, {IDX}, {CASES}, w AS (SELECT *, {_SENT} AS st, {_CITED} AS ci FROM cs),
-e AS (SELECT case_id, mode, latency_ms, expected, failed,
+e AS (SELECT case_id, mode, expected, failed,
 CASE WHEN failed THEN 0 WHEN len(expected) = 0 THEN 1 ELSE len(list_filter(expected, lambda x: list_contains(retrieved[1:5], x))) / CAST(len(expected) AS DOUBLE) END AS recall,
 CASE WHEN failed THEN 0 ELSE coalesce(CAST(1 AS DOUBLE) / list_min(list_filter(list_transform(expected, lambda x: list_position(retrieved, x)), lambda p: p > 0)), 0) END AS mrr,
 CASE WHEN failed THEN 0 WHEN len(list_filter(st, lambda x: length(x) > 30)) = 0 THEN 1 ELSE len(list_filter(st, lambda x: length(x) > 30 AND regexp_matches(x, '\[Memory\s+\d+\]'))) / CAST(len(list_filter(st, lambda x: length(x) > 30)) AS DOUBLE) END AS groundedness,
 CASE WHEN failed THEN 0 WHEN len(retrieved) = 0 THEN 1 ELSE len(list_filter(ci, lambda x: x BETWEEN 1 AND len(retrieved))) / CAST(len(ci) AS DOUBLE) END AS citation_accuracy FROM w),
 f AS (SELECT *, NOT failed AND (recall > 0 OR len(expected) = 0) AS success FROM e),
-res AS (SELECT case_id, mode, latency_ms, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(groundedness, 6) AS groundedness, round(citation_accuracy, 6) AS citation_accuracy, success, CASE WHEN success THEN 'no_failure' WHEN failed THEN 'provider_failure' ELSE 'retrieval_failure' END AS failure_category FROM f)"""
+res AS (SELECT case_id, mode, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(groundedness, 6) AS groundedness, round(citation_accuracy, 6) AS citation_accuracy, success, CASE WHEN success THEN 'no_failure' WHEN failed THEN 'provider_failure' ELSE 'retrieval_failure' END AS failure_category FROM f)"""
 
 
-def _results(s, d):
-    """Every case retrieved under each mode; the time a case took comes with the case."""
+def _provider(system: str, user: str) -> str:
+    """Of a prompt "case|text": the text with two citations; every ninth case finds the provider down."""
+    case, _, text = user.partition("|")
+    if int(case) % 9 == 8:
+        raise RuntimeError("provider is down")
+    return text + " See [Memory 2] and [Memory 99]."
+
+
+def _results(s, d, timed: bool = False):
+    """Every case retrieved and answered under each mode; with ``timed`` the latency that was measured."""
     b, m = s.read.parquet(f"{d}/benchmark.parquet"), mem(s, d)
     asked = b.select(F.col("item_id").alias("query_id"), "text", F.lit(None).cast("string").alias("anchor"))
     listed = lambda mode: retrieval.retrieve(asked, m, mode, final_limit=10).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "memory_id")))["memory_id"].alias("retrieved"))  # noqa: E731  10 at most
-    semantic = session.settle(listed("semantic"))
+    found = {mode: evaluation.measured(listed(mode), asked) for mode in ("semantic", "hybrid")}
     r, kind, x = (lambda i: F.get("r", F.lit(i))), F.col("item_id") % 4, F.lit("x")
     expected = F.when(kind == 0, F.array().cast("array<string>")).when(kind == 1, F.array(r(2), x)).when(kind == 2, F.array(x)).otherwise(F.array(r(6), r(0)))
-    wanted = b.join(semantic.select(F.col("query_id").alias("item_id"), F.col("retrieved").alias("r")), "item_id", "left").select("item_id", "text", expected.alias("expected"))
+    wanted = b.join(found["semantic"].select(F.col("query_id").alias("item_id"), F.col("retrieved").alias("r")), "item_id", "left").select("item_id", "text", expected.alias("expected"))
     cases = None
-    for mode, found in (("semantic", semantic), ("hybrid", listed("hybrid"))):
-        own = wanted.join(found.withColumnRenamed("query_id", "item_id"), "item_id", "left").select(
-            F.col("item_id").alias("case_id"), F.lit(mode).alias("mode"), (F.col("item_id") % 50).cast("double").alias("latency_ms"), F.concat(F.coalesce("text", F.lit("")), F.lit(" See [Memory 2] and [Memory 99].")).alias("answer"),
-            F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"), "expected", F.when(F.col("item_id") % 9 == 8, "provider is down").alias("error"),
+    for mode, rows in found.items():
+        own = wanted.join(rows.withColumnRenamed("query_id", "item_id"), "item_id", "left").select(
+            F.col("item_id").alias("case_id"), F.lit(mode).alias("mode"), F.lit("").alias("system_prompt"), F.concat_ws("|", F.col("item_id").cast("string"), F.coalesce("text", F.lit(""))).alias("user_prompt"),
+            F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"), "expected", F.coalesce("retrieval_ms", F.lit(0.0)).alias("retrieval_ms"),
         )
         cases = own if cases is None else cases.union(own)
-    out = evaluation.evaluate(cases)
-    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    told = rag.generate(cases, _provider, "cited")
+    out = evaluation.evaluate(told.withColumn("latency_ms", F.col("retrieval_ms") + F.col("elapsed_ms")) if timed else told)
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" and c != "latency_ms" else F.col(c) for c, t in out.dtypes])
 
 
 @query(f"WITH {EVAL} SELECT * FROM res")
@@ -647,7 +659,7 @@ def eval_recall_mrr(s, d):
     return _results(s, d)
 
 
-@query(f"WITH {EVAL} SELECT count(*) AS total_cases, CAST(count_if(NOT success) AS BIGINT) AS failed_cases, round(1 - count_if(NOT success) / CAST(count(*) AS DOUBLE), 6) AS success_rate, round(avg(recall), 6) AS mean_recall, round(avg(mrr), 6) AS mean_mrr, round(avg(groundedness), 6) AS mean_groundedness, round(avg(citation_accuracy), 6) AS mean_citation_accuracy, round(avg(latency_ms), 6) AS mean_latency_ms FROM res")
+@query(f"WITH {EVAL} SELECT count(*) AS total_cases, CAST(count_if(NOT success) AS BIGINT) AS failed_cases, round(1 - count_if(NOT success) / CAST(count(*) AS DOUBLE), 6) AS success_rate, round(avg(recall), 6) AS mean_recall, round(avg(mrr), 6) AS mean_mrr, round(avg(groundedness), 6) AS mean_groundedness, round(avg(citation_accuracy), 6) AS mean_citation_accuracy  FROM res")
 def eval_run_summary(s, d):
     out = evaluation.summary(_results(s, d))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
@@ -727,18 +739,25 @@ def outbox_dispatch(s, d):
 
 @query(f"WITH {MEM}, {EDG}, {OUT}, {_THERE} SELECT id, CASE WHEN retry_count >= max_retries THEN 'failed' WHEN succeeds THEN 'completed' ELSE 'failed' END AS status, CAST(CASE WHEN retry_count >= max_retries OR succeeds THEN retry_count ELSE max_retries END AS INT) AS retry_count FROM o")
 def outbox_drained(s, d):
-    return projection.drain(outbox.take_batch(derived.outbox(s, d), None), mem(s, d)).select("id", "status", "retry_count")
+    """Batches of the sink, an hour apart, until nothing is due; every attempt looks the memory up and projects it."""
+    base = jobs.scratch(s, "drained")
+    sink.run_until_done(base, derived.outbox(s, d), mem(s, d), datetime(2030, 1, 1), timedelta(hours=1))
+    return sink.states(s, base).select("id", "status", "retry_count")
 
 
-@query("SELECT * FROM (VALUES ('vector', true, NULL), ('graph', false, 'graph is down'), ('audit', true, NULL)) v(projection, ok, error)")
+@query(f"WITH {MEM}, c AS (SELECT * FROM memories WHERE doc_id % 3 = 0) SELECT 'vector' AS projection, true AS ok, NULL AS error, count(*) AS n FROM c WHERE status <> 'superseded' UNION ALL SELECT 'graph', false, 'graph is down', 0 UNION ALL SELECT 'audit', true, NULL, count(*) FROM c")
 def projections_apart(s, d):
+    """What each projection left, read back, when one of them is down."""
+
     def down(changes):
         raise RuntimeError("graph is down")
 
     base = jobs.scratch(s, "projected")
-    vectors = lambda rows: vector.build_index(rows).write.parquet(f"{base}/vector")
-    audit = lambda rows: rows.select("id").write.parquet(f"{base}/audit")
-    return projection.project_apart(mem(s, d).where("doc_id % 3 = 0"), {"vector": vectors, "graph": down, "audit": audit})
+    put = lambda make, name: lambda rows: make(rows).write.parquet(f"{base}/{name}")
+    made = {"vector": put(vector.build_index, "vector"), "graph": down, "audit": put(lambda rows: rows.select("id"), "audit")}
+    outcome = projection.project_apart(mem(s, d).where("doc_id % 3 = 0"), made)
+    read = lambda name: s.read.parquet(f"{base}/{name}").agg(F.lit(name).alias("projection"), F.count("*").alias("n"))
+    return outcome.join(read("vector").union(read("audit")), "projection", "left").select("projection", "ok", "error", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH {OUT} SELECT status, count(*) AS n FROM outbox GROUP BY status")
@@ -756,10 +775,11 @@ def outbox_totals(s, d):
     return listing.outbox_totals(derived.outbox(s, d))
 
 
-@query(f"WITH {OUT} SELECT id, {_DONE} AS new_status, {_COUNT} AS new_retry_count FROM ({_READY})")
+@query(f"WITH {MEM}, {OUT}, o AS (SELECT outbox.* REPLACE (outbox.memory_id IN (SELECT id FROM memories) AS succeeds) FROM outbox) SELECT id, {_DONE} AS new_status, {_COUNT} AS new_retry_count FROM o WHERE status IN ('pending', 'retrying')")
 def stream_outbox(s, d):
-    events = jobs.read_stream(s, d, "events").selectExpr(*[f"{e} AS {n}" for n, e in derived.OUTBOX_COLUMNS.items()])
-    return jobs.drain_outbox(events, jobs.scratch(s, "outbox")).select("id", "new_status", "new_retry_count")
+    events = jobs.read_stream(s, d, "events").selectExpr(*[f"{e} AS {n}" for n, e in derived.OUTBOX_COLUMNS.items()]).drop("succeeds")
+    told = jobs.drain_outbox(events, mem(s, d), jobs.scratch(s, "outbox"), lambda batch: datetime(2030, 1, 1))
+    return told.select("id", F.col("status").alias("new_status"), F.col("retry_count").alias("new_retry_count"))
 
 
 @query(f"WITH {WRK} SELECT session_id, seq, item_type, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS b FROM items) WHERE b <= 3")

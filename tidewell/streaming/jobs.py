@@ -9,13 +9,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewell.operators.outbox import process, take_batch
+from tidewell.operators import sink
 from tidewell.operators.working import CAPACITY
 from tidewell.session import shared_dir
 
@@ -44,10 +45,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def drain_outbox(outbox: DataFrame, out: str) -> DataFrame:
-    """Processes all ready events of an outbox stream; returns the processed rows so far."""
-    run_available(outbox, lambda batch: process(take_batch(batch, None)), out)
-    return outbox.sparkSession.read.parquet(out)
+def drain_outbox(outbox: DataFrame, memories: DataFrame, base: str, now: Callable[[int], datetime] = lambda batch: datetime.now()) -> DataFrame:
+    """Projects the events of an outbox stream into the sink at ``base``, with those that are due again; their states so far.
+
+    ``now`` gives a micro-batch's time. A micro-batch that is repeated after a crash has its effect once; see ``sink``.
+    """
+    spark = outbox.sparkSession
+
+    def handle(batch: DataFrame, number: int) -> None:
+        again = sink.due(spark, base, now(number))
+        sink.run_batch(base, number, batch.unionByName(again, allowMissingColumns=True), memories, now(number))
+
+    outbox.writeStream.foreachBatch(handle).option("checkpointLocation", f"{base}-progress").trigger(availableNow=True).start().awaitTermination()
+    return sink.states(spark, base)
 
 
 def bounded_sessions(items: DataFrame, out: str, capacity: int = CAPACITY) -> DataFrame:
