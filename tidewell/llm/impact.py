@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import map_columns, materialize, pieces
 from tidewell.llm.decontaminate import words_of
 
-SHARD, BLOCK, STEP, FEW = 1 << 20, 4 << 20, 0.7, 8
+SHARD, BLOCK, STEP, FEW = 1 << 19, 4 << 20, 0.7, 8
 #: Fixed values of the ranking: scale of weights and impacts, saturation, and the share of length in it (percent).
 SCALE, TOP, ONE, SATURATION, LENGTH = 1000, 1_000_000_000, 1000, 12, 25
 
