@@ -206,8 +206,8 @@ def test_wrapper_decides_marked_pages_from_all_pages(spark):
     rows += [(300, "http://d.example/1", f"<body>{teaser(1)}{story(1)}</body>")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
     got = {r.page_id: r.text for r in pages.extract_main_text(table).collect()}
-    assert got[3] == "Title 3\n\nFirst 3"  # text that all pages of the host share goes, in the marked article too
-    assert got[139] == f"Title 39\n\n{'long text ' * 9}39" and got[240] == got[139]
+    assert got[3] == "Title 3\n\nFirst 3\n\nRead our rules."  # text that all pages of the host share stays in the article
+    assert got[139] == f"Title 39\n\nSubscribers read on.\n\n{'long text ' * 9}39" and got[240] == got[139]
     assert got[200] == f"other {'text ' * 9}".strip()
     learnt = {r.host: json.loads(r.wrapper) for r in pages.wrappers(table).collect()}
     assert learnt["a.example"]["main"] == ["body", "article"] and learnt["c.example"]["main"][:2] == ["body", "div.p-0"]
@@ -215,6 +215,35 @@ def test_wrapper_decides_marked_pages_from_all_pages(spark):
     assert pages.locate(root, learnt["a.example"]["main"])[1] == "wrapper" and pages.locate(root, [])[1] == "mark"
 
 
+#: What stands in an article, and what stays of it.
+KEPT = [
+    ("<h2>Summary</h2><p>a{i}</p><h2>Method</h2><p>b{i}</p>", "Summary\n\na{i}\n\nMethod\n\nb{i}"),
+    *[(f"<p>one</p><div class='{c}'><p>two {{i}}</p></div><p>three <span class='{c}'>in line</span> here</p>", "one\n\ntwo {i}\n\nthree in line here") for c in ("market-share", "revenue-share", "related-work", "ad-hoc", "modal-logic", "social-history", "newsletter-history", "author-comments", "notices", "menu-of-the-day")],
+    ("<p>Let <math><mi>x</mi></math> be real</p>", "Let x be real"),
+    ("<p>before</p><xmp>kept {i}</xmp><object data='f'>instead {i}</object>", "before\n\nkept {i}\n\ninstead {i}"),
+    ("<div>" * 100 + "<nav><a>Home</a><nav>deep</nav></nav><p>text {i}</p>" + "</div>" * 100, "text {i}"),
+    *[(f"<p>one</p><div class='{c}'>gone {{i}}</div><p>two</p>", "one\n\ntwo") for c in ("ad", "comments", "share", "related", "newsletter", "sidebar", "cookie-banner", "Advert wide")],
+    ("<p>one</p><form>gone</form><aside>gone</aside><footer>gone</footer><script>gone</script><style>gone</style><p>two &amp; &#233;</p>", "one\n\ntwo & é"),
+]
+
+
+def test_articles_keep_their_text(spark):
+    """A table of pages with their texts: marked articles, regions that the wrapper finds, and hosts with one page."""
+    rows, want = [], {}
+    for k, (body, text) in enumerate(KEPT):
+        for shape, (head, tail) in enumerate((("<article>", "</article>"), ("<div class='story'><h1>T{i}</h1>", "</div>"))):
+            for i in range(1 if shape == 0 and k % 2 else 6):
+                n = len(rows)
+                html = f"<html><body><nav>Home</nav>{head}{body}{tail}<footer>Imprint</footer></body></html>".replace("{i}", str(i))
+                rows.append((n, f"http://h{k}-{shape}.example/{i}", html))
+                want[n] = (("T{i}\n\n" if shape else "") + text).replace("{i}", str(i))
+    table = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string")
+    got = [(r.page_id, r.text, r.n_chars) for r in pages.extract_main_text(table.repartition(5)).collect()]
+    assert len(got) == len(rows) + 3
+    for i, text, n in got:
+        assert text == want[i] and n == len(text), rows[i][2]
+
+
 def test_wide_wrappers_stay_small():
     wrapper = pages.generalise(pages.parse("<body></body>"))
     for i in range(300):

@@ -7,10 +7,11 @@ element that comes again right after itself becomes a repeated group; any other
 next place at which the streams agree again and making what was skipped optional.
 
 The wrapper says where a host keeps the text that differs from page to page: the innermost container that holds most of
-the slot text is the main region of every page, and shared text outside slots is boilerplate. What a page says itself is
-a check after that: a region around its ``article`` or ``main`` is narrowed to it, and one that misses most of the
-marked text gives way to it. Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and reader
-comments are left out by element, role and class, in learning and inside the region.
+the slot text is the main region of every page. What a page says itself is a check after that: a region around its
+``article`` or ``main`` is narrowed to it, and one that misses most of the marked text gives way to it. Inside a region
+only what an element, a role or a whole class name marks as menu, header, footer, side bar, notice, advert, form, script,
+style or reader comment is left out; text that pages share stays, headings above all. Where no region is found and the page
+stands for it, and in learning, parts of class names count too, and text that the host's pages share goes.
 
 A host's wrapper is learnt from all its pages: each task merges those it reads, and what the tasks made is merged by
 salted hosts, then by hosts, one after the other. Wrappers hold hashes of texts, and a level of over ``WIDTH`` items
@@ -18,7 +19,8 @@ becomes one item for each signature (rare ones share an item), so they stay smal
 partitions of the table, which can matter for what becomes optional.
 
 Defined results: null and empty html give empty text; null, odd or unparseable urls share the empty host; broken markup
-is read as far as it goes (unclosed elements end with their parent, nesting beyond ``DEPTH`` is flattened); repeated
+is read as far as it goes (unclosed elements end with their parent, nesting beyond ``DEPTH`` is flattened, but what is
+left out stays so at any depth); repeated
 rows are rows of their own; extra columns are ignored.
 """
 
@@ -39,25 +41,30 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z
 _ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # Element names of HTML by role.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_RAW = frozenset("script style noscript template iframe svg math canvas object textarea select title xmp".split())
-_BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+_RAW = frozenset("script style noscript template iframe svg canvas textarea select title".split())
+_BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split())
 _LEFT_OUT = frozenset("nav footer aside form head dialog menu button label search".split())
 _ENDS_ITSELF = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _PART = re.compile(r"(?:^|[-_])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|cookies?|consent|gdpr|newsletter|subscribe|popup|modal|sidebar|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|navbar|navigation|menu)(?:$|[-_])", re.I)
-_WHOLE = frozenset("header site-header page-header footer site-footer page-footer nav notice notices banner masthead topbar toolbar widget widgets aside side login signup skip-link".split())
+_WHOLE = frozenset("header site-header page-header footer site-footer page-footer nav notice banner masthead topbar toolbar widget widgets aside side login signup skip-link".split())
 _CONTAINERS = _BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 li dt dd dl ul ol pre blockquote address tr td th tbody table figure figcaption".split())
 _NUMBER = re.compile(r"\d+")
+#: Whole class names and ids that leave a part out anywhere.
+_NAMED = _WHOLE | frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr newsletter newsletter-signup subscribe popup modal sidebar comment comments comment-list comments-area commentlist disqus disqus_thread replies respond share sharing share-buttons social social-share social-links related related-posts related-articles recommended breadcrumb breadcrumbs pagination pager navbar navigation menu".split())
 _PREFIX = re.compile(r"^(?:has|with|no|without|is)[-_]", re.I)
 
 
 class Node:
-    """An element with its children: nodes and texts in page order."""
+    """An element with its children: nodes and texts in page order.
 
-    __slots__ = ("children", "left_out", "name", "sig")
+    ``left_out`` by element, role or whole name; ``doubtful`` by a part of a class name, which counts outside regions only.
+    """
 
-    def __init__(self, name: str, sig: str, left_out: bool):
-        self.name, self.sig, self.left_out, self.children = name, sig, left_out, []
+    __slots__ = ("children", "doubtful", "left_out", "name", "sig")
+
+    def __init__(self, name: str, sig: str, left_out: bool, doubtful: bool = False):
+        self.name, self.sig, self.left_out, self.doubtful, self.children = name, sig, left_out, doubtful, []
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -71,12 +78,15 @@ def _is_left_out(name: str, attributes: dict[str, str], in_article: bool) -> boo
         return False
     if attributes.get("role", "").lower() in _ROLES or "hidden" in attributes:
         return True
-    for label in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        if label.lower() in _WHOLE and not (in_article and "header" in label.lower()):
-            return True
-        if not _PREFIX.match(label) and _PART.search(label):
-            return True
-    return False
+    return any(label in _NAMED and not (in_article and "header" in label) for label in _labels(attributes))
+
+
+def _labels(attributes: dict[str, str]) -> list[str]:
+    return f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+
+
+def _is_doubtful(name: str, attributes: dict[str, str]) -> bool:
+    return name not in ("html", "body", "main", "h1") and any(not _PREFIX.match(x) and _PART.search(x) for x in _labels(attributes))
 
 
 def parse(html: str) -> Node:
@@ -122,14 +132,15 @@ def parse(html: str) -> Node:
         while len(stack) > 1 and name in _ENDS_ITSELF.get(stack[-1].name, ()):
             stack.pop()
         left_out = _is_left_out(name, attributes, any(n.name == "article" for n in stack))
-        if name in _VOID or not (left_out or name in _BLOCK):
+        doubtful = not left_out and _is_doubtful(name, attributes)
+        if name in _VOID or not (left_out or doubtful or name in _BLOCK):
             if name == "hr":
                 stack[-1].children.append(Node("hr", "hr", False))
             continue
         label = (attributes.get("id") or attributes.get("class") or "").split()
-        node = Node(name, f"{name}.{_NUMBER.sub('0', label[0])}" if label else name, left_out)
+        node = Node(name, f"{name}.{_NUMBER.sub('0', label[0])}" if label else name, left_out, doubtful)
         stack[-1].children.append(node)
-        if len(stack) < DEPTH:
+        if len(stack) < DEPTH or left_out:
             stack.append(node)
     text(len(html))
     return root
@@ -139,8 +150,8 @@ def _clean(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
-def blocks(node: Node) -> list[str]:
-    """Texts of the blocks below ``node`` in page order, without what is left out."""
+def blocks(node: Node, sure: bool = True) -> list[str]:
+    """Texts of the blocks below ``node`` in page order, without what is left out; unless ``sure``, nor what is doubtful."""
     out: list[str] = []
     line: list[str] = []
 
@@ -150,22 +161,23 @@ def blocks(node: Node) -> list[str]:
                 out.append(done)
             line.clear()
 
-    work: list = [iter(node.children)]
+    work: list = [(iter(node.children), True)]
     while work:
-        child = next(work[-1], None)
+        child = next(work[-1][0], None)
         if child is None:
-            work.pop()
-            flush()
+            if work.pop()[1]:
+                flush()
         elif isinstance(child, str):
             line.append(child)
-        elif child.left_out:
+        elif child.left_out or (child.doubtful and not sure):
             if child.name in _BLOCK:
                 flush()
             else:
                 line.append(" ")
         else:
-            flush()
-            work.append(iter(child.children))
+            if child.name in _BLOCK or child.name == "hr":
+                flush()
+            work.append((iter(child.children), child.name in _BLOCK))
     flush()
     return out
 
@@ -217,7 +229,7 @@ def generalise(node: Node) -> list[Item]:
         if isinstance(child, str):
             line.append(child)
             continue
-        if child.left_out:
+        if child.left_out or child.doubtful:
             line.append(" ")
             continue
         flush()
@@ -396,9 +408,11 @@ def extract(html: str | None, wrapper: dict | None) -> str:
     """Main text of a page: blocks joined by an empty line."""
     if not html:
         return ""
-    region, _ = locate(parse(html), (wrapper or {}).get("main", []))
+    region, how = locate(parse(html), (wrapper or {}).get("main", []))
+    if how != "page":
+        return "\n\n".join(t for n in region for t in blocks(n))
     shared = set((wrapper or {}).get("shared", ()))
-    texts = [t for n in region for t in blocks(n)]
+    texts = [t for n in region for t in blocks(n, sure=False)] or [t for n in region for t in blocks(n)]
     own = [t for t in texts if not shared or xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) not in shared]
     return "\n\n".join(own or texts)  # copies of one page share all their text
 
