@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,19 +65,19 @@ def hydrate(hits: DataFrame, memories: DataFrame) -> DataFrame:
 
 
 def retrieve(
-    queries: DataFrame, memories: DataFrame, mode: str = "hybrid", semantic_limit: int = 10, graph_limit: int = 50, final_limit: int = 20, hops: int = 2, index: DataFrame | None = None, missing: tuple[str, ...] = (),
+    queries: DataFrame, memories: DataFrame, mode: str = "hybrid", semantic_limit: int = 10, graph_limit: int = 50, final_limit: int = 20, hops: int = 2, index: DataFrame | None = None, missing: tuple[str, ...] = (), searcher: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """Ranked hits for queries (query_id, text, anchor or null): the anchor is given or the best vector hit.
 
     A leg named in ``missing`` ("semantic", "graph") is out of order: the other one answers alone, and a mode that has
-    no other leg finds nothing.
+    no other leg finds nothing. ``searcher`` (queries, k) stands in place of the exact search over ``index``.
     """
     check_request(mode, limit=final_limit, hops=hops, related_limit=graph_limit)
     semantic = None
     if mode != "graph" and "semantic" not in missing:
         asked = queries.select("query_id", hash_embedding("text", 32).alias("v"))
         # read by the anchors, the traversal and the merge: one search for all of them, k rows a query
-        semantic = settle(search(asked, build_index(memories) if index is None else index, semantic_limit))
+        semantic = settle(searcher(asked, semantic_limit) if searcher else search(asked, build_index(memories) if index is None else index, semantic_limit))
     neighbours = None
     if mode != "semantic" and "graph" not in missing:
         anchors = queries.where("anchor is not null").select("query_id", "anchor")

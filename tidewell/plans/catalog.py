@@ -204,13 +204,14 @@ def store_versions(s, d):
     return _log(s, d).groupBy("version", "deleted").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id AS id, user_id, event_type FROM events WHERE event_id < 300")
+@query("SELECT event_id AS id, user_id, event_type FROM events")
 def jdbc_roundtrip(s, d):
-    """A relational table written and read in ranges; the embedded database lives in the driver, so local mode only."""
+    """A JDBC table written and read in ranges; the embedded database lives in the driver, so local mode only."""
     url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    rows = s.read.parquet(f"{d}/events.parquet").where("event_id < 300").select(F.col("event_id").alias("ID"), F.col("user_id").alias("USER_ID"), F.col("event_type").alias("EVENT_TYPE"))
+    rows = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("ID"), F.col("user_id").alias("USER_ID"), F.col("event_type").alias("EVENT_TYPE"))
     rows.write.format("jdbc").option("url", url).option("dbtable", "EVENTS").options(**driver).save()
-    back = store.read_jdbc(s, url, "EVENTS", "ID", 4, 0, 300, **driver)
+    low, high = rows.agg(F.min("ID"), F.max("ID")).first()
+    back = store.read_jdbc(s, url, "EVENTS", "ID", 4, low, high + 1, **driver)
     return back.toDF("id", "user_id", "event_type")
 
 
@@ -633,12 +634,12 @@ def _provider(system: str, user: str) -> str:
     return text + " See [Memory 2] and [Memory 99]."
 
 
-def _results(s, d, timed: bool = False):
+def _results(s, d, timed: bool = False, searcher=None, modes: tuple[str, ...] = ("semantic", "hybrid")):
     """Every case retrieved and answered under each mode; with ``timed`` the latency that was measured."""
     b, m = s.read.parquet(f"{d}/benchmark.parquet"), mem(s, d)
     asked = b.select(F.col("item_id").alias("query_id"), "text", F.lit(None).cast("string").alias("anchor"))
-    listed = lambda mode: retrieval.retrieve(asked, m, mode, final_limit=10).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "memory_id")))["memory_id"].alias("retrieved"))  # noqa: E731  10 at most
-    found = {mode: evaluation.measured(listed(mode), asked) for mode in ("semantic", "hybrid")}
+    listed = lambda mode: retrieval.retrieve(asked, m, mode, final_limit=10, searcher=searcher).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "memory_id")))["memory_id"].alias("retrieved"))  # noqa: E731  10 at most
+    found = {mode: evaluation.measured(listed(mode), asked) for mode in modes}
     r, kind, x = (lambda i: F.get("r", F.lit(i))), F.col("item_id") % 4, F.lit("x")
     expected = F.when(kind == 0, F.array().cast("array<string>")).when(kind == 1, F.array(r(2), x)).when(kind == 2, F.array(x)).otherwise(F.array(r(6), r(0)))
     wanted = b.join(found["semantic"].select(F.col("query_id").alias("item_id"), F.col("retrieved").alias("r")), "item_id", "left").select("item_id", "text", expected.alias("expected"))

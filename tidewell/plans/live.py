@@ -6,9 +6,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import ann, graph, incremental, lifecycle, listing, sink, vector
-from tidewell.plans.catalog import _SUP, BROKEN, EDG, IDX, MEM, ORACLES, OUT, QUERIES, VEC, _asked, _replacements, _results, _rounded, _vectors, mem, query
-from tidewell.sources import derived
+from tidewell.operators import ann, evaluation, extensions, graph, incremental, lifecycle, listing, sink, vector
+from tidewell.plans.catalog import _PASS, _SUP, ASK, BROKEN, EDG, EVAL, IDX, MEM, ORACLES, OUT, QUERIES, SEM, VEC, WRK, _asked, _questions, _replacements, _results, _rounded, _vectors, mem, query
+from tidewell.sources import derived, relational
 from tidewell.sources.manifest import Table
 from tidewell.streaming import jobs, stateful
 
@@ -219,3 +219,84 @@ def explorer_first_ten(s, d):
 def eval_latency(s, d):
     """Cases whose latency was measured: the share of the mode's retrieval, and the provider's call."""
     return _results(s, d, timed=True).groupBy("mode").agg(F.count("*").alias("cases"), F.count_if(F.col("latency_ms") > 0).alias("measured"))
+
+
+# --- parts by name ----------------------------------------------------------------------------------------------------
+@query(f"WITH {MEM}, {IDX}, {ASK}, {SEM} SELECT name AS index, query_id, memory_id, round(score, 6) AS score, rank FROM sem, (VALUES ('exact'), ('ivf-guaranteed')) v(name)")
+def search_by_index(s, d):
+    """One search under two registered indexes."""
+    m = mem(s, d)
+    hits = extensions.evaluate_indexes(_questions(m), m, ["exact", "ivf-guaranteed"])
+    return hits.select("index", "query_id", "memory_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {EVAL} SELECT name AS index, count(*) AS total_cases, round(avg(recall), 6) AS mean_recall, round(avg(mrr), 6) AS mean_mrr FROM res, (VALUES ('exact'), ('ivf-guaranteed')) v(name) WHERE mode = 'semantic' GROUP BY name")
+def eval_by_index(s, d):
+    """The evaluation's semantic mode under two registered indexes."""
+    m, out = mem(s, d), None
+    corpus = vector.build_index(m).select("memory_id", "v")
+    for name in ("exact", "ivf-guaranteed"):
+        told = evaluation.summary(_results(s, d, searcher=extensions.named("index", name)(corpus), modes=("semantic",)))
+        own = told.select(F.lit(name).alias("index"), "total_cases", F.round("mean_recall", 6).alias("mean_recall"), F.round("mean_mrr", 6).alias("mean_mrr"))
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query(ORACLES["index_own_embedding"])
+def index_function_embedding(s, d):
+    """An index whose vectors a Python function makes, batch by batch."""
+    embed = extensions.embedder(lambda texts: [[float(len(t))] for t in texts], 1)
+    return vector.build_index(mem(s, d), 1, embed).select("memory_id", F.col("v")[0].alias("v1"))
+
+
+@query(f"WITH {MEM}, {IDX}, {ASK}, {SEM} SELECT query_id, CAST(count(*) AS INT) AS n, string_agg(rank || ':' || memory_id, ',' ORDER BY rank) AS listed FROM sem GROUP BY query_id")
+def tool_table_function(s, d):
+    """A tool over the hits of each query, in their order."""
+
+    def step(state, row):
+        state["id"] = row["query_id"]
+        state.setdefault("listed", []).append(f"{row['rank']}:{row['memory_id']}")
+
+    extensions.tool_function(s, "list_hits", "query_id long, n int, listed string", step, lambda state: iter([(state["id"], len(state["listed"]), ",".join(state["listed"]))] if state else []))
+    hits = QUERIES["hash_embedding_topk"](s, d)
+    return s.sql("SELECT * FROM list_hits(TABLE(SELECT * FROM {hits}) PARTITION BY query_id ORDER BY rank)", hits=hits)
+
+
+@query(rf"WITH {WRK} SELECT policy, count(*) AS promoted FROM items, (VALUES ('threshold', 0), ('page', 10)) p(policy, above) WHERE {_PASS} AND length(regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g')) > above GROUP BY policy")
+def promoted_by_policy(s, d):
+    rows, out = derived.working_items(s, d).withColumn("title", F.col("item_type")), None
+    for name in ("threshold", "page"):
+        own = rows.where(extensions.named("policy", name)()).groupBy().agg(F.lit(name).alias("policy"), F.count("*").alias("promoted")).where("promoted > 0")
+        out = own if out is None else out.union(own)
+    return out
+
+
+# --- relational source ------------------------------------------------------------------------------------------------
+def _file(s, rows) -> str:
+    path = f"{jobs.scratch(s, 'relational')}.db"
+    relational.write_table(rows.orderBy("event_id"), path, "events", "event_id")
+    return path
+
+
+_EVENTS = ["event_id", "user_id", "event_type", "value"]
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type <> 'view' AND event_id >= 17")
+def relational_scan(s, d):
+    """All events in a relational table, read by key ranges with filters at the source."""
+    path = _file(s, s.read.parquet(f"{d}/events.parquet").select(*_EVENTS))
+    return relational.read_table(s, path, "events", "event_id", where=[("event_type", "<>", "view"), ("event_id", ">=", 17)])
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def relational_stream(s, d):
+    """A relational table as a stream: what came after the first run is read by the second, and nothing twice."""
+    rows, out = s.read.parquet(f"{d}/events.parquet").select(*_EVENTS), jobs.scratch(s, "relational-out")
+    middle = rows.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    path = _file(s, rows.where(F.col("event_id") <= middle))
+    relational.register(s)
+    for more in (None, rows.where(F.col("event_id") > middle)):
+        if more is not None:
+            relational.write_table(more.orderBy("event_id"), path, "events", "event_id")
+        jobs.run_available(s.readStream.format(relational.NAME).options(path=path, table="events", key="event_id").load(), lambda batch: batch, out)
+    return s.read.parquet(out).select(*_EVENTS)
