@@ -284,3 +284,42 @@ def test_long_chains_and_circles(spark):
 def test_queries_over_larger_tables(spark):
     for name in ("vec_topk_ivf", "vec_topk_ivf_guaranteed"):
         assert same(spark, QUERIES[name], ORACLES[name], "/root/testdata/sf0.01") == 100
+
+
+# --- hubs -------------------------------------------------------------------------------------------------------------
+def reach_of(spark, rows, anchors, hops, limit, **how):
+    schema = "id string, " + ", ".join(f"{c} string" for c in ("tenant_id", "asset_id", "component_id", "incident_id", "facility_id", "team_id", "source_type", "source_id", "supersedes_memory_id"))
+    m = spark.createDataFrame(rows, schema)
+    asked = spark.createDataFrame(list(enumerate(anchors)), "query_id int, anchor string")
+    return sorted((r.query_id, r.rank, r.memory_id) for r in graph.related(asked, m, hops, limit, **how).collect())
+
+
+def test_lists_by_node_equal_frontiers_by_query(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pick = lambda n, p: f"x{rng.integers(n)}" if rng.random() < p else None
+    rows = [(f"m{i:03d}", None, pick(20, 0.5), pick(9, 0.3), None, pick(4, 0.2), None, None, None, f"m{rng.integers(i):03d}" if i and rng.random() < 0.2 else None) for i in range(120)]
+    anchors = [f"m{i:03d}" for i in range(0, 120, 7)] + ["nowhere"]
+    for hops in (1, 2, 3):
+        for limit in (1, 5, 200):
+            by_query = reach_of(spark, rows, anchors, hops, limit)
+            assert reach_of(spark, rows, anchors, hops, limit, hub=0, spread=0.0) == by_query
+    monkeypatch.setattr(graph, "HELD", 2)  # lists leave the task early
+    assert reach_of(spark, rows, anchors, 3, 5, hub=0, spread=0.0) == reach_of(spark, rows, anchors, 3, 5)
+
+
+def test_a_hub_of_half_the_memories(spark, monkeypatch):
+    n = 4000
+    rows = [(f"m{i:05d}", None, "hub" if i % 2 else None, f"c{i // 4}", None, None, None, None, None, None) for i in range(n)]
+    anchors = [f"m{i:05d}" for i in range(1, n, 50)]
+    made, merged = [], graph._merged
+
+    def counted(rows, by, k):
+        made.append(rows.count())
+        return merged(rows, by, k)
+
+    monkeypatch.setattr(graph, "_merged", counted)
+    got = reach_of(spark, rows, anchors, 3, 10)
+    assert made and sum(made) < 20 * n  # by query it would be 80 anchors times 2000 members in the first step alone
+    everything = [f"m{i:05d}" for i in range(n)]
+    for q, anchor in enumerate(anchors):
+        assert [m for a, _, m in got if a == q] == [m for m in everything[:11] if m != anchor][:10]

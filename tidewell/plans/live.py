@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidewell.operators import ann, evaluation, extensions, graph, incremental, lifecycle, listing, sink, vector
-from tidewell.plans.catalog import _PASS, _SUP, ASK, BROKEN, EDG, EVAL, IDX, MEM, ORACLES, OUT, QUERIES, SEM, VEC, WRK, _asked, _questions, _replacements, _results, _rounded, _vectors, mem, query
+from tidewell.plans.catalog import _PASS, _SUP, ANC, ASK, BROKEN, EDG, EVAL, IDX, MEM, ORACLES, OUT, QUERIES, SEM, VEC, WRK, _asked, _questions, _replacements, _results, _rounded, _vectors, mem, query, reach_sql
 from tidewell.sources import derived, relational
 from tidewell.sources.manifest import Table
 from tidewell.streaming import jobs, stateful
@@ -196,6 +196,18 @@ def audited_table(s, d):
     return table.read().select("id", "title")
 
 
+HALL = f"base AS MATERIALIZED ({derived.MEMORIES_SQL}), memories AS MATERIALIZED (SELECT * REPLACE (CASE WHEN doc_id % 2 = 0 THEN 'hall' ELSE facility_id END AS facility_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE tenant_id END AS tenant_id) FROM base)"
+
+
+@query(f"WITH {HALL}, {EDG}, {ANC}, {reach_sql(2, 50)} SELECT query_id, memory_id, rank FROM rel")
+def graph_related_hub(s, d):
+    """Two hops where one facility stands on half of the memories."""
+    half = F.col("doc_id") % 2 == 0
+    m = mem(s, d).withColumn("facility_id", F.when(half, "hall").otherwise(F.col("facility_id"))).withColumn("tenant_id", F.when(~half, F.col("tenant_id")))
+    anchors = m.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("id").alias("anchor"))
+    return graph.related(anchors, m, 2, 50, hub=50, spread=0.5).select("query_id", "memory_id", "rank")
+
+
 # --- health, explorer, latency ----------------------------------------------------------------------------------------
 @query(f"""WITH {MEM}, {OUT}, t AS (SELECT 'memories' AS name, count(*) AS n, max(created_at) AS newest FROM memories UNION ALL SELECT 'stuck', count(*), max(created_at) FROM outbox WHERE status = 'processing' UNION ALL SELECT 'outbox', count(*), max(created_at) FROM outbox),
 h AS (SELECT name, n, CASE WHEN n = 0 THEN 'empty' WHEN newest < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 20 DAY THEN 'stale' ELSE 'healthy' END AS status FROM t)
