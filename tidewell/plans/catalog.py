@@ -13,7 +13,7 @@ from tidewell.functions import columns as C
 from tidewell.operators import agent, evaluation, graph, lifecycle, listing, outbox, projection, rag, retrieval, sink, vector, working
 from tidewell.schemas import MEMORY_SCHEMA, OUTBOX_SCHEMA
 from tidewell.sources import derived, store
-from tidewell.streaming import jobs
+from tidewell.streaming import jobs, stateful
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -786,7 +786,7 @@ def stream_outbox(s, d):
 @query(f"WITH {WRK} SELECT session_id, seq, item_type, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS b FROM items) WHERE b <= 3")
 def stream_working_memory(s, d):
     items = jobs.read_stream(s, d, "conversations").selectExpr(*[f"{e} AS {n}" for n, e in derived.WORKING_COLUMNS.items()])
-    return jobs.bounded_sessions(items, jobs.scratch(s, "working"), 3).select("session_id", "seq", "item_type", "place")
+    return stateful.stream_sessions(items, jobs.scratch(s, "working"), 3).select("session_id", "seq", "item_type", "place")
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
