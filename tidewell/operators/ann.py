@@ -4,8 +4,9 @@ The index is a Parquet table partitioned by ``list``, the nearest of some centro
 vector, and a code: the vector's residual to its centroid, cut into pieces of ``PIECE`` numbers, each named by the nearest of
 at most 256 codewords. ``error`` is the length of what the code leaves out. A search reads, of the lists that some query
 probes (partition pruning), only ids, codes and errors; codes are scored by table look-up, and each query's ``shortlist``
-best go on to their vectors and are ranked by exact cosine. With ``guaranteed`` the shortlist is what the errors prove to be
-enough: a cosine lies within ``error`` of its code's score, so with all lists probed the result is that of exact search.
+best go on to their vectors and are ranked by exact cosine. With ``guaranteed`` vectors are read too, and those are scored
+that the errors don't rule out: a cosine lies within ``error`` of its code's score, so with all lists probed the result is
+that of exact search, by proof.
 
 Centroids and codewords are learnt from a bounded sample (``SAMPLE`` vectors, chosen by a hash of the id); every vector is
 indexed. Vectors that are null, zero or of another length than the longest sampled ones are in no list.
@@ -29,7 +30,7 @@ from tidewell.functions.columns import dot
 from tidewell.operators.vector import _matrix, _sound, approximate_search, search
 from tidewell.session import shared_dir
 
-SAMPLE, MOST_LISTS, PIECE, CODEWORDS, BLOCK_BYTES = 16384, 1024, 4, 256, 16 << 20
+SAMPLE, MOST_LISTS, PIECE, CODEWORDS, BLOCK_BYTES, SCORES = 16384, 1024, 4, 256, 16 << 20, 1 << 20
 SLACK = 1e-4  # of scores in single precision
 
 
@@ -39,7 +40,7 @@ class Model:
 
     centroids: np.ndarray
     codewords: np.ndarray
-    key: str = "long"  # type of memory_id
+    key: str = "bigint"  # type of memory_id
 
     @property
     def dim(self) -> int:
@@ -153,10 +154,23 @@ def _coarse(q: np.ndarray, model: Model, probes: int | None) -> np.ndarray:
     return near
 
 
+def _approximate(found: dict, model: Model, q: np.ndarray, probed: np.ndarray) -> Iterator[tuple]:
+    """(rows of the batch, queries, scores by their codes [query, row]) for each list of the batch."""
+    tables = np.einsum("qjd,jwd->jqw", model.pieces(q), model.codewords)
+    coarse = q @ model.centroids.T
+    codes = np.frombuffer(b"".join(found["code"].to_pylist()), np.uint8).reshape(-1, len(model.codewords))
+    for own in np.unique(found["list"]).tolist():
+        at, who = np.flatnonzero(found["list"] == own), np.flatnonzero(probed[:, own])
+        for part in np.array_split(at, -(-len(at) * max(len(who), 1) // SCORES)):  # so many scores at a time
+            if len(who) and len(part):
+                yield part, who, coarse[who, own][:, None] + sum(t[who][:, codes[part, j]] for j, t in enumerate(tables))
+
+
 def search_index(queries: DataFrame, path: str, k: int = 10, probes: int | None = None, shortlist: int | None = None, guaranteed: bool = False, observed: Observation | None = None) -> DataFrame:
     """(query_id, memory_id, score, rank) of the ``k`` nearest among the ``probes`` nearest lists of each query (all for None).
 
-    ``shortlist`` (10 * k for None) rows of each query are scored exactly; ``observed`` counts them as ``pairs``.
+    ``shortlist`` (10 * k for None) rows of each query are scored exactly; ``observed`` counts them as ``pairs``. With
+    ``guaranteed`` a task reads vectors beside the codes and scores all that could still be among its ``k`` best.
     Queries (query_id, v) go in blocks of about ``BLOCK_BYTES``; null, zero and other vectors match nothing.
     """
     spark, model = queries.sparkSession, read_model(queries.sparkSession, path)
@@ -170,69 +184,73 @@ def search_index(queries: DataFrame, path: str, k: int = 10, probes: int | None
         table = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()  # its look-up tables have about BLOCK_BYTES
         if not table.num_rows:
             continue
-        q = _matrix(table["q"].combine_chunks(), model.dim).astype(np.float32)
-        probed = _coarse(q, model, probes)
-        shared = spark.sparkContext.broadcast((table["query_id"].to_pylist(), q, model, probed))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q, model, probed = shared.value
-            tables = np.einsum("qjd,jwd->jqw", model.pieces(q), model.codewords)
-            coarse = q @ model.centroids.T
-            held: list[tuple | None] = [None] * len(ids)  # of each query: scores, errors, ids and lists of its best
+        wide = _matrix(table["q"].combine_chunks(), model.dim)
+        probed = _coarse(wide.astype(np.float32), model, probes)
+        shared = spark.sparkContext.broadcast((table["query_id"].to_pylist(), wide, model, probed))
+
+        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            """Each query's best by code."""
+            ids, wide, model, probed = shared.value
+            held: list[tuple] = [(np.zeros(0, np.float32), [], np.zeros(0, np.int32)) for _ in ids]
             for batch in batches:
                 lists = batch["list"].to_numpy()
-                codes = np.frombuffer(b"".join(batch["code"].to_pylist()), np.uint8).reshape(-1, len(model.codewords))
-                errors = batch["error"].to_numpy()
-                for own in np.unique(lists).tolist():
-                    at, who = np.flatnonzero(lists == own), np.flatnonzero(probed[:, own])
-                    if not len(who):
-                        continue
-                    told = coarse[who, own][:, None] + sum(t[who][:, codes[at, j]] for j, t in enumerate(tables))
+                for at, who, told in _approximate({"code": batch["code"], "list": lists}, model, wide.astype(np.float32), probed):
                     found = batch["memory_id"].take(pa.array(at)).to_pylist()
                     for i, s in zip(who.tolist(), told):
-                        held[i] = _best(held[i], (s, errors[at], found, own))
-            for i, best in enumerate(held):
-                if best is not None:
-                    s, e, found, own = best
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(s)), pa.array(found), pa.array(own, pa.int32()), pa.array(s), pa.array(e)], names=["query_id", "memory_id", "list", "s", "e"])
-
-        def _best(old: tuple | None, new: tuple) -> tuple:
-            s, e, found, own = new
-            if old is None:
-                own = np.full(len(s), own)
-            else:
-                s, e, found, own = np.append(old[0], s), np.append(old[1], e), old[2] + found, np.append(old[3], np.full(len(s), own))
-            if guaranteed:
-                if len(s) <= k:
-                    return s, e, found, own
-                least = np.partition(s - e, len(s) - k)[len(s) - k]
-                keep = np.flatnonzero(s + e + SLACK >= least)
-            else:
-                keep = np.lexsort((found, -s))[:most] if len(s) > most else np.arange(len(s))
-            return s[keep], e[keep], [found[x] for x in keep.tolist()], own[keep]
-
-        rows = index.where(F.col("list").isin(np.flatnonzero(probed.any(axis=0)).tolist())).select("memory_id", "list", "code", "error")
-        near = rows.mapInArrow(score, f"query_id {key}, memory_id {name}, list int, s float, e float")
-        by = lambda *order: W.partitionBy("query_id").orderBy(*order)
+                        held[i] = _top(most, np.append(held[i][0], s), held[i][1] + found, np.append(held[i][2], lists[at]))
+            for i, (s, found, own) in enumerate(held):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(s)), pa.array(found), pa.array(own, pa.int32()), pa.array(s)], names=["query_id", "memory_id", "list", "s"])
+
+        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            """Each query's best by cosine, and a row without memory for the number of pairs that this took."""
+            ids, wide, model, probed = shared.value
+            held: list[tuple] = [(np.zeros(0), []) for _ in ids]
+            scored = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                errors, v = batch["error"].to_numpy(), _matrix(batch["v"], model.dim)
+                for at, who, told in _approximate({"code": batch["code"], "list": batch["list"].to_numpy()}, model, wide.astype(np.float32), probed):
+                    for i, s in zip(who.tolist(), told):
+                        good = at[s + errors[at] + SLACK >= held[i][0].min()] if len(held[i][0]) == k else at
+                        exact = np.round(np.clip(v[good] @ wide[i], -1.0, 1.0), 12)
+                        scored[i] += len(good)
+                        held[i] = _top(k, np.append(held[i][0], exact), held[i][1] + batch["memory_id"].take(pa.array(good)).to_pylist())
+            for i, (s, found) in enumerate(held):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * (len(s) + 1)), pa.array([*found, None], batch_type), pa.array([*s.tolist(), None], pa.float64()), pa.array([0] * len(s) + [int(scored[i])])], names=["query_id", "memory_id", "score", "pairs"])
+
+        batch_type = pa.string() if name == "string" else pa.int64() if name == "bigint" else None
+        rows = index.where(F.col("list").isin(np.flatnonzero(probed.any(axis=0)).tolist()))
         if guaranteed:
-            low = near.withColumn("place", F.row_number().over(by(F.desc(F.col("s") - F.col("e"))))).where(F.col("place") <= k).groupBy("query_id").agg(F.min(F.col("s") - F.col("e")).alias("least"), F.max("place").alias("n"))
-            near = near.join(F.broadcast(low), "query_id").where((F.col("n") < k) | (F.col("s") + F.col("e") + SLACK >= F.col("least")))  # one row a query of the block
-        else:
-            near = near.withColumn("place", F.row_number().over(by(F.desc("s"), "memory_id"))).where(F.col("place") <= most)
-        parts.append(near.select("query_id", "memory_id", "list"))
+            parts.append(rows.select("memory_id", "list", "code", "error", "v").mapInArrow(nearest, f"query_id {key}, memory_id {name}, score double, pairs long"))
+            continue
+        best = rows.select("memory_id", "list", "code").mapInArrow(near, f"query_id {key}, memory_id {name}, list int, s float")
+        order = W.partitionBy("query_id").orderBy(F.desc("s"), "memory_id")
+        parts.append(best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "memory_id", "list"))
     if not parts:
         return spark.createDataFrame([], f"query_id {key}, memory_id {name}, score double, rank int")
-    near = parts[0]
+    found = parts[0]
     for p in parts[1:]:
-        near = near.union(p)
-    pairs = near.join(index.select("memory_id", "list", "v"), ["list", "memory_id"]).join(asked, "query_id")
-    if observed is not None:
-        pairs = pairs.observe(observed, F.count("*").alias("pairs"))
-    scored = pairs.select("query_id", "memory_id", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("q", "v"))), 12).alias("score"))
+        found = found.union(p)
+    if guaranteed:
+        scored = found.observe(observed, F.sum("pairs").alias("pairs")) if observed is not None else found
+        scored = scored.where("score is not null").drop("pairs")
+    else:
+        pairs = found.join(index.select("memory_id", "list", "v"), ["list", "memory_id"]).join(asked, "query_id")
+        pairs = pairs.observe(observed, F.count("*").alias("pairs")) if observed is not None else pairs
+        scored = pairs.select("query_id", "memory_id", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("q", "v"))), 12).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _top(k: int, scores: np.ndarray, found: list, *more: np.ndarray) -> tuple:
+    """The ``k`` highest scores, equal ones by id, with what belongs to them."""
+    if len(scores) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        few = np.flatnonzero(scores >= least).tolist()
+        keep = sorted(few, key=lambda i: (-scores[i], found[i]))[:k]
+        scores, found, more = scores[keep], [found[i] for i in keep], [m[keep] for m in more]
+    return scores, found, *more
+
+
 #: Indexes by name: from (memory_id, v) to a search of (queries, k). A deployment adds its own.
 Search = Callable[[DataFrame, int], DataFrame]
 INDEXES: dict[str, Callable[[DataFrame], Search]] = {
