@@ -13,6 +13,7 @@ The file has to be where all executors see it. A row whose key is null has no pl
 from __future__ import annotations
 
 import json
+import os
 import sqlite3
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -167,7 +168,9 @@ def read_table(spark: SparkSession, path: str, table: str, key: str, partitions:
 def write_table(rows: DataFrame, path: str, table: str, key: str) -> None:
     """Adds rows to a table of the file, batch by batch as tasks end; for fixtures and exports, as a file has one writer."""
     kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL"}
-    db = sqlite3.connect(path.removeprefix("file://"))
+    where = path.removeprefix("file://")
+    os.makedirs(os.path.dirname(where) or ".", exist_ok=True)
+    db = sqlite3.connect(where)
     try:
         db.execute(f"CREATE TABLE IF NOT EXISTS {_name(table)} ({', '.join(f'{_name(n)} {kinds.get(t, "TEXT")}' for n, t in rows.dtypes)})")
         db.execute(f"CREATE INDEX IF NOT EXISTS {_name(table + '_key')} ON {_name(table)} ({_name(key)})")
