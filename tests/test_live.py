@@ -114,6 +114,21 @@ def test_retries_wait_and_later_batches_replace(spark, base):
     assert {r.status for r in sink.states(spark, base).collect()} == {"completed"}
 
 
+def test_events_due_after_a_step_are_not_given_up(spark, base):
+    """Three attempts, 60 and 120 s apart, though a step is a second; then no event is left to try."""
+
+    def down(memories):
+        raise ValueError("down")
+
+    m, e = memories(spark, 1), events(spark, [(1, "m0", "graph", 0), (2, "m0", "vector", 0)])
+    made = {"vector": sink.build_index, "graph": down}
+    assert sink.run_until_done(base, e, m, NOW, timedelta(seconds=1), made, delay_s=60) == 3
+    got = {r.id: (r.status, r.retry_count, r.attempted_at) for r in sink.states(spark, base).collect()}
+    assert got == {1: ("failed", 3, NOW + timedelta(seconds=180)), 2: ("completed", 0, NOW)}
+    with pytest.raises(RuntimeError, match="left to try"):
+        sink.run_until_done(base + "/other", e, m, NOW, timedelta(seconds=1), made, delay_s=60, most=2)
+
+
 # --- commits ----------------------------------------------------------------------------------------------------------
 def table(spark, base, rows="a b c d", **columns):
     t = Table(spark, base + "/t", "id string, status string, note string", buckets=16)

@@ -1,10 +1,12 @@
 """Literal expectations and invariants of the operators."""
 
+from datetime import datetime, timedelta, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import columns as C
-from tidewell.operators import evaluation, graph, lifecycle, outbox, rag, retrieval, vector, working
+from tidewell.operators import agent, evaluation, graph, lifecycle, listing, outbox, rag, retrieval, vector, working
 from tidewell.sources import store
 
 
@@ -103,6 +105,24 @@ def test_outbox_steps(spark):
     assert outbox.process(rows, projections=()).where("id = 2").first().new_status == "completed"
 
 
+def test_recent_traces_are_read_from_their_days(spark, tmp_path):
+    at = F.timestamp_add("DAY", F.lit(-1) * F.col("id"), F.lit(datetime(2024, 5, 9)))
+    traces = spark.range(9).select(F.col("id").alias("query_id"), at.alias("created_at"), F.lit("a").alias("answer"))
+    stored = agent.store_traces(traces, f"file://{tmp_path}/t")
+    newest = agent.recent_stored(stored, 3)
+    assert [r.query_id for r in newest.collect()] == [0, 1, 2] and newest.columns == traces.columns
+    assert "PartitionFilters: [day" in newest._jdf.queryExecution().executedPlan().toString()  # other days' folders aren't read
+    assert agent.recent_stored(agent.store_traces(traces.limit(0), f"file://{tmp_path}/none")).isEmpty()
+
+
+def test_health_by_group_and_missing_times(spark):
+    rows = spark.createDataFrame([("a", "healthy"), ("a", None), ("b", "healthy"), ("b", "down")], "g string, status string")
+    assert {tuple(r) for r in listing.health(rows, "g").collect()} == {("a", "healthy"), ("b", "degraded")}
+    assert listing.health(rows).first().status == "degraded"
+    assert one(spark, C.time_or_now(F.lit(None).cast("timestamp"), datetime(2030, 1, 1))) == datetime(2030, 1, 1)
+    assert abs(one(spark, C.time_or_now(F.lit(None).cast("timestamp"))) - datetime.now(timezone.utc).replace(tzinfo=None)) < timedelta(minutes=5)
+
+
 def test_working_memory_is_bounded(spark):
     items = spark.createDataFrame([(1, i) for i in range(5)], "session_id int, seq int")
     assert [r.seq for r in working.bounded(items, 3).orderBy("place").collect()] == [2, 3, 4]

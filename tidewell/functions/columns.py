@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column
@@ -64,6 +65,12 @@ def iso(c: Column | str) -> Column:
     return F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def time_or_now(c: Column | str, now: datetime | None = None) -> Column:
+    """The time itself, or ``now`` (the current time if none is given) where it is missing; without zone, in UTC."""
+    at = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()) if now is None else F.lit(now)
+    return F.coalesce(col(c).cast("timestamp_ntz"), at.cast("timestamp_ntz"))
+
+
 def token_count(c: Column | str) -> Column:
     """Words between white space."""
     return F.size(F.filter(F.split(col(c), r"\s+"), lambda t: t != ""))

@@ -49,5 +49,18 @@ def recent(traces: DataFrame, n: int = 5) -> DataFrame:
     return traces.orderBy(F.desc("created_at"), F.desc("query_id")).limit(n)
 
 
+def store_traces(traces: DataFrame, path: str) -> DataFrame:
+    """Appends traces to the table at ``path``, a folder a day of ``created_at``; the table."""
+    rows = traces.withColumn("day", F.to_date("created_at"))
+    rows.write.mode("append").partitionBy("day").parquet(path)
+    return traces.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def recent_stored(stored: DataFrame, n: int = 5) -> DataFrame:
+    """The newest ``n`` traces of a stored table; whole rows are read from the folders of their days alone."""
+    days = {r.day for r in recent(stored.select("query_id", "created_at", "day"), n).collect()}  # n rows at most
+    return recent(stored.where(F.col("day").isin(*days)), n).drop("day")
+
+
 def append_step(traces: DataFrame, kind: str, n: int) -> DataFrame:
     return traces.withColumn("steps", F.array_append("steps", F.struct(F.lit(kind).alias("step"), F.lit(n).cast("long").alias("n"))))

@@ -103,9 +103,9 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def health(components: DataFrame) -> DataFrame:
-    """Roll-up of (name, status): healthy if every status that is given is."""
-    return components.agg(F.when(F.every(F.coalesce(F.col("status") == "healthy", F.lit(True))), "healthy").otherwise("degraded").alias("status"))
+def health(components: DataFrame, *by: str) -> DataFrame:
+    """Roll-up of (name, status), for each value of ``by``: healthy if every status that is given is."""
+    return components.groupBy(*by).agg(F.when(F.every(F.coalesce(F.col("status") == "healthy", F.lit(True))), "healthy").otherwise("degraded").alias("status"))
 
 
 def table_health(tables: dict[str, DataFrame], stale_after: timedelta, now: datetime | None = None) -> DataFrame:

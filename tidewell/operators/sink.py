@@ -96,13 +96,15 @@ def run_batch(base: str, batch: int, events: DataFrame, memories: DataFrame, now
 
 
 def run_until_done(base: str, events: DataFrame, memories: DataFrame, now: datetime, step, projections=None, delay_s: float = 1.0, most: int = 100) -> int:
-    """First ``events``, then what is due, batch after batch, each ``step`` later; the number of batches."""
+    """First ``events``, then what is due, batch after batch, each ``step`` later or when the next event is due, if that is
+    later still; the number of batches. An error if events are left to try after ``most`` of them."""
     spark = events.sparkSession
     run_batch(base, 0, events, memories, now, projections, delay_s)
-    for batch in range(1, most):
-        now = now + step
-        again = due(spark, base, now)
-        if again.isEmpty():
+    for batch in range(1, most + 1):
+        next_due = states(spark, base).where("status = 'retrying'").agg(F.min("next_attempt_at")).first()[0]
+        if next_due is None:
             return batch
-        run_batch(base, batch, again, memories, now, projections, delay_s)
-    return most
+        if batch < most:
+            now = max(now + step, next_due)
+            run_batch(base, batch, due(spark, base, now), memories, now, projections, delay_s)
+    raise RuntimeError(f"events are left to try after {most} batches")

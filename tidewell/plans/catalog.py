@@ -140,18 +140,22 @@ def mem_explorer(s, d):
     return listing.explorer(mem(s, d), memory_type="incident", facility_id="facility-en", status="", asset_id=None).select("id")
 
 
-@query("SELECT k AS grp, CASE k WHEN 1 THEN 'healthy' ELSE 'degraded' END AS status FROM (VALUES (1), (2)) v(k)")
+@query(f"""WITH {OUT}, c AS (SELECT memory_id, projection_type, CASE WHEN count_if(status IN ('completed', 'failed')) > 0 THEN CASE WHEN count_if(status = 'failed') = 0 THEN 'healthy' ELSE 'down' END END AS status FROM outbox GROUP BY ALL)
+SELECT memory_id, CASE WHEN bool_and(coalesce(status = 'healthy', true)) THEN 'healthy' ELSE 'degraded' END AS status FROM c GROUP BY memory_id""")
 def mem_health(s, d):
-    rows = s.createDataFrame([(1, "db", "healthy"), (1, "graph", None), (2, "db", "healthy"), (2, "graph", "down")], "grp int, name string, status string")
-    return listing.health(rows.where("grp = 1")).select(F.lit(1).alias("grp"), "status").union(listing.health(rows.where("grp = 2")).select(F.lit(2), "status"))
+    """Each memory's projections by what became of their events; one without an event that is through has no status."""
+    ended, failed = (F.count_if(F.col("status").isin(*of)) for of in (("completed", "failed"), ("failed",)))
+    status = F.when(ended > 0, F.when(failed == 0, "healthy").otherwise("down"))
+    parts = derived.outbox(s, d).groupBy("memory_id", F.col("projection_type").alias("name")).agg(status.alias("status"))
+    return listing.health(parts, "memory_id")
 
 
-@query(rf"""WITH {MEM} SELECT doc_id, regexp_matches(lower(id), '^[0-9a-f]{{8}}-([0-9a-f]{{4}}-){{3}}[0-9a-f]{{12}}$') AS id_is_uuid, false AS title_is_uuid, 'a|' || title AS ids, doc_id % 3 <> 0 AS zoned, true AS stamped FROM memories""")
+@query(rf"""WITH {MEM} SELECT doc_id, regexp_matches(lower(id), '^[0-9a-f]{{8}}-([0-9a-f]{{4}}-){{3}}[0-9a-f]{{12}}$') AS id_is_uuid, false AS title_is_uuid, 'a|' || title AS ids, doc_id % 3 <> 0 AS zoned, CASE WHEN doc_id % 2 = 0 THEN created_at ELSE TIMESTAMP '2030-01-01 00:00:00' END AS stamped FROM memories""")
 def text_functions(s, d):
     at = F.concat(F.lit("2024-01-01T00:00:00"), F.when(F.col("doc_id") % 3 == 1, "Z").when(F.col("doc_id") % 3 == 2, "+02:00").otherwise(""))
     ids = F.array_join(C.split_ids(F.concat(F.lit(" a, ,"), "title", F.lit(" ,"))), "|")
-    now = F.coalesce(F.lit(None).cast("timestamp"), F.current_timestamp())
-    return mem(s, d).select("doc_id", C.is_uuid("id").alias("id_is_uuid"), C.is_uuid("title").alias("title_is_uuid"), ids.alias("ids"), C.is_tz_aware(at).alias("zoned"), (now <= F.current_timestamp()).alias("stamped"))
+    stamped = C.time_or_now(F.when(F.col("doc_id") % 2 == 0, F.col("created_at")), datetime(2030, 1, 1))
+    return mem(s, d).select("doc_id", C.is_uuid("id").alias("id_is_uuid"), C.is_uuid("title").alias("title_is_uuid"), ids.alias("ids"), C.is_tz_aware(at).alias("zoned"), stamped.alias("stamped"))
 
 
 @query("SELECT 'memories' AS name, CAST(22 AS BIGINT) AS n_columns, count(*) AS n_rows FROM documents UNION ALL SELECT 'outbox', 9, count(*) FROM events")
@@ -576,7 +580,8 @@ def agent_trace_evidence(s, d):
 def agent_recent_traces(s, d):
     m = mem(s, d)
     when = m.select(F.col("doc_id").alias("query_id"), "created_at")
-    return agent.recent(agent.run_workflow(_questions(m), m).join(when, "query_id")).select("query_id")
+    stored = agent.store_traces(agent.run_workflow(_questions(m), m).join(when, "query_id"), jobs.scratch(s, "traces"))
+    return agent.recent_stored(stored).select("query_id")
 
 
 # --- critic and evaluation --------------------------------------------------------------------------------------------
