@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 import corpus_pipeline
@@ -300,3 +301,21 @@ def test_each_move_raises_the_likelihood_most():
         left, right = (np.eye(k)[cls].T @ x for x in (pairs[:, i], pairs[i]))
         new = brown.exchange_group(left[None], right[None], np.array([pairs[i, i]]), cls[i : i + 1], of(cls))[0]
         assert tried[new - 1] >= max(tried) - 1e-9
+
+
+def test_the_likelihood_never_falls(spark, monkeypatch):
+    """Sweeps that overshoot, as many items move at once, are taken back; what is returned is the last that counts."""
+    rng = np.random.default_rng(8)
+    items, k = 60, 6
+    sequence = np.append(0, rng.integers(1, items, 900))
+    pairs = np.zeros((items, items), np.int64)
+    np.add.at(pairs, (sequence, np.roll(sequence, -1)), 1)
+    a, b = np.nonzero(pairs)
+    bigrams = spark.createDataFrame(pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), "n": pairs[a, b]}))
+    tried, plain = [], brown.likelihood
+    monkeypatch.setattr(brown, "likelihood", lambda c: tried.append(plain(c)) or tried[-1])
+    start = np.append(0, 1 + np.arange(items - 1) % (k - 1))
+    cls, counts, told = brown.exchange(bigrams, k, 8, start)
+    assert told == sorted(told) and told[-1] > told[0] and told[-1] == max(tried)
+    assert len(tried) > len(told)  # some sweep was taken back
+    assert (counts == np.eye(k)[cls].T @ pairs @ np.eye(k)[cls]).all() and plain(counts) == told[-1]

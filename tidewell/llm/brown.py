@@ -8,8 +8,9 @@ other words, one item for each of ``units`` hashed word endings. Every training
 which are summed over the whole training corpus in one shuffle. An exchange sweep gets each item's counts by class of its
 neighbours from those bigrams (joined with the item-to-class map, a table of bounded size), deals the items into
 groups, and in each group moves items one after the other to the class that raises the class-bigram likelihood most,
-given the other groups' assignment -- the usual distributed exchange. Half of the items may move in a sweep; sweeps go on
-until the likelihood gains less than ``GAIN`` of itself, and the best assignment counts.
+given the other groups' assignment -- the usual distributed exchange. Half of the items may move in a sweep. A sweep that
+lowers the likelihood, since too many moved at once, is taken back, and from then on half as many may move; so the
+likelihood never falls. Sweeps go on until a round of them gains less than ``GAIN`` of it.
 
 *All other words*, however many, are then moved one by one from their ending's class to the class that their own
 neighbours favour, by the same gain: one pass gathers each word's counts by class of its neighbours and deals them by
@@ -182,23 +183,33 @@ def likelihood(counts: np.ndarray) -> float:
     return float(_xlogx(counts).sum() - _xlogx(counts.sum(axis=0)).sum() - _xlogx(counts.sum(axis=1)).sum())
 
 
-def exchange(bigrams: DataFrame, items: int, classes: int, sweeps: int, start: np.ndarray, groups: int = 12) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(class of every item, class bigram counts, likelihood before and after each sweep); class 0 is the boundary's."""
+def _assigned(spark, cls: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pd.DataFrame({"item": np.arange(len(cls), dtype=np.int32), "cls": cls.astype(np.int32)}))
+
+
+def exchange(bigrams: DataFrame, classes: int, sweeps: int, start: np.ndarray, groups: int = 12) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(class of every item, class bigram counts, likelihood before the first sweep and after each one that counts);
+    class 0 is the boundary's."""
     spark = bigrams.sparkSession
     cls, best, told = start.copy(), None, []
+    parts, since = 2, 0  # an item in ``parts`` moves in a sweep, so that many sweeps are a round; ``since``: where the first round began
     for sweep in range(sweeps + 1):
-        assigned = spark.createDataFrame(pd.DataFrame({"item": np.arange(items, dtype=np.int32), "cls": cls.astype(np.int32)}))
+        assigned = _assigned(spark, cls)
         counts = class_counts(bigrams, assigned, classes)
-        told.append(likelihood(counts))
-        if best is None or told[-1] > best[2]:
-            best = (cls.copy(), counts, told[-1])
-        # half of the items move in a sweep, so two sweeps are a round
-        if sweep == sweeps or (sweep >= 2 and told[-1] - told[-3] < GAIN * abs(told[-3])):
+        now = likelihood(counts)
+        if best is not None and now < told[-1]:
+            cls, counts = best[0].copy(), best[1]
+            parts, since, assigned = 2 * parts, len(told) - 1, _assigned(spark, cls)
+        else:
+            told.append(now)
+            best = (cls.copy(), counts)
+        round_ago = told[-1 - parts] if len(told) - 1 - parts >= since else None
+        if sweep == sweeps or (round_ago is not None and now - round_ago < GAIN * abs(round_ago)):
             return best[0], best[1], told
         of_a, of_b = (F.broadcast(assigned.withColumnRenamed("item", k)) for k in "ab")
         after = bigrams.join(of_a, "a").groupBy(F.col("b").alias("item"), "cls").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("own")).withColumn("side", F.lit(0))
         before = bigrams.join(of_b, "b").groupBy(F.col("a").alias("item"), "cls").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("own")).withColumn("side", F.lit(1))
-        moving = after.union(before).where((F.col("item") > 0) & (F.pmod(F.xxhash64("item"), F.lit(2)) == sweep % 2))
+        moving = after.union(before).where((F.col("item") > 0) & (F.pmod(F.xxhash64("item"), F.lit(parts)) == sweep % parts))
         held = cls.copy()
 
         def move(rows: pd.DataFrame) -> pd.DataFrame:  # at most items / groups items, each with 2 * classes counts
@@ -351,12 +362,11 @@ def fit(training: DataFrame, classes: int = 64, exchange_words: int = 8192, unit
     cut = by_count[exchange_words] if len(by_count) > exchange_words else 0
     chosen = head.loc[head["n"] > cut]
     movers = chosen["h"].to_numpy(np.int64)
-    items = 1 + len(movers) + units
     bigrams = materialize(item_bigrams(texts, movers, units), "bigrams")
     rank = np.empty(len(movers), np.int64)  # words of similar frequency start in different classes
     rank[np.argsort(-chosen["n"].to_numpy(), kind="stable")] = np.arange(len(movers))
     start = np.concatenate([[0], 1 + rank % (classes - 1), 1 + np.arange(units) % (classes - 1)]).astype(np.int64)
-    cls, counts, told = exchange(bigrams, items, classes, sweeps, start)
+    cls, counts, told = exchange(bigrams, classes, sweeps, start)
     tail, beside = other_words(texts, movers, cls, counts, units)
     mover_classes = spark.createDataFrame(pd.DataFrame({"h": movers, "moved": cls[1 : 1 + len(movers)].astype(np.int32)}), "h long, moved int")
     words = vocabulary.join(F.broadcast(mover_classes), "h", "left").join(tail, "h", "left")  # each word is in one of them
