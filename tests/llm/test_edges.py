@@ -103,3 +103,29 @@ def test_ties_and_positions(spark):
             assert abs((a * r.position + (b - a) * r.position**2 / 2) * r.target - at) < 1e-6
             at += r.words
         assert abs(at - own[0].target) < 1
+
+
+def test_texts_are_told_by_both_hashes(spark, monkeypatch):
+    """Different texts whose first hash agrees stay apart; equal ones don't."""
+
+    class Colliding:
+        def __getattr__(self, name):
+            return getattr(F, name)
+
+        def xxhash64(self, *columns):
+            return F.lit(7).cast("long") if len(columns) == 1 and isinstance(columns[0], str) and columns[0] == "text" else F.xxhash64(*columns)
+
+    monkeypatch.setattr(simhash, "F", Colliding())
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve thirteen", "one two three four five six", "one two three four five six"]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(list(zip((1, 1, 2, None), texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, texts[0]), (1, texts[1])]
+
+
+def test_reruns_over_repeated_ids_agree(spark):
+    """Rows of one id and size, in any order: the same words are taken of each text."""
+    rows = [(1, f"word{i} other", "s") for i in range(9)] + [(None, f"word{i}", None) for i in range(5)]
+    taken = []
+    for order in (rows, rows[::-1], rows[7:] + rows[:7]):
+        mixed = mixing.curriculum_mix(spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3))
+        taken.append({(r.document.text, r.taken, tuple(r.passes)) for r in mixed.collect()})
+    assert taken[0] == taken[1] == taken[2] and len(taken[0]) == 14

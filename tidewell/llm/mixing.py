@@ -14,7 +14,7 @@ Running sums never gather a source in one task: sizes are summed by (source, 1/4
 shuffle, a window runs over those at most 4096 sums of a source, and a second one inside each cell.
 
 Defined results: null texts have size 0; null sources form one source, last; empty tables give empty results; repeated
-rows are documents of their own; a source without words has target 0; extra columns stay in ``document`` as they came.
+rows are documents of their own (rows of one id and size go by the md5 of their texts, so reruns agree); a source without words has target 0; extra columns stay in ``document`` as they came.
 """
 
 from __future__ import annotations
@@ -69,13 +69,14 @@ def curriculum_mix(documents: DataFrame, share: float = 1.5, cap: int = 2, keep:
     document = F.struct("*") if keep is None else F.struct(*keep)
     sized = documents.select(
         document.alias("document"), n_words(F.col("text")).alias("size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), F.col("doc_id").alias("id"), key.alias("key"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content"),
     ).withColumn("cell", F.substring("key", 1, 3))
     # at most 4096 rows a source; written once, so that texts are read twice in all: for the sums and for the result
     cells = materialize(sized.groupBy("no_source", "src", "cell").agg(F.sum("size").alias("words")), "cells")
     targets = source_targets(cells.withColumnRenamed("words", "size"), share, cap)
     running = W.partitionBy("no_source", "src").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("no_source", "src", "cell", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("before")).join(targets, ["no_source", "src"])
-    inner = W.partitionBy("no_source", "src", "cell").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("no_source", "src", "cell").orderBy("key", "id", "size", "content").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.join(cells, ["no_source", "src", "cell"]).withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     due, size, whole_size = F.floor("target").cast("long"), F.col("size"), F.col("source_size")
     full = F.when(whole_size > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
@@ -114,7 +115,7 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS ns, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key, md5(coalesce(text, '')) AS content FROM documents),
 s AS (SELECT ns, src, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY ns, src) - 1) % 3 AS r FROM d GROUP BY ns, src),
 w AS (SELECT *, CASE r WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
 f AS (SELECT *, source_size * 2 / weight AS full_at FROM w),
@@ -122,7 +123,7 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_si
          / sum(weight) OVER (ORDER BY full_at, ns, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
 c AS (SELECT level FROM l WHERE level <= full_at ORDER BY full_at, ns, src LIMIT 1),
 t AS (SELECT ns, src, r, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(weight * coalesce((SELECT level FROM c), 'infinity'::DOUBLE), CAST(source_size * 2 AS DOUBLE)) END AS target FROM l),
-p AS (SELECT d.*, t.r, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.ns, d.src ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+p AS (SELECT d.*, t.r, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.ns, d.src ORDER BY key, doc_id, size, content ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN t ON d.ns = t.ns AND d.src = t.src),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS passes FROM p)
 , z AS (SELECT *, CAST(passes * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - passes * source_size - before)) AS BIGINT) AS taken,

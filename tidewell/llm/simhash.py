@@ -306,12 +306,13 @@ def verified_stars(own: pd.DataFrame, other: pd.DataFrame, part: int, plan: list
 def verified_links(texts: DataFrame, bodies: DataFrame, radius: int, shingle: int, least: float, hot: int = 16, block: int = 2048) -> DataFrame:
     """Edges (a, b) that connect all pairs of texts within ``radius`` bits that share ``least`` of their shingles.
 
-    ``texts``: (th, fp, n) of distinct texts, n their number of distinct shingles; ``bodies``: (th, text). In buckets of
-    up to ``hot`` texts every candidate pair is verified by a join. Larger buckets are dealt into pairs of blocks: one
+    ``texts``: (th, fp, n) of distinct texts, n their number of distinct shingles; ``bodies``: (th, text), or other columns
+    of ``texts`` in place of th that tell texts apart. In buckets of up to ``hot`` texts every candidate pair is verified by a join. Larger buckets are dealt into pairs of blocks: one
     task finds which texts have candidates there, gets their shingles, and reports a spanning star of what it verified.
     So rows grow with the texts, never with the pairs in a group, and no link is left unverified.
     """
-    texts = materialize(texts.select("th", "fp", "n"), "nodes")
+    keys = [c for c in bodies.columns if c != "text"]
+    names, texts = texts.select("th", *[c for c in keys if c != "th"]), materialize(texts.select("th", "fp", "n"), "nodes")
     total = texts.count()
     none = texts.select(F.col("th").alias("a"), F.col("th").alias("b")).limit(0)
     if total < 2:
@@ -344,14 +345,14 @@ def verified_links(texts: DataFrame, bodies: DataFrame, radius: int, shingle: in
         dealt = block_pairs(index, probe, sizes, block)
         asked = materialize(dealt.groupBy("part", "value", "i", "j").applyInPandas(candidates, kind), "asked")
     ends = pairs.select(F.col("a").alias("th")).union(pairs.select("b"))
-    ends = (ends.union(asked.select("th")) if large else ends).distinct()
+    ends = (ends.union(asked.select("th")) if large else ends).distinct().join(names, "th")
 
     def shingles(batches):
         for b in batches:
             yield {"s": [shingle_hashes(words_of(t), shingle).view(np.int64) for t in b["text"]]}
 
     few = ends.count() <= BROADCAST_ROWS  # hashes alone; beyond that texts are shuffled
-    named = bodies.join(F.broadcast(ends) if few else ends, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))  # equal texts
+    named = bodies.join(F.broadcast(ends) if few else ends, keys).groupBy("th").agg(F.first("text").alias("text"))  # equal texts
     sets = materialize(map_columns(named, "s array<long>", shingles, keep=("th",)), "shingles")
     verified = pairs.join(sets.select(F.col("th").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("th").alias("a"), F.col("s").alias("x")), "a")
     verified = verified.where(F.size(F.array_intersect("x", "y")) >= F.col("need")).select("a", "b")
@@ -371,23 +372,26 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, radius: int = 7, le
     Fingerprints of a text's distinct words within ``radius`` bits are candidates, verified by Jaccard similarity of the
     ``shingle``-word shingles of at least ``least``; groups are the components of verified links. A changed word touches
     five shingles but one word, so word fingerprints of texts of that similarity are fewer bits apart than fingerprints
-    of the shingles themselves. Equal texts are a group, and so are all texts without a word, null ones included.
+    of the shingles themselves. Equal texts are a group, and so are all texts without a word, null ones included. Equal
+    are texts whose 128 bits of hash agree: at 10^11 texts some pairs of different ones agree in 64.
     """
-    keyed = documents.select(F.struct("*").alias("document"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("dk"), F.col("doc_id").isNull().alias("late"), F.xxhash64("text").alias("th"), "text")
+    keyed = documents.select(F.struct("*").alias("document"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("dk"), F.col("doc_id").isNull().alias("late"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
 
     def run(batches):
         for b in batches:
             words = [words_of(t) for t in b["text"]]
             yield {"fp": [fingerprint_of(list(dict.fromkeys(w)), 1) for w in words], "n": [len(shingle_hashes(w, shingle)) for w in words]}
 
-    marked = materialize(map_columns(keyed.select("dk", "late", "th", "text"), "fp long, n long", run, keep=("dk", "late", "th")), "marked")
-    texts = materialize(marked.groupBy("th").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min(F.struct("late", "dk")).alias("best")), "distinct")
-    edges = verified_links(texts, keyed.select("th", "text"), radius, shingle, least)
+    marked = materialize(map_columns(keyed.select("dk", "late", "h1", "h2", "text"), "fp long, n long", run, keep=("dk", "late", "h1", "h2")), "marked")
+    texts = marked.groupBy("h1", "h2").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min(F.struct("late", "dk")).alias("best"))
+    texts = materialize(texts.withColumn("th", F.monotonically_increasing_id()), "distinct")  # numbered once, as written
+    edges = verified_links(texts, keyed.select("h1", "h2", "text"), radius, shingle, least)
     parts = connected_components(edges).withColumnRenamed("node", "th")
     grouped = texts.join(parts, "th", "left").withColumn("component", F.coalesce("component", "th"))
-    kept = grouped.groupBy("component").agg(F.min(F.struct("best.late", "best.dk", "th")).alias("k"))
-    kept = materialize(kept.select("k.dk", "k.th"), "kept")
-    return keyed.drop("text", "late").join(kept, ["dk", "th"], "left_semi").dropDuplicates(["dk", "th"]).select("document.*")
+    kept = grouped.groupBy("component").agg(F.min(F.struct("best.late", "best.dk", "h1", "h2")).alias("k"))
+    kept = materialize(kept.select("k.dk", "k.h1", "k.h2"), "kept")
+    same = ["dk", "h1", "h2"]
+    return keyed.drop("text", "late").join(kept, same, "left_semi").dropDuplicates(same).select("document.*")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
