@@ -289,6 +289,14 @@ def test_latency_is_measured(spark):
     assert 50 <= evaluation.summary(evaluation.evaluate(told)).first().mean_latency_ms < 500
 
 
+def test_cases_tell_the_time_of_their_answers(spark):
+    """Failed cases too; the provider's clock goes on by case % 50 ms a call."""
+    rows = QUERIES["eval_recall_mrr"](spark, "/root/testdata/sf0.001").collect()
+    items = [r.item_id for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    assert sorted((r.case_id, r.mode, r.latency_ms) for r in rows) == sorted((i, mode, i % 50) for i in items for mode in ("semantic", "hybrid"))
+    assert any(r.failure_category == "provider_failure" and r.latency_ms > 0 for r in rows)
+
+
 def test_long_chains_and_circles(spark):
     rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(1000)] + [("x", "y"), ("y", "x"), ("z", "y")]
     m = spark.createDataFrame(rows, "id string, supersedes_memory_id string")

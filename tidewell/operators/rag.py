@@ -68,24 +68,24 @@ def provider(name: str) -> Callable[[str, str], str]:
     return PROVIDERS[name]
 
 
-def generate(prompted: DataFrame, provider: Callable[[str, str], str], model: str) -> DataFrame:
+def generate(prompted: DataFrame, provider: Callable[[str, str], str], model: str, clock: Callable[[], float] = time.perf_counter) -> DataFrame:
     """Adds ``answer`` of any provider, a function of (system, user) text; called in batches on the executors.
 
-    A call that fails gives a null answer and its error; elapsed_ms is the time that the call took.
+    A call that fails gives a null answer and its error; elapsed_ms is the time that the call took by ``clock`` (seconds).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             answers, errors, took = [], [], []
             for system, user in zip(b["system_prompt"], b["user_prompt"]):
-                began = time.perf_counter()
+                began = clock()
                 try:
                     answers.append(provider(system, user))
                     errors.append(None)
                 except Exception as e:  # a provider's fault is a result
                     answers.append(None)
                     errors.append(str(e))
-                took.append((time.perf_counter() - began) * 1000)
+                took.append((clock() - began) * 1000)
             yield b.assign(answer=answers, error=errors, elapsed_ms=took, model_name=model)
 
     schema = ", ".join(f"{n} {t}" for n, t in prompted.dtypes) + ", answer string, error string, elapsed_ms double, model_name string"

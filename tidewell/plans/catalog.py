@@ -631,16 +631,30 @@ f AS (SELECT *, NOT failed AND (recall > 0 OR len(expected) = 0) AS success FROM
 res AS (SELECT case_id, mode, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(groundedness, 6) AS groundedness, round(citation_accuracy, 6) AS citation_accuracy, success, CASE WHEN success THEN 'no_failure' WHEN failed THEN 'provider_failure' ELSE 'retrieval_failure' END AS failure_category FROM f)"""
 
 
-def _provider(system: str, user: str) -> str:
-    """Of a prompt "case|text": the text with two citations; every ninth case finds the provider down."""
-    case, _, text = user.partition("|")
-    if int(case) % 9 == 8:
-        raise RuntimeError("provider is down")
-    return text + " See [Memory 2] and [Memory 99]."
+#: The same with the time that each case's answer took, by the provider's clock.
+TIMED = EVAL.replace("md.mode, coalesce(b.text", "md.mode, CAST(b.item_id % 50 AS DOUBLE) AS latency_ms, coalesce(b.text").replace("SELECT case_id, mode, ", "SELECT case_id, mode, latency_ms, ")
+
+
+class _Provider:
+    """Of a prompt "case|text": the text with two citations, after case % 50 ms of a clock of its own, so that what is
+    measured can be told beforehand; every ninth case finds the provider down."""
+
+    now = 0.0
+
+    def clock(self) -> float:
+        return self.now
+
+    def __call__(self, system: str, user: str) -> str:
+        case, _, text = user.partition("|")
+        self.now += int(case) % 50 / 1000
+        if int(case) % 9 == 8:
+            raise RuntimeError("provider is down")
+        return text + " See [Memory 2] and [Memory 99]."
 
 
 def _results(s, d, timed: bool = False, searcher=None, modes: tuple[str, ...] = ("semantic", "hybrid")):
-    """Every case retrieved and answered under each mode; with ``timed`` the latency that was measured."""
+    """Every case retrieved and answered under each mode. Latencies are of the answers, by the provider's clock; with
+    ``timed`` they are of retrieval and answer, by this machine's."""
     b, m = s.read.parquet(f"{d}/benchmark.parquet"), mem(s, d)
     asked = b.select(F.col("item_id").alias("query_id"), "text", F.lit(None).cast("string").alias("anchor"))
     listed = lambda mode: retrieval.retrieve(asked, m, mode, final_limit=10, searcher=searcher).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "memory_id")))["memory_id"].alias("retrieved"))  # noqa: E731  10 at most
@@ -655,19 +669,20 @@ def _results(s, d, timed: bool = False, searcher=None, modes: tuple[str, ...] =
             F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"), "expected", F.coalesce("retrieval_ms", F.lit(0.0)).alias("retrieval_ms"),
         )
         cases = own if cases is None else cases.union(own)
-    told = rag.generate(cases, _provider, "cited")
-    out = evaluation.evaluate(told.withColumn("latency_ms", F.col("retrieval_ms") + F.col("elapsed_ms")) if timed else told)
-    return out.select(*[F.round(c, 6).alias(c) if t == "double" and c != "latency_ms" else F.col(c) for c, t in out.dtypes])
+    provider = _Provider()
+    told = rag.generate(cases, provider, "cited") if timed else rag.generate(cases, provider, "cited", provider.clock)
+    out = evaluation.evaluate(told.withColumn("latency_ms", F.col("elapsed_ms") + F.col("retrieval_ms") if timed else F.col("elapsed_ms")))
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" and not (timed and c == "latency_ms") else F.col(c) for c, t in out.dtypes])
 
 
-@query(f"WITH {EVAL} SELECT * FROM res")
+@query(f"WITH {TIMED} SELECT * FROM res")
 def eval_recall_mrr(s, d):
     return _results(s, d)
 
 
 @query(f"WITH {EVAL} SELECT count(*) AS total_cases, CAST(count_if(NOT success) AS BIGINT) AS failed_cases, round(1 - count_if(NOT success) / CAST(count(*) AS DOUBLE), 6) AS success_rate, round(avg(recall), 6) AS mean_recall, round(avg(mrr), 6) AS mean_mrr, round(avg(groundedness), 6) AS mean_groundedness, round(avg(citation_accuracy), 6) AS mean_citation_accuracy  FROM res")
 def eval_run_summary(s, d):
-    out = evaluation.summary(_results(s, d))
+    out = evaluation.summary(_results(s, d).drop("latency_ms"))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
