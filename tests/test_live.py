@@ -297,6 +297,11 @@ def test_cases_tell_the_time_of_their_answers(spark):
     assert any(r.failure_category == "provider_failure" and r.latency_ms > 0 for r in rows)
 
 
+def test_run_summary_has_the_mean_time_of_an_answer(spark):
+    items = [r.item_id for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    assert QUERIES["eval_run_summary"](spark, "/root/testdata/sf0.001").first().mean_latency_ms == pytest.approx(sum(i % 50 for i in items) / len(items))
+
+
 def test_long_chains_and_circles(spark):
     rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(1000)] + [("x", "y"), ("y", "x"), ("z", "y")]
     m = spark.createDataFrame(rows, "id string, supersedes_memory_id string")

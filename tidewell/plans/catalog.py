@@ -680,9 +680,9 @@ def eval_recall_mrr(s, d):
     return _results(s, d)
 
 
-@query(f"WITH {EVAL} SELECT count(*) AS total_cases, CAST(count_if(NOT success) AS BIGINT) AS failed_cases, round(1 - count_if(NOT success) / CAST(count(*) AS DOUBLE), 6) AS success_rate, round(avg(recall), 6) AS mean_recall, round(avg(mrr), 6) AS mean_mrr, round(avg(groundedness), 6) AS mean_groundedness, round(avg(citation_accuracy), 6) AS mean_citation_accuracy  FROM res")
+@query(f"WITH {TIMED} SELECT count(*) AS total_cases, CAST(count_if(NOT success) AS BIGINT) AS failed_cases, round(1 - count_if(NOT success) / CAST(count(*) AS DOUBLE), 6) AS success_rate, round(avg(recall), 6) AS mean_recall, round(avg(mrr), 6) AS mean_mrr, round(avg(groundedness), 6) AS mean_groundedness, round(avg(citation_accuracy), 6) AS mean_citation_accuracy, round(avg(latency_ms), 6) AS mean_latency_ms FROM res")
 def eval_run_summary(s, d):
-    out = evaluation.summary(_results(s, d).drop("latency_ms"))
+    out = evaluation.summary(_results(s, d))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
