@@ -2,11 +2,13 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 
 import corpus_pipeline
@@ -319,3 +321,29 @@ def test_the_likelihood_never_falls(spark, monkeypatch):
     assert told == sorted(told) and told[-1] > told[0] and told[-1] == max(tried)
     assert len(tried) > len(told)  # some sweep was taken back
     assert (counts == np.eye(k)[cls].T @ pairs @ np.eye(k)[cls]).all() and plain(counts) == told[-1]
+
+
+def test_words_are_moved_in_little_memory():
+    """A task holds ``ENTRIES`` entries at a time, maybe of as many words; what they need stays far below an executor's share."""
+    n, k, rng = brown.ENTRIES, 64, np.random.default_rng(5)
+    counts, slot, times = rng.integers(0, 9000, (k, k)).astype(float), rng.integers(0, 2 * k, n), rng.integers(1, 40, n).astype(float)
+    tracemalloc.start()
+    try:
+        new = brown.best_classes(np.arange(n), slot, times, rng.integers(1, k, n), counts)
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+    assert new.min() >= 1 and len(new) == n
+
+
+def test_texts_come_in_small_batches(spark):
+    """Many long texts in one partition; the session's own limit is as before afterwards."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(400, numPartitions=1).selectExpr("repeat(cast(id as string), 30000) text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    assert brown._settled(texts.mapInArrow(sizes, "n long"), "sizes").agg({"n": "max"}).first()[0] <= brown.BATCH + 100_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
