@@ -35,6 +35,14 @@ def test_ivf_scores_a_fifth_at_most(spark):
     assert seen.get["pairs"] < 0.2 * asked.count() * v.count()
 
 
+def test_ivf_query_misses_none_of_the_nearest(spark, base):
+    """Vectors without structure, more than the given tables have: shortlists by code miss some of the ten nearest."""
+    x = np.random.default_rng(5).normal(size=(6000, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{base}/embeddings.parquet")
+    told = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, base).collect())
+    assert told("vec_topk_ivf") == told("vec_topk_batched") and len(told("vec_topk_ivf")) == 1200
+
+
 def test_ivf_prunes_lists_and_grows(spark, base):
     """Vectors in groups: few lists are read, their files only, and added vectors are found."""
     rng = np.random.default_rng(1)
