@@ -205,6 +205,27 @@ def test_threshold_is_a_weighed_quantile():
     assert pairwise.quantile_threshold(s, np.ones(5), np.ones(5)) == 1.0 and pairwise.quantile_threshold(s, np.zeros(5), np.ones(5)) > 5
 
 
+def test_threshold_of_a_table(spark, monkeypatch):
+    monkeypatch.setattr(pairwise, "CUTS", 3)
+    rng = np.random.default_rng(6)
+    cases = [(np.round(rng.normal(size=90), d), (rng.random(90) < p).astype(int)) for d in (0, 1, 9) for p in (0.1, 0.8)]
+    cases += [(np.array([1.0, 1.0, 1.0]), np.array([0, 1, 0])), (np.array([2.0, 1.0]), np.ones(2, int)), (np.array([1.0, 5.0]), np.zeros(2, int)), (np.zeros(0), np.zeros(0, int)), (np.exp(rng.normal(size=50) * 40), np.arange(50) % 2)]
+    for s, y in cases:
+        for weight in (np.ones(len(s)), np.where(y == 1, 7.5, 1.0)):
+            rows = spark.createDataFrame([*zip(s.tolist(), y.tolist(), weight.tolist())], "s double, y int, weight double")
+            assert pairwise.table_threshold(rows) == pairwise.quantile_threshold(s, y, weight)
+
+
+def test_every_labelled_document_teaches(spark, monkeypatch):
+    """More ids of a label than the former bound, and labels that meet documents in several parts."""
+    n = 40_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.pmod("id", F.lit(2)).cast("int").alias("quality"))
+    assert pairwise.labelled_rows(docs, labels).groupBy("y", "weight").count().orderBy("y").collect() == [(0, 1.0, n // 2), (1, 1.0, n // 2)]
+    monkeypatch.setattr(pairwise, "LABELS", 9000)
+    assert pairwise.labelled_rows(docs, labels).count() == n
+
+
 @pytest.mark.parametrize("quality, predicted", [(None, 1), (1, 1), (0, 0)])
 def test_one_label_or_none(spark, quality, predicted):
     docs = documents(spark, [(i, "s", t) for i, t in enumerate(["good text", "", None, "x" * 50])]).withColumn("score", F.lit("x")).withColumn("y", F.lit("x"))
