@@ -43,6 +43,16 @@ def test_ivf_query_misses_none_of_the_nearest(spark, base):
     assert told("vec_topk_ivf") == told("vec_topk_batched") and len(told("vec_topk_ivf")) == 1200
 
 
+def test_guaranteed_search_scans_the_index_once(spark):
+    """Without look-up tables 1200 queries are one block, and its result is the exact search's."""
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(7).normal(size=(1200, 32)))]
+    corpus = spark.createDataFrame(rows, "memory_id long, v array<double>")
+    asked = corpus.withColumnRenamed("memory_id", "query_id")
+    found = ann.search_index(asked, ann.build(corpus), guaranteed=True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow nearest") == 1
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, vector.search(asked, corpus).collect()))
+
+
 def test_ivf_prunes_lists_and_grows(spark, base):
     """Vectors in groups: few lists are read, their files only, and added vectors are found."""
     rng = np.random.default_rng(1)

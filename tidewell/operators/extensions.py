@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import hash_embedding
 from tidewell.operators import agent, ann, graph, rag, retrieval, sink, vector, working
+from tidewell.session import settle
 
 #: (text column, dimension) -> vector column.
 EMBEDDERS: dict[str, Callable[[Column, int], Column]] = {"hash": hash_embedding}
@@ -83,8 +84,9 @@ def tool_function(spark: SparkSession, name: str, schema: str, step: Callable[[d
 
 def evaluate_indexes(queries: DataFrame, memories: DataFrame, names: list[str], k: int = 10) -> DataFrame:
     """(index, query_id, memory_id, score, rank): the same semantic search under each of the registered indexes."""
-    corpus, out = vector.build_index(memories).select("memory_id", "v"), None
-    asked = queries.select("query_id", hash_embedding("text", 32).alias("v"))
+    # vectors are made of whole texts, and every index reads them several times
+    corpus, out = settle(vector.build_index(memories).select("memory_id", "v")), None
+    asked = settle(queries.select("query_id", hash_embedding("text", 32).alias("v")))
     for name in names:
         hits = named("index", name)(corpus)(asked, k).withColumn("index", F.lit(name))
         out = hits if out is None else out.unionByName(hits)
